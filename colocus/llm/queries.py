@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from colocus.llm import quality_rules
+from colocus.llm import packing, quality_rules, token_files
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_token_files": token_files.op3_token_files,
+    "op10_packing": packing.op10_packing,
 }
 
 
