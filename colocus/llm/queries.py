@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from colocus.llm import packing, quality_rules, token_files
+from colocus.llm import mixing, packing, quality_rules, token_files, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
 }
 
