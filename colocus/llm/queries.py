@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from colocus.llm import mixing, packing, quality_rules, token_files, warc
+from colocus.llm import html_main, mixing, packing, quality_rules, spot_signatures, token_files, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
+    "op4_spot_signatures": spot_signatures.op4_spot_signatures,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html_main": html_main.op8_html_main,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
 }
