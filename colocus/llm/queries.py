@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from colocus.llm import html_main, jaccard_join, mixing, packing, quality_rules, spot_signatures, token_files, warc
+from colocus.llm import html_main, jaccard_join, mixing, packing, quality_rules, spot_signatures, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op4_spot_signatures": spot_signatures.op4_spot_signatures,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
     "op8_html_main": html_main.op8_html_main,
