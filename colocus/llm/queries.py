@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from colocus.llm import html_main, jaccard_join, mixing, packing, quality_rules, spot_signatures, suffix_dedup, token_files, warc
+from colocus.llm import html_main, jaccard_join, lm_trie, mixing, packing, quality_rules, spot_signatures, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op1_lm_trie": lm_trie.op1_lm_trie,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op4_spot_signatures": spot_signatures.op4_spot_signatures,
