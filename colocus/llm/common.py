@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +84,34 @@ def partitions_for(df: DataFrame, rows_each: int, least: int = 1) -> int:
     return max(least, -(-df.count() // rows_each))
 
 
+def _sliced(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most_bytes`` of text each; a single longer row is a slice of its own."""
+    if batch.nbytes <= most_bytes:
+        yield batch
+        return
+    size = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, low = np.cumsum(size), 0
+    while low < batch.num_rows:
+        reached = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, reached + most_bytes, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def batches_of(stream: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
-    """Joins Arrow batches until they hold ``most_bytes``; longer single batches pass whole."""
+    """Cuts and joins Arrow batches to about ``most_bytes`` each; a single longer row stays whole."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in stream:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size >= most_bytes:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+    for whole in stream:
+        for batch in _sliced(whole, most_bytes) if whole.num_rows else ():
+            if held and size + batch.nbytes > most_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
     if held:
         yield pa.Table.from_batches(held)
 

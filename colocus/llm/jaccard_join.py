@@ -30,7 +30,9 @@ from colocus.llm.common import batches_of, ragged, saved, shared_folder, text_of
 from colocus.llm.components import components
 from colocus.llm.shingles import U, mix, set_names, shingle_sets
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 3 << 20
+#: Batches whose keys travel together.
+BATCHES = 5
 #: Members of a leader that one task verifies.
 LEADER_ROWS = 1_000
 #: Frequent shingles that the second round orders last; any number gives the same result.
@@ -121,23 +123,33 @@ def _named(rows: DataFrame, width: int) -> DataFrame:
 def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFrame:
     """One row for each document (shard null) and one for each batch and shard with its keys."""
 
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        shift = np.cumsum([0, *(len(h[2]) for h in held)])
+        keys = np.concatenate([h[0] for h in held])
+        owner = np.concatenate([h[1] + s for h, s in zip(held, shift, strict=False)])
+        names, sizes = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+        out = []
+        for s, at in _dealt((keys % U(shards)).astype(np.int64), shards):
+            here, local = np.unique(owner[at], return_inverse=True)
+            out.append((s, _blob(np.array([len(here), len(at)], np.int64), names[here], sizes[here], keys[at], local.astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 3], schema=schema)
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches_of(stream, BATCH_BYTES):
             values, sizes, names = _sets_of(batch, width)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.int64(), mask=sizes == 0)], schema=schema)
-            _, firsts = np.unique(names, return_index=True)
-            firsts = np.sort(firsts)
+            firsts = np.sort(np.unique(names, return_index=True)[1])
             ends = np.cumsum(sizes)
-            keep = ragged((ends - sizes)[firsts], sizes[firsts])
-            keys, owner = signature_keys(values[keep], sizes[firsts], bands)
-            owner = firsts[owner]
-            part = (keys % U(shards)).astype(np.int64)
-            out = []
-            for s, at in _dealt(part, shards):
-                here, local = np.unique(owner[at], return_inverse=True)
-                out.append((s, _blob(np.array([len(here), len(at)], np.int64), names[here], sizes[here], keys[at], local.astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 3], schema=schema)
+            keys, owner = signature_keys(values[ragged((ends - sizes)[firsts], sizes[firsts])], sizes[firsts], bands)
+            held.append((keys, owner.astype(np.int32), names[firsts], sizes[firsts]))
+            del values, keys, owner
+            if len(held) == BATCHES:
+                yield dealt(held)
+                held = []
+        if held:
+            yield dealt(held)
 
     schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
     return rows.mapInArrow(run, "shard int, blob binary, doc_id long, n_shingles long, node long")
