@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colocus.llm.common import batches_of, ragged, saved, shared_folder, text_of
@@ -400,5 +400,20 @@ def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> Dat
     return ids.join(shared, F.col("node") == F.col("_n"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without all but one of each group of linked documents.
+
+    The row with the smallest doc_id stays, once where rows repeat. Rows without
+    a doc_id go if they are linked to one that has it.
+    """
+    groups = saved(join(docs, folder, width, percent), f"{folder}/groups")
+    gone = groups.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    names = docs.columns
+    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    copies = Window.partitionBy(F.col("doc_id"), F.xxhash64(text_of(left))).orderBy("doc_id")
+    once = left.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1 OR doc_id IS NULL")
+    return once.select(*[F.col(f"`{c}`") for c in names])
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark, "op6"), width=4, percent=85)

@@ -126,9 +126,15 @@ def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), rules:
     empty result; other columns of the input are never looked at, whatever
     their names. There is no shuffle and no user function.
     """
-    held = df.select(F.struct(*[F.col(c) for c in keep]).alias("_k") if keep else F.lit(None).alias("_k"), metrics(text_of(df, text)).alias("_m"))
+    held = _judged(df, text, rules)
+    return held.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], *METRICS, "base_failed", "kept")
+
+
+def _judged(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The row as the struct ``_row``, beside its counts and verdicts, so that names cannot clash."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), metrics(text_of(df, text)).alias("_m"))
     flat = held.select(
-        *[F.col(f"_k.`{c}`").alias(c) for c in keep],
+        "_row",
         *[F.col(f"_m.{c}").alias(c) for c in ("word_chars", "n_symbols")],
         *[F.col(f"_m.line.{c}").alias(c) for c in ("n_lines", "n_dup_lines")],
         *[F.col(f"_m.word.{c}").alias(c) for c in ("n_words", "n_stop_words", "n_repeat_words")],
@@ -137,6 +143,11 @@ def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), rules:
     return flat.select("*", base.alias("base_failed"), (~compile_rules(rules)).alias("kept"))
 
 
+def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df, with all their columns, that no rule rejects."""
+    return _judged(df, text, rules).filter("kept").select("_row.*")
+
+
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, keep=("doc_id",)).select(

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from colocus.llm.common import batches_of, ragged, saved, shared_folder, text_of
 from colocus.llm.shingles import U, mix
@@ -384,5 +385,53 @@ def digest(docs: DataFrame, folder: str, length: int = 400) -> DataFrame:
     return ids.join(cut, F.col("name") == F.col("_n"), "left").select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
+def at_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without the bytes of characters that they hold only in part."""
+    inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    found = []
+    for low, high in spans:
+        while inner(low):
+            low += 1
+        while inner(high):
+            high -= 1
+        if low < high:
+            found.append((low, high))
+    return found
+
+
+def cut_rows(docs: DataFrame, folder: str, length: int = 400) -> DataFrame:
+    """The rows of docs, with all their columns, their texts without what repeats; n_chars, if there, is counted anew.
+
+    Characters that are covered in part stay. Rows whose text becomes blank by
+    the removal go; rows that are blank before it stay.
+    """
+    _, hits = find(docs, folder, length)
+
+    def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            out = []
+            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                spans = at_characters(raw, merged([(s["low"], s["high"]) for s in starts], length))
+                out.append(b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True)).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_n", "_cut"])
+
+    def named(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            texts = _bytes_of([t or "" for t in batch.column("text").to_pylist()])
+            names = [_name(i, x) for i, x in zip(batch.column("doc_id").to_pylist(), texts, strict=True)]
+            yield batch.append_column("_name", pa.array(names, pa.int64()))
+
+    columns = docs.columns
+    cuts = hits.mapInArrow(cut, "_n long, _cut string").dropDuplicates(["_n"])
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*rows.schema.fields, StructField("_name", LongType())])
+    found = rows.mapInArrow(named, schema).join(cuts, F.col("_name") == F.col("_n"), "left")
+    found = found.filter("_cut IS NULL OR length(translate(_cut, ' \t\n\r', '')) > 0").withColumn("text", F.coalesce("_cut", "text"))
+    if "n_chars" in columns:
+        found = found.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(rows.schema["n_chars"].dataType))
+    return found.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark, "op5"))
