@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +47,13 @@ def saved(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Delete intermediate folders of the shared folder that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI or plain path, on the driver or an executor."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -116,6 +125,35 @@ def batches_of(stream: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def lean(run):
+    """Wraps a partition function: when its rows are out, the worker gives its free memory back.
+
+    Workers live on between tasks; without this each would keep the most that
+    any of its tasks ever held, beside whatever the executor's JVM needs next.
+    """
+
+    def wrapped(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(stream)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: nothing to trim
+
+    return wrapped
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of all values place by place, which packs better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).reshape(n)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start+1, ... of each run, one run after the other."""
     lengths = np.asarray(lengths, np.int64)

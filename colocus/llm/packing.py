@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colocus.llm.common import batches_of, saved, shared_folder, text_of
+from colocus.llm.common import batches_of, lean, saved, shared_folder, text_of
 from colocus.llm.token_files import default_tokenizer
 from colocus.llm.tokens import encoder
 
@@ -114,7 +114,7 @@ def powers(parts: list[tuple[int, int, int]], most: int) -> list[list[tuple[int,
     return found
 
 
-def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, keep_cache: bool = True) -> DataFrame:
     """Every id of every document in exactly one piece of one sequence.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (from 0,
@@ -124,6 +124,8 @@ def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_toke
     sequence (default: no limit but max_tokens). Each task packs what it reads
     and leaves at most one sequence unfilled, which it splits into powers of
     two; nothing is shuffled but the number of sequences of each task.
+    keep_cache: a worker keeps its encoded pieces for its next task; without it
+    tasks take longer and workers less memory between them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     loss_limit = max_tokens if max_loss is None else max_loss
@@ -180,8 +182,10 @@ def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_toke
                 number += 1
         if out:
             yield rows_out()
+        if not keep_cache:
+            enc.forget()
 
-    placed = saved(rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local_sequence long, offset long"), f"{folder}/pieces")
+    placed = saved(rows.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local_sequence long, offset long"), f"{folder}/pieces")
     tasks = placed.groupBy("task").agg((F.max("local_sequence") + 1).alias("n"))
     first = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per task
     return placed.join(tasks.select("task", first.alias("first")), "task").select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from colocus.llm.common import batches_of, ragged, saved, shared_folder, text_of
+from colocus.llm.common import batches_of, drop, lean, ragged, saved, shared_folder, text_of
 from colocus.llm.shingles import U, mix
 
 GRAM = 32
@@ -220,7 +220,7 @@ def _indexed(rows: DataFrame, length: int, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary()), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.string())], schema=schema)
 
     schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("name", pa.int64()), ("sha256", pa.string())])
-    return rows.mapInArrow(run, "shard int, blob binary, doc_id long, n_bytes long, name long, sha256 string")
+    return rows.mapInArrow(lean(run), "shard int, blob binary, doc_id long, n_bytes long, name long, sha256 string")
 
 
 def _grouped(index: DataFrame, shards: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _grouped(index: DataFrame, shards: int) -> DataFrame:
                     names=["name", "hash", "low", "high", "anchor", "kind", "copied"],
                 )
 
-    return index.repartition(shards, "shard").mapInArrow(run, "name long, hash long, low int, high int, anchor int, kind int, copied boolean")
+    return index.repartition(shards, "shard").mapInArrow(lean(run), "name long, hash long, low int, high int, anchor int, kind int, copied boolean")
 
 
 def _verdicts(texts: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _verdicts(texts: DataFrame, wanted: DataFrame, length: int, shards: int) ->
             name, first, last = np.array(found, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["name", "low", "high"])
 
-    return texts.join(runs, "name").mapInArrow(send, "shard int, blob binary").repartition(shards, "shard").mapInArrow(sort, "name long, low int, high int")
+    return texts.join(runs, "name").mapInArrow(lean(send), "shard int, blob binary").repartition(shards, "shard").mapInArrow(lean(sort), "name long, low int, high int")
 
 
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -351,8 +351,9 @@ def find(docs: DataFrame, folder: str, length: int = 400) -> tuple[DataFrame, Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     shards = max(8, -(-docs.count() // 4_000))
     index = saved(_indexed(rows, length, shards), f"{folder}/index")
-    ids = index.filter("shard IS NULL").select("doc_id", "n_bytes", "name", "sha256")
+    ids = saved(index.filter("shard IS NULL").select("doc_id", "n_bytes", "name", "sha256"), f"{folder}/ids")
     runs = saved(_grouped(index.filter("shard IS NOT NULL").select("shard", "blob"), shards), f"{folder}/runs")
+    drop(docs.sparkSession, f"{folder}/index")
     wanted = runs.select("name").distinct().join(ids.select("name", "doc_id").distinct(), "name")
     found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("name", rows["doc_id"], "text")
 
@@ -361,7 +362,7 @@ def find(docs: DataFrame, folder: str, length: int = 400) -> tuple[DataFrame, Da
             names = [_name(i, x) for i, x in zip(batch.column(1).to_pylist(), _bytes_of(batch.column(2).to_pylist()), strict=True)]
             yield batch.filter(pa.array(np.array(names, np.int64) == batch.column(0).to_numpy())).select(["name", "text"])
 
-    texts = saved(found.mapInArrow(check, "name long, text string"), f"{folder}/texts")
+    texts = saved(found.mapInArrow(lean(check), "name long, text string"), f"{folder}/texts")
     later = _verdicts(texts, runs.filter("kind > 0"), length, shards)
     starts = runs.filter("kind = 0").select("name", "low", "high").union(later).groupBy("name").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
     return ids, texts.join(starts, "name").select("name", "text", "starts")
@@ -381,7 +382,7 @@ def digest(docs: DataFrame, folder: str, length: int = 400) -> DataFrame:
                 out.append((name, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.string())], names=["_n", "removed", "spans", "kept"])
 
-    cut = hits.mapInArrow(run, "_n long, removed long, spans long, kept string").distinct()
+    cut = hits.mapInArrow(lean(run), "_n long, removed long, spans long, kept string").distinct()
     return ids.join(cut, F.col("name") == F.col("_n"), "left").select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
@@ -422,15 +423,23 @@ def cut_rows(docs: DataFrame, folder: str, length: int = 400) -> DataFrame:
             names = [_name(i, x) for i, x in zip(batch.column("doc_id").to_pylist(), texts, strict=True)]
             yield batch.append_column("_name", pa.array(names, pa.int64()))
 
-    columns = docs.columns
-    cuts = hits.mapInArrow(cut, "_n long, _cut string").dropDuplicates(["_n"])
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    cuts = hits.mapInArrow(lean(cut), "_n long, _cut string").dropDuplicates(["_n"])
+    # the row goes as a struct, so that none of its names can clash
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = StructType([*rows.schema.fields, StructField("_name", LongType())])
-    found = rows.mapInArrow(named, schema).join(cuts, F.col("_name") == F.col("_n"), "left")
-    found = found.filter("_cut IS NULL OR length(translate(_cut, ' \t\n\r', '')) > 0").withColumn("text", F.coalesce("_cut", "text"))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(rows.schema["n_chars"].dataType))
-    return found.select(*[F.col(f"`{c}`") for c in columns])
+    found = rows.mapInArrow(lean(named), schema).join(cuts, F.col("_name") == F.col("_n"), "left")
+    found = found.filter("_cut IS NULL OR length(translate(_cut, ' \t\n\r', '')) > 0")
+
+    def column(c: str):
+        own = F.col(f"_row.`{c}`")
+        if c == "text":
+            return F.coalesce(F.col("_cut"), own).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("_cut").isNull(), own).otherwise(F.length("_cut")).cast(docs.schema[c].dataType).alias(c)
+        return own.alias(c)
+
+    return found.select(*[column(c) for c in docs.columns])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

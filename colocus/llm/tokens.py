@@ -63,6 +63,10 @@ class Encoder:
         self.as_bytes = _byte_alphabet()
         self._reset()
 
+    def forget(self) -> None:
+        """Drop all kept pieces."""
+        self._reset()
+
     def _reset(self) -> None:
         self.pieces = _Pieces()
         self.tails = dict(list(self.tails.items())[:1000])
