@@ -181,7 +181,9 @@ def labelled_pages() -> list[tuple[str, str]]:
     lines = [[f"{'alpha beta gamma delta '.split()[(i + j) % 4]}{i}{j} runs over the hill and back again" for j in range(2 + i % 4)] for i in range(12)]
     found = []
     for i, body in enumerate(lines):
-        paragraphs = "".join(f"<p>{x}</p>" for x in body)
+        items = body[1:] if i % 2 else []  # every other page has a list among its paragraphs
+        paragraphs = "".join(f"<p>{x}</p>" for x in body) + ("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" + f"<p>{body[0]}</p>" if items else "")
+        body = [*body, *items, body[0]] if items else body
         links = "".join(f'<li><a href="/{k}">link{k}</a></li>' for k in range(4 + i % 3))
         foot = f"<span>imprint{i}</span> <a href='/t'>terms</a>"
         if i % 3 == 0:

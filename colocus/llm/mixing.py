@@ -151,13 +151,14 @@ def mix(docs: DataFrame, folder: str, share: float = 1.5, most: float = 2.0, wei
 def mixed_rows(docs: DataFrame, folder: str, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
     chosen = mix(docs, folder, **options).filter("copies > 0").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("_k", "copies"))).alias("_c"))
-    names = docs.columns
-    hashed = docs.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in names])).withColumn("_id", F.col("doc_id").cast("long"))
-    numbered = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*every).alias("_row"), F.xxhash64(*every).alias("_h"), F.col("doc_id").cast("long").alias("_id"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")))
     chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_e"), "_c")
     found = numbered.join(chosen, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_e")))
     copies = F.aggregate(F.filter("_c", lambda x: x["_k"] == F.col("_k")), F.lit(0).cast("long"), lambda a, x: a + x["copies"])
-    return found.withColumn("_n", copies).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"`{c}`") for c in names])
+    taken = found.withColumn("_n", copies).filter("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
