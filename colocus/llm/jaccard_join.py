@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colocus.llm.common import batches_of, ragged, saved, shared_folder, text_of
+from colocus.llm.common import batches_of, drop, lean, planes, ragged, saved, shared_folder, text_of, unplaned
 from colocus.llm.components import components
 from colocus.llm.shingles import U, mix, set_names, shingle_sets
 
@@ -117,7 +118,7 @@ def _named(rows: DataFrame, width: int) -> DataFrame:
             _, sizes, names = _sets_of(batch, width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.int64(), mask=sizes == 0)], names=["doc_id", "n_shingles", "node"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, node long")
 
 
 def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFrame:
@@ -130,8 +131,7 @@ def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFram
         names, sizes = (np.concatenate([h[i] for h in held]) for i in (2, 3))
         out = []
         for s, at in _dealt((keys % U(shards)).astype(np.int64), shards):
-            here, local = np.unique(owner[at], return_inverse=True)
-            out.append((s, _blob(np.array([len(here), len(at)], np.int64), names[here], sizes[here], keys[at], local.astype(np.uint32))))
+            out.append((s, _write_index(keys[at], owner[at], names, sizes)))
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 3], schema=schema)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +152,25 @@ def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFram
             yield dealt(held)
 
     schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-    return rows.mapInArrow(run, "shard int, blob binary, doc_id long, n_shingles long, node long")
+    return rows.mapInArrow(lean(run), "shard int, blob binary, doc_id long, n_shingles long, node long")
+
+
+def _write_index(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Keys (their first 48 bits, ascending, as differences) and the sets that have them, compressed."""
+    short = keys >> U(16)
+    order = np.argsort(short, kind="stable")
+    here, local = np.unique(owner[order], return_inverse=True)
+    kind = np.uint16 if len(here) < 65536 else np.uint32
+    raw = planes(names[here]) + planes(sizes[here]) + planes(np.diff(short[order], prepend=U(0))) + planes(local.astype(kind))
+    return np.array([len(here), len(keys)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _read_index(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     nodes, n = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    name = np.frombuffer(blob, np.int64, nodes, 16)
-    size = np.frombuffer(blob, np.int64, nodes, 16 + 8 * nodes)
-    keys = np.frombuffer(blob, U, n, 16 + 16 * nodes)
-    local = np.frombuffer(blob, np.uint32, n, 16 + 16 * nodes + 8 * n)
+    raw = zstandard.ZstdDecompressor().decompress(memoryview(blob)[16:])
+    name, size = unplaned(raw, np.int64, nodes, 0), unplaned(raw, np.int64, nodes, 8 * nodes)
+    keys = np.cumsum(unplaned(raw, U, n, 16 * nodes), dtype=U)
+    local = unplaned(raw, np.uint16 if nodes < 65536 else np.uint32, n, 16 * nodes + 8 * n)
     return keys, name[local], size[local]
 
 
@@ -229,7 +239,7 @@ def _candidates(index: DataFrame, shards: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first].astype(np.int32))], names=["leader", "node", "flag"])
 
     dealt = index.repartition(shards, "shard")
-    return dealt.mapInArrow(run, "leader long, node long, flag int").groupBy("leader", "node").agg(F.max("flag").alias("flag"))
+    return dealt.mapInArrow(lean(run), "leader long, node long, flag int").groupBy("leader", "node").agg(F.max("flag").alias("flag"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -284,17 +294,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 good.append(bool(linked(shared, len(head), len(own), percent)))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(flags, pa.int32()), pa.array(good, pa.bool_())], names=["leader", "node", "flag", "ok"])
 
-    moved = sent.mapInArrow(send, "leader long, salt int, node long, flag int, data binary")
-    return moved.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "flag").mapInArrow(compare, "leader long, node long, flag int, ok boolean")
+    moved = sent.mapInArrow(lean(send), "leader long, salt int, node long, flag int, data binary")
+    return moved.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "flag").mapInArrow(lean(compare), "leader long, node long, flag int, ok boolean")
+
 
+def sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """512 parity bits of each set. Two sets differ in no more bits than shingles."""
+    cell = np.repeat(np.arange(len(sizes)), sizes) * 512 + (mix(values + U(0x5DEECE66D)) >> U(55)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=512 * len(sizes)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sizes), 512), axis=1).view(U) if len(sizes) else np.zeros((0, 8), U)
 
-def _second_round(texts: DataFrame, labels: DataFrame, width: int, percent: int, shards: int) -> DataFrame:
+
+def _second_round(texts: DataFrame, labels: DataFrame, folder: str, width: int, percent: int, shards: int, forest: bool) -> DataFrame:
     """Pairs (leader, node, flag) from different components that share a prefix shingle; texts has node and text.
 
     Shingles are ordered by an approximate frequency among these sets, rarest
     first; any order is exact. n - ceil(t n) + 1 first shingles make the prefix.
+    Pairs whose parity sketches differ in more bits than linked sets may differ
+    in shingles are dropped where they meet, which loses no link. With
+    ``forest`` a shard gives only as many pairs as join its components, so a
+    large group of near copies gives a tree; without, it gives all that are left.
     """
-    rows = texts.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("node", "text", F.coalesce("label", "node").alias("label"))
+    labelled = texts.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left")
+    rows = saved(labelled.select("node", "text", F.coalesce("label", "node").alias("label")), folder)
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(stream, BATCH_BYTES):
@@ -313,7 +335,7 @@ def _second_round(texts: DataFrame, labels: DataFrame, width: int, percent: int,
         hot = hot[np.argsort(-n[hot], kind="stable")][: max(1, MOST_HOT // shards)]
         yield pa.RecordBatch.from_arrays([pa.array(seen[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], names=["shingle", "n"])
 
-    hot = rows.mapInArrow(count, "shard int, blob binary").repartition(shards, "shard").mapInArrow(frequent, "shingle long, n long").collect()
+    hot = rows.mapInArrow(lean(count), "shard int, blob binary").repartition(shards, "shard").mapInArrow(lean(frequent), "shingle long, n long").collect()
     hot_keys = np.array([r["shingle"] for r in hot], np.int64).view(U)
     order = np.argsort(hot_keys)
     hot_keys, hot_n = hot_keys[order], np.array([r["n"] for r in hot], np.int64)[order]
@@ -331,35 +353,59 @@ def _second_round(texts: DataFrame, labels: DataFrame, width: int, percent: int,
             look = sizes - -(-percent * sizes // 100) + 1
             take = order[rank < look[owner]]
             label = np.array(batch.column("label").to_pylist(), np.int64)
-            out = []
+            bits, out = sketches(values, sizes), []
             for s, at in _dealt((values[take] % U(shards)).astype(np.int64), shards):
                 x = take[at]
-                out.append((s, _blob(values[x], names[owner[x]], sizes[owner[x]], label[owner[x]])))
+                here, local = np.unique(owner[x], return_inverse=True)
+                head = np.array([len(here), len(x)], np.int64)
+                out.append((s, _blob(head, names[here], sizes[here], label[here], bits[here], values[x], local.astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "blob"])
 
     def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in stream for b in batch.column(1).to_pylist()]
-        if not blobs:
+        parts, shift = [], 0
+        for blob in (b for batch in stream for b in batch.column(1).to_pylist()):
+            m, n = (int(v) for v in np.frombuffer(blob, np.int64, 2))
+            table = np.frombuffer(blob, np.int64, 3 * m, 16).reshape(3, m)
+            bits = np.frombuffer(blob, U, 8 * m, 16 + 24 * m).reshape(m, 8)
+            parts.append((*table, bits, np.frombuffer(blob, U, n, 16 + 88 * m), shift + np.frombuffer(blob, np.uint32, n, 16 + 88 * m + 8 * n).astype(np.int64)))
+            shift += m
+        if not parts:
             return
-        column = lambda i, kind: np.concatenate([np.frombuffer(b, kind, len(b) // 32, i * (len(b) // 4)) for b in blobs])
-        key, node, size, label = column(0, U), column(1, np.int64), column(2, np.int64), column(3, np.int64)
-        order = np.lexsort((size, key))
-        key, node, size, label = key[order], node[order], size[order], label[order]
+        node, size, label, bits, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((size[at], key))
+        key, at = key[order], at[order]
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        lengths = np.diff(edges)
         found: set[tuple[int, int]] = set()
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            if high - low < 2 or (label[low:high] == label[low]).all():
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        for low, high in zip(edges[:-1][lengths > 1], edges[1:][lengths > 1], strict=True):
+            own = at[low:high]
+            labels_, sizes_ = label[own], size[own]
+            if (labels_ == labels_[0]).all():
                 continue
-            for i in range(low, high - 1):
-                stop = low + np.searchsorted(size[low:high], size[i] * 100 // percent, side="right")
-                at = np.arange(i + 1, stop)
-                at = at[(label[at] != label[i]) & (node[at] != node[i])]
-                found.update((min(int(node[i]), int(y)), max(int(node[i]), int(y))) for y in node[at])
+            stops = np.searchsorted(sizes_, sizes_ * 100 // percent, side="right")
+            for i in range(len(own) - 1):
+                rest = np.arange(i + 1, stops[i])
+                rest = rest[labels_[rest] != labels_[i]]
+                most = (100 - percent) * (sizes_[rest] + sizes_[i]) // (100 + percent)
+                rest = rest[np.bitwise_count(bits[own[rest]] ^ bits[own[i]]).sum(axis=1) <= most]
+                a = int(node[own[i]])
+                for b, of in zip(node[own[rest]].tolist(), labels_[rest].tolist(), strict=True):
+                    if a != b and (not forest or top(int(labels_[i])) != top(of)):
+                        found.add((min(a, b), max(a, b)))
+                        if forest:
+                            above[top(of)] = top(int(labels_[i]))
         if found:
             a, b = np.array(sorted(found), np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32))], names=["leader", "node", "flag"])
 
-    met = rows.mapInArrow(prefixes, "shard int, blob binary").repartition(shards, "shard").mapInArrow(meet, "leader long, node long, flag int")
+    met = rows.mapInArrow(lean(prefixes), "shard int, blob binary").repartition(shards, "shard").mapInArrow(lean(meet), "leader long, node long, flag int")
     return met.distinct()
 
 
@@ -375,10 +421,11 @@ def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> Dat
     bits within one compared pair).
     """
     bands, rows = Bands(percent), docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    shards = max(8, -(-docs.count() // 4_000))
+    shards = max(8, -(-docs.count() // 8_000))
     index = saved(_indexed(rows, width, bands, shards), f"{folder}/index")
-    ids = index.filter("shard IS NULL").select("doc_id", "n_shingles", "node")
+    ids = saved(index.filter("shard IS NULL").select("doc_id", "n_shingles", "node"), f"{folder}/ids")
     pairs = saved(_candidates(index.filter("shard IS NOT NULL").select("shard", "blob"), shards, percent), f"{folder}/pairs")
+    drop(docs.sparkSession, f"{folder}/index")
     nodes = ids.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node").select("node", "first")
     texts = saved(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text"), f"{folder}/texts")
@@ -389,11 +436,23 @@ def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> Dat
     left = checked.join(open_, "leader", "left_semi")
     left = saved(left.select("node").union(left.select("leader")).distinct(), f"{folder}/left")
     if left.limit(1).count():
-        again = texts.join(left, "node", "left_semi")
-        more = _second_round(again, labels, width, percent, shards).join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
-        more = saved(more, f"{folder}/pairs-2")
-        later = saved(_verified(more, again, width, percent), f"{folder}/checked-2").filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        labels = components(edges.union(later), f"{folder}/second")
+        again = saved(texts.join(left, "node", "left_semi"), f"{folder}/again")
+        for step, forest in enumerate((True, False)):
+            own = f"{folder}/round-{step}"
+            more = _second_round(again, labels, f"{own}/rows", width, percent, shards, forest).join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
+            more = saved(more, f"{own}/pairs")
+            later = saved(_verified(more, again, width, percent), f"{own}/checked")
+            checked = checked.union(later)
+            edges = edges.union(later.filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+            labels = components(edges, f"{own}/labels")
+            if forest:  # sets that no failed pair ties together have no further candidates among them
+                trees = components(more.select(F.col("leader").alias("a"), F.col("node").alias("b")).union(edges), f"{own}/trees")
+                failed = later.filter("NOT ok").select("node").join(trees, "node").select("label").distinct()
+                still = trees.join(failed, "label", "left_semi").select("node")
+                again = saved(again.join(still, "node", "left_semi"), f"{own}/again")
+                if not again.limit(1).count():
+                    break
+    drop(docs.sparkSession, *(f"{folder}/{x}" for x in ("texts", "pairs", "checked", "left", "again")), *(f"{folder}/round-{i}/{x}" for i in (0, 1) for x in ("rows", "pairs", "checked", "again")))
     named = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("tied"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     shared = named.filter("tied OR n > 1").join(lowest, "label").select(F.col("node").alias("_n"), "component_id")
@@ -408,11 +467,11 @@ def one_of_each(docs: DataFrame, folder: str, width: int = 5, percent: int = 80)
     """
     groups = saved(join(docs, folder, width, percent), f"{folder}/groups")
     gone = groups.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    names = docs.columns
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    copies = Window.partitionBy(F.col("doc_id"), F.xxhash64(text_of(left))).orderBy("doc_id")
-    once = left.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1 OR doc_id IS NULL")
-    return once.select(*[F.col(f"`{c}`") for c in names])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of(docs)).alias("_text"))
+    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    once = left.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id"))).filter("_copy = 1 OR _id IS NULL")
+    return once.select("_row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
