@@ -19,4 +19,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.op2_sql()}
+    return {"op2_quality_rules": quality_rules.op2_sql(), "op6_jaccard_join": jaccard_join.op6_sql()}

@@ -342,6 +342,14 @@ def test_join_finds_every_component(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+def test_join_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{FOLDER}/documents.parquet'")
+    found = con.execute(jaccard_join.op6_sql())
+    assert [c[0] for c in found.description] == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(tuple(r) for r in jaccard_join.op6_jaccard_join(spark, FOLDER).collect()) == sorted(found.fetchall())
+
+
 def test_one_of_each_group_stays(spark, odd):
     out = jaccard_join.one_of_each(odd, shared_folder(spark, "o"))
     assert out.columns == odd.columns
