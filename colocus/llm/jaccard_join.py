@@ -221,22 +221,27 @@ def _candidates(index: DataFrame, shards: int, percent: int) -> DataFrame:
     """Distinct pairs (leader, node, flag) of all keys."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_read_index(b) for batch in stream for b in batch.column(1).to_pylist()]
-        if not parts:
-            return
-        keys, nodes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        twin = np.zeros(len(keys), bool)
-        twin[order[1:]] |= same
-        twin[order[:-1]] |= same
-        a, b, flag = leaders(keys[twin], nodes[twin], sizes[twin], percent)
-        if len(a):
-            order = np.lexsort((~flag, b, a))
-            a, b, flag = a[order], b[order], flag[order]
-            first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first].astype(np.int32))], names=["leader", "node", "flag"])
+        held: dict[int, list[bytes]] = {}
+        for batch in stream:
+            for s, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(s, []).append(blob)
+        while held:  # shards that share a task are still handled one at a time
+            parts = [_read_index(b) for b in held.popitem()[1]]
+            keys, nodes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order = np.argsort(keys, kind="stable")
+            same = keys[order][1:] == keys[order][:-1]
+            twin = np.zeros(len(keys), bool)
+            twin[order[1:]] |= same
+            twin[order[:-1]] |= same
+            del order, same
+            keys, nodes, sizes = keys[twin], nodes[twin], sizes[twin]
+            a, b, flag = leaders(keys, nodes, sizes, percent)
+            if len(a):
+                order = np.lexsort((~flag, b, a))
+                a, b, flag = a[order], b[order], flag[order]
+                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first].astype(np.int32))], names=["leader", "node", "flag"])
 
     dealt = index.repartition(shards, "shard")
     return dealt.mapInArrow(lean(run), "leader long, node long, flag int").groupBy("leader", "node").agg(F.max("flag").alias("flag"))
@@ -421,7 +426,7 @@ def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> Dat
     bits within one compared pair).
     """
     bands, rows = Bands(percent), docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    shards = max(8, -(-docs.count() // 8_000))
+    shards = max(8, -(-docs.count() * (100 - percent) // 120_000))  # a set has keys in proportion to 100 - percent
     index = saved(_indexed(rows, width, bands, shards), f"{folder}/index")
     ids = saved(index.filter("shard IS NULL").select("doc_id", "n_shingles", "node"), f"{folder}/ids")
     pairs = saved(_candidates(index.filter("shard IS NOT NULL").select("shard", "blob"), shards, percent), f"{folder}/pairs")
@@ -476,3 +481,19 @@ def one_of_each(docs: DataFrame, folder: str, width: int = 5, percent: int = 80)
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark, "op6"), width=4, percent=85)
+
+
+def op6_sql() -> str:
+    return r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, y FROM reach JOIN both_ways ON reach.r = x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.low AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(r) AS low FROM reach GROUP BY 1) c ON c.id = d.doc_id"""
