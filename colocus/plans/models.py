@@ -111,15 +111,15 @@ def d08(spark, d):
     return spark.createDataFrame([(float(a), c, float(beta[i, j])) for j, a in enumerate(alphas) for i, c in enumerate(f.columns)], "alpha double, feature string, beta double")
 
 
-RISK = "round(0.5e0 * (o_totalprice / 100000e0) - 0.25e0 * (o_custkey % 7), 4)"
+RISK = "round(0.5e0 * floor(o_totalprice / 1000e0) - 0.25e0 * (o_custkey % 7), 2)"
 
 
 @query("d13_risk_score", f"SELECT o_orderkey, {RISK} AS risk FROM orders")
 def d13(spark, d):
     beta = spark.createDataFrame([("price", 0.5), ("rest", -0.25)], "feature string, beta double")
     o = table(spark, d, "orders")
-    long = o.select("o_orderkey", F.explode(F.array(F.struct(F.lit("price").alias("feature"), (F.col("o_totalprice") / 100000.0).alias("x")), F.struct(F.lit("rest").alias("feature"), (F.col("o_custkey") % 7).cast("double").alias("x")))).alias("p")).select("o_orderkey", "p.*")
-    return long.join(F.broadcast(beta), "feature").groupBy("o_orderkey").agg(F.round(F.sum(F.col("x") * F.col("beta")), 4).alias("risk"))
+    long = o.select("o_orderkey", F.explode(F.array(F.struct(F.lit("price").alias("feature"), F.floor(F.col("o_totalprice") / 1000.0).cast("double").alias("x")), F.struct(F.lit("rest").alias("feature"), (F.col("o_custkey") % 7).cast("double").alias("x")))).alias("p")).select("o_orderkey", "p.*")
+    return long.join(F.broadcast(beta), "feature").groupBy("o_orderkey").agg(F.round(F.sum(F.col("x") * F.col("beta")), 2).alias("risk"))
 
 
 @query("d14_stratified_folds", f"{SUB} SELECT user_id, ((row_number() OVER (PARTITION BY event ORDER BY md5('3-' || user_id::VARCHAR), user_id) - 1) % 5)::BIGINT AS fold FROM subjects")
