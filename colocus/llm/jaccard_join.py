@@ -34,6 +34,8 @@ from colocus.llm.shingles import U, mix, set_names, shingle_sets
 BATCH_BYTES = 3 << 20
 #: Batches whose keys travel together.
 BATCHES = 5
+#: Ranges of a shard's keys that are held in memory one after the other.
+KEY_RANGES = 4
 #: Members of a leader that one task verifies.
 LEADER_ROWS = 1_000
 #: Frequent shingles that the second round orders last; any number gives the same result.
@@ -165,13 +167,16 @@ def _write_index(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, sizes:
     return np.array([len(here), len(keys)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _read_index(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_index(blob: bytes, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, names and sizes of one of the equal ranges of the keys' values."""
     nodes, n = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     raw = zstandard.ZstdDecompressor().decompress(memoryview(blob)[16:])
     name, size = unplaned(raw, np.int64, nodes, 0), unplaned(raw, np.int64, nodes, 8 * nodes)
     keys = np.cumsum(unplaned(raw, U, n, 16 * nodes), dtype=U)
     local = unplaned(raw, np.uint16 if nodes < 65536 else np.uint32, n, 16 * nodes + 8 * n)
-    return keys, name[local], size[local]
+    low, high = np.searchsorted(keys, np.array([part * 2**48 // parts, (part + 1) * 2**48 // parts], U))
+    local = local[low:high]
+    return keys[low:high].copy(), name[local], size[local]
 
 
 def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,10 +230,9 @@ def _candidates(index: DataFrame, shards: int, percent: int) -> DataFrame:
         for batch in stream:
             for s, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(s, []).append(blob)
-        while held:  # shards that share a task are still handled one at a time
-            parts = [_read_index(b) for b in held.popitem()[1]]
-            keys, nodes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
+        work = [(s, part) for s in held for part in range(KEY_RANGES)]
+        for s, part in work:  # shards that share a task are still handled one at a time, and each by ranges of its keys
+            keys, nodes, sizes = (np.concatenate(x) for x in zip(*(_read_index(b, part, KEY_RANGES) for b in held[s]), strict=True))
             order = np.argsort(keys, kind="stable")
             same = keys[order][1:] == keys[order][:-1]
             twin = np.zeros(len(keys), bool)
