@@ -2,7 +2,9 @@
 
 The vocabulary is one set of files, sorted hashes with counts. N-grams are dealt
 out by the word before the scored one, so that a shard has all it needs for its
-contexts; a context that is very frequent is split further by the scored word.
+contexts. A very frequent word before the scored one is dealt out further by the
+word before it, so each trigram context still stands whole in one shard; totals
+of such a word's bigrams are counted first and sent to the shards that ask.
 Each shard's trie is a file of levels: contexts, pointers to their children,
 children and quantised log probabilities. Children of all contexts form one
 monotone sequence (context rank times vocabulary, plus word id), so a child is
@@ -10,8 +12,7 @@ found by a successor search relative to its context, in the pointers' range.
 The shard maps its file and looks up every distinct n-gram of all texts.
 
 Smoothing is interpolated absolute discounting down to the add-0.1 unigram
-model; split contexts, which no shard sees whole, use a Dirichlet prior, and
-trigrams are kept from two occurrences on, in contexts that are not split.
+model, the same at every size; trigrams are kept from two occurrences on.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colocus.llm.common import batches_of, get_file, lean, planes, put_file, shared_folder, text_of, unplaned
+from colocus.llm.common import batches_of, get_file, lean, planes, put_file, saved, shared_folder, text_of, unplaned
 from colocus.llm.elias_fano import EliasFano
 from colocus.llm.shingles import U, mix, word_numbers
 
 BATCH_BYTES, BATCHES = 3 << 20, 6
-#: Occurrences in training from which a context is split, prior weight of a split context, discount.
+#: Occurrences in training from which a word's contexts are dealt out over shards, prior weight of the Dirichlet option, discount.
 SPLIT, PRIOR, DISCOUNT, LEAST_TRIGRAMS = 50_000, 1_000.0, 0.75, 2
 #: Hash of the token that ends a text; words hash to odd numbers only.
 END = 2
@@ -55,7 +56,7 @@ def _by_shard(shards: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def _count_words(rows: DataFrame, folder: str, bits: int) -> DataFrame:
-    """Writes the vocabulary of the training texts; one row (shard, words, tokens, docs) for each of its files."""
+    """Writes the vocabulary of the training texts; one row (shard, words, tokens, docs, most) for each of its files."""
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -88,10 +89,26 @@ def _count_words(rows: DataFrame, folder: str, bits: int) -> DataFrame:
             h, n = h[n > 0], n[n > 0]
             put_file(f"{folder}/words-{s:05d}", EliasFano.build(h - (s << (63 - bits))).to_bytes() + n.tobytes())
             ends = int(n[h == END].sum())
-            yield pa.RecordBatch.from_pydict({"shard": [s], "words": [len(h)], "tokens": [int(n.sum())], "docs": [ends]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"shard": [s], "words": [len(h)], "tokens": [int(n.sum())], "docs": [ends], "most": [int(n.max(initial=0))]}, schema=schema)
 
-    schema = pa.schema([("shard", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64())])
-    return rows.mapInArrow(lean(count), "shard int, blob binary").repartition(1 << bits, "shard").mapInArrow(lean(merge), "shard int, words long, tokens long, docs long")
+    schema = pa.schema([("shard", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64()), ("most", pa.int64())])
+    return rows.mapInArrow(lean(count), "shard int, blob binary").repartition(1 << bits, "shard").mapInArrow(lean(merge), "shard int, words long, tokens long, docs long, most long")
+
+
+def _sequences(flat: np.ndarray, counts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every text as its words and one end (m): the two tokens before, or the start (m + 1), and the token."""
+    sizes = counts + 1
+    last = np.cumsum(sizes) - 1
+    w = np.full(int(sizes.sum()), m, np.int32)
+    inside = np.ones(len(w), bool)
+    inside[last] = False
+    w[inside] = flat
+    first = last - counts
+    u = np.empty_like(w)
+    u[1:], u[first] = w[:-1], m + 1
+    t = np.empty_like(w)
+    t[1:], t[first] = u[:-1], m + 1
+    return t, u, w
 
 
 class Vocabulary:
@@ -188,20 +205,58 @@ class Grams:
         self.pair_of_gram[self.of_gram] = self.of_pair
 
 
-def build_shard(grams: Grams, ids: np.ndarray, count: np.ndarray, unigram: np.ndarray, train: np.ndarray, span: int, split: int = SPLIT) -> bytes:
+class Totals:
+    """What a shard is told of very frequent words: their bigrams' occurrences in all shards, and for each word how
+    many bigrams it has, how many of these occur LEAST_TRIGRAMS times, and how often these do together."""
+
+    def __init__(self, start: int, words: np.ndarray, deal: int, blobs: list[bytes]):
+        self.start, self.words, self.deal, parts = start, words, deal, []
+        for blob in blobs:
+            n, raw = int(np.frombuffer(blob, np.int64, 1)[0]), zstandard.ZstdDecompressor().decompress(memoryview(blob)[8:])
+            parts.append((np.cumsum(unplaned(raw, np.int64, n, 0)), unplaned(raw, np.int64, n, 8 * n)))
+        key, total = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(key, kind="stable")
+        self.key, self.total = key[order], total[order]
+
+    def of_pairs(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return keys
+        at = np.searchsorted(self.key, keys)
+        if not len(self.key) or (self.key[np.minimum(at, len(self.key) - 1)] != keys).any():
+            raise ValueError("totals of bigrams are missing")
+        return self.total[at]
+
+    def of_words(self, ids: np.ndarray) -> np.ndarray:
+        return self.words[1:, np.searchsorted(self.words[0], ids)]
+
+
+def build_shard(
+    grams: Grams, ids: np.ndarray, count: np.ndarray, unigram: np.ndarray, train: np.ndarray, span: int, split: int | None = None, totals: Totals | None = None
+) -> bytes:
     """The trie of a shard from its training occurrences; unigram: log10 probability per place in ids."""
-    n, hot = grams.n, count >= split
+    n, hot = grams.n, count >= (split or np.inf)
     n2 = np.bincount(grams.of_pair, weights=train, minlength=len(grams.pair)).astype(np.int64)
+    wide = np.zeros(0, np.int64)  # contexts whose bigrams stand in other shards too
+    if totals:
+        pu, pw = grams.pair // n, grams.pair % n
+        told = np.flatnonzero((count >= totals.deal)[pu])
+        wide = np.unique(pu[told])
+        told = told[ids[pw[told]] >= 0]
+        n2[told] = totals.of_pairs(ids[pu[told]] * span + ids[pw[told]])
     seen = n2 > 0
     pair, n2 = grams.pair[seen], n2[seen]
     pu, pw = pair // n, pair % n
-    total = np.where(hot, count, np.bincount(pu, weights=n2, minlength=n))
+    total = np.bincount(pu, weights=n2, minlength=n)
+    total[hot], total[wide] = count[hot], count[wide]
     taken = np.maximum(n2 - DISCOUNT, 0)
     rest = np.where(hot, PRIOR / (total + PRIOR), 1 - np.bincount(pu, weights=taken, minlength=n) / np.maximum(total, 1))
+    if len(wide):
+        rest[wide] = DISCOUNT * totals.of_words(ids[wide])[0] / total[wide]
     rest = np.maximum(rest, 1e-9)
     base = 10.0 ** unigram[pw]
     two = np.where(hot[pu], (n2 + PRIOR * base) / (total[pu] + PRIOR), taken / np.maximum(total[pu], 1) + rest[pu] * base)
-    contexts, owner = np.unique(pu, return_inverse=True)
+    contexts = np.union1d(pu, wide)
+    owner = np.searchsorted(contexts, pu)
     first = Level.pack(ids[contexts], np.log10(rest[contexts]), owner, ids[pw], np.log10(two), span)
 
     n3 = np.bincount(grams.of_gram, weights=train, minlength=len(grams.gram)).astype(np.int64)
@@ -210,10 +265,17 @@ def build_shard(grams: Grams, ids: np.ndarray, count: np.ndarray, unigram: np.nd
     total3 = np.bincount(own, weights=n3, minlength=len(grams.context))
     kept = np.flatnonzero(n3 >= LEAST_TRIGRAMS)
     own, n3 = own[kept], n3[kept]
-    rest3 = np.maximum(1 - np.bincount(own, weights=n3 - DISCOUNT, minlength=len(grams.context)) / np.maximum(total3, 1), 1e-9)
+    mass = np.bincount(own, weights=n3 - DISCOUNT, minlength=len(grams.context))
+    parted = np.zeros(0, np.int64)  # the start's one context, dealt out by the scored word, is told like its bigrams
+    if len(wide) and ids[wide[-1]] == totals.start:
+        parted = np.flatnonzero(grams.context // n == wide[-1])
+        _, kept_, mass_ = totals.of_words(ids[wide[-1:]])[:, 0]
+        total3[parted], mass[parted] = count[wide[-1]], mass_ - DISCOUNT * kept_
+    rest3 = np.maximum(1 - mass / np.maximum(total3, 1), 1e-9)
     lower = two[(np.cumsum(seen) - 1)[grams.pair_of_gram[kept]]]
     chance3 = np.log10((n3 - DISCOUNT) / total3[own] + rest3[own] * lower) if len(kept) else np.zeros(0)
-    used, owner3 = np.unique(own, return_inverse=True)
+    used = np.union1d(own, parted)
+    owner3 = np.searchsorted(used, own)
     rank = np.searchsorted(contexts, grams.context[used] // n)
     second = Level.pack(rank * span + ids[grams.context[used] % n], np.log10(rest3[used]), owner3, ids[grams.gram[kept] % n], chance3, span)
     return first + second
@@ -250,13 +312,16 @@ def query_shard(buffer, grams: Grams, ids: np.ndarray, unigram: np.ndarray) -> n
     return best[grams.of_gram]
 
 
-def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
+def score(docs: DataFrame, folder: str, split: int | None = None, deal: int = SPLIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     docs needs doc_id and text; other columns are left out. A null text is
     empty: its one token is its end. Equal rows stay and count each. With no
     training text every token is unknown. An empty table gives no rows. The
     model's files stay in ``folder``: words-* (the vocabulary) and trie-*.
+    Words seen ``deal`` times in training are dealt out over several shards; the
+    scores do not depend on it. With ``split`` they do: contexts seen so often
+    get a Dirichlet prior and no trigrams. No query uses that.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     n_docs = docs.count()
@@ -269,6 +334,79 @@ def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
     start_id, span = n_words, n_words + 1
     unigram = lambda c: np.log10((c + 0.1) / floor)
 
+    def route(ids: np.ndarray, n: np.ndarray, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        splits, by = 1 + n // (split or deal), w
+        if split is None:  # the start's only trigram context is as frequent as the start itself
+            by = np.where(u == len(ids) - 1, w, t)
+        with np.errstate(over="ignore"):
+            home = mix(ids.astype(U) * U(2) + U(1))
+            sub = (mix(ids.astype(U) + U(77))[by] % splits.astype(U)[u]) * U(0x9E3779B97F4A7C15)
+            return (mix(home[u] + sub) % U(shards)).astype(np.uint16 if shards < 65536 else np.int64)
+
+    def ask_pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, squeeze = Vocabulary(folder, bits, sizes), zstandard.ZstdCompressor(level=1)
+        end_id, end_count = (int(x[0]) for x in vocabulary.find(np.array([END], np.int64)))
+        for batch in batches_of(stream, BATCHES * BATCH_BYTES):
+            flat, counts, words = word_numbers(batch.column("text").to_pylist())
+            ids, n = vocabulary.find(_hashes(words))
+            m = len(words)
+            ids, n = np.append(ids, [end_id, start_id]), np.append(n, [end_count, train_docs])
+            t, u, w = _sequences(flat, counts, m)
+            at = np.flatnonzero((n >= deal)[u] & (ids >= 0)[w])
+            if not len(at):
+                continue
+            train = np.repeat(np.array([not is_held_out(i) for i in batch.column("doc_id").to_pylist()]), counts + 1)[at]
+            code = u[at].astype(np.int64) * (m + 2)
+            code += w[at]
+            code *= shards
+            code += route(ids, n, t[at], u[at], w[at])
+            del t, u, w
+            code, back = np.unique(code, return_inverse=True)
+            many = np.bincount(back, weights=train).astype(np.int64)
+            pair, asker = code // shards, (code % shards).astype(np.int32)
+            key = ids[pair // (m + 2)] * span + ids[pair % (m + 2)]
+            out = []
+            for s, at in _by_shard((mix(key.astype(U)) % U(shards)).astype(np.int64), shards):
+                at = at[np.argsort(key[at], kind="stable")]
+                raw = b"".join(map(planes, (np.diff(key[at], prepend=0), many[at], asker[at])))
+                out.append((s, np.array([len(at)], np.int64).tobytes() + squeeze.compress(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["shard", "blob"])
+
+    def total_pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in stream:
+            for s, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(s, []).append(blob)
+        while held:
+            parts = []
+            for blob in held.popitem()[1]:
+                n, raw = int(np.frombuffer(blob, np.int64, 1)[0]), zstandard.ZstdDecompressor().decompress(memoryview(blob)[8:])
+                parts.append((np.cumsum(unplaned(raw, np.int64, n, 0)), unplaned(raw, np.int64, n, 8 * n), unplaned(raw, np.int32, n, 16 * n)))
+            key, many, asker = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            key, back = np.unique(key, return_inverse=True)
+            total = np.bincount(back, weights=many).astype(np.int64)
+            asked = np.unique(back * shards + asker)
+            back, asker = asked // shards, asked % shards
+            for s, at in _by_shard(asker, shards):
+                one = back[at]
+                raw = planes(np.diff(key[one], prepend=0)) + planes(total[one])
+                blob = np.array([len(one)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
+                yield pa.RecordBatch.from_pydict({"shard": [s], "blob": [blob], "context": [None], "types": [None], "kept": [None], "mass": [None]}, schema=hot_schema)
+            context, at = np.unique(key // span, return_inverse=True)
+            sums = [np.bincount(at, weights=x).astype(np.int64) for x in (total > 0, total >= LEAST_TRIGRAMS, np.where(total >= LEAST_TRIGRAMS, total, 0))]
+            none = pa.nulls(len(context))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(context), *map(pa.array, sums)], schema=hot_schema)
+
+    hot_schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), *((x, pa.int64()) for x in ("context", "types", "kept", "mass"))])
+    hot, hot_words = None, np.zeros((4, 0), np.int64)
+    dealt_out = split is None and max((*(r["most"] for r in manifest), train_docs)) >= deal
+    if dealt_out:
+        pairs = rows.mapInArrow(lean(ask_pairs), "shard int, blob binary").repartition(shards, "shard")
+        hot = saved(pairs.mapInArrow(lean(total_pairs), "shard int, blob binary, context long, types long, kept long, mass long"), f"{folder}/hot")
+        sums = hot.filter("shard IS NULL").groupBy("context").agg(*(F.sum(x).alias(x) for x in ("types", "kept", "mass")))
+        hot_words = np.array(sorted(map(tuple, sums.collect())), np.int64).reshape(-1, 4).T  # one row for each very frequent word
+
     def occurrences(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, part, block = Vocabulary(folder, bits, sizes), TaskContext.get().partitionId(), 0
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -279,18 +417,8 @@ def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
             ids, n = vocabulary.find(_hashes(words))
             m = len(words)
             ids, n = np.append(ids, [end_id, start_id]), np.append(n, [end_count, train_docs])
-            # every text as its words and one end; u and t are the one and two tokens before, or the start
+            t, u, w = _sequences(flat, counts, m)
             sizes_ = counts + 1
-            last = np.cumsum(sizes_) - 1
-            w = np.full(int(sizes_.sum()), m, np.int32)
-            inside = np.ones(len(w), bool)
-            inside[last] = False
-            w[inside] = flat
-            first = last - counts
-            u = np.empty_like(w)
-            u[1:], u[first] = w[:-1], m + 1
-            t = np.empty_like(w)
-            t[1:], t[first] = u[:-1], m + 1
             doc = np.repeat(np.arange(len(counts), dtype=np.int32), sizes_)
             train = np.array([not is_held_out(i) for i in doc_ids], np.uint8)
             known = np.bincount(doc, weights=n[w] > 0, minlength=len(counts)).astype(np.int64)
@@ -299,12 +427,7 @@ def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
             block += 1
             missing = np.array([i is None for i in doc_ids], np.int64)
             meta = np.array([[i or 0 for i in doc_ids], missing, 1 - train.astype(np.int64), sizes_, known], np.int64).tobytes() + base.tobytes()
-            splits = 1 + n // split
-            with np.errstate(over="ignore"):
-                home = mix(ids.astype(U) * U(2) + U(1))
-                sub = (mix(ids.astype(U) + U(77))[w] % splits.astype(U)[u]) * U(0x9E3779B97F4A7C15)
-                shard = (mix(home[u] + sub) % U(shards)).astype(np.uint16 if shards < 65536 else np.int64)
-            del sub
+            shard = route(ids, n, t, u, w)
             out = [(number % shards, 1, np.array([number], np.int64).tobytes() + meta)]
             mark, place, by_id = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), np.argsort(ids, kind="stable")
             for s, at in _by_shard(shard, shards):
@@ -322,10 +445,13 @@ def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
 
     def learn_and_ask(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        told: dict[int, list[bytes]] = {}
         for batch in stream:
             passed = []
             for s, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind:
+                if kind == 2:
+                    told.setdefault(s, []).append(blob)
+                elif kind:
                     passed.append(blob)
                 else:
                     held.setdefault(s, []).append(blob)
@@ -354,7 +480,9 @@ def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
             del parts, back
             grams = Grams(len(ids), t, u, w)
             del t, u, w
-            put_file(uri, build_shard(grams, ids, count, chance, train, span, split))
+            totals = Totals(start_id, hot_words, deal, told.pop(s, [])) if dealt_out else None
+            put_file(uri, build_shard(grams, ids, count, chance, train, span, split, totals))
+            del totals
             value = query_shard(get_file(uri), grams, ids, chance)
             at, out = 0, []
             for number, docs_, own in sizes_of:
@@ -388,7 +516,10 @@ def score(docs: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    dealt = rows.mapInArrow(lean(occurrences), "shard int, kind int, blob binary").repartition(shards, "shard")
+    dealt = rows.mapInArrow(lean(occurrences), "shard int, kind int, blob binary")
+    if dealt_out:
+        dealt = dealt.union(hot.filter("shard IS NOT NULL").select("shard", F.lit(2).alias("kind"), "blob"))
+    dealt = dealt.repartition(shards, "shard")
     asked = dealt.mapInArrow(lean(learn_and_ask), "block long, kind int, blob binary").repartition(shards, "block")
     return asked.mapInArrow(lean(gather), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -445,6 +445,14 @@ def test_scores_equal_the_model(spark, docs, split):
     assert lm_trie.score(docs.limit(0), shared_folder(spark, "l")).count() == 0
 
 
+@pytest.mark.parametrize("deal", [300, 20])
+def test_frequent_words_keep_their_trigrams(spark, docs, deal):
+    got = sorted((tuple(r) for r in lm_trie.score(docs, shared_folder(spark, "l"), deal=deal).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    want = brute_scores(texts_of(docs), math.inf)
+    assert all(g[:5] == w[:5] and abs(g[6] - w[6]) <= 0.02 * w[2] for g, w in zip(got, want, strict=True))
+    assert abs(sum(g[6] - w[6] for g, w in zip(got, want, strict=True))) <= 0.002 * sum(w[2] for w in want)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2**62), max_size=60), st.lists(st.integers(0, 2**62), max_size=20), st.integers(0, 60))
 def test_elias_fano(values, asked, shift):
