@@ -13,7 +13,7 @@ one shingle and has one left, and there the neighbourhoods meet.
 
 Sets with a common key are compared with the leader of their key's group, not
 in pairs. Where a comparison with a leader fails, all sets of that leader go on
-to a second round, an exact prefix join of sets from different components.
+(where sizes part a group between leaders, all sets of both) to a second round, an exact prefix join of sets from different components.
 Every link is verified on the sets themselves.
 """
 
@@ -184,8 +184,9 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
 
     The leader is the node with the smallest scrambled name, so that groups with
     common nodes tend to have a common leader. Members whose size rules the
-    leader out choose another one; then both leaders are paired too, flagged,
-    with the group left to the second round. flag 1: the group has three or more nodes.
+    leader out choose another one; then both leaders are paired too, and both
+    with all their members are left to the second round (flag 2). flag 1: the
+    group has three or more nodes, and the leader's are left if the pair fails.
     """
     order = np.lexsort((mix(nodes.view(U)), keys))
     keys, nodes, sizes = keys[order], nodes[order], sizes[order]
@@ -205,7 +206,7 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
         fits = 100 * small >= percent * large
         a.append(nodes[head[at[fits]]])
         b.append(nodes[at[fits]])
-        f.append(big[at[fits]])
+        f.append(big[at[fits]].astype(np.int32))
         open_[at[fits]] = False
         rest = at[~fits]
         if not len(rest):
@@ -214,11 +215,11 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
         new = rest[first]
         a.append(nodes[head[new]][big[new]])
         b.append(nodes[new][big[new]])
-        f.append(np.ones(int(big[new].sum()), bool))
+        f.append(np.full(int(big[new].sum()), 2, np.int32))
         head[rest] = np.repeat(new, np.diff(np.flatnonzero(first), append=len(rest)))
         open_[new] = False
     if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     return np.concatenate(a), np.concatenate(b), np.concatenate(f)
 
 
@@ -242,10 +243,10 @@ def _candidates(index: DataFrame, shards: int, percent: int) -> DataFrame:
             keys, nodes, sizes = keys[twin], nodes[twin], sizes[twin]
             a, b, flag = leaders(keys, nodes, sizes, percent)
             if len(a):
-                order = np.lexsort((~flag, b, a))
+                order = np.lexsort((-flag, b, a))
                 a, b, flag = a[order], b[order], flag[order]
                 first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first].astype(np.int32))], names=["leader", "node", "flag"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first])], names=["leader", "node", "flag"])
 
     dealt = index.repartition(shards, "shard")
     return dealt.mapInArrow(lean(run), "leader long, node long, flag int").groupBy("leader", "node").agg(F.max("flag").alias("flag"))
@@ -441,7 +442,7 @@ def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> Dat
     checked = saved(_verified(pairs, texts, width, percent), f"{folder}/checked")
     edges = checked.filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     labels = components(edges, f"{folder}/first")
-    open_ = checked.filter("NOT ok AND flag = 1").select("leader").distinct()
+    open_ = checked.filter("NOT ok AND flag >= 1").select("leader").union(checked.filter("flag = 2").select("node")).distinct()
     left = checked.join(open_, "leader", "left_semi")
     left = saved(left.select("node").union(left.select("leader")).distinct(), f"{folder}/left")
     if left.limit(1).count():

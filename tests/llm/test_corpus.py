@@ -342,6 +342,23 @@ def test_join_finds_every_component(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("lengths", [(15, 17, 20, 21), (15, 17, 20, 23, 27)])
+def test_truncated_copies_link(spark, lengths):
+    rng, rows = random.Random(5), []
+    for _ in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(len(rows) + k, " ".join(base[: n + 3])) for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df, shared_folder(spark, "j"), 4, 85).collect()}
+    assert got == {i: i - i % len(lengths) for i, _ in rows}  # each length is 85 % of the next, or more
+
+
+def test_leaders_that_sizes_part_are_both_open():
+    keys, nodes, sizes = np.zeros(4, np.uint64), np.arange(1, 5), np.array([15, 17, 20, 21])
+    parted = {(int(a), int(b)) for a, b, f in zip(*jaccard_join.leaders(keys, nodes, sizes, 85), strict=True) if f == 2}
+    assert parted and all(100 * min(sizes[a - 1], sizes[b - 1]) < 85 * max(sizes[a - 1], sizes[b - 1]) for a, b in parted)
+
+
 def test_join_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS FROM '{FOLDER}/documents.parquet'")
