@@ -26,6 +26,13 @@ def beta_share(a: float, b: float, x: float) -> float:
     return front * out
 
 
+def sign_tail(x: int, n: int) -> float:
+    """Chance of x or more successes among n at even odds."""
+    if x <= 0 or x > n:
+        return 1.0 if x <= 0 else 0.0
+    return beta_share(x, n - x + 1.0, 0.5)
+
+
 def f_tail(f: float, df1: float, df2: float) -> float:
     """P(F > f)."""
     if not f > 0 or df1 <= 0 or df2 <= 0:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colocus.functions.special import sign_tail
 from colocus.operators import assoc
 from colocus.operators import evaluate as E
 from colocus.operators import survival as S
@@ -385,6 +386,14 @@ def f06(spark, d):
     return E.benjamini_hochberg(p, "p", ["event_type"], "event_id").select("event_id", F.round("q", 6).alias("q"))
 
 
+@query("f06_bh_whole", "WITH p AS (SELECT event_id, event_type, (value - floor(value)) * (value - floor(value)) AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM p) SELECT event_id, round(least(1e0, min(p * m / r) OVER (PARTITION BY event_type ORDER BY r DESC)), 6) AS q FROM r")
+def f06_whole(spark, d):
+    """F06 over all events; f06_bh has a subset of the users."""
+    part = F.col("value") - F.floor("value")
+    p = table(spark, d, "events").select("event_id", "event_type", (part * part).alias("p"))
+    return E.benjamini_hochberg(p, "p", ["event_type"], "event_id").select("event_id", F.round("q", 6).alias("q"))
+
+
 @query("f07_binary_family")
 def f07(spark, d):
     """A 0/1 group beside the segment (unknown: other), one family for all pairs, q by Benjamini and Hochberg."""
@@ -415,6 +424,14 @@ def f10(spark, d):
     return s.select("c_mktsegment", "x", F.round(tail / 2.0**20, 6).alias("p"))
 
 
+@query("f10_sign_test_whole")
+def f10_whole(spark, d):
+    """F10 over all customers, n from the data without values at the centre; f10_sign_test has a subset and a fixed n."""
+    over = F.col("c_acctbal") - 4000.0
+    s = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.when(over > 0, 1)).alias("x"), F.count(F.when(over != 0, 1)).alias("n"))
+    return s.withColumn("p", F.udf(sign_tail, "double")("x", "n"))
+
+
 LOKO = "t AS (SELECT event_type AS pair, user_id % 3 AS k, avg(value) - 45e0 AS e, count(*) FILTER (WHERE value > 150e0)::DOUBLE / count(*) AS p FROM events GROUP BY 1, 2)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +14,7 @@ from colocus.functions import special
 from colocus.operators import assoc, evaluate as E
 from colocus.operators import survival as S
 from colocus.operators import validation as V
+from colocus.plans import QUERIES
 
 
 def cohort(n=120, seed=0):
@@ -188,3 +191,27 @@ def test_survival_curve_and_ranks(spark):
     assert [(r.time, r.at_risk, r.deaths, round(r.s, 6)) for r in E.kaplan_meier(rows, []).orderBy("time").collect()] == [(1.0, 4, 1, 0.75), (2.0, 3, 0, 0.75), (3.0, 2, 2, 0.0)]
     p = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.5)], "i long, p double")
     assert [round(r.q, 6) for r in E.benjamini_hochberg(p, "p", [], "i").orderBy("i").collect()] == [0.04, 0.053333, 0.053333, 0.5]
+
+
+def test_sign_tail_is_exact():
+    for n in (0, 1, 7, 60, 1_000, 3_001):
+        for x in {0, n // 3, n // 2, n // 2 + 1, n * 11 // 20, n}:
+            assert special.sign_tail(x, n) == pytest.approx(sum(math.comb(n, i) for i in range(x, n + 1)) / 2**n, rel=1e-8, abs=1e-300)
+
+
+def test_whole_tables_are_tested(spark):
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet").toPandas().sort_values("event_id")
+    p = (events.value - np.floor(events.value)) ** 2
+    want = {}
+    for _, own in events.assign(p=p).groupby("event_type"):
+        least = 1.0
+        for r, (i, v) in reversed(list(enumerate(own.sort_values(["p", "event_id"])[["event_id", "p"]].itertuples(index=False), 1))):
+            want[i] = least = min(least, v * len(own) / r)
+    got = {r.event_id: r.q for r in QUERIES["f06_bh_whole"](spark, folder).collect()}
+    assert len(got) == len(events) and all(got[i] == pytest.approx(q, abs=1e-6) for i, q in want.items())
+    customers = spark.read.parquet(f"{folder}/customer.parquet").toPandas()
+    found = {r.c_mktsegment: (r.x, r.n, r.p) for r in QUERIES["f10_sign_test_whole"](spark, folder).collect()}
+    for segment, own in customers.groupby("c_mktsegment"):
+        x, n = int((own.c_acctbal > 4000).sum()), int((own.c_acctbal != 4000).sum())
+        assert found[segment] == (x, n, pytest.approx(sum(math.comb(n, i) for i in range(x, n + 1)) / 2**n))
