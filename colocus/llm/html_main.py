@@ -3,7 +3,9 @@
 A page is a sequence of words and tags. A word scores positive, a tag negative,
 by weights that labelled pages teach; the run with the largest sum, found in
 one scan, is the main region. Elements that pages label as never being content
-(scripts, menus, forms, adverts, comments) leave the sequence first.
+(scripts, menus, forms, adverts, comments) leave the sequence first; an element
+that only its class, id or role marks stays if it holds an article or main
+element or most of the page's words.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ MARKS = frozenset(
     "comment comments reply replies disqus respond discussion newsletter subscribe signup login search popup modal overlay pagination pager skip "
     "complementary contentinfo".split()
 )
+# Words of place and shape that stand beside a mark in a name ("ad-box"); with any other word the name marks nothing.
+SHAPES = frozenset("area bar block bottom box button col column container content form global group icon icons inner item items left link links list main outer page panel primary right row secondary section site slot text top unit wrap wrapper".split())
 CONTAINER = frozenset("article main".split())
+HOLDS = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -41,16 +47,31 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def is_outside(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether an element is never content. A header inside an article or main element is its heading."""
+    """Whether an element is never content by its tag or hidden. A header inside an article or main element is its heading."""
     if tag in OUTSIDE:
         return not (tag == "header" and in_article)
     if not raw or tag in ("html", "body", "article", "main"):
         return False
     attributes = _attributes(raw)
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def is_marked(tag: str, raw: str, in_article: bool) -> bool:
+    """Whether a whole name in class, id or role says that an element is not the article; "has-sidebar" and "post-header" do not."""
+    if not raw or tag in ("html", "body", "article", "main"):
+        return False
+    attributes = _attributes(raw)
     names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
-    return any(part in MARKS for name in names.split() for part in re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+    marks = MARKS - {"header"} if in_article else MARKS
+    for name in names.split():
+        parts = {x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
+        if parts & marks and parts <= marks | SHAPES:
+            return True
+    return False
+
+
+def _n_words(page: str) -> int:
+    return len(UNSEEN.sub(" ", page).split())
 
 
 @cache
@@ -74,7 +95,7 @@ def sequence(page: str) -> list[tuple[str, str, int]]:
     """The page's tokens: ("text", text, article), ("tag", name, article); article numbers the article or
     main element that holds the token (0: none). Raw and outside elements are left out whole."""
     out: list[tuple[str, str, int]] = []
-    at, n, holders, count = 0, len(page), [], 0
+    at, n, holders, count, all_words = 0, len(page), [], 0, None
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -97,8 +118,12 @@ def sequence(page: str) -> list[tuple[str, str, int]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if tag not in VOID and not m[3].rstrip().endswith("/") and is_outside(tag, m[3], bool(holders)):
+        if tag not in VOID and not m[3].rstrip().endswith("/") and ((sure := is_outside(tag, m[3], bool(holders))) or is_marked(tag, m[3], bool(holders))):
             end = _closing(page, tag, at)
+            if end and not sure:
+                all_words = _n_words(page) if all_words is None else all_words
+                if HOLDS.search(page, at, end[0]) or 2 * _n_words(page[at : end[0]]) > all_words:
+                    end = None
             if end:
                 out.append(("tag", tag, holders[-1] if holders else 0))
                 at = end[1]

@@ -497,6 +497,16 @@ def test_main_text_of_layouts():
     assert html_main.main_text("<article><p>a<nav>b</nav>") == "a"
 
 
+@pytest.mark.parametrize("name", ['class="layout has-sidebar"', 'class="with-sidebar"', 'class="no-comments"', 'class="header-fixed"', 'id="social-history"', 'class="comments"', 'class="sidebar"'])
+def test_wrappers_keep_their_text(name):
+    text = "".join(f"<p>{w} runs over the hill and back again</p>" for w in ("alpha", "beta", "gamma"))
+    want = "\n".join(f"{w} runs over the hill and back again" for w in ("alpha", "beta", "gamma"))
+    foot = '<div class="ad-box">Buy now</div><footer>c 2020</footer>'
+    assert html_main.main_text(f"<body><div {name}><article>{text}</article></div>{foot}</body>") == want
+    assert html_main.main_text(f"<body><div {name}>{text}</div>{foot}</body>") == want
+    assert html_main.main_text(f'<article><div class="post-header"><h1>Title</h1></div><div class="header"><h2>Two</h2></div>{text}<div class="share-links">Tell friends</div></article>') == f"Title\nTwo\n{want}"
+
+
 def test_main_text_of_pages(spark):
     import html
 
