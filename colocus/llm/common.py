@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+#: Spark's setting that an execution's shuffle files go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: bytes.translate table that lower-cases A-Z alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -27,14 +29,17 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder (as a URI or path) that the driver and all executors see.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset, as in local
-    tests, a temporary folder of this machine becomes the session's one.
+    It lies in ``spark.checkpoint.dir``; only where that is unset and the master
+    is local, as in tests, a temporary folder of this machine becomes the
+    session's one. On a cluster without the setting this is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             root = current.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="colocus-")
             spark.sparkContext.setCheckpointDir(root)
@@ -42,8 +47,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, folder: str) -> DataFrame:
-    """Write ``df`` as Parquet under a shared folder and read it back: the cut in the lineage."""
-    df.write.mode("overwrite").parquet(folder)
+    """Write ``df`` as Parquet under a shared folder and read it back: the cut in the lineage.
+
+    Nothing reads the write's shuffles again, so Spark deletes their files as
+    soon as it has ended; else they would stay until the driver happens to
+    collect its garbage.
+    """
+    conf = df.sparkSession.conf
+    was = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(folder)
+    finally:
+        conf.set(CLEAN_UP, was)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

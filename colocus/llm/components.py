@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colocus.llm.common import saved
+from colocus.llm.common import drop, saved
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label): every node of the edges (a, b) with the smallest node that it reaches.
 
     Each round takes the smallest label among neighbours, then the label of that
-    label; a round's labels are written to the shared folder. Null ends are
+    label; a round's labels are written to the shared folder, and those of the
+    round before go. The last ones stay under ``folder`` for the reader. Null ends are
     left out; loops and repeated edges do no harm; no edges give no rows.
     """
+    spark = edges.sparkSession
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a")))
     both = saved(both.filter("node IS NOT NULL AND other IS NOT NULL").distinct(), f"{folder}/both")
     labels = saved(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), f"{folder}/labels-0")
@@ -26,6 +28,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("l"), F.col("label").alias("j"))
         moved = saved(lower.join(jump, "l", "left").select("node", "label", F.least("l", F.coalesce("j", "l")).alias("new")), f"{folder}/labels-{step}")
         changed = moved.filter("new < label").limit(1).count()
+        drop(spark, f"{folder}/labels-{step - 1}")
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
+            drop(spark, f"{folder}/both")
             return labels

@@ -11,10 +11,14 @@ c - 1 segments differ by two or more shingles; among the first 2c + t segments
 (t: one side empty, the other with one shingle) one therefore differs by exactly
 one shingle and has one left, and there the neighbourhoods meet.
 
-Sets with a common key are compared with the leader of their key's group, not
-in pairs. Where a comparison with a leader fails, all sets of that leader go on
-(where sizes part a group between leaders, all sets of both) to a second round, an exact prefix join of sets from different components.
-Every link is verified on the sets themselves.
+Where sets meet under a common key they are held together with parity sketches,
+which differ in no more bits than the sets do in shingles, so that most chance
+meetings end there. Within a group of at most ALL_PAIRS sets every pair is
+looked at, and a shard passes on a forest of least differences over the pairs
+that its sketches leave; each edge is verified on the sets. Larger groups compare their
+sets with a leader each. Trees with an edge that fails, and all sets of leaders of
+which one comparison fails, go on to a second round, an exact prefix join of sets
+from different components. Every link is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from colocus.llm.common import batches_of, drop, lean, planes, ragged, saved, shared_folder, text_of, unplaned
 from colocus.llm.components import components
@@ -33,13 +39,17 @@ from colocus.llm.shingles import U, mix, set_names, shingle_sets
 
 BATCH_BYTES = 3 << 20
 #: Batches whose keys travel together.
-BATCHES = 5
+BATCHES = 3
 #: Ranges of a shard's keys that are held in memory one after the other.
-KEY_RANGES = 4
-#: Members of a leader that one task verifies.
-LEADER_ROWS = 1_000
-#: Frequent shingles that the second round orders last; any number gives the same result.
-MOST_HOT = 1 << 17
+KEY_RANGES = 8
+#: Largest group whose pairs are all looked at by their sketches; beyond it leaders stand for their groups.
+ALL_PAIRS = 2_000
+#: Shards of keys whose repeated keys are met in one task, and sketch words that are compared at a time there.
+SHARDS_A_HOME, CHUNK = 2, 1 << 21
+#: Tasks that share the members of one leader.
+SALTS = 64
+#: Counters of shingles for the second round's order, and how many of the largest come last; any numbers give the same result.
+COUNTERS, MOST_HOT = 1 << 22, 1 << 17
 
 
 class Bands:
@@ -60,6 +70,85 @@ def linked(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, p
     return 100 * shared >= percent * (a + b - shared)
 
 
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in a set's sketch: 8 at least, else a power of two of five eighths of a bit a shingle or more.
+
+    The sketches of unrelated sets then differ in clearly more bits than linked sets may.
+    """
+    bits = np.maximum(1, -(-np.asarray(sizes, np.int64) * 5 // 8 // 512))
+    return 8 << np.ceil(np.log2(bits)).astype(np.int64)
+
+
+def sketches(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each set, one after the other, and the number of words of each. Two sets differ in no more bits than shingles."""
+    words = sketch_words(sizes)
+    base = (np.cumsum(words) - words) * 64
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    spread = mix(values + U(0x5DEECE66D)) >> U(20)
+    cell = base[owner] + (spread & (words[owner] * 64 - 1).astype(U)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(words.sum()) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(U), words
+
+
+class Sketches:
+    """Sets by number: names, sizes and sketches that can be compared at the narrower width."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray, words: np.ndarray):
+        self.sizes, self.flat, self.words, self.start = sizes, flat, words, np.cumsum(words) - words
+
+    def _at(self, which: np.ndarray, wide: int) -> np.ndarray:
+        """The sketches folded to ``wide`` words."""
+        out = np.empty((len(which), wide), U)
+        for own in np.unique(self.words[which]):
+            rows = np.flatnonzero(self.words[which] == own)
+            bits = self.flat[self.start[which[rows]][:, None] + np.arange(own)].reshape(len(rows), own // wide, wide)
+            out[rows] = np.bitwise_xor.reduce(bits, axis=1)
+        return out
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of each pair differ."""
+        wide, found = np.minimum(self.words[a], self.words[b]), np.zeros(len(a), np.int64)
+        for w in np.unique(wide):
+            pairs = np.flatnonzero(wide == w)
+            each = max(1, CHUNK // int(w))
+            for low in range(0, len(pairs), each):
+                at = pairs[low : low + each]
+                sets, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+                table = self._at(sets, int(w))
+                found[at] = np.bitwise_count(table[place[: len(at)]] ^ table[place[len(at) :]]).sum(axis=1)
+        return found
+
+    def plausible(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair can link by size and sketch, and the bits in which it differs (0 where sizes decide)."""
+        x, y = self.sizes[a], self.sizes[b]
+        good, bits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y), np.zeros(len(a), np.int64)
+        at = np.flatnonzero(good)
+        bits[at] = self.differing(a[at], b[at])
+        good[at] = bits[at] <= (100 - percent) * (x[at] + y[at]) // (100 + percent)
+        return good, bits
+
+
+def least_forest(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """Which of the edges a-b (in order of preference) make the forest of the ``count`` nodes that prefers early edges."""
+    label, left, chosen = np.arange(count), np.arange(len(a)), []
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        left, x, y = left[x != y], x[x != y], y[x != y]
+        if not len(left):
+            return np.sort(np.unique(np.concatenate(chosen))) if chosen else left
+        ends, at = np.unique(np.stack([x, y], axis=1), return_index=True)  # the first edge of each tree
+        pick = at // 2
+        chosen.append(left[pick])
+        to = np.arange(count)
+        to[ends] = np.where(x[pick] == ends, y[pick], x[pick])
+        loop = to[to[ends]] == ends  # two trees that chose the same edge: the smaller one stays
+        keep = ends[loop & (ends < to[ends])]
+        to[keep] = keep
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        label = to[label]
+
+
 def signature_keys(values: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets and the position of the set of each key."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -112,17 +201,6 @@ def _sets_of(batch: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return values, sizes, set_names(values, sizes)
 
 
-def _named(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and the set's name (null: empty set)."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(stream, BATCH_BYTES):
-            _, sizes, names = _sets_of(batch, width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.int64(), mask=sizes == 0)], names=["doc_id", "n_shingles", "node"])
-
-    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, node long")
-
-
 def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFrame:
     """One row for each document (shard null) and one for each batch and shard with its keys."""
 
@@ -134,14 +212,17 @@ def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFram
         out = []
         for s, at in _dealt((keys % U(shards)).astype(np.int64), shards):
             out.append((s, _write_index(keys[at], owner[at], names, sizes)))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 3], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 3, pa.nulls(len(out), pa.binary())], schema=schema)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches_of(stream, BATCH_BYTES):
             values, sizes, names = _sets_of(batch, width)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.int64(), mask=sizes == 0)], schema=schema)
+            bits, words = sketches(values, sizes)
+            stops = np.cumsum(words)
+            marks = [bits[stop - w : stop].tobytes() if size else None for stop, w, size in zip(stops, words, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.int64(), mask=sizes == 0), pa.array(marks, pa.binary())], schema=schema)
             firsts = np.sort(np.unique(names, return_index=True)[1])
             ends = np.cumsum(sizes)
             keys, owner = signature_keys(values[ragged((ends - sizes)[firsts], sizes[firsts])], sizes[firsts], bands)
@@ -153,8 +234,8 @@ def _indexed(rows: DataFrame, width: int, bands: Bands, shards: int) -> DataFram
         if held:
             yield dealt(held)
 
-    schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-    return rows.mapInArrow(lean(run), "shard int, blob binary, doc_id long, n_shingles long, node long")
+    schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+    return rows.mapInArrow(lean(run), "shard int, blob binary, doc_id long, n_shingles long, node long, sketch binary")
 
 
 def _write_index(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -186,7 +267,8 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
     common nodes tend to have a common leader. Members whose size rules the
     leader out choose another one; then both leaders are paired too, and both
     with all their members are left to the second round (flag 2). flag 1: the
-    group has three or more nodes, and the leader's are left if the pair fails.
+    group has three or more nodes, and the leader's are left if the pair fails;
+    of two, flag 0.
     """
     order = np.lexsort((mix(nodes.view(U)), keys))
     keys, nodes, sizes = keys[order], nodes[order], sizes[order]
@@ -223,43 +305,153 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
     return np.concatenate(a), np.concatenate(b), np.concatenate(f)
 
 
-def _candidates(index: DataFrame, shards: int, percent: int) -> DataFrame:
-    """Distinct pairs (leader, node, flag) of all keys."""
+def _twins(index: DataFrame, shards: int, homes: int) -> DataFrame:
+    """Keys that two or more sets have: a row (home, blob) for each shard and range, and the sets in them, (home, node)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in stream:
             for s, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(s, []).append(blob)
-        work = [(s, part) for s in held for part in range(KEY_RANGES)]
-        for s, part in work:  # shards that share a task are still handled one at a time, and each by ranges of its keys
-            keys, nodes, sizes = (np.concatenate(x) for x in zip(*(_read_index(b, part, KEY_RANGES) for b in held[s]), strict=True))
-            order = np.argsort(keys, kind="stable")
-            same = keys[order][1:] == keys[order][:-1]
-            twin = np.zeros(len(keys), bool)
-            twin[order[1:]] |= same
-            twin[order[:-1]] |= same
-            del order, same
-            keys, nodes, sizes = keys[twin], nodes[twin], sizes[twin]
-            a, b, flag = leaders(keys, nodes, sizes, percent)
-            if len(a):
-                order = np.lexsort((-flag, b, a))
-                a, b, flag = a[order], b[order], flag[order]
-                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first])], names=["leader", "node", "flag"])
-
-    dealt = index.repartition(shards, "shard")
+        for s in held:  # shards that share a task are still handled one at a time, and each by ranges of its keys
+            there, blobs = np.zeros(0, np.int64), []
+            for part in range(KEY_RANGES):
+                keys, nodes, sizes = (np.concatenate(x) for x in zip(*(_read_index(b, part, KEY_RANGES) for b in held[s]), strict=True))
+                order = np.lexsort((nodes, keys))
+                keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+                new = np.ones(len(keys) + 1, bool)
+                new[1:-1] = keys[1:] != keys[:-1]
+                once = np.ones(len(keys), bool)
+                once[1:] = new[1:-1] | (nodes[1:] != nodes[:-1])
+                group = np.cumsum(new[:-1]) - 1
+                shared = once & (np.bincount(group, weights=once, minlength=1)[group] > 1 if len(keys) else once)
+                keys, nodes, sizes = keys[shared], nodes[shared], sizes[shared]
+                if len(keys):
+                    names, owner = np.unique(nodes, return_inverse=True)
+                    of = np.zeros(len(names), np.int64)
+                    of[owner] = sizes
+                    blobs.append(_write_index(keys << U(16), owner, names, of))
+                    there = np.union1d(there, names)
+                del keys, nodes, sizes, order, new, once, group, shared
+            n, m = len(blobs), len(there)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, s % homes, np.int32)), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(there)]), pa.array([*blobs, *[None] * m], pa.binary())], names=["home", "node", "blob"])
+
+    return index.repartition(2 * shards, "shard").mapInArrow(lean(run), "home int, node long, blob binary")
+
+
+def _pairs_of(keys: np.ndarray, at: np.ndarray, sets: Sketches, names: np.ndarray, percent: int, all_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (leader, node, flag) of the sets (numbers ``at``) that have a key in common. Flags: see _candidates."""
+    order = np.lexsort((at, keys))
+    keys, at = keys[order], at[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(start, append=len(keys))
+    small = np.repeat(length <= all_pairs, length)
+    rank = np.arange(len(keys)) - np.repeat(start, length)
+    after = np.where(small, np.repeat(length, length) - 1 - rank, 0)  # members of the group behind this one
+    steps = np.cumsum(after)
+    a, b, bits = (np.zeros(0, np.int64) for _ in range(3))
+    low = 0
+    while low < len(keys):
+        done = steps[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(steps, done + CHUNK, side="right")))
+        first = np.repeat(at[low:high], after[low:high])
+        second = at[ragged(np.arange(low, high) + 1, after[low:high])]
+        low = high
+        code = np.unique(first * len(names) + second)
+        first, second = code // len(names), code % len(names)
+        good, differ = sets.plausible(first, second, percent)
+        a, b, bits = np.concatenate([a, first[good]]), np.concatenate([b, second[good]]), np.concatenate([bits, differ[good]])
+        if len(a) > CHUNK or low >= len(keys):
+            # least differences first; where equal, an order of the names that all tasks share
+            x, y = mix(names[a].view(U)), mix(names[b].view(U))
+            order = np.lexsort((np.maximum(x, y), np.minimum(x, y), bits * 1_000_000 // (sets.sizes[a] + sets.sizes[b])))
+            order = order[least_forest(a[order], b[order], len(names))]
+            a, b, bits = a[order], b[order], bits[order]
+    flip = mix(names[a].view(U)) > mix(names[b].view(U))
+    a, b = np.where(flip, b, a), np.where(flip, a, b)
+    head, node, flag = leaders(keys[~small], names[at[~small]], sets.sizes[at[~small]], percent)
+    if len(head):
+        x, y = np.searchsorted(names, head), np.searchsorted(names, node)
+        good, _ = sets.plausible(x, y, percent)
+        flag = np.where(good | (flag == 2), flag, 3)
+    return np.concatenate([names[a], head]), np.concatenate([names[b], node]), np.concatenate([np.zeros(len(a), np.int32), flag.astype(np.int32)])
+
+
+def _candidates(twins: DataFrame, marks: DataFrame, homes: int, percent: int, all_pairs: int) -> DataFrame:
+    """Distinct pairs (leader, node, flag) of all keys. marks: node, n_shingles and sketch of all sets.
+
+    flag 0: an edge of the forest of a shard's small groups; 1: a leader and a
+    member of a larger group; 3: such a pair that its sketches rule out; 2: two
+    leaders of one group, parted by size.
+    """
+    routes = twins.filter("node IS NOT NULL").select("home", "node").distinct().join(marks, "node").select("home", F.lit(None).cast("binary").alias("blob"), "node", "n_shingles", "sketch")
+    blobs = twins.filter("blob IS NOT NULL").select("home", "blob", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("n_shingles", "long"), ("sketch", "binary"))])
+
+    def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        blobs = table.column("blob").drop_null().to_pylist()
+        sets = table.filter(pc.is_valid(table.column("node"))).select(["node", "n_shingles", "sketch"]).sort_by("node")
+        del table
+        if not blobs:
+            return
+        names, sizes = sets.column("node").to_numpy(), sets.column("n_shingles").to_numpy()
+        flat = np.frombuffer(b"".join(sets.column("sketch").to_pylist()), U)
+        known = Sketches(sizes, flat, sketch_words(sizes))
+        found = []
+        for blob in blobs:
+            keys, nodes, _ = _read_index(blob)
+            found.append(_pairs_of(keys, np.searchsorted(names, nodes), known, names, percent, all_pairs))
+        a, b, flag = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-flag, b, a))
+        a, b, flag = a[order], b[order], flag[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(flag[first])], names=["leader", "node", "flag"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in stream:
+            home = batch.column("home").to_numpy()
+            cuts = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1), len(home)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if high > low:
+                    if held and held[-1].column("home")[0].as_py() != home[low]:
+                        yield from meet(held)
+                        held = []
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from meet(held)
+
+    dealt = routes.unionByName(blobs).repartition(homes, "home").sortWithinPartitions("home")
     return dealt.mapInArrow(lean(run), "leader long, node long, flag int").groupBy("leader", "node").agg(F.max("flag").alias("flag"))
 
 
+def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs with flag 3 instead of 0 or 1 where their sketches rule the link out."""
+    of = lambda c, k: marks.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(of("leader", 0), "leader").join(of("node", 1), "node").select("leader", "node", "flag", "n0", "n1", "s0", "s1")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            n = batch.num_rows
+            if not n:
+                continue
+            sizes = np.concatenate([batch.column("n0").to_numpy(), batch.column("n1").to_numpy()])
+            known = Sketches(sizes, np.frombuffer(b"".join(batch.column("s0").to_pylist() + batch.column("s1").to_pylist()), U), sketch_words(sizes))
+            good, _ = known.plausible(np.arange(n), np.arange(n, 2 * n), percent)
+            flag = batch.column("flag").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), pa.array(np.where(good | (flag > 1), flag, 3).astype(np.int32))], names=["leader", "node", "flag"])
+
+    return both.mapInArrow(lean(run), "leader long, node long, flag int")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(leader, node, flag, ok) for every pair; texts has node and text of all their sets.
+    """(leader, node, flag, ok) for every pair; texts has node and text of all sets of pairs with flags 0 and 1.
 
-    A leader's set goes to as many tasks as its members need.
+    The members of a leader are dealt over SALTS tasks, and its set goes to those that have one.
     """
-    loads = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("s"))
-    salted = pairs.join(loads, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("s")).cast("int").alias("salt"), "flag")
-    heads = loads.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.lit(-1).alias("flag"))
+    salted = pairs.filter("flag < 2").select("node", "leader", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"), "flag")
+    heads = salted.select(F.col("leader").alias("node"), "leader", "salt", F.lit(-1).alias("flag")).distinct()
     routes = salted.unionByName(heads).groupBy("node").agg(F.collect_list(F.struct("leader", "salt", "flag")).alias("routes"))
     sent = texts.join(routes, "node").select("node", "text", "routes")
 
@@ -267,31 +459,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         for batch in batches_of(stream, BATCH_BYTES):
             values, sizes, names = _sets_of(batch, width)
             ends = np.cumsum(sizes)
-            out = []
+            out, held = [], 0
             for i, (node, routes) in enumerate(zip(batch.column("node").to_pylist(), batch.column("routes").to_pylist(), strict=True)):
                 if names[i] != node:
                     continue
-                own = values[ends[i] - sizes[i] : ends[i]] >> U(24)
-                data = own.astype(np.uint32).tobytes() + (own >> U(32)).astype(np.uint8).tobytes()
-                out += [(r["leader"], r["salt"], node, r["flag"], data) for r in routes]
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(schema)}, schema=schema)
-                    out = []
+                data = values[ends[i] - sizes[i] : ends[i]].tobytes()
+                for r in routes:
+                    out.append((r["leader"], r["salt"], node, r["flag"], data))
+                    held += len(data)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(schema)}, schema=schema)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(schema)}, schema=schema)
 
     schema = pa.schema([("leader", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("flag", pa.int32()), ("data", pa.binary())])
 
-    def unpack(data: bytes) -> np.ndarray:
-        n = len(data) // 5
-        return np.frombuffer(data, np.uint32, n).astype(U) | np.frombuffer(data, np.uint8, n, 4 * n).astype(U) << U(32)
-
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = None, None
         for batch in stream:
             a, b, flags, good = [], [], [], []
             for leader, salt, node, flag, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = unpack(data)
+                own = np.frombuffer(data, U)
                 if flag < 0:
                     held, head = (leader, salt), own
                     continue
@@ -305,65 +494,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(flags, pa.int32()), pa.array(good, pa.bool_())], names=["leader", "node", "flag", "ok"])
 
     moved = sent.mapInArrow(lean(send), "leader long, salt int, node long, flag int, data binary")
-    return moved.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "flag").mapInArrow(lean(compare), "leader long, node long, flag int, ok boolean")
+    done = moved.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "flag").mapInArrow(lean(compare), "leader long, node long, flag int, ok boolean")
+    return done.unionByName(pairs.filter("flag >= 2").withColumn("ok", F.lit(False)))
 
 
-def sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """512 parity bits of each set. Two sets differ in no more bits than shingles."""
+def narrow(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """512 parity bits of each set."""
     cell = np.repeat(np.arange(len(sizes)), sizes) * 512 + (mix(values + U(0x5DEECE66D)) >> U(55)).astype(np.int64)
     odd = (np.bincount(cell, minlength=512 * len(sizes)) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(len(sizes), 512), axis=1).view(U) if len(sizes) else np.zeros((0, 8), U)
 
 
-def _second_round(texts: DataFrame, labels: DataFrame, folder: str, width: int, percent: int, shards: int, forest: bool) -> DataFrame:
+def _second_round(texts: DataFrame, labels: DataFrame, width: int, percent: int, shards: int, forest: bool) -> DataFrame:
     """Pairs (leader, node, flag) from different components that share a prefix shingle; texts has node and text.
 
-    Shingles are ordered by an approximate frequency among these sets, rarest
+    Shingles are ordered by the count of their counter among these sets, rarest
     first; any order is exact. n - ceil(t n) + 1 first shingles make the prefix.
     Pairs whose parity sketches differ in more bits than linked sets may differ
     in shingles are dropped where they meet, which loses no link. With
     ``forest`` a shard gives only as many pairs as join its components, so a
     large group of near copies gives a tree; without, it gives all that are left.
     """
-    labelled = texts.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left")
-    rows = saved(labelled.select("node", "text", F.coalesce("label", "node").alias("label")), folder)
+    rows = texts.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("node", "text", F.coalesce("label", "node").alias("label"))
+    slices = 16
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches_of(stream, BATCH_BYTES):
             values, _, _ = _sets_of(batch, width)
-            seen, n = np.unique(values, return_counts=True)
-            blobs = [(s, _blob(seen[at], n[at])) for s, at in _dealt((seen % U(shards)).astype(np.int64), shards)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["shard", "blob"])
+            total += np.bincount((mix(values) % U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        if total.any():
+            press = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([press.compress(planes(x)) for x in np.split(total, slices)], pa.binary())], names=["slice", "blob"])
 
     def frequent(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in stream for b in batch.column(1).to_pylist()]
-        if not blobs:
-            return
-        seen, at = np.unique(np.concatenate([np.frombuffer(b, U, len(b) // 16) for b in blobs]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in blobs]))
-        hot = np.flatnonzero(n >= 8)
-        hot = hot[np.argsort(-n[hot], kind="stable")][: max(1, MOST_HOT // shards)]
-        yield pa.RecordBatch.from_arrays([pa.array(seen[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], names=["shingle", "n"])
+        total: dict[int, np.ndarray] = {}
+        for batch in stream:
+            for k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = unplaned(zstandard.ZstdDecompressor().decompress(blob), np.uint32, COUNTERS // slices, 0).astype(np.int64)
+                total[k] = total[k] + more if k in total else more
+        for k, n in total.items():
+            hot = np.flatnonzero(n >= 8)
+            hot = hot[np.argsort(-n[hot], kind="stable")][: MOST_HOT // slices]
+            yield pa.RecordBatch.from_arrays([pa.array(hot + k * (COUNTERS // slices)), pa.array(n[hot])], names=["counter", "n"])
 
-    hot = rows.mapInArrow(lean(count), "shard int, blob binary").repartition(shards, "shard").mapInArrow(lean(frequent), "shingle long, n long").collect()
-    hot_keys = np.array([r["shingle"] for r in hot], np.int64).view(U)
-    order = np.argsort(hot_keys)
-    hot_keys, hot_n = hot_keys[order], np.array([r["n"] for r in hot], np.int64)[order]
+    hot = texts.mapInArrow(lean(count), "slice int, blob binary").repartition(slices, "slice").mapInArrow(lean(frequent), "counter long, n long").collect()
+    hot_at = np.array(sorted((r["counter"], r["n"]) for r in hot), np.int64).reshape(-1, 2)
 
     def prefixes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(stream, BATCH_BYTES):
             values, sizes, names = _sets_of(batch, width)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             n = np.zeros(len(values), np.int64)
-            if len(hot_keys):
-                at = np.minimum(np.searchsorted(hot_keys, values), len(hot_keys) - 1)
-                n = np.where(hot_keys[at] == values, hot_n[at], 0)
+            if len(hot_at):
+                own = (mix(values) % U(COUNTERS)).astype(np.int64)
+                at = np.minimum(np.searchsorted(hot_at[:, 0], own), len(hot_at) - 1)
+                n = np.where(hot_at[at, 0] == own, hot_at[at, 1], 0)
             order = np.lexsort((values, n, owner))
             rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             look = sizes - -(-percent * sizes // 100) + 1
             take = order[rank < look[owner]]
             label = np.array(batch.column("label").to_pylist(), np.int64)
-            bits, out = sketches(values, sizes), []
+            bits, out = narrow(values, sizes), []
             for s, at in _dealt((values[take] % U(shards)).astype(np.int64), shards):
                 x = take[at]
                 here, local = np.unique(owner[x], return_inverse=True)
@@ -419,69 +611,103 @@ def _second_round(texts: DataFrame, labels: DataFrame, folder: str, width: int,
     return met.distinct()
 
 
-def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+def join(docs: DataFrame, folder: str, width: int = 5, percent: int = 80, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs: see classes."""
+    return classes(docs, folder, width, percent, all_pairs).drop("node")
+
+
+def classes(docs: DataFrame, folder: str, width: int = 5, percent: int = 80, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """doc_id, n_shingles, component_id and node (name of its set) for every row of docs.
 
     Two documents link when 100 * shared >= percent * union of their distinct
     ``width``-word shingles (A-Z lower-cased). component_id is the smallest
     doc_id that links reach. Null and wordless texts link with nothing and name
     themselves; equal texts with words always link; a null doc_id takes part
     but names no component unless alone. Other columns are left out. An empty
-    table gives no rows. Links are exact up to collisions of 64-bit hashes (40
-    bits within one compared pair).
+    table gives no rows. Links are exact up to collisions of 64-bit hashes.
     """
+    spark = docs.sparkSession
     bands, rows = Bands(percent), docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    shards = max(8, -(-docs.count() * (100 - percent) // 120_000))  # a set has keys in proportion to 100 - percent
+    shards = max(8, -(-docs.count() * (100 - percent) // 240_000))  # a set has keys in proportion to 100 - percent
+    homes = max(8, shards // SHARDS_A_HOME)
     index = saved(_indexed(rows, width, bands, shards), f"{folder}/index")
     ids = saved(index.filter("shard IS NULL").select("doc_id", "n_shingles", "node"), f"{folder}/ids")
-    pairs = saved(_candidates(index.filter("shard IS NOT NULL").select("shard", "blob"), shards, percent), f"{folder}/pairs")
-    drop(docs.sparkSession, f"{folder}/index")
+    marks = saved(index.filter("node IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), f"{folder}/marks")
+    twins = saved(_twins(index.filter("shard IS NOT NULL").select("shard", "blob"), shards, homes), f"{folder}/twins")
+    drop(spark, f"{folder}/index")
+    pairs = saved(_candidates(twins, marks, homes, percent, all_pairs), f"{folder}/pairs")
+    drop(spark, f"{folder}/twins")
     nodes = ids.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node").select("node", "first")
     texts = saved(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text"), f"{folder}/texts")
     checked = saved(_verified(pairs, texts, width, percent), f"{folder}/checked")
-    edges = checked.filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    drop(spark, f"{folder}/pairs")
+    ends = lambda df: df.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    edges = ends(checked.filter("ok"))
     labels = components(edges, f"{folder}/first")
-    open_ = checked.filter("NOT ok AND flag >= 1").select("leader").union(checked.filter("flag = 2").select("node")).distinct()
-    left = checked.join(open_, "leader", "left_semi")
-    left = saved(left.select("node").union(left.select("leader")).distinct(), f"{folder}/left")
-    if left.limit(1).count():
-        again = saved(texts.join(left, "node", "left_semi"), f"{folder}/again")
-        for step, forest in enumerate((True, False)):
-            own = f"{folder}/round-{step}"
-            more = _second_round(again, labels, f"{own}/rows", width, percent, shards, forest).join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
-            more = saved(more, f"{own}/pairs")
-            later = saved(_verified(more, again, width, percent), f"{own}/checked")
-            checked = checked.union(later)
-            edges = edges.union(later.filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-            labels = components(edges, f"{own}/labels")
-            if forest:  # sets that no failed pair ties together have no further candidates among them
-                trees = components(more.select(F.col("leader").alias("a"), F.col("node").alias("b")).union(edges), f"{own}/trees")
-                failed = later.filter("NOT ok").select("node").join(trees, "node").select("label").distinct()
-                still = trees.join(failed, "label", "left_semi").select("node")
-                again = saved(again.join(still, "node", "left_semi"), f"{own}/again")
-                if not again.limit(1).count():
-                    break
-    drop(docs.sparkSession, *(f"{folder}/{x}" for x in ("texts", "pairs", "checked", "left", "again")), *(f"{folder}/round-{i}/{x}" for i in (0, 1) for x in ("rows", "pairs", "checked", "again")))
+    trees = components(ends(checked.filter("flag = 0")).union(edges), f"{folder}/trees")
+    torn = checked.filter("flag = 0 AND NOT ok").select("node").join(trees, "node").select("label").distinct()
+    open_ = checked.filter("flag >= 1 AND NOT ok").select("leader").union(checked.filter("flag = 2").select("node")).distinct()
+    led = checked.filter("flag >= 1").join(open_, "leader", "left_semi")
+    left = led.select("node").union(led.select("leader")).union(trees.join(torn, "label", "left_semi").select("node"))
+    again = saved(texts.join(left.distinct(), "node", "left_semi"), f"{folder}/again")
+    drop(spark, f"{folder}/texts", f"{folder}/trees")
+    done, kept = [f"{folder}/checked"], f"{folder}/first"
+    for step, forest in enumerate((True, False)):
+        if not again.limit(1).count():
+            break
+        own = f"{folder}/round-{step}"
+        more = _second_round(again, labels, width, percent, shards, forest).join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
+        likely = saved(_likely(saved(more, f"{own}/pairs"), marks, percent), f"{own}/likely")
+        later = saved(_verified(likely, again, width, percent), f"{own}/checked")
+        done.append(f"{own}/checked")
+        drop(spark, f"{own}/pairs", f"{own}/likely", kept)
+        checked = checked.union(later)
+        edges = edges.union(ends(later.filter("ok")))
+        labels, kept = components(edges, f"{own}/labels"), f"{own}/labels"
+        if forest:  # sets that no failed pair ties together have no further candidates among them
+            trees = components(ends(later).union(edges), f"{own}/trees")
+            torn = later.filter("NOT ok").select("node").join(trees, "node").select("label").distinct()
+            still = trees.join(torn, "label", "left_semi").select("node")
+            again = saved(again.join(still, "node", "left_semi"), f"{own}/again")
+            drop(spark, f"{folder}/again", f"{own}/trees")
+        else:
+            drop(spark, f"{folder}/round-0/again")
     named = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("tied"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    shared = named.filter("tied OR n > 1").join(lowest, "label").select(F.col("node").alias("_n"), "component_id")
-    return ids.join(shared, F.col("node") == F.col("_n"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    shared = saved(named.filter("tied OR n > 1").join(lowest, "label").select(F.col("node").alias("_n"), "component_id"), f"{folder}/shared")
+    drop(spark, *done, kept, *(f"{folder}/{x}" for x in ("marks", "again")))
+    return ids.join(shared, F.col("node") == F.col("_n"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
 def one_of_each(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, without all but one of each group of linked documents.
 
     The row with the smallest doc_id stays, once where rows repeat. Rows without
-    a doc_id go if they are linked to one that has it.
+    a doc_id go if they are linked to one that has it; else all of them stay.
     """
-    groups = saved(join(docs, folder, width, percent), f"{folder}/groups")
-    gone = groups.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    spark = docs.sparkSession
+    groups = saved(classes(docs, folder, width, percent), f"{folder}/groups")
+    drop(spark, f"{folder}/ids", f"{folder}/shared")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of(docs)).alias("_text"))
-    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
-    once = left.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id"))).filter("_copy = 1 OR _id IS NULL")
-    return once.select("_row.*")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), text_of(docs).alias("text"))
+    # both steps deal the rows out by _id, so they move once
+    left = rows.filter("_id IS NOT NULL").withColumn("text", F.xxhash64("text")).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    once = left.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "text").orderBy("_id"))).filter("_copy = 1").select("_row")
+    linked_nulls = groups.filter("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("node").alias("_node")).distinct()
+    return once.unionAll(_unlinked(rows.filter("_id IS NULL"), linked_nulls, width)).select("_row.*")
+
+
+def _unlinked(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(_row) of the rows whose set is none of the nodes."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(stream, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column("_row").combine_chunks(), pa.array(_sets_of(batch, width)[2])], names=["_row", "_node"])
+
+    schema = StructType([rows.schema["_row"], StructField("_node", LongType())])
+    return rows.select("_row", "text").mapInArrow(lean(run), schema).join(nodes, "_node", "left_anti").select("_row")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
