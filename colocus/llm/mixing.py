@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colocus.llm.common import SPACE_CLASS, saved, shared_folder, text_of
+from colocus.llm.common import SPACE_CLASS, drop, saved, shared_folder, text_of
 
 WEIGHTS = (3, 1, 2)
 #: Documents that one group settles, and residuals that meet in a node of the tree.
@@ -119,18 +119,23 @@ def _settled(level: int, last: bool):
     return run
 
 
+def _row_hash() -> Column:
+    """Of what the mix depends on; other columns may be of any type."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mix(docs: DataFrame, folder: str, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per input row: doc_id, _h (hash of the row), _k (which of equal rows), size, source_size, target, copies, taken.
 
     docs needs doc_id, source and text. A null text has size 0 and is not
-    taken; null is a source of its own, the last. Equal rows are told apart by
-    ``_k``; other columns only enter ``_h``. An empty table gives no rows. The
+    taken; null is a source of its own, the last. Rows equal in these three are told apart by
+    ``_k``; other columns are left out. An empty table gives no rows. The
     driver gets one row per source; all else stays distributed, in groups of
     about GROUP documents however large a source is. The result depends on the
     rows alone, not on their order or partitions.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_h"), F.col("source").cast("string").alias("source"), word_count(text_of(docs)).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("_h"), F.col("source").cast("string").alias("source"), word_count(text_of(docs)).alias("size"))
     rows = saved(sized, f"{folder}/sizes")
     sources = [(r["source"], r["s"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()]
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
@@ -152,6 +157,8 @@ def mix(docs: DataFrame, folder: str, share: float = 1.5, most: float = 2.0, wei
         last = groups == 1
         state = saved(state.groupBy("_s", "_b").applyInPandas(_settled(level, last), _STATE), f"{folder}/level-{level}")
         done.append(state.filter("done"))
+        if not level:
+            drop(spark, f"{folder}/sizes")
         if last:
             break
         state = state.filter("not done").withColumn("_b", F.floor(F.col("_b") / FAN_IN).cast("long"))
@@ -165,13 +172,20 @@ def mix(docs: DataFrame, folder: str, share: float = 1.5, most: float = 2.0, wei
 
 
 def mixed_rows(docs: DataFrame, folder: str, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    chosen = mix(docs, folder, **options).filter("copies > 0").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("_k", "copies"))).alias("_c"))
-    every = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*every).alias("_row"), F.xxhash64(*every).alias("_h"), F.col("doc_id").cast("long").alias("_id"))
-    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")))
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_e"), "_c")
-    found = numbered.join(chosen, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_e")))
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    Which of rows that are equal in doc_id, source and text is taken depends on their other columns, but for maps.
+    """
+    own = [F.coalesce("_id", F.lit(0)).alias("_d"), F.col("_id").isNull().alias("_none"), "_h"]
+    chosen = mix(docs, folder, **options).filter("copies > 0").withColumnRenamed("doc_id", "_id").select(*own, "_k", "copies")
+    chosen = saved(chosen.groupBy("_d", "_none", "_h").agg(F.array_sort(F.collect_list(F.struct("_k", "copies"))).alias("_c")), f"{folder}/chosen")
+    drop(docs.sparkSession, *(f"{folder}/level-{i}" for i in range(32)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(whole, _row_hash().alias("_h"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(*plain).alias("_o")).select("_row", "_o", *own)
+    # the window and the join deal the rows out alike, so they move once
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_none", "_h").orderBy("_o")))
+    found = numbered.join(chosen, ["_d", "_none", "_h"])
     copies = F.aggregate(F.filter("_c", lambda x: x["_k"] == F.col("_k")), F.lit(0).cast("long"), lambda a, x: a + x["copies"])
     taken = found.withColumn("_n", copies).filter("_n > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
