@@ -6,13 +6,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from colocus.llm.common import ragged
 
-#: Pieces that a worker keeps; beyond that it starts anew (about 100 bytes each).
-MOST_PIECES = 400_000
+#: Pieces that a worker keeps (about 100 bytes each); beyond that those go that were used least.
+MOST_PIECES = 500_000
 #: Marks that may close a word: a run of them after letters is a pre-token of its own.
 TAIL = ".,;:!?$&%#*|"
+#: Letters below U+0250 alone, whose merges need no more than the model.
+LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -45,15 +49,25 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Byte-level BPE ids. A lone space between two non-space characters always starts a new
-    pre-token, so a text may be cut there and its parts encoded apart with the same result."""
+    """Byte-level BPE ids, as the library gives them with add_special_tokens=False: a special token
+    that a text spells out is its one id.
+
+    A lone space between two non-space characters always starts a new
+    pre-token, so a text may be cut there and its parts encoded apart with the same result. Special
+    tokens are cut out first, and what lies between them is encoded as texts of their own.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: i for i, t in added.items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: added tokens that take in their surroundings are not supported")
+        longest = sorted(self.special, key=len, reverse=True)
+        self.special_at = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         vocab = self.tokenizer.get_vocab()
         self.starts_word = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -70,13 +84,28 @@ class Encoder:
     def _reset(self) -> None:
         self.pieces = _Pieces()
         self.tails = dict(list(self.tails.items())[:1000])
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.length, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
         self.table, self.filled = np.zeros(1 << 14, np.uint32), 0
 
+    def _shed(self) -> None:
+        """Keep the pieces that were used most since the last time, twice at least, up to half of MOST_PIECES."""
+        uses = self.uses[1 : self.pieces.slots]
+        least = max(2, int(np.partition(uses, -MOST_PIECES // 2)[-MOST_PIECES // 2]) + 1) if len(uses) > MOST_PIECES // 2 else 2
+        kept = [(p, slot) for p, slot in self.pieces.items() if slot and self.uses[slot] >= least]
+        slots = np.array([slot for _, slot in kept], np.int64)
+        lengths = self.length[slots]
+        flat = self.table[ragged(self.start[slots], lengths)]
+        self._reset()
+        for p, _ in kept:
+            dict.__setitem__(self.pieces, p, self.pieces.slots)
+            self.pieces.slots += 1
+        self._store(np.arange(1, len(kept) + 1), flat, lengths)
+
     def _store(self, slots: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
         if self.pieces.slots > len(self.start):
             more = 2 * self.pieces.slots
             self.start, self.length = np.resize(self.start, more), np.resize(self.length, more)
+            self.uses = np.concatenate([self.uses, np.zeros(more - len(self.uses), np.int64)])
         if self.filled + len(flat) > len(self.table):
             self.table = np.resize(self.table, 2 * (self.filled + len(flat)))
         self.table[self.filled : self.filled + len(flat)] = flat
@@ -87,26 +116,13 @@ class Encoder:
     def _encode_waiting(self) -> None:
         waiting, self.pieces.waiting = self.pieces.waiting, []
         slot = self.pieces.__getitem__
-        plain, words, flat, lengths = [], [], [], []
-        merge, tails = self.model.tokenize, self.tails
-        for p in waiting:
-            if type(p) is not str or " " in p:
-                continue
-            stem = p.rstrip(TAIL)
-            if not stem.isalpha() or max(stem) >= "ɐ":
-                plain.append(p)
-                continue
-            tail = p[len(stem) :]
-            if tail not in tails:
-                tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-            word = "Ġ" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.as_bytes))
-            ids = [x.id for x in merge(word)]
-            ids += tails[tail]
-            words.append(p)
-            flat += ids
-            lengths.append(len(ids))
-        if words:
-            self._store(np.fromiter(map(slot, words), np.int64, len(words)), np.array(flat, np.uint32), np.array(lengths, np.int64))
+        single = [p for p in waiting if type(p) is str and " " not in p]
+        whole = pa.array(single, pa.large_string())
+        stems = pc.utf8_rtrim(whole, characters=TAIL)
+        lettered = pc.match_substring_regex(stems, LETTERS)
+        plain = whole.filter(pc.invert(lettered)).to_pylist()
+        if len(plain) < len(single):
+            self._encode_lettered(whole.filter(lettered).to_pylist(), stems.filter(lettered))
         for at in range(0, len(plain), 2048):
             part = plain[at : at + 2048]
             flat = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint32)
@@ -119,27 +135,77 @@ class Encoder:
             flat = np.fromiter((i for x in ids for i in x), np.uint32)
             self._store(np.fromiter(map(slot, odd), np.int64, len(odd)), flat, np.fromiter(map(len, ids), np.int64, len(ids)))
 
+    def _encode_lettered(self, words: list[str], stems: pa.Array) -> None:
+        """Words that are letters and a tail of marks: each distinct stem is merged once, each tail looked up."""
+        coded = stems.dictionary_encode()
+        merge, ids, many = self.model.tokenize, [], []
+        for stem in coded.dictionary.to_pylist():
+            found = [x.id for x in merge("Ġ" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.as_bytes)))]
+            ids += found
+            many.append(len(found))
+        tails = [w[k:] for w, k in zip(words, pc.utf8_length(stems).to_pylist(), strict=True)]
+        place = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        for t in place:
+            if t not in self.tails:
+                self.tails[t] = self.tokenizer.encode(t, add_special_tokens=False).ids
+            ids += self.tails[t]
+            many.append(len(self.tails[t]))
+        many = np.array(many, np.int64)
+        start = np.cumsum(many) - many
+        both = np.stack([coded.indices.to_numpy(), len(coded.dictionary) + np.fromiter(map(place.__getitem__, tails), np.int64, len(tails))], axis=1)
+        flat = np.array(ids, np.uint32)[ragged(start[both].ravel(), many[both].ravel())]
+        self._store(np.fromiter(map(self.pieces.__getitem__, words), np.int64, len(words)), flat, many[both].sum(axis=1))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
+        special = self.special
+        if not any(mark in text for mark in special for text in texts):
+            return self._encode(texts)
+        parts = [self.special_at.split(text) for text in texts]  # odd places: special tokens
+        flat, n = self._encode([p for own in parts for p in own[::2]])
+        ends = np.cumsum(n)
+        found, lengths, at = [], [], 0
+        for own in parts:
+            before = len(found)
+            for k, p in enumerate(own):
+                if k % 2:
+                    found.append(np.array([special[p]], np.uint32))
+                else:
+                    found.append(flat[ends[at] - n[at] : ends[at]])
+                    at += 1
+            lengths.append(sum(map(len, found[before:])))
+        return np.concatenate(found), np.array(lengths, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces.slots > MOST_PIECES:
-            self._reset()
-        slot, keys, n = self.pieces.__getitem__, [], []
-        for text in texts:
-            parts = text.split(" ")
-            first = parts[0]
-            parts[0] = (first,)
-            found = list(map(slot, parts))
-            if 0 in found or first[-1:].isspace() or (not first and len(parts) > 1):
-                parts = _INNER_SPACE.split(text)
-                found = [slot((parts[0],)), *(slot(p) or self._odd(p) for p in parts[1:])]
-            keys += found
-            n.append(len(found))
+            self._shed()
+        slot = self.pieces.__getitem__
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        n, parts = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+        begin = np.cumsum(n) - n
+        coded = parts.dictionary_encode()  # each distinct piece of the batch is looked up once
+        words = coded.dictionary.to_pylist()
+        slots = np.fromiter(map(slot, words), np.int64, len(words))[coded.indices.to_numpy()]
+        unsafe = slots == 0
+        firsts = parts.take(pa.array(begin)).to_pylist()
+        slots[begin] = [slot((p,)) for p in firsts]
+        unsafe[begin] = [p[-1:].isspace() or not p and k > 1 for p, k in zip(firsts, n.tolist(), strict=True)]
+        if unsafe.any():
+            keys, done = [], 0
+            for i in np.unique(np.searchsorted(begin, np.flatnonzero(unsafe), side="right") - 1).tolist():
+                cut = _INNER_SPACE.split(texts[i])
+                own = [slot((cut[0],)), *(slot(p) or self._odd(p) for p in cut[1:])]
+                keys += [slots[done : begin[i]], np.array(own, np.int64)]
+                done = begin[i] + n[i]
+                n[i] = len(own)
+            slots = np.concatenate([*keys, slots[done:]])
         self._encode_waiting()
-        slots = np.array(keys, np.int64)
+        used = np.bincount(slots, minlength=self.pieces.slots)
+        self.uses[: len(used)] += used
         lengths = self.length[slots]
         flat = self.table[ragged(self.start[slots], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        edges = np.concatenate([[0], np.cumsum(np.array(n, np.int64))])
+        edges = np.concatenate([[0], np.cumsum(n)])
         return flat, np.diff(ends[edges])
 
     def _odd(self, piece: str) -> int:

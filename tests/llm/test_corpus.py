@@ -88,14 +88,23 @@ def test_quality_rules_on_awkward_rows(spark, odd):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab \n'st.é日 \x1c3<|>", max_size=30), max_size=8))
+@given(st.lists(st.lists(st.one_of(st.text(alphabet="ab \n'st.é日 \x1c3<|>", max_size=30), st.just("<|endoftext|>")), max_size=4).map("".join), max_size=8))
 def test_cached_encoding_equals_the_library(texts):
-    e = encoder(token_files.default_tokenizer())
-    flat, n = e.encode(texts)
-    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    flat, n = encoder(token_files.default_tokenizer()).encode(texts)
+    want = [x.ids for x in Tokenizer.from_file(token_files.default_tokenizer()).encode_batch(texts, add_special_tokens=False)]
     assert flat.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
 
 
+def test_shedding_pieces_changes_no_ids(docs, monkeypatch):
+    monkeypatch.setattr("colocus.llm.tokens.MOST_PIECES", 500)
+    texts, e = [t or "" for _, t in texts_of(docs)], encoder(token_files.default_tokenizer())
+    e.forget()
+    want = [x.ids for x in Tokenizer.from_file(token_files.default_tokenizer()).encode_batch(texts, add_special_tokens=False)]
+    for low in range(0, len(texts), 20):
+        flat, n = e.encode(texts[low : low + 20])
+        assert flat.tolist() == [i for x in want[low : low + 20] for i in x] and n.tolist() == [len(x) for x in want[low : low + 20]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=200), st.integers(0, 4))
 def test_codes_round_trip(values, shift):
@@ -106,7 +115,6 @@ def test_codes_round_trip(values, shift):
 
 def library_ids(texts, end):
     t = Tokenizer.from_file(token_files.default_tokenizer())
-    t.encode_special_tokens = True
     return [np.append(np.array(e.ids, np.uint32), np.uint32(end)) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -268,8 +276,11 @@ def passages(spark):
 @pytest.mark.parametrize("wide", [2_000, 2])
 def test_repeated_strings_are_removed(spark, passages, monkeypatch, wide):
     monkeypatch.setattr(suffix_dedup, "WIDE", wide)
-    got = [tuple(r) for r in suffix_dedup.digest(passages, shared_folder(spark, "s"), 100).collect()]
-    assert sorted(got, key=key) == sorted(brute_removed(texts_of(passages), 100), key=key)
+    rows = texts_of(passages)
+    for passage in (50, 99):
+        got = [tuple(r) for r in suffix_dedup.digest(passages, shared_folder(spark, "s"), 100, passage).collect()]
+        want = [(*long, *short[2:4]) for long, short in zip(brute_removed(rows, 100), brute_removed(rows, passage), strict=True)]
+        assert sorted(got, key=key) == sorted(want, key=key)
     assert suffix_dedup.digest(passages.limit(0), shared_folder(spark, "s"), 100).count() == 0
 
 
@@ -286,14 +297,20 @@ def test_cut_rows_keep_columns_and_characters(spark, odd, passages):
 def test_suffix_sorting(text, length, bucket):
     data = np.frombuffer(text.encode(), np.uint8)
     starts = np.arange(0, len(data) - length + 1, 2)
+    own = starts % suffix_dedup.MODULUS  # suffixes of a bucket have one residue
     was, suffix_dedup.BUCKET = suffix_dedup.BUCKET, bucket
     try:
-        got = suffix_dedup.repeated_starts(data, starts, length)
+        got = suffix_dedup.repeated_starts(data, starts, own, length)
     finally:
         suffix_dedup.BUCKET = was
     raw = data.tobytes()
-    n = Counter(raw[s : s + length] for s in starts)
-    assert got.tolist() == [n[raw[s : s + length]] > 1 for s in starts]
+    n = Counter((b, raw[s : s + length]) for s, b in zip(starts, own, strict=True))
+    assert got.tolist() == [n[b, raw[s : s + length]] > 1 for s, b in zip(starts, own, strict=True)]
+
+
+def test_any_two_residues_have_a_common_shift_into_the_cover():
+    m, cover = suffix_dedup.MODULUS, suffix_dedup.COVER
+    assert all(any((a + d) % m in cover and (b + d) % m in cover for d in range(m)) for a in range(m) for b in range(m))
 
 
 # n-gram Jaccard join
@@ -323,8 +340,8 @@ def brute_components(rows, width, percent):
     return sorted(((i, len(s), low.get(top(a))) for a, (i, s) in enumerate(sets)), key=key)
 
 
-@pytest.mark.parametrize("width,percent", [(4, 85), (2, 70)])
-def test_join_finds_every_component(spark, width, percent):
+@pytest.mark.parametrize("width,percent,all_pairs", [(4, 85, 2000), (2, 70, 2000), (4, 85, 3), (2, 70, 2), (5, 80, 1)])
+def test_join_finds_every_component(spark, width, percent, all_pairs):
     rng = random.Random(width)
     vocabulary = [f"w{i}" for i in range(300)]
     common = [rng.choice(vocabulary) for _ in range(40)]
@@ -338,21 +355,56 @@ def test_join_finds_every_component(spark, width, percent):
             rows.append((len(rows) * 3 + 1, " ".join(own)))
     rows += [(i and i + 100_000, t) for i, t in ODD]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in jaccard_join.join(df, shared_folder(spark, "j"), width, percent).collect()), key=key)
+    got = sorted((tuple(r) for r in jaccard_join.join(df, shared_folder(spark, "j"), width, percent, all_pairs).collect()), key=key)
     assert got == brute_components(rows, width, percent)
 
 
-@pytest.mark.parametrize("lengths", [(15, 17, 20, 21), (15, 17, 20, 23, 27)])
-def test_truncated_copies_link(spark, lengths):
+@pytest.mark.parametrize("lengths,all_pairs", [((15, 17, 20, 21), 2000), ((15, 17, 20, 21), 2), ((15, 17, 20, 23, 27), 2)])
+def test_truncated_copies_link(spark, lengths, all_pairs):
     rng, rows = random.Random(5), []
     for _ in range(400):
         base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
         rows += [(len(rows) + k, " ".join(base[: n + 3])) for k, n in enumerate(lengths)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccard_join.join(df, shared_folder(spark, "j"), 4, 85).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df, shared_folder(spark, "j"), 4, 85, all_pairs).collect()}
     assert got == {i: i - i % len(lengths) for i, _ in rows}  # each length is 85 % of the next, or more
 
 
+def test_forest_is_the_one_of_the_first_edges():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(2, 20)
+        edges = [(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 50))) if a != b]
+        up, want = list(range(n)), []
+        for i, (a, b) in enumerate(edges):
+            if up[a] != up[b]:
+                up = [up[b] if x == up[a] else x for x in up]
+                want.append(i)
+        a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        assert jaccard_join.least_forest(a, b, n).tolist() == want
+
+
+@given(st.integers(0, 2**32), st.integers(1, 3000), st.integers(0, 400))
+@settings(max_examples=30, deadline=None)
+def test_sketches_differ_in_no_more_bits_than_sets(seed, size, other):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+    y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.8], rng.integers(0, 2**64, other, dtype=np.uint64)]))
+    sizes = np.array([len(x), len(y)])
+    flat, many = jaccard_join.sketches(np.concatenate([x, y]), sizes)
+    known = jaccard_join.Sketches(sizes, flat, many)
+    apart = len(np.setxor1d(x, y))
+    assert known.differing(np.array([0]), np.array([1]))[0] <= apart
+    assert many.tolist() == jaccard_join.sketch_words(sizes).tolist()
+
+
+def test_rows_without_doc_id_go_only_where_linked(spark):
+    own = "a b c d e f g h"
+    df = spark.createDataFrame([(1, own), (None, own), (None, "x y z u v w"), (None, None), (2, "q r s t u v")], "doc_id long, text string")
+    out = jaccard_join.one_of_each(df, shared_folder(spark, "o"))
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted([(1, own), (2, "q r s t u v"), (None, "x y z u v w"), (None, None)], key=key)
+
+
 def test_leaders_that_sizes_part_are_both_open():
     keys, nodes, sizes = np.zeros(4, np.uint64), np.arange(1, 5), np.array([15, 17, 20, 21])
     parted = {(int(a), int(b)) for a, b, f in zip(*jaccard_join.leaders(keys, nodes, sizes, 85), strict=True) if f == 2}
