@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colocus.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
-from colocus.llm.common import saved, shared_folder
+from colocus.llm.common import drop, saved, shared_folder
 from colocus.llm.token_files import default_tokenizer
 
 #: Bytes of a repeated passage: some forty words, so that passages of over fifty words are caught.
@@ -54,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the table ``documents``; each stage's rows are written to the shared folder and read again."""
+    """The packed pieces of the table ``documents``; each stage's rows are written to the shared folder, read by the next and deleted."""
     folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = saved(stage(spark, docs, sf_dir), f"{folder}/{i}-{name}")
+        if i:
+            drop(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
