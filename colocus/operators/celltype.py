@@ -89,16 +89,28 @@ def scaled(rows: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(stats), "marker").withColumn("value", value).select(*rows.columns)
 
 
+#: Cell ids that one bucket of the zero rule spans; only the bucket in which the rule stops is ranked by row.
+ZERO_SPAN = 65_536
+
+
 def without_some_zeros(rows: DataFrame) -> DataFrame:
     """Drops part of the exact zeros of each marker, by their share: under 0.1 none, under 0.2 all, under 0.5 all but a
-    share of 0.05, up to 0.9 all but 0.02, beyond that all. Zeros go in the order of cell_id."""
-    by = Window.partitionBy("marker")
+    share of 0.05, up to 0.9 all but 0.02, beyond that all. Zeros go in the order of cell_id.
+
+    Zeros are counted by ranges of cell_id first: whole ranges go or stay, and rows are ranked only within a range.
+    """
     zero = F.col("value") == 0
-    n, z = F.count("*").over(by), F.count(F.when(zero, 1)).over(by)
+    counts = rows.groupBy("marker", F.floor(F.col("cell_id") / ZERO_SPAN).alias("_span")).agg(F.count("*").alias("_n"), F.count_if(zero).alias("_z"))
+    by = Window.partitionBy("marker")  # a row per marker and range
+    n, z = F.sum("_n").over(by), F.sum("_z").over(by)
     share = z / n
     gone = F.when(share < 0.1, 0).when(share < 0.2, z).when(share < 0.5, F.floor(n * (share - 0.05))).when(share <= 0.9, F.ceil(n * (share - 0.02))).otherwise(z)
-    place = F.row_number().over(Window.partitionBy("marker", zero).orderBy("cell_id"))
-    return rows.withColumns({"_gone": gone, "_place": place}).filter(~zero | (F.col("_place") > F.col("_gone"))).select(*rows.columns)
+    before = F.sum("_z").over(by.orderBy("_span")) - F.col("_z")
+    spans = counts.select("marker", "_span", (gone - before).alias("_quota"))
+    own = Window.partitionBy("marker", "_span", zero).orderBy("cell_id")
+    marked = rows.withColumn("_span", F.floor(F.col("cell_id") / ZERO_SPAN)).join(spans, ["marker", "_span"])
+    kept = marked.withColumn("_place", F.row_number().over(own)).filter(~zero | (F.col("_place") > F.col("_quota")))
+    return kept.select(*rows.columns)
 
 
 def crossing(m1: Column, m2: Column, v1: Column, v2: Column) -> Column:
@@ -124,16 +136,26 @@ def sigmoid_probability(rows: DataFrame, models: DataFrame) -> DataFrame:
 def posterior_probability(rows: DataFrame, models: DataFrame) -> DataFrame:
     """ep: the chance of the high component, made monotone: running maximum above the crossing point, minimum below it.
 
-    models: marker, m1, m2, v1, v2, xc.
+    models: marker, m1, m2, v1, v2, xc. The log ratio of two normal densities is
+    a quadratic that turns once, so a running extreme is the value itself, the
+    one beside the crossing point, or the extreme of the whole side: one
+    aggregation per marker in place of a sort of its cells.
     """
-    t = rows.join(F.broadcast(models.select("marker", *[F.col(c).alias(f"_{c}") for c in ("m1", "m2", "v1", "v2", "xc")])), "marker")
+    t = rows.join(models.select("marker", *[F.col(c).alias(f"_{c}") for c in ("m1", "m2", "v1", "v2", "xc")]), "marker")
     x = F.col("value")
     ratio = (-0.5 * F.ln("_v2") - (x - F.col("_m2")) * (x - F.col("_m2")) / (2 * F.col("_v2"))) - (-0.5 * F.ln("_v1") - (x - F.col("_m1")) * (x - F.col("_m1")) / (2 * F.col("_v1")))
-    t = t.withColumn("_p", 1.0 / (1.0 + F.exp(-F.greatest(F.least(ratio, F.lit(50.0)), F.lit(-50.0))))).withColumn("_right", x >= F.col("_xc"))
-    half = Window.partitionBy("marker", "_right")
-    up = F.max(F.greatest("_p", F.lit(0.5))).over(half.orderBy(F.col("value").asc()).rangeBetween(Window.unboundedPreceding, 0))
-    down = F.min(F.least("_p", F.lit(0.5))).over(half.orderBy(F.col("value").desc()).rangeBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("ep", F.when(F.col("_right"), up).otherwise(down)).select(*rows.columns, "ep")
+    bend = 0.5 / F.col("_v1") - 0.5 / F.col("_v2")
+    turn = F.try_divide(F.col("_m1") / F.col("_v1") - F.col("_m2") / F.col("_v2"), 2 * bend)
+    t = t.withColumns({"_p": 1.0 / (1.0 + F.exp(-F.greatest(F.least(ratio, F.lit(50.0)), F.lit(-50.0)))), "_right": x >= F.col("_xc"), "_bend": bend, "_turn": turn})
+    right, left = F.when(F.col("_right"), F.col("_p")), F.when(~F.col("_right"), F.col("_p"))
+    ends = t.groupBy("marker").agg(
+        F.max(right).alias("_top"), F.min_by("_p", F.when(F.col("_right"), x)).alias("_after"),
+        F.min(left).alias("_floor"), F.max_by("_p", F.when(~F.col("_right"), x)).alias("_before"),
+    )
+    up = F.when(F.col("_bend") < 0, F.when(x > F.col("_turn"), F.col("_top")).otherwise(F.col("_p"))).otherwise(F.greatest("_p", "_after"))
+    down = F.when(F.col("_bend") > 0, F.when(x < F.col("_turn"), F.col("_floor")).otherwise(F.col("_p"))).otherwise(F.least("_p", "_before"))
+    ep = F.when(F.col("_right"), F.greatest(up, F.lit(0.5))).otherwise(F.least(down, F.lit(0.5)))
+    return t.join(ends, "marker").select(*[t[c] for c in rows.columns], ep.alias("ep"))
 
 
 def artefacts(ep: DataFrame, high: float = 0.9, low: float = 0.4) -> DataFrame:

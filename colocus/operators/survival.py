@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,8 +62,8 @@ def ridge_cox(x: np.ndarray, time: np.ndarray, event: np.ndarray, alpha: float =
     return beta
 
 
-def elastic_net_path(x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas: np.ndarray, l1: float, factor: np.ndarray, sweeps: int = 5_000, tolerance: float = 1e-9) -> np.ndarray:
-    """Coefficients for each penalty, largest first, each started from the one before; columns are penalties.
+def elastic_net_descent(x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas: np.ndarray, l1: float, factor: np.ndarray, sweeps: int = 5_000, tolerance: float = 1e-9) -> Iterator[np.ndarray]:
+    """Coefficients for one penalty after the other, largest first, each started from the one before; ends where a fit diverges.
 
     Minimises minus the log-likelihood over n plus alpha * sum factor * (l1 |b| +
     (1 - l1) / 2 b^2): the likelihood is replaced by a weighted square around
@@ -71,9 +72,9 @@ def elastic_net_path(x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas:
     o = np.argsort(time, kind="stable")
     x, time, event = np.asarray(x, float)[o], np.asarray(time, float)[o], np.asarray(event)[o].astype(bool)
     n, p = x.shape
-    beta, out = np.zeros(p), np.zeros((p, len(alphas)))
+    beta = np.zeros(p)
     last = np.searchsorted(time, time, side="right") - 1
-    for j, alpha in enumerate(alphas):
+    for alpha in alphas:
         for _ in range(200):
             eta = x @ beta
             w = np.exp(eta - eta.max(initial=0.0))
@@ -97,9 +98,16 @@ def elastic_net_path(x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas:
                 if widest < tolerance:
                     break
             if not np.isfinite(beta).all() or np.abs(x @ beta).max(initial=0.0) > 500:
-                raise Diverged("a coefficient runs away")
+                return
             if np.abs(beta - before).max(initial=0.0) < tolerance * 10:
                 break
+        yield beta.copy()
+
+
+def elastic_net_path(x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas: np.ndarray, l1: float, factor: np.ndarray, sweeps: int = 5_000, tolerance: float = 1e-9) -> np.ndarray:
+    """Coefficients by penalty as columns; NaN from the first penalty on at which the descent diverges."""
+    out = np.full((x.shape[1], len(alphas)), np.nan)
+    for j, beta in enumerate(elastic_net_descent(x, time, event, alphas, l1, factor, sweeps, tolerance)):
         out[:, j] = beta
     return out
 

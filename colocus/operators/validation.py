@@ -33,38 +33,50 @@ def fold_of(ids: np.ndarray, event: np.ndarray, folds: int, seed: int) -> np.nda
     return out
 
 
+class Ladder:
+    """All penalties of one feature set on one training set, fitted in a single descent.
+
+    alphas falls; beta has a column for each, NaN where no fit was reached, and
+    ``reached`` is the index of the last penalty with a fit (-1: none). Ridge
+    penalties are fitted apart from each other, so a gap does not end them.
+    """
+
+    def __init__(self, features: S.FeatureSet, x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas: np.ndarray, s: Settings):
+        self.alphas = alphas
+        if features.factor.any():
+            self.beta = S.elastic_net_path(x, time, event, alphas, s.l1, features.factor, tolerance=1e-6)
+        else:
+            self.beta = np.column_stack([_ridge(x, time, event, a) for a in alphas])
+        self.fits = np.flatnonzero(np.isfinite(self.beta).all(axis=0))
+        self.reached = int(self.fits[-1]) if len(self.fits) else -1
+
+    @property
+    def whole(self) -> bool:
+        return len(self.fits) == len(self.alphas)
+
+
+def _ridge(x: np.ndarray, time: np.ndarray, event: np.ndarray, alpha: float) -> np.ndarray:
+    try:
+        return S.ridge_cox(x, time, event, alpha)
+    except (S.Diverged, np.linalg.LinAlgError):
+        return np.full(x.shape[1], np.nan)
+
+
 def grid(features: S.FeatureSet, x: np.ndarray, time: np.ndarray, event: np.ndarray, s: Settings) -> np.ndarray:
-    """Penalties, largest first. A path that diverges is tried again with its smallest ratio doubled."""
+    """Penalties, largest first: fixed ones for ridge, else the deepest of the ranges (each half as deep as the one before) that fits to its end."""
     if not features.factor.any():
-        return np.logspace(s.ridge[1], s.ridge[0], s.count)
-    ratio = s.ratio
-    while ratio < 1:
-        alphas = S.penalties(x, time, event, s.l1, features.factor, s.count, ratio)
-        try:
-            S.elastic_net_path(x, time, event, alphas, s.l1, features.factor, tolerance=1e-6)
-            return alphas
-        except S.Diverged:
-            ratio *= 2
-    raise S.Diverged("no penalty grid fits")
+        return np.logspace(*reversed(s.ridge), s.count)
+    depths = (s.ratio * 2.0**k for k in range(int(np.ceil(-np.log2(s.ratio)))))
+    ranges = (S.penalties(x, time, event, s.l1, features.factor, s.count, depth) for depth in depths)
+    found = next((alphas for alphas in ranges if Ladder(features, x, time, event, alphas, s).whole), None)
+    if found is None:
+        raise S.Diverged("no penalty grid fits")
+    return found
 
 
 def path(features: S.FeatureSet, x: np.ndarray, time: np.ndarray, event: np.ndarray, alphas: np.ndarray, s: Settings) -> np.ndarray:
-    """Coefficients by penalty (largest first); NaN where a fit failed: the smallest penalties go until the rest fits."""
-    out = np.full((x.shape[1], len(alphas)), np.nan)
-    if not features.factor.any():
-        for j, a in enumerate(alphas):
-            try:
-                out[:, j] = S.ridge_cox(x, time, event, a)
-            except (S.Diverged, np.linalg.LinAlgError):
-                pass
-        return out
-    for n in range(len(alphas), 0, -1):
-        try:
-            out[:, :n] = S.elastic_net_path(x, time, event, alphas[:n], s.l1, features.factor, tolerance=1e-6)
-            return out
-        except S.Diverged:
-            continue
-    return out
+    """Coefficients by penalty, NaN where there is no fit."""
+    return Ladder(features, x, time, event, alphas, s).beta
 
 
 def chosen(features: S.FeatureSet, x: np.ndarray, time: np.ndarray, event: np.ndarray, ids: np.ndarray, seed: int, s: Settings) -> tuple[float, float, np.ndarray]:
@@ -84,14 +96,13 @@ def chosen(features: S.FeatureSet, x: np.ndarray, time: np.ndarray, event: np.nd
 
 
 def final_fit(features: S.FeatureSet, x: np.ndarray, time: np.ndarray, event: np.ndarray, alpha: float, alphas: np.ndarray, s: Settings) -> tuple[S.Preparation, np.ndarray, float]:
-    """Fit on all rows at the penalty, down the path from the largest; else at the smallest penalty that fits."""
+    """Fit on all rows at the penalty, reached from the larger ones; where the descent ends before, its last fit."""
     ready = S.Preparation(features, x, s.pseudocount)
-    use = np.r_[alphas[alphas > alpha], alpha] if features.factor.any() else np.array([alpha])
-    beta = path(features, ready(x), time, event, use, s)
-    good = np.flatnonzero(np.isfinite(beta).all(axis=0))
-    if not len(good):
+    above = alphas[alphas > alpha] if features.factor.any() else alphas[:0]
+    ladder = Ladder(features, ready(x), time, event, np.append(above, alpha), s)
+    if ladder.reached < 0:
         raise S.Diverged("no penalty fits")
-    return ready, beta[:, good[-1]], float(use[good[-1]])
+    return ready, ladder.beta[:, ladder.reached], float(ladder.alphas[ladder.reached])
 
 
 def _frame(pdf: pd.DataFrame, features: S.FeatureSet, id_: str) -> tuple[np.ndarray, ...]:

@@ -69,14 +69,34 @@ def test_preparation_uses_training_rows_only():
         S.FeatureSet("bad", ("age",), (), ("s1",), True)
 
 
-def test_residuals_leave_what_composition_does_not_explain():
-    rng = np.random.default_rng(4)
-    counts = rng.poisson(50, (200, 3)) + 1.0
-    effect = S.log_ratios(counts)[:, 0] * 2 + np.log(counts.sum(axis=1) + 1)
-    own = rng.normal(size=200)
+def test_spatial_block_is_orthogonal_to_composition():
+    """What is left of the spatial columns has no linear part in the log-ratios and the log total; new rows use the same plane."""
+    rng = np.random.default_rng(17)
+    counts = rng.integers(1, 90, (150, 3)).astype(float)
     f = S.FeatureSet("r", ("a",), ("c1", "c2", "c3"), ("p", "q"), True)
-    raw = S.Preparation(f, x := np.c_[np.zeros(200), counts, effect, effect + own])._raw(x)
-    assert np.abs(raw[:, 4]).max() < 1e-6 and np.corrcoef(raw[:, 5], own)[0, 1] > 0.97
+    x = np.c_[rng.normal(size=150), counts, rng.gamma(2, 1, 150) + 0.01 * counts[:, 0], np.sqrt(counts[:, 1])]
+    ready = S.Preparation(f, x)
+    left = ready(x)[:, 4:]
+    plane = np.c_[np.ones(150), S.log_ratios(counts), np.log(counts.sum(axis=1) + 1)]
+    assert np.abs(plane.T @ left).max() < 1e-6 * 150
+    beside = x[:1] + np.array([[0, 0, 0, 0, 1.0, 0]])
+    assert (ready(beside) - ready(x[:1]))[0, 4] == pytest.approx(1 / ready.sd[4])
+
+
+def test_ladder_reports_how_far_it_came(monkeypatch):
+    """The grid is the first range that fits to its end, and a final fit stops at the last penalty reached."""
+    rows = cohort()
+    x, t, e = rows[list(FULL.columns)].to_numpy(), rows.time.to_numpy(), rows.event.to_numpy()
+    ready = S.Preparation(FULL, x)(x)
+    whole = V.Ladder(FULL, ready, t, e, V.grid(FULL, ready, t, e, QUICK), QUICK)
+    assert whole.whole and whole.reached == QUICK.count - 1
+    real, least = S.elastic_net_descent, whole.alphas[0] * 0.5
+    monkeypatch.setattr(S, "elastic_net_descent", lambda x, t, e, alphas, *a, **k: real(x, t, e, alphas[: int((alphas >= least).sum())], *a, **k))
+    alphas = V.grid(FULL, ready, t, e, QUICK)
+    assert len(alphas) == QUICK.count and least <= alphas[-1] < 2 * least
+    assert V.final_fit(FULL, x, t, e, whole.alphas[-1], whole.alphas, QUICK)[2] == min(a for a in whole.alphas if a >= least)
+    with pytest.raises(S.Diverged):
+        V.final_fit(FULL, x, t, e, least / 2, whole.alphas[:0], QUICK)
 
 
 def test_all_missing_and_constant_columns():
