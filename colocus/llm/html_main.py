@@ -1,11 +1,12 @@
 """Main text of a page as the best-scoring run of words and tags.
 
-A page is a sequence of words and tags. A word scores positive, a tag negative,
-by weights that labelled pages teach; the run with the largest sum, found in
-one scan, is the main region. Elements that pages label as never being content
-(scripts, menus, forms, adverts, comments) leave the sequence first; an element
-that only its class, id or role marks stays if it holds an article or main
-element or most of the page's words.
+A page is a sequence of words and tags. Words score by where they stand, tags
+by how often labelled pages have them outside the main text; the run with the
+largest sum, found in one linear scan, is the main region. An element that its
+learned weight makes furniture (a menu, an advert, comments) counts nothing. All
+weights are learned from labelled pages: of tags, of the words in class, id and
+role names, and of words by their place. Only what HTML itself never shows
+(comments, scripts, styles, titles, hidden elements) is left out by syntax.
 """
 
 from __future__ import annotations
@@ -21,137 +22,246 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*>")
+QUOTE = re.compile(r"[\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_a-zA-Z]+")
 # Element names by their role in HTML.
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select option audio video".split())
+RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE = frozenset("nav header footer aside form head menu dialog button fieldset label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-# Words in class, id and role attributes that mark what is not the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social "
-    "comment comments reply replies disqus respond discussion newsletter subscribe signup login search popup modal overlay pagination pager skip "
-    "complementary contentinfo".split()
-)
-# Words of place and shape that stand beside a mark in a name ("ad-box"); with any other word the name marks nothing.
-SHAPES = frozenset("area bar block bottom box button col column container content form global group icon icons inner item items left link links list main outer page panel primary right row secondary section site slot text top unit wrap wrapper".split())
-CONTAINER = frozenset("article main".split())
-HOLDS = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
-UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-
-
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
-
-
-def is_outside(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether an element is never content by its tag or hidden. A header inside an article or main element is its heading."""
-    if tag in OUTSIDE:
-        return not (tag == "header" and in_article)
-    if not raw or tag in ("html", "body", "article", "main"):
-        return False
-    attributes = _attributes(raw)
-    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+CONTAINER = ("article", "main")
 
 
-def is_marked(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether a whole name in class, id or role says that an element is not the article; "has-sidebar" and "post-header" do not."""
-    if not raw or tag in ("html", "body", "article", "main"):
-        return False
-    attributes = _attributes(raw)
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
-    marks = MARKS - {"header"} if in_article else MARKS
-    for name in names.split():
-        parts = {x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
-        if parts & marks and parts <= marks | SHAPES:
-            return True
-    return False
+#: What a tag costs at least: where the page marks its article by an element (@in), and elsewhere.
+LEAST_COST = {"@in": 0.001, "": 0.21}
 
 
-def _n_words(page: str) -> int:
-    return len(UNSEEN.sub(" ", page).split())
+class Page:
+    """Tokens and elements of a page, read in one forward scan with a stack.
 
+    Tokens are (kind, value, element): "text" or "tag". An end tag closes the
+    nearest open element of its name and those inside; that of an inline element
+    does not reach over a block. An element without an end tag stays in the tree
+    but says nothing of its words.
+    """
 
-@cache
-def _element(tag: str) -> re.Pattern:
-    return re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?</\1\s*>|<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.S | re.I)
-
-
-def _closing(page: str, tag: str, at: int) -> tuple[int, int] | None:
-    """Where the element that began before ``at`` closes: start and end of its closing tag, nesting counted."""
-    depth = 1
-    for m in _element(tag).finditer(page, at):
-        if m[0].startswith("<!--") or m[1]:
-            continue
-        depth += -1 if m[2] else 1
-        if not depth:
-            return m.start(), m.end()
-    return None
-
-
-def sequence(page: str) -> list[tuple[str, str, int]]:
-    """The page's tokens: ("text", text, article), ("tag", name, article); article numbers the article or
-    main element that holds the token (0: none). Raw and outside elements are left out whole."""
-    out: list[tuple[str, str, int]] = []
-    at, n, holders, count, all_words = 0, len(page), [], 0, None
-    while at < n:
-        m = TOKEN.search(page, at)
+    def __init__(self, page: str):
+        self.tokens: list[tuple[str, str, int]] = []
+        self.tag, self.raw, self.parent, self.closed = [""], [""], [0], [False]
+        self._read(page)
+        n = len(self.tag)
+        self.words, self.holds, linked = [0] * n, [False] * n, [0] * n
+        for kind, value, e in self.tokens:
+            if kind == "text":
+                self.words[e] += len(value.split())
+        for e in range(n - 1, 0, -1):
+            if self.tag[e] == "a" and self.closed[e]:
+                linked[e] = self.words[e]
+            linked[self.parent[e]] += linked[e]
+            self.words[self.parent[e]] += self.words[e]
+            self.holds[self.parent[e]] |= self.holds[e] or self.tag[e] in CONTAINER
+        self.links = [e > 0 and self.words[e] > 0 and linked[e] == self.words[e] for e in range(n)]  # all its words are links
+        self.inside = [False] * n
+        for e in range(1, n):
+            self.inside[e] = self.inside[self.parent[e]] or self.tag[self.parent[e]] in CONTAINER
+
+    def _read(self, page: str) -> None:
+        at, n, stack, frames = 0, len(page), [0], [Counter()]
+        blocks: Counter = Counter()
+        gone: set[str] = set()  # what does not occur any more from here on
+
+        def find(what: str, start: int) -> int:
+            if what in gone:
+                return -1
+            found = page.find(what, start)
+            if found < 0:
+                gone.add(what)
+            return found
+
+        def text(value: str) -> None:
+            if value:
+                self.tokens.append(("text", value, stack[-1]))
+
+        def pop() -> int:
+            e = stack.pop()
+            if self.tag[e] in BLOCK:
+                blocks[self.tag[e]] -= 1
+                frames.pop()
+            else:
+                frames[-1][self.tag[e]] -= 1
+            return e
+
+        while at < n:
+            low = find("<", at)
+            if low < 0:
+                return text(page[at:])
+            m = NAME.match(page, low)
+            if m is None:
+                if page.startswith("<!--", low):
+                    text(page[at:low])
+                    end = find("-->", low + 4)
+                    at = n if end < 0 else end + 3
+                elif page.startswith("<![CDATA[", low) and (end := find("]]>", low)) >= 0:
+                    text(page[at:low] + html_lib.escape(page[low + 9 : end]))
+                    at = end + 3
+                elif page[low + 1 : low + 2] in ("!", "?", "/") and (end := find(">", low)) >= 0:
+                    text(page[at:low])
+                    at = end + 1
+                else:
+                    text(page[at : low + 1])
+                    at = low + 1
+                continue
+            if find(">", m.end()) < 0:
+                return text(page[at:])
+            text(page[at:low])
+            tag, start = m[2].lower(), m.end()
+            at = start
+            while (plain := PLAIN.match(page, at)) is None:  # quotes count after an equals sign
+                quote = QUOTE.search(page, at).start()
+                end = find(page[quote], quote + 1) if page[max(start, quote - 64) : quote].rstrip()[-1:] == "=" else quote
+                if end < 0 or find(">", end) < 0:
+                    plain = re.compile(">").search(page, at)
+                    break
+                at = end + 1
+            at = plain.end()
+            raw = page[start : at - 1]
+            if m[1]:
+                if tag in BLOCK and blocks[tag] or tag not in BLOCK and frames[-1][tag]:
+                    self.tokens.append(("tag", tag, stack[-1]))
+                    while self.tag[e := pop()] != tag:
+                        pass
+                    self.closed[e] = True
+                else:
+                    self.tokens.append(("tag", tag, stack[-1]))
+                continue
+            if tag in RAW:
+                end = self._raw_end(page, tag, at, gone)
+                if end is not None or tag in ("script", "style"):
+                    at = n if end is None else end
+                    continue
+            if tag in VOID or raw.endswith("/"):
+                self.tokens.append(("tag", tag, stack[-1]))
+                continue
+            self.tag.append(tag)
+            self.raw.append(raw)
+            self.parent.append(stack[-1])
+            self.closed.append(False)
+            stack.append(len(self.tag) - 1)
+            if tag in BLOCK:
+                blocks[tag] += 1
+                frames.append(Counter())
+            else:
+                frames[-1][tag] += 1
+            self.tokens.append(("tag", tag, stack[-1]))
+
+    @staticmethod
+    def _raw_end(page: str, tag: str, at: int, gone: set[str]) -> int | None:
+        key = f"</{tag}"
+        if key in gone:
+            return None
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
         if m is None:
-            out.append(("text", page[at:], holders[-1] if holders else 0))
-            break
-        if m.start() > at:
-            out.append(("text", page[at : m.start()], holders[-1] if holders else 0))
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                out.append(("text", html_lib.escape(m[0][9:-3]), holders[-1] if holders else 0))
-            continue
-        tag, closes = m[2].lower(), bool(m[1])
-        if closes:
-            out.append(("tag", tag, holders[-1] if holders else 0))
-            if tag in CONTAINER and holders:
-                holders.pop()
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if tag not in VOID and not m[3].rstrip().endswith("/") and ((sure := is_outside(tag, m[3], bool(holders))) or is_marked(tag, m[3], bool(holders))):
-            end = _closing(page, tag, at)
-            if end and not sure:
-                all_words = _n_words(page) if all_words is None else all_words
-                if HOLDS.search(page, at, end[0]) or 2 * _n_words(page[at : end[0]]) > all_words:
-                    end = None
-            if end:
-                out.append(("tag", tag, holders[-1] if holders else 0))
-                at = end[1]
+            gone.add(key)
+            return None
+        return m.end()
+
+    def names(self, e: int) -> tuple[bool, list[list[str]]]:
+        """Whether an element is hidden, and the words of each name in its class, id and role."""
+        if not self.raw[e].strip("/ "):
+            return False, []
+        attributes = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.raw[e])}
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".split()
+        return hidden, [[w.lower() for w in WORDS_OF_NAME.findall(x)] for x in names]
+
+    def outside(self, weights: dict[str, float]) -> list[bool]:
+        """Which elements stand outside the main text: by their tag, or by a name of which every word is known.
+
+        A name alone does not move an element that holds an article, main element or most of the page's words.
+        """
+        out = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            out[e] = out[self.parent[e]]
+            if out[e] or not self.closed[e]:
                 continue
-        if tag in CONTAINER:
-            count += 1
-            holders.append(count)
-        out.append(("tag", tag, holders[-1] if holders else 0))
-    return out
+            place = "@in" if self.inside[e] else ""
+            hidden, names = self.names(e)
+            out[e] = hidden or weights.get(f"<{self.tag[e]}{place}", 0.0) < -1
+            if not out[e] and not self.holds[e] and 2 * self.words[e] <= self.words[0] and self.tag[e] not in ("html", "body"):
+                out[e] = any(x and all(f".{w}{place}" in weights for w in x) and min(weights[f".{w}{place}"] for w in x) < -1 for x in names)
+        return out
+
+    def region(self, out: list[bool]) -> list[str]:
+        """The place of each element's words: "@out" for what labelled tags exclude, "@in" for the article or main
+        element with most of their words, "@beside" for the rest of such a page; where a page has none, "@link" for what
+        only consists of links (a menu's entries, not a link in a sentence) and "" for all else."""
+        held = [e for e in range(1, len(self.tag)) if self.tag[e] in CONTAINER and self.words[e] and not out[e]]
+        articles = [e for e in held if self.tag[e] == "article"]
+        most = max(held, key=lambda e: (self.words[e], -e), default=0)
+        if articles and 2 * sum(self.words[e] for e in articles) >= self.words[most]:
+            held = articles
+        best = max(held, key=lambda e: (self.words[e], -e), default=0)
+        alone = 2 * self.words[best] > sum(self.words[e] for e in held)
+        place = [""] * len(self.tag)
+        chosen = {best} if held and alone else set(held)
+        for e in range(len(self.tag)):
+            up = place[self.parent[e]] if e else ("@beside" if held else "")
+            link = not held and self.links[e] and self.tag[e] != "a"
+            place[e] = "@out" if out[e] else "@in" if e in chosen else "@link" if link else up
+        return place
 
 
 def fit_weights(labelled: list[tuple[str, str]], smooth: float = 0.5) -> dict[str, float]:
-    """Tag weights from pages with their main text: log-odds of standing among main text, at most 0.
+    """Log-odds of standing in the main text, from pages with their main text.
 
-    "#word" is the weight of a word. A tag counts as inside where the text on
-    its nearer side belongs to the main text.
+    "<tag", ".word": of elements by tag and by the words of their names, an
+    element being inside if most of its words are; "@in" behind both for those in
+    an article or main element. "tag": what a tag costs, LEAST_COST at least. "#" with
+    a place: what a word there scores, from -1 to 1.
     """
-    inside, outside = Counter(), Counter()
+    counts: dict[str, list[int]] = {}
+
+    def count(seen: set[tuple[str, bool]]) -> None:
+        """A key counts once a page and side."""
+        for key, inside in seen:
+            counts.setdefault(key, [0, 0])[inside] += 1
+
+    read = []
     for page, main in labelled:
-        wanted = Counter(main.split())
-        flags = [(kind, value, bool(words := html_lib.unescape(value).split()) and all(w in wanted for w in words) if kind == "text" else None) for kind, value, _ in sequence(page)]
-        for i, (kind, value, _) in enumerate(flags):
-            if kind == "tag":
-                near = [f for k, v, f in (*reversed(flags[max(0, i - 3) : i]), *flags[i + 1 : i + 4]) if k == "text" and v.strip()]
-                (inside if near and sum(near) * 2 >= len(near) else outside)[value] += 1
-    total_in, total_out = sum(inside.values()) or 1, sum(outside.values()) or 1
-    weights = {t: min(-0.05, math.log((inside[t] + smooth) / total_in) - math.log((outside[t] + smooth) / total_out)) for t in inside.keys() | outside.keys()}
-    return weights | {"#word": 1.0, "#tag": -2.0}
+        parsed, wanted = Page(page), set(main.split())
+        good = [0] * len(parsed.tag)
+        marks = [sum(w in wanted for w in html_lib.unescape(v).split()) if k == "text" else -1 for k, v, _ in parsed.tokens]
+        for (kind, _, e), hits in zip(parsed.tokens, marks, strict=True):
+            if kind == "text":
+                good[e] += hits
+        seen = set()
+        for e in range(len(good) - 1, 0, -1):
+            good[parsed.parent[e]] += good[e]
+            if parsed.words[e] and parsed.closed[e]:
+                inside, place = 2 * good[e] > parsed.words[e], "@in" if parsed.inside[e] else ""
+                names = [f".{w}{place}" for x in parsed.names(e)[1] for w in x]  # a name takes the evidence from the tag
+                seen |= {(key, inside) for key in names or [f"<{parsed.tag[e]}{place}"]}
+        count(seen)
+        read.append((parsed, marks))
+    odds = lambda key: math.log((counts[key][1] + smooth) / (counts[key][0] + smooth))
+    weights = {key: max(odds(key), -1.0) if counts[key][1] else odds(key) for key in counts}  # what is inside even once is no furniture
+    counts.clear()
+    for parsed, marks in read:
+        place, seen = parsed.region(parsed.outside(weights)), set()
+        for i, (kind, value, e) in enumerate(parsed.tokens):
+            if kind == "text":
+                n = len(value.split())
+                if n:
+                    seen.add((f"#{place[e]}", 2 * marks[i] > n))
+            else:
+                near = [m > 0 for m, (k, v, _) in zip(marks[max(0, i - 3) : i + 4], parsed.tokens[max(0, i - 3) : i + 4], strict=True) if k == "text" and v.strip()]
+                seen.add((f"{value}{place[e]}", bool(near) and 2 * sum(near) >= len(near)))
+        count(seen)
+    for key in counts:
+        weights[key] = max(-1.0, min(1.0, odds(key))) if key[0] == "#" else min(-LEAST_COST["@in" if key.endswith("@in") else ""], odds(key))
+    return {"#": 1.0, "#@in": 1.0, "#@beside": -1.0, "#@link": -1.0} | weights
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -166,32 +276,36 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, str]], list[float]]:
+    """Tokens (kind, value, place) and what each adds to a run."""
+    parsed = Page(page)
+    place = parsed.region(parsed.outside(weights))
+    scores = []
+    for kind, value, e in parsed.tokens:
+        if place[e] == "@out":
+            scores.append(0.0)
+        elif kind == "text":
+            scores.append(weights[f"#{place[e]}"] * len(value.split()))
+        else:
+            scores.append(weights.get(f"{value}{place[e]}", -LEAST_COST["@in"] if place[e] == "@in" else -1.0))
+    return [(kind, value, place[e]) for kind, value, e in parsed.tokens], scores
+
+
 def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
-    """The blocks of the main region, white space inside a block as one space, joined by newlines.
+    """The blocks of the best run, white space inside a block as one space, joined by newlines.
 
-    Null, empty and pages without words give "". Where the best run lies in one
-    article or main element, all of that element is the region.
+    Null, empty and pages without words give "". Of equal runs the first counts.
+    Time and memory grow with the page's length, whatever stays open in it.
     """
     if not page:
         return ""
-    weights = weights or default_weights()
-    tokens = sequence(page)
-    word, other = weights["#word"], weights["#tag"]
-    scores = [word * len(v.split()) if k == "text" else weights.get(v, other) for k, v, _ in tokens]
+    tokens, scores = scored(page, weights or default_weights())
     low, high = best_run(scores)
-    holders = Counter()
-    for k, v, a in tokens[low:high]:
-        if k == "text":
-            holders[a] += len(v.split())
-    if holders:
-        most = max(holders, key=lambda a: (holders[a], -a))
-        if most and 2 * holders[most] > sum(holders.values()):
-            own = [i for i, t in enumerate(tokens) if t[2] == most]
-            low, high = own[0], own[-1] + 1
     blocks, parts = [], []
-    for kind, value, _ in tokens[low:high]:
+    for kind, value, place in tokens[low:high]:
         if kind == "text":
-            parts.append(html_lib.unescape(value))
+            if place not in ("@out", "@beside"):
+                parts.append(html_lib.unescape(value))
         elif value in BLOCK:
             blocks.append(" ".join("".join(parts).split()))
             parts = []
@@ -201,27 +315,43 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(b for b in blocks if b)
 
 
+# Elements and words of names in which the labelled pages have what is not the article, and words beside them in names.
+FURNITURE_TAGS = "nav aside form menu dialog footer button fieldset label select datalist option object canvas svg audio video iframe noscript template math".split()
+FURNITURE_WORDS = (
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget related recommended share sharing social "
+    "comment comments reply replies disqus respond discussion newsletter subscribe signup login search popup modal overlay pagination pager skip "
+    "complementary contentinfo"
+).split()
+PLACE_WORDS = "area bar block bottom box col column container content form global group icon icons inner item items left link links list outer page panel primary right row secondary section site slot text top unit wrap wrapper".split()
+
+
 def labelled_pages() -> list[tuple[str, str]]:
-    """Small pages with their main text, from three layouts: article element, div columns, table layout."""
-    lines = [[f"{'alpha beta gamma delta '.split()[(i + j) % 4]}{i}{j} runs over the hill and back again" for j in range(2 + i % 4)] for i in range(12)]
-    found = []
-    for i, body in enumerate(lines):
-        items = body[1:] if i % 2 else []  # every other page has a list among its paragraphs
-        paragraphs = "".join(f"<p>{x}</p>" for x in body) + ("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" + f"<p>{body[0]}</p>" if items else "")
-        body = [*body, *items, body[0]] if items else body
-        links = "".join(f'<li><a href="/{k}">link{k}</a></li>' for k in range(4 + i % 3))
-        foot = f"<span>imprint{i}</span> <a href='/t'>terms</a>"
-        if i % 3 == 0:
-            page = f"<html><body><div><ul>{links}</ul></div><article><h1>{body[0]}</h1>{paragraphs}</article><div>{foot}</div></body></html>"
-            main = "\n".join([body[0], *body])
-        elif i % 3 == 1:
-            page = f"<html><body><div><ul>{links}</ul></div><div><h2>{body[0]}</h2>{paragraphs}</div><div><ul>{links}</ul>{foot}</div></body></html>"
-            main = "\n".join([body[0], *body])
-        else:
-            page = f"<html><body><table><tr><td>{links}</td><td><h1>{body[0]}</h1>{paragraphs}<blockquote>{body[-1]}</blockquote></td><td><ul>{links}</ul></td></tr></table>{foot}</body></html>"
-            main = "\n".join([body[0], *body, body[-1]])
-        found.append((page, main))
-    return found
+    """Pages with their main text: each piece of page furniture stands beside and within the article once or more, names of
+    place stand on both sides, and articles come as element, as columns and as tables, with lists, links and headings."""
+    pages, furniture = [], [f"<{t}>" for t in FURNITURE_TAGS] + [f"<div class='{w}'>" for w in FURNITURE_WORDS]
+    for i, opening in enumerate(furniture):
+        closing = f"</{re.match('<([a-z]+)', opening)[1]}>"
+        place = PLACE_WORDS[i % len(PLACE_WORDS)]
+        both = opening.replace("'>", f" {place}'>") if "class" in opening else opening
+        lines = [f"line{i}{k} runs over the hill and back again" for k in range(3 + i % 4)]
+        items = lines[1:3]
+        body = "".join(f"<p>{x} <a href='/a'>seen{i}</a> <span>there</span></p>" for x in lines) + "<div><ul>" + "".join(f"<li>{x}</li>" for x in items) + f"</ul></div><blockquote>{lines[0]}</blockquote><table><tr><td>{lines[-1]}</td></tr></table>"
+        main = "\n".join([lines[0], *(f"{x} seen{i} there" for x in lines), *items, lines[0], lines[-1]])
+        links = "".join(f"<li><a href='/{k}'>to{i}x{k}</a></li>" for k in range(4 + i % 3))
+        other = f"{both}other{i} words stand{i} apart{i}{closing}"
+        foot = f"<div><span>imprint{i}</span> <a href='/t'>terms{i}</a></div>"
+        heading = f"<header class='header'><h1>{lines[0]}</h1></header>" if i % 2 else f"<div class='{place}'><h1>{lines[0]}</h1></div>"
+        top = f"<header><p>welcome{i} here{i}</p></header><div class='header'>also{i} welcome{i}</div>"
+        if i % 3 < 2:
+            holder = CONTAINER[i % 2]
+            pages.append((f"<html><body>{top}<div><ul>{links}</ul></div>{other}<{holder}>{heading}{body}{other}</{holder}>{foot}</body></html>", main))
+        if i % 3 == 1:
+            pages.append((f"<html><body>{top}<div><ul>{links}</ul></div>{other}<div class='{place}'><h1>{lines[0]}</h1>{body}</div>{other}<div><ul>{links}</ul></div></body></html>", main))
+        if i % 3 == 2:
+            pages.append((f"<html><body>{other}<article>{heading}{body}{other}</article>{foot}</body></html>", main))
+            pages.append((f"<html><body>{top}<table><tr><td>{links}</td><td class='{place}'><h1>{lines[0]}</h1>{body}</td></tr></table>{foot}</body></html>", main))
+    return pages
 
 
 @cache
