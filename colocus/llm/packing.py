@@ -114,20 +114,23 @@ def powers(parts: list[tuple[int, int, int]], most: int) -> list[list[tuple[int,
     return found
 
 
-def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, keep_cache: bool = True) -> DataFrame:
+def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, keep_cache: bool = True, prompt: str | None = None) -> DataFrame:
     """Every id of every document in exactly one piece of one sequence.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (from 0,
     without gaps), offset. docs needs doc_id and text; other columns are left
     out. A null text is empty: its end id alone. Equal rows are packed apart.
     An empty table gives no rows. max_loss limits the loss-bearing ids of a
-    sequence (default: no limit but max_tokens). Each task packs what it reads
+    sequence (default: no limit but max_tokens). prompt names a column with the
+    number of a document's first ids that bear no loss (null, negative: 0; more
+    than it has: all); without it all ids bear loss. Each task packs what it reads
     and leaves at most one sequence unfilled, which it splits into powers of
     two; nothing is shuffled but the number of sequences of each task.
     keep_cache: a worker keeps its encoded pieces for its next task; without it
     tasks take longer and workers less memory between them.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    plain = F.lit(0) if prompt is None else F.greatest(F.coalesce(F.col(f"`{prompt}`").cast("long"), F.lit(0)), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), plain.cast("long").alias("plain"))
     loss_limit = max_tokens if max_loss is None else max_loss
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +160,13 @@ def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, max_toke
         for table in batches_of(stream, 4 << 20):
             flat, lengths = enc.encode(table.column(1).to_pylist())
             ends = np.cumsum(lengths)
-            for name, e, n in zip(table.column(0).to_pylist(), ends, lengths, strict=True):
+            for name, e, n, plain in zip(table.column(0).to_pylist(), ends, lengths, table.column(2).to_pylist(), strict=True):
                 doc = len(names)
                 names.append(name)
                 totals.append(int(n) + 1)
                 kept[doc] = np.append(flat[e - n : e], np.uint32(end_id))
                 waiting_for[doc] = int(n) + 1
-                for closed in packer.add(doc, int(n) + 1):
+                for closed in packer.add(doc, int(n) + 1, min(plain, int(n) + 1)):
                     emit(closed)
             for closed in packer.drain():
                 emit(closed)

@@ -616,6 +616,22 @@ def test_best_run(scores):
     assert sum(scores[low:high]) == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1))])
 
 
+def test_packing_limits_loss_through_the_prompt_column(spark):
+    """Instruction data: most ids of some documents are prompt, and a sequence holds at most max_loss of the others."""
+    rows = [(i, "word " * (5 + 37 * i % 300), [None, -3, 40, 10_000][i % 4]) for i in range(60)] + [(60, None, 5), (61, "long " * 900, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, asked long")
+    pieces = packing.pack(docs, shared_folder(spark, "p"), packing.default_tokenizer(), max_tokens=512, max_segments=6, max_loss=200, prompt="asked").collect()
+    asked, by = {i: max(0, p or 0) for i, _, p in rows}, {}
+    for r in pieces:
+        by.setdefault(r.sequence_id, []).append(r)
+    for own in by.values():
+        assert sum(r.length for r in own) <= 512 and len(own) <= 6
+        assert sum(max(0, r.start + r.length - max(asked[r.doc_id], r.start)) for r in own) <= 200
+    for i, _, _ in rows:
+        own = sorted((r.start, r.length, r.doc_tokens) for r in pieces if r.doc_id == i)
+        assert [x[0] for x in own] == [sum(y[1] for y in own[:k]) for k in range(len(own))] and sum(x[1] for x in own) == own[0][2]
+
+
 # archives
 
 
