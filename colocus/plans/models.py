@@ -12,6 +12,7 @@ from colocus.operators import assoc
 from colocus.operators import evaluate as E
 from colocus.operators import survival as S
 from colocus.operators import validation as V
+from colocus.plans import linear_sql as L
 from colocus.plans.registry import query
 from colocus.sources.tables import SURVIVAL_SQL, survival, table
 
@@ -362,15 +363,40 @@ def f01(spark, d):
     return analysis(spark, d).filter("age > 0").select("id", "pair", F.round("y", 4).alias("y"), "segment")
 
 
-@query("f02_ols_by_group")
+OLS = f"WITH {L.ANALYSIS}, {L.coefficients('m', 'a', SEGMENTS[0], 'age', 'grade')}"
+
+
+def rounded(df, *kept):
+    """Six digits of all doubles but the columns named."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in kept else F.col(c) for c, t in df.dtypes])
+
+
+@query("f02_ols_by_group", f"{OLS} SELECT pair, term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, n FROM m")
 def f02(spark, d):
     """With F03 and F05: standard errors, intervals and contrasts against the first level."""
-    return assoc.model_by_group(analysis(spark, d), ["pair"], "y", "segment", SEGMENTS, ["age", "grade"])
+    return rounded(assoc.model_by_group(analysis(spark, d), ["pair"], "y", "segment", SEGMENTS, ["age", "grade"]))
+
+
+@query("f03_coefficients", f"{OLS} SELECT pair, term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(p, 6) AS p, n FROM m WHERE term IN ('age', 'grade')")
+def f03(spark, d):
+    """Coefficients whose term matches a pattern: here the covariates."""
+    t = assoc.model_by_group(analysis(spark, d), ["pair"], "y", "segment", SEGMENTS, ["age", "grade"])
+    return rounded(t.filter(F.col("term").rlike("^(age|gr.*)$")).select("pair", "term", "estimate", "se", "p", "n"))
+
+
+TURNED = [SEGMENTS[2], *SEGMENTS[:2], *SEGMENTS[3:]]
 
 
-@query("f04_partial_f")
+@query("f05_contrasts", f"WITH {L.ANALYSIS}, {L.coefficients('m', 'a', TURNED[0], 'age', 'grade')} SELECT pair, term AS level, round(estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high FROM m WHERE term NOT IN ('age', 'grade', 'intercept')")
+def f05(spark, d):
+    """Treatment contrasts against another reference level than the first by name."""
+    t = assoc.model_by_group(analysis(spark, d), ["pair"], "y", "segment", TURNED, ["age", "grade"])
+    return rounded(t.filter(F.col("term").isin(*TURNED)).select("pair", F.col("term").alias("level"), "estimate", "low", "high"))
+
+
+@query("f04_partial_f", f"WITH {L.ANALYSIS}, {L.f_test('t', 'a', 'pair')} SELECT pair, n, round(f, 6) AS f, df1, df2, round(p, 6) AS p FROM t")
 def f04(spark, d):
-    return assoc.f_test_by_group(analysis(spark, d), ["pair"], "y", "segment", SEGMENTS, ["age", "grade"])
+    return rounded(assoc.f_test_by_group(analysis(spark, d), ["pair"], "y", "segment", SEGMENTS, ["age", "grade"]))
 
 
 @query("f04_one_way", """WITH a AS (SELECT o_custkey AS id, o_orderstatus AS pair, avg(o_totalprice) / 100000e0 AS y FROM orders GROUP BY 1, 2), g AS (SELECT pair, c_mktsegment, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM a JOIN customer ON c_custkey = id GROUP BY 1, 2),
@@ -394,26 +420,36 @@ def f06_whole(spark, d):
     return E.benjamini_hochberg(p, "p", ["event_type"], "event_id").select("event_id", F.round("q", 6).alias("q"))
 
 
-@query("f07_binary_family")
+BINARY = f"WITH {L.ANALYSIS}, b AS (SELECT * REPLACE (CASE WHEN id % 9 = 0 THEN 'other' ELSE segment END AS segment), (id % 2)::DOUBLE AS grp FROM a), {L.coefficients('m', 'b', SEGMENTS[0], 'grp', 'age')}, g AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS r, count(*) OVER () AS k FROM m WHERE term = 'grp')"
+
+
+@query("f07_binary_family", f"{BINARY} SELECT pair, term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, n, round(least(1e0, min(p * k / r) OVER (ORDER BY r DESC)), 6) AS q FROM g")
 def f07(spark, d):
     """A 0/1 group beside the segment (unknown: other), one family for all pairs, q by Benjamini and Hochberg."""
     a = analysis(spark, d).withColumn("segment", F.when(F.col("id") % 9 == 0, "other").otherwise(F.col("segment"))).withColumn("grp", (F.col("id") % 2).cast("double"))
     t = assoc.model_by_group(a, ["pair"], "y", "segment", [*SEGMENTS, "other"], ["grp", "age"]).filter("term = 'grp'")
-    return E.benjamini_hochberg(t, "p", [], "pair")
+    return rounded(E.benjamini_hochberg(t, "p", [], "pair"))
 
 
-@query("f08_label_permutations")
+NULL = f"""WITH {L.ANALYSIS}, {L.permuted(20261020, 50)}, {L.f_test('t', 'perm', 'pair, permutation')}, r AS (SELECT *, row_number() OVER (PARTITION BY permutation ORDER BY p, pair) AS r, count(*) OVER (PARTITION BY permutation) AS k FROM t),
+q AS (SELECT permutation, p, min(p * k / r) OVER (PARTITION BY permutation ORDER BY r DESC) AS q FROM r), per AS (SELECT permutation, max(CASE WHEN q < 0.05e0 THEN 1e0 ELSE 0e0 END) AS hit, sum(p) AS s, count(*) AS n FROM q GROUP BY 1)"""
+
+
+@query("f08_label_permutations", f"{NULL} SELECT round(avg(hit), 6) AS share_any, round(sum(s) / sum(n), 6) AS mean_p, avg(hit) <= 0.10e0 AND abs(sum(s) / sum(n) - 0.5e0) <= 0.02e0 AS calibrated FROM per")
 def f08(spark, d):
     found = assoc.label_permutations(analysis(spark, d), ["pair"], "id", "y", "segment", SEGMENTS, ["age", "grade"], 50, 20261020)
-    return assoc.calibration(found, ["pair"])
+    return rounded(assoc.calibration(found, ["pair"]))
+
+
+HALVES = f"WITH {L.ANALYSIS}, h0 AS (SELECT * FROM a WHERE id % 2 = 0), h1 AS (SELECT * FROM a WHERE id % 2 = 1), {L.coefficients('m', 'h0', SEGMENTS[0], 'age', None, 30)}, {L.coefficients('o', 'h1', SEGMENTS[0], 'age', None, 30)}"
 
 
-@query("f09_replication")
+@query("f09_replication", f"{HALVES} SELECT pair, term, round(m.estimate, 6) AS estimate, round(o.estimate, 6) AS estimate_2, round(m.p, 6) AS p, round(o.p, 6) AS p_2, sign(m.estimate) = sign(o.estimate) AS same_sign FROM m JOIN o USING (pair, term) WHERE term NOT IN ('intercept', 'age')")
 def f09(spark, d):
     a = analysis(spark, d)
     one = assoc.model_by_group(a.filter("id % 2 = 0"), ["pair"], "y", "segment", SEGMENTS, ["age"], 30).filter("term <> 'intercept' AND term <> 'age'")
     two = assoc.model_by_group(a.filter("id % 2 = 1"), ["pair"], "y", "segment", SEGMENTS, ["age"], 30).select("pair", "term", F.col("estimate").alias("estimate_2"), F.col("p").alias("p_2"))
-    return one.join(two, ["pair", "term"]).select("pair", "term", "estimate", "estimate_2", "p", "p_2", (F.signum("estimate") == F.signum("estimate_2")).alias("same_sign"))
+    return rounded(one.join(two, ["pair", "term"]).select("pair", "term", "estimate", "estimate_2", "p", "p_2", (F.signum("estimate") == F.signum("estimate_2")).alias("same_sign")))
 
 
 @query("f10_sign_test", "WITH s AS (SELECT c_mktsegment, least(count(*) FILTER (WHERE c_acctbal > 4000e0), 12) AS x FROM customer WHERE c_custkey <= 60 GROUP BY 1) SELECT c_mktsegment, x::BIGINT AS x, round(sum(factorial(20)::DOUBLE / (factorial(i)::DOUBLE * factorial(20 - i)::DOUBLE)) / pow(2, 20), 6) AS p FROM s, (SELECT i::INTEGER AS i FROM range(21) q(i)) r WHERE i >= x GROUP BY 1, 2")
