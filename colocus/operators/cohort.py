@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,26 @@ def rolled_up(rows: DataFrame, key: str, fine: str, mapping: dict, classes: list
     return crosstab(rows.withColumn("_class", recoded(F.col(fine), mapping)), key, "_class", classes)
 
 
+def _placed(rows: DataFrame, name: str, bucket: Column, *order: Column | str) -> DataFrame:
+    """Adds the place from 0 in a total order; ``bucket`` (a few hundred values) rises with it, so each bucket is sorted by itself and moved up by the sizes of those before."""
+    t = rows.withColumn("_b", bucket)
+    sizes = t.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # one row per bucket
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return t.join(F.broadcast(before), "_b").withColumn(name, (own + F.col("_before")).cast("long")).drop("_b", "_before")
+
+
+def _range_bucket(rows: DataFrame, column: str, cuts: int = 200) -> Column:
+    """How many of ``cuts`` cut points, picked by hash among the column's values, lie at or below the value; 0 for null."""
+    values = rows.select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct().orderBy(F.xxhash64("v"), "v").limit(cuts).collect()
+    if not values:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(r["v"]) for r in values]), lambda cut: cut <= F.col(column))), F.lit(0))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """row_id from 0 in a total order of the rows. The order is global, so the rows meet in one sort; small tables only."""
-    return rows.withColumn("row_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    """row_id from 0 in a total order of the rows, sorted range by range of the first column."""
+    return _placed(rows, "row_id", _range_bucket(rows, order[0]), *order)
 
 
 def chained(tables: list[DataFrame], key: str) -> DataFrame:
@@ -60,11 +77,11 @@ def mutation_status(samples: DataFrame, genes: DataFrame, hits: DataFrame, panel
 
 
 def shuffled_jointly(rows: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
-    """Moves the given columns together to other rows, by the order of a hash of seed and key."""
-    by_key, by_hash = Window.orderBy(key), Window.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key)
-    place = rows.withColumn("_place", F.row_number().over(by_key))
-    moved = rows.select(F.row_number().over(by_hash).alias("_place"), *columns)
-    return place.drop(*columns).join(moved, "_place").drop("_place")
+    """Moves the given columns together to other rows, by the order of a hash of seed and key; both orders are taken range by range."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+    place = _placed(rows.drop(*columns), "_place", _range_bucket(rows, key), key)
+    moved = _placed(rows.select(key, *columns).withColumn("_h", digest), "_place", F.substring("_h", 1, 2), "_h", key)
+    return place.join(moved.select("_place", *columns), "_place").drop("_place")
 
 
 def cohort_summary(rows: DataFrame, key: str, numbers: list[str]) -> DataFrame:

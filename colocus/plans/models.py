@@ -170,7 +170,7 @@ FROM subjects a JOIN subjects b ON a.event AND (a.time < b.time OR (a.time = b.t
 
 @query("e01_cindex", f"{SUB}, {PAIRS} SELECT round(avg(score), 6) AS c, count(*)::BIGINT AS pairs FROM pairs")
 def e01(spark, d):
-    return E.cindex(subjects(spark, d), [], "user_id").withColumn("c", F.round("c", 6))
+    return E.cindex(subjects(spark, d), []).withColumn("c", F.round("c", 6))
 
 
 MANY = "many AS (SELECT user_id, event, time, m AS model, s AS seed, round(risk + m * 10e0 * sin(user_id * (s + 1)), 6) AS risk FROM subjects CROSS JOIN (SELECT unnest([0, 1]) AS m) CROSS JOIN (SELECT unnest([0, 1, 2]) AS s))"
@@ -189,7 +189,7 @@ def _many_pairs(keys):
 
 @query("e02_seed_mean_cindex", f"{SUB}, {MANY}, {_many_pairs(['model', 'seed'])} SELECT model::BIGINT AS model, round(avg(c), 6) AS c FROM (SELECT model, seed, avg(score) AS c FROM mp GROUP BY 1, 2) GROUP BY 1")
 def e02(spark, d):
-    c = E.cindex(many(spark, d), ["model", "seed"], "user_id")
+    c = E.cindex(many(spark, d), ["model", "seed"])
     return c.groupBy(F.col("model").cast("long").alias("model")).agg(F.round(F.avg("c"), 6).alias("c"))
 
 
@@ -237,10 +237,8 @@ SELECT round(sum(w * CASE WHEN cs.risk > ct.risk THEN 1e0 WHEN cs.risk = ct.risk
 def e06(spark, d):
     rows = subjects(spark, d)
     g = E.kaplan_meier(rows.withColumn("event", ~F.col("event")), []).select("time", F.col("s").alias("g"))
-    case = rows.filter(F.col("event") & (F.col("time") <= AT)).join(g, "time").filter("g > 0").select(F.col("risk").alias("a"), (1 / F.col("g")).alias("w"))
-    control = rows.filter(F.col("time") > AT).select(F.col("risk").alias("b"))
-    score = F.when(F.col("a") > F.col("b"), 1.0).when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
-    return case.crossJoin(control).agg(F.round(F.sum(F.col("w") * score) / F.sum("w"), 6).alias("auc"))
+    case = rows.filter(F.col("event") & (F.col("time") <= AT)).join(g, "time").filter("g > 0").select("risk", (1 / F.col("g")).alias("w"))
+    return E.weighted_auc(case, rows.filter(F.col("time") > AT).select("risk")).select(F.round("auc", 6).alias("auc"))
 
 
 @query("e07_resampled_metrics")
@@ -252,7 +250,7 @@ def e07(spark, d):
 def _cv_c(spark, rows, models, seeds, settings, shuffle=None):
     oof = V.nested_cv(spark, rows, models, seeds, settings, shuffle_spatial=shuffle).select("model", "seed", "id", "risk")
     known = spark.createDataFrame(rows[["id", "time", "event"]])
-    return E.cindex(oof.join(known, "id"), ["model", "seed"], "id")
+    return E.cindex(oof.join(known, "id"), ["model", "seed"])
 
 
 SMALL = V.Settings(outer=3, inner=2, count=3, ratio=0.3)
@@ -522,4 +520,4 @@ def f17(spark, d):
 
 @query("f18_report_rows", f"{SUB}, {PAIRS} SELECT printf('C %.3f over %d pairs', avg(score), count(*)) AS line FROM pairs")
 def f18(spark, d):
-    return E.cindex(subjects(spark, d), [], "user_id").select(F.format_string("C %.3f over %d pairs", "c", "pairs").alias("line"))
+    return E.cindex(subjects(spark, d), []).select(F.format_string("C %.3f over %d pairs", "c", "pairs").alias("line"))

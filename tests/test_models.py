@@ -109,7 +109,7 @@ def test_concordance_against_pairs(spark):
     rng = np.random.default_rng(9)
     t, e, r = rng.integers(1, 15, 80) * 1.0, rng.random(80) < 0.6, rng.integers(0, 8, 80) * 1.0
     df = spark.createDataFrame([(i, bool(b), float(a), float(c)) for i, (a, b, c) in enumerate(zip(t, e, r, strict=True))], "id long, event boolean, time double, risk double")
-    assert S.concordance(t, e, r) == pytest.approx(E.cindex(df, [], "id").first().c)
+    assert S.concordance(t, e, r) == pytest.approx(E.cindex(df, []).first().c)
     assert S.concordance(t, e, -(t + 0.5 * ~e)) == 1.0
     assert E.breslow_loglik(df.withColumn("risk", F.col("risk") / 8), []).first().loglik == pytest.approx(S.log_likelihood(r[:, None] / 8, t, e, np.ones(1))[0])
 
@@ -235,3 +235,28 @@ def test_whole_tables_are_tested(spark):
     for segment, own in customers.groupby("c_mktsegment"):
         x, n = int((own.c_acctbal > 4000).sum()), int((own.c_acctbal != 4000).sum())
         assert found[segment] == (x, n, pytest.approx(sum(math.comb(n, i) for i in range(x, n + 1)) / 2**n))
+
+
+def test_weighted_concordance_auc_and_places_against_pairs(spark):
+    from colocus.operators import cohort
+
+    rng = np.random.default_rng(31)
+    rows = [(i, int(g), bool(e), float(t), float(r), int(w)) for i, (g, e, t, r, w) in enumerate(zip(rng.integers(0, 3, 90), rng.random(90) < 0.5, rng.integers(0, 9, 90), rng.integers(0, 6, 90), rng.integers(1, 4, 90), strict=True))]
+    df = spark.createDataFrame(rows, "id long, g int, event boolean, time double, risk double, w long")
+    want = {}
+    for g in range(3):
+        own = [r for r in rows if r[1] == g]
+        met = [(a[5] * b[5], 0.5 * (a[4] == b[4]) + (a[4] > b[4])) for a in own for b in own if a[2] and (a[3] < b[3] or (a[3] == b[3] and not b[2]))]
+        want[g] = (sum(w * s for w, s in met) / sum(w for w, _ in met), sum(w for w, _ in met))
+    got = {r["g"]: (r["c"], r["pairs"]) for r in E.cindex(df, ["g"], "w").collect()}
+    assert {g: v[1] for g, v in got.items()} == {g: v[1] for g, v in want.items()}
+    assert all(got[g][0] == pytest.approx(want[g][0]) for g in want)
+    assert tuple(E.cindex(df.filter("NOT event"), []).first()) == (None, 0) and E.cindex(df.filter("NOT event"), ["g"]).count() == 0
+    case, control = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    auc = sum(a[5] * (0.5 * (a[4] == b[4]) + (a[4] > b[4])) for a in case for b in control) / sum(a[5] for a in case) / len(control)
+    assert E.weighted_auc(df.filter("event").select("risk", F.col("w").cast("double").alias("w")), df.filter("NOT event").select("risk")).first().auc == pytest.approx(auc)
+    wide = spark.createDataFrame([(None if i % 50 == 0 else f"k{i * 7919 % 1000:04d}", i) for i in range(1000)], "k string, i long")
+    assert [r["row_id"] for r in cohort.numbered(wide, "k", "i").orderBy("k", "i").collect()] == list(range(1000))
+    assert cohort.numbered(wide.limit(0), "k").count() == 0
+    moved = cohort.shuffled_jointly(df, "id", ["risk", "w"], 5).collect()
+    assert len(moved) == 90 and sorted((r["risk"], r["w"]) for r in moved) == sorted((r[4], r[5]) for r in rows)
