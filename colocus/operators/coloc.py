@@ -69,7 +69,7 @@ def enrichment(cells: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def permuted_enrichment(cells: DataFrame, pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """Monte Carlo mean and sd (ddof 1) of the counts per image and class pair; the seed of an image comes from its id."""
+    """Monte Carlo mean and sd (ddof 1) of the counts per image and class pair, labels dealt by ``dealt``."""
     sides = cells.select("image", F.col("cell_id").alias("c"), "class")
     both = sides.select("image", F.lit(0).alias("kind"), F.col("c").alias("p"), F.col("c").alias("q"), F.col("class").cast("long").alias("v"))
     both = both.union(pairs.select("image", F.lit(1), "i", "j", F.lit(None).cast("long")))
@@ -80,10 +80,10 @@ def permuted_enrichment(cells: DataFrame, pairs: DataFrame, permutations: int, s
         ids, (names, label) = points["p"].to_numpy(), np.unique(points["v"].to_numpy(), return_inverse=True)
         edges = pdf[pdf["kind"] == 1].sort_values(["p", "q"])
         i, j = np.searchsorted(ids, edges["p"].to_numpy()), np.searchsorted(ids, edges["q"].to_numpy())
-        rng, t = np.random.default_rng(seeded(seed, image)), len(names)
+        t = len(names)
         found = np.empty((permutations, t * t))
         for r in range(permutations):
-            x = rng.permutation(label)
+            x = dealt(label, seed, r, image)
             low, high = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
             found[r] = np.bincount(low * t + high, minlength=t * t)
         a, b = np.triu_indices(t)
@@ -93,9 +93,20 @@ def permuted_enrichment(cells: DataFrame, pairs: DataFrame, permutations: int, s
     return both.groupBy("image").applyInPandas(run, "image long, a long, b long, perm_mean double, perm_sd double")
 
 
-def seeded(seed: int, key) -> int:
-    """A seed that depends on the run's seed and the key alone, not on order or partitioning."""
-    return int.from_bytes(hashlib.md5(f"{seed}/{key}".encode()).digest()[:8], "little")
+#: A prime below 2^31, so that squares of residues fit 64 bits.
+PRIME = 2_147_483_647
+
+
+def dealt(label: np.ndarray, seed: int, permutation: int, image: int) -> np.ndarray:
+    """The labels of an image's cells (by id) in the order of (a x + b)^2 modulo PRIME, x the cell's place; a and b come from the md5 of seed, permutation and image.
+
+    Whole-number arithmetic on places alone, so the draw does not depend on
+    partitioning and any engine can repeat it.
+    """
+    digest = hashlib.md5(f"{seed}-{permutation}-{image}".encode()).hexdigest()
+    a, b = 1 + int(digest[:8], 16) % (PRIME - 1), int(digest[8:16], 16) % PRIME
+    at = (np.arange(len(label), dtype=np.int64) * a + b) % PRIME
+    return label[np.argsort(at * at % PRIME, kind="stable")]
 
 
 def neighbour_fraction(cells: DataFrame, edges: DataFrame, source: list, target: list) -> DataFrame:
@@ -179,8 +190,8 @@ def permuted_clq(cells: DataFrame, k: int, permutations: int, seed: int, least:
             others = size[None, :] - np.eye(t)
             with np.errstate(divide="ignore", invalid="ignore"):
                 quotient = lambda x: (np.bincount(x[i] * t + x[j], minlength=t * t).reshape(t, t) / size[:, None]) / (others / (n - 1))
-                observed, rng = quotient(label), np.random.default_rng(seeded(seed, image))
-                null = np.stack([quotient(rng.permutation(label)) for _ in range(permutations)])
+                observed = quotient(label)
+                null = np.stack([quotient(dealt(label, seed, r, image)) for r in range(permutations)])
             for a in range(t):
                 for b in range(t):
                     rare = size[a] <= least or size[b] <= least

@@ -1,4 +1,4 @@
-"""SQL of linear models with one factor and one or two covariates, for the oracles of family F.
+"""SQL of linear and Cox models with few columns, for the oracles of families D, E and F.
 
 The factor is solved by centring within its levels, so the covariates are left
 with a system of two equations at most, and everything else is closed form: the
@@ -61,3 +61,17 @@ def permuted(seed: int, permutations: int) -> str:
 place AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM subj),
 dealt AS (SELECT permutation, segment, row_number() OVER (PARTITION BY permutation ORDER BY md5('{seed}-' || permutation::VARCHAR || '-' || id::VARCHAR), id) AS p FROM subj, b),
 perm AS (SELECT a.id, a.pair, a.y, a.age, a.grade, permutation, dealt.segment FROM a JOIN place USING (id) JOIN dealt USING (p))"""
+
+
+def cox(name: str, rows: str, alpha: float, both: bool = True, steps: int = 12) -> str:
+    """CTE ``name`` (bu, bv): Breslow's Cox model of rows (time, event, u, v) less alpha / 2 times the squares, by unrolled Newton steps from 0; without ``both`` v has no part."""
+    out = [f"{name}_b0 AS (SELECT 0e0 AS bu, 0e0 AS bv)"]
+    for i in range(steps):
+        last = i == steps - 1
+        out.append(f"""{name}_w{i} AS (SELECT time, bu, bv, count(*) FILTER (WHERE event) AS d, coalesce(sum(u) FILTER (WHERE event), 0) AS eu, coalesce(sum(v) FILTER (WHERE event), 0) AS ev,
+sum(w) AS w, sum(w * u) AS wu, sum(w * v) AS wv, sum(w * u * u) AS wuu, sum(w * u * v) AS wuv, sum(w * v * v) AS wvv FROM (SELECT *, exp(bu * u + bv * v) AS w FROM {rows}, {name}_b{i}) GROUP BY 1, 2, 3),
+{name}_t{i} AS (SELECT bu, bv, d, eu, ev, sum(w) OVER o AS s, sum(wu) OVER o AS su, sum(wv) OVER o AS sv, sum(wuu) OVER o AS suu, sum(wuv) OVER o AS suv, sum(wvv) OVER o AS svv FROM {name}_w{i} WINDOW o AS (ORDER BY time DESC)),
+{name}_h{i} AS (SELECT bu, bv, sum(eu - d * su / s) - {alpha!r}e0 * bu AS gu, sum(ev - d * sv / s) - {alpha!r}e0 * bv AS gv, sum(d * (suu / s - su / s * su / s)) + {alpha!r}e0 AS huu,
+sum(d * (suv / s - su / s * sv / s)) AS huv, {f"sum(d * (svv / s - sv / s * sv / s)) + {alpha!r}e0" if both else "1e0"} AS hvv FROM {name}_t{i} GROUP BY 1, 2),
+{name if last else f"{name}_b{i + 1}"} AS (SELECT bu + (gu * hvv - gv * huv) / (huu * hvv - huv * huv) AS bu, bv + (gv * huu - gu * huv) / (huu * hvv - huv * huv) AS bv FROM {name}_h{i})""")
+    return ",\n".join(out)

@@ -13,7 +13,7 @@ from colocus.operators import evaluate as E
 from colocus.operators import survival as S
 from colocus.operators import validation as V
 from colocus.plans import linear_sql as L
-from colocus.plans.registry import query
+from colocus.plans.registry import query, rounded
 from colocus.sources.tables import SURVIVAL_SQL, survival, table
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -88,12 +88,61 @@ def d04(spark, d):
     return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(rows["id"], out[:, -2:], strict=True)], "id long, early double, spread double")
 
 
-@query("d06_ridge_cox")
+CLINICAL = f"""{SUB}, raw AS (SELECT user_id, avg(value) AS age, CASE WHEN max(event_id) % 11 > 0 THEN ln(count(*)::DOUBLE) END AS size FROM events GROUP BY 1),
+known AS (SELECT time, event, age, size FROM subjects JOIN raw USING (user_id) WHERE time > 0),
+filled AS (SELECT time, event, age, coalesce(size, quantile_cont(size, 0.5) OVER ()) AS size FROM known),
+ready AS (SELECT time, event, (age - avg(age) OVER ()) / stddev_pop(age) OVER () AS u, (size - avg(size) OVER ()) / stddev_pop(size) OVER () AS v FROM filled)"""
+
+
+@query("d06_ridge_cox", f"{CLINICAL}, {L.cox('fit', 'ready', 1.0)} SELECT unnest(['age', 'size']) AS feature, unnest([round(bu, 6), round(bv, 6)]) AS beta FROM fit")
 def d06(spark, d):
     rows, f = cohort(spark, d), MODELS[0]
     x = S.Preparation(f, rows[list(f.columns)].to_numpy(float))(rows[list(f.columns)].to_numpy(float))
     beta = S.ridge_cox(x, rows["time"].to_numpy(), rows["event"].to_numpy(), 1.0)
-    return spark.createDataFrame(list(zip(f.columns, map(float, beta), strict=True)), "feature string, beta double")
+    return rounded(spark.createDataFrame(list(zip(f.columns, map(float, beta), strict=True)), "feature string, beta double"))
+
+
+@query("d05_block_layout", "SELECT * FROM (VALUES ('clinical', 2, 0, 0, FALSE), ('composition', 2, 3, 0, FALSE), ('spatial', 2, 3, 2, FALSE), ('arrangement', 2, 3, 2, FALSE), ('residual without composition', 2, 0, 2, TRUE)) v(model, clinical, composition, spatial, refused)")
+def d05(spark, d):
+    """Columns of each block of the registered models; residuals of the spatial block need a composition block."""
+    rows = [(f.name, len(f.clinical), len(f.composition), len(f.spatial), False) for f in MODELS]
+    try:
+        S.FeatureSet("residual without composition", ("age", "size"), (), ("early", "spread"), True)
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([*rows, ("residual without composition", 2, 0, 2, refused)], "model string, clinical int, composition int, spatial int, refused boolean")
+
+
+@query("d09_penalty_grid", "SELECT i::BIGINT AS place, round(pow(10, 3 - 5e0 * i / 19), 6) AS alpha FROM range(20) r(i)")
+def d09(spark, d):
+    """The penalties of a model without penalised blocks of its own: 10^3 down to 10^-2, evenly in the exponent."""
+    rows, f = cohort(spark, d), MODELS[0]
+    x = S.Preparation(f, rows[list(f.columns)].to_numpy(float))(rows[list(f.columns)].to_numpy(float))
+    alphas = V.grid(f, x, rows["time"].to_numpy(), rows["event"].to_numpy(), V.Settings())
+    return rounded(spark.createDataFrame([(i, float(a)) for i, a in enumerate(alphas)], "place long, alpha double"))
+
+
+FITS = " UNION ALL ".join(f"SELECT {a}e0 AS alpha, unnest(['age', 'size']) AS feature, unnest([round(bu, 6), round(bv, 6)]) AS beta FROM fit{i}" for i, a in enumerate((1000, 10, 0.1)))
+
+
+@query("d11_fit_each_penalty", f"{CLINICAL}, {', '.join(L.cox(f'fit{i}', 'ready', a) for i, a in enumerate((1000.0, 10.0, 0.1)))} {FITS}")
+def d11(spark, d):
+    """A fit for every penalty, one task each; a fit that fails has no rows."""
+    rows, f = cohort(spark, d), MODELS[0]
+    x = S.Preparation(f, rows[list(f.columns)].to_numpy(float))(rows[list(f.columns)].to_numpy(float))
+    alphas = [1000.0, 10.0, 0.1]
+    beta = V.path(f, x, rows["time"].to_numpy(), rows["event"].to_numpy(), alphas, V.Settings())
+    found = [(a, c, float(beta[i, j])) for j, a in enumerate(alphas) for i, c in enumerate(f.columns) if pd.notna(beta[i, j])]
+    return rounded(spark.createDataFrame(found, "alpha double, feature string, beta double"))
+
+
+@query("d12_final_fit", f"{CLINICAL}, {L.cox('fit', 'ready', 10.0)} SELECT 10e0 AS alpha, round(bu, 6) AS age, round(bv, 6) AS size FROM fit")
+def d12(spark, d):
+    """The refit on all subjects at a chosen penalty, with the penalty that was fitted."""
+    rows, f = cohort(spark, d), MODELS[0]
+    _, beta, alpha = V.final_fit(f, rows[list(f.columns)].to_numpy(float), rows["time"].to_numpy(), rows["event"].to_numpy(), 10.0, pd.Series([100.0, 10.0, 1.0]).to_numpy(), V.Settings())
+    return rounded(spark.createDataFrame([(alpha, *map(float, beta))], "alpha double, age double, size double"))
 
 
 @query("d07_partial_likelihood", f"{SUB}, w AS (SELECT time, sum(exp(risk / 100e0)) AS w FROM subjects GROUP BY 1), s AS (SELECT time, sum(w) OVER (ORDER BY time DESC) AS s FROM w) SELECT round(sum(risk / 100e0 - ln(s)), 4) AS loglik FROM subjects JOIN s USING (time) WHERE event")
@@ -220,11 +269,11 @@ def e04(spark, d):
     return out.select(*[F.round(x, 6).alias(x) for x in out.columns])
 
 
-@query("e05_calibration_slope")
+@query("e05_calibration_slope", f"{SUB}, ready AS (SELECT time, event, risk / 100e0 AS u, 0e0 AS v FROM subjects), {L.cox('fit', 'ready', 0.0, False)} SELECT round(bu, 6) AS slope FROM fit")
 def e05(spark, d):
     rows = subjects(spark, d).toPandas()  # a cohort
     slope = V.calibration_slope(rows["time"].to_numpy(), rows["event"].to_numpy(), rows["risk"].to_numpy() / 100)
-    return spark.createDataFrame([(float(slope),)], "slope double")
+    return rounded(spark.createDataFrame([(float(slope),)], "slope double"))
 
 
 AT = 20.0
@@ -364,11 +413,6 @@ def f01(spark, d):
 OLS = f"WITH {L.ANALYSIS}, {L.coefficients('m', 'a', SEGMENTS[0], 'age', 'grade')}"
 
 
-def rounded(df, *kept):
-    """Six digits of all doubles but the columns named."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in kept else F.col(c) for c, t in df.dtypes])
-
-
 @query("f02_ols_by_group", f"{OLS} SELECT pair, term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, n FROM m")
 def f02(spark, d):
     """With F03 and F05: standard errors, intervals and contrasts against the first level."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,3 +22,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All doubles to so many digits."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

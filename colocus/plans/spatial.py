@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colocus.operators import coloc, graph
-from colocus.plans.registry import query
+from colocus.plans.registry import query, rounded
 from colocus.sources.tables import CELLS_BIG_SQL, CELLS_SQL, cells, cells_big, table
 
 K = 8
@@ -31,6 +31,15 @@ prob AS (SELECT *, CASE WHEN a = b THEN na::DOUBLE * (na - 1) ELSE 2.0e0 * na *
 mom AS (SELECT *, m * e1 AS mean, m * e1 + k * e2 + (m * (m - 1) - k) * e3 - m * e1 * m * e1 AS var FROM prob)"""
 
 
+def dealt_sql(seed: int, permutations: int) -> str:
+    """CTE ``lab`` (image, r, cell_id, class): the labels of ``cells`` as coloc.dealt deals them."""
+    p = coloc.PRIME
+    return f"""draw AS (SELECT image, r, 1 + ('0x' || substr(h, 1, 8))::BIGINT % {p - 1} AS ra, ('0x' || substr(h, 9, 8))::BIGINT % {p} AS rb FROM (SELECT image, r, md5('{seed}-' || r::VARCHAR || '-' || image::VARCHAR) AS h FROM (SELECT DISTINCT image FROM cells), range({permutations}) q(r))),
+place AS (SELECT image, cell_id, class, row_number() OVER (PARTITION BY image ORDER BY cell_id) - 1 AS x FROM cells),
+dealt AS (SELECT image, r, class, row_number() OVER (PARTITION BY image, r ORDER BY y * y % {p}, x) - 1 AS x FROM (SELECT image, r, class, x, (x * ra + rb) % {p} AS y FROM place JOIN draw USING (image))),
+lab AS (SELECT image, r, cell_id, dealt.class FROM dealt JOIN place USING (image, x))"""
+
+
 def _graph(spark, d):
     c = cells(spark, d)
     edges = graph.knn(c, K)
@@ -58,10 +67,14 @@ def b03(spark, d):
     return coloc.pair_counts(c, pairs).select("image", "a", "b", "observed")
 
 
-@query("b04_permutation_null")
+NULL = f"""{GRAPH}, {dealt_sql(12345, 200)}, hits AS (SELECT und.image, p.r, least(p.class, q.class) AS a, greatest(p.class, q.class) AS b, count(*) AS n FROM und JOIN lab p ON p.image = und.image AND p.cell_id = i JOIN lab q ON q.image = und.image AND q.cell_id = j AND q.r = p.r GROUP BY 1, 2, 3, 4),
+kinds AS (SELECT DISTINCT image, class FROM cells), cases AS (SELECT x.image, x.class AS a, y.class AS b, r FROM kinds x JOIN kinds y ON x.image = y.image AND x.class <= y.class, range(200) q(r))"""
+
+
+@query("b04_permutation_null", f"{NULL} SELECT image, a::BIGINT AS a, b::BIGINT AS b, round(avg(coalesce(n, 0)), 6) AS perm_mean, round(stddev_samp(coalesce(n, 0)), 6) AS perm_sd FROM cases LEFT JOIN hits USING (image, a, b, r) GROUP BY 1, 2, 3")
 def b04(spark, d):
     c, _, pairs = _graph(spark, d)
-    return coloc.permuted_enrichment(c, pairs, 200, 12345)
+    return rounded(coloc.permuted_enrichment(c, pairs, 200, 12345))
 
 
 @query("b05_exact_moments", f"{GRAPH}, {MOMENTS} SELECT image, a, b, round(mean, 6) AS mean, round(var, 6) AS var FROM mom")
@@ -216,9 +229,16 @@ def b21_keep(spark, d):
     return coloc.clq(c, [10], keep_unknown=True).select("image", "a", "b", "count", F.round("clq_k", 6).alias("clq_k"))
 
 
-@query("b22_clq_permutation")
+QUOTIENTS = f"""{clq_sql([10])}, {dealt_sql(20261019, 100)}, hits AS (SELECT knn.image, p.r, p.class AS a, q.class AS b, count(*) AS n FROM knn JOIN lab p ON p.image = knn.image AND p.cell_id = src JOIN lab q ON q.image = knn.image AND q.cell_id = dst AND q.r = p.r GROUP BY 1, 2, 3, 4),
+null_q AS (SELECT image, a, b, clq, (coalesce(n, 0)::DOUBLE / n_a) / ((n_b - CASE WHEN a = b THEN 1 ELSE 0 END)::DOUBLE / (n_typed - 1)) AS x FROM (SELECT * FROM clq, range(100) q(r)) LEFT JOIN hits USING (image, a, b, r)),
+means AS (SELECT *, avg(x) OVER (PARTITION BY image, a, b) AS m FROM null_q),
+found AS (SELECT image, a, b, any_value(clq) AS clq, any_value(m) AS m, stddev_samp(x) AS sd, count(*) FILTER (WHERE x < clq) / 100e0 AS share, (1 + count(*) FILTER (WHERE abs(x - m) >= abs(clq - m) - 1e-12)) / 101e0 AS p FROM means GROUP BY 1, 2, 3)"""
+
+
+@query("b22_clq_permutation", f"""{QUOTIENTS} SELECT image, a::BIGINT AS a, b::BIGINT AS b, round(clq, 6) AS clq, CASE WHEN clq IS NOT NULL THEN round(m, 6) END AS perm_mean, CASE WHEN clq IS NOT NULL THEN round(sd, 6) END AS perm_sd, CASE WHEN clq IS NOT NULL THEN round(share, 6) END AS percentile,
+CASE WHEN clq IS NOT NULL THEN share <= 0.05e0 OR share >= 0.95e0 END AS significant, CASE WHEN clq IS NOT NULL THEN round(p, 6) END AS p_two_sided FROM found""")
 def b22(spark, d):
-    return coloc.permuted_clq(cells(spark, d), 10, 100, 20261019)
+    return rounded(coloc.permuted_clq(cells(spark, d), 10, 100, 20261019))
 
 
 @query("b23_patient_clq", f"{clq_sql([10])} SELECT image // 2 AS patient, a, b, round(sum(clq * n_typed) / sum(CASE WHEN clq IS NOT NULL THEN n_typed END), 4) AS clq, count(clq)::BIGINT AS n_images FROM clq GROUP BY 1, 2, 3")
