@@ -201,6 +201,26 @@ def decay(cells: DataFrame, assigned: DataFrame, bandwidth: float = 100.0, facto
     return grid.join(d, ["image", "cell_id", "class"], "left").select("image", "cell_id", "class", F.coalesce(factor * (1 - F.col("d") / bandwidth), F.lit(0.0)).alias("beta"))
 
 
+def neighbour_update(scored: DataFrame, edges: DataFrame, settled: DataFrame, beta: DataFrame) -> DataFrame:
+    """One mean-field step: image, cell_id, class, p, the softmax over classes of f + beta * (chances of the settled neighbours of the class).
+
+    scored: image, cell_id, class, f of the cells still open; edges: image, src,
+    dst; settled: image, cell_id, class, chance; beta: image, cell_id, class, beta.
+    """
+    heard = edges.join(settled.select("image", F.col("cell_id").alias("dst"), "class", "chance"), ["image", "dst"]).groupBy("image", F.col("src").alias("cell_id"), "class").agg(F.sum("chance").alias("_heard"))
+    t = scored.select("image", "cell_id", "class", "f").join(heard, ["image", "cell_id", "class"], "left").join(beta, ["image", "cell_id", "class"], "left")
+    t = t.withColumn("_u", F.col("f") + F.coalesce("beta", F.lit(0.0)) * F.coalesce("_heard", F.lit(0.0)))
+    cell = Window.partitionBy("image", "cell_id")
+    t = t.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(cell)))
+    return t.select("image", "cell_id", "class", (F.col("_e") / F.sum("_e").over(cell)).alias("p"))
+
+
+def moved_levels(ep: DataFrame, settled: DataFrame, signature: DataFrame) -> DataFrame:
+    """The signature table with each level halfway to the mean probability of the class's settled cells; classes without any keep theirs."""
+    mean = ep.join(settled.select("image", "cell_id", "class"), ["image", "cell_id"]).groupBy("class", "marker").agg(F.avg("ep").alias("_m"))
+    return signature.join(mean, ["class", "marker"], "left").withColumn("level", (F.coalesce("_m", F.col("level").cast("double")) + F.col("level")) / 2).select(*signature.columns)
+
+
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A fixed sample of n rows: the first by the md5 of seed and key, the same however the rows lie."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key).limit(n)

@@ -80,12 +80,26 @@ def cohort(spark, d) -> pd.DataFrame:
     return rows.sort_values("id").reset_index(drop=True)
 
 
-@query("d04_residual_spatial")
+def _beyond(over: str) -> str:
+    gone = lambda x, y: f"{x} - {y} * (sum({x} * {y}) OVER () / sum({y} * {y}) OVER ()) AS {x}"
+    names, rows = ["l1", "l2", "lt", "early", "spread"], over
+    for i, y in enumerate(names[:3]):
+        rows = f"(SELECT id, {', '.join([*names[: i + 1], *[gone(x, y) for x in names[i + 1 :]]])} FROM {rows})"
+    return rows
+
+
+BEYOND = f"""{SUB}, raw AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'click') + 0.5e0 AS c, count(*) FILTER (WHERE event_type = 'error') + 0.5e0 AS r, count(*) FILTER (WHERE event_type = 'view') + 0.5e0 AS w,
+avg(value) FILTER (WHERE event_type = 'view') AS early, stddev_samp(value) AS spread FROM events GROUP BY 1),
+known AS (SELECT id, ln(c) - (ln(c) + ln(r) + ln(w)) / 3 AS l1, ln(r) - (ln(c) + ln(r) + ln(w)) / 3 AS l2, ln(c + r + w - 1.5e0 + 1) AS lt, coalesce(early, quantile_cont(early, 0.5) OVER ()) AS early, coalesce(spread, quantile_cont(spread, 0.5) OVER ()) AS spread FROM subjects JOIN raw ON id = user_id WHERE time > 0),
+mid AS (SELECT id, {', '.join(f'{x} - avg({x}) OVER () AS {x}' for x in ('l1', 'l2', 'lt', 'early', 'spread'))} FROM known)"""
+
+
+@query("d04_residual_spatial", f"{BEYOND} SELECT id, round(early / stddev_pop(early) OVER (), 6) AS early, round(spread / stddev_pop(spread) OVER (), 6) AS spread FROM {_beyond('mid')}")
 def d04(spark, d):
     rows = cohort(spark, d)
     f = MODELS[3]
     out = S.Preparation(f, rows[list(f.columns)].to_numpy(float))(rows[list(f.columns)].to_numpy(float))
-    return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(rows["id"], out[:, -2:], strict=True)], "id long, early double, spread double")
+    return rounded(spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(rows["id"], out[:, -2:], strict=True)], "id long, early double, spread double"))
 
 
 CLINICAL = f"""{SUB}, raw AS (SELECT user_id, avg(value) AS age, CASE WHEN max(event_id) % 11 > 0 THEN ln(count(*)::DOUBLE) END AS size FROM events GROUP BY 1),
@@ -162,6 +176,16 @@ def d08(spark, d):
     return spark.createDataFrame([(float(a), c, float(beta[i, j])) for j, a in enumerate(alphas) for i, c in enumerate(f.columns)], "alpha double, feature string, beta double")
 
 
+@query("d10_path_reach", "SELECT i::BIGINT AS place, TRUE AS fitted FROM range(6) r(i)")
+def d10(spark, d):
+    """The chosen grid is one whose path fits to its end; a path that diverges loses its smallest penalties only."""
+    rows, f = cohort(spark, d), MODELS[2]
+    raw = rows[list(f.columns)].to_numpy(float)
+    x, time, event = S.Preparation(f, raw)(raw), rows["time"].to_numpy(), rows["event"].to_numpy()
+    ladder = V.Ladder(f, x, time, event, V.grid(f, x, time, event, QUICK), QUICK)
+    return spark.createDataFrame([(i, i in ladder.fits) for i in range(len(ladder.alphas))], "place long, fitted boolean")
+
+
 RISK = "round(0.5e0 * floor(o_totalprice / 1000e0) - 0.25e0 * (o_custkey % 7), 2)"
 
 

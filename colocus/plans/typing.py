@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from colocus.operators import agreement as A
 from colocus.operators import celltype as T
+from colocus.operators import graph
 from colocus.operators import mixture as M
-from colocus.plans.registry import query
+from colocus.plans.registry import query, rounded
+from colocus.plans.spatial import knn_sql
 from colocus.sources.tables import CELLS_SQL, EXPRESSION_SQL, cells, expression, table
 
 SIGNATURE = T.Signature((
@@ -66,9 +68,23 @@ def c03(spark, d):
     return T.without_some_zeros(e).groupBy("marker").agg(F.count("*").alias("n"), F.count(F.when(zero, 1)).alias("zeros"), F.sum(F.when(zero, F.col("cell_id")).otherwise(0)).alias("ids"))
 
 
-@query("c04_mixture_fit")
+#: Binned expectation steps as a recursion; no value of these markers is exactly zero, so nothing is removed before.
+MIXTURE_SQL = f"""WITH RECURSIVE {VALUES_SQL}, ends AS (SELECT marker, min(value) AS lo, max(value) AS hi FROM vals GROUP BY 1),
+raw AS (SELECT marker, least(floor((value - lo) / (hi - lo) * {M.BINS}), {M.BINS - 1}) AS bin, count(*)::DOUBLE AS n, sum(value) AS s, sum(value * value) AS q FROM vals JOIN ends USING (marker) GROUP BY 1, 2),
+mid AS (SELECT marker, sum(n) AS size, sum(s) / sum(n) AS centre FROM raw GROUP BY 1),
+z AS MATERIALIZED (SELECT marker, bin, n, s - centre * n AS s, q - 2 * centre * s + centre * centre * n AS q, (s - centre * n) / n AS x, sum(n) OVER (PARTITION BY marker ORDER BY bin) AS upto, size FROM raw JOIN mid USING (marker)),
+tot AS MATERIALIZED (SELECT marker, sum(n) AS tn, sum(s) AS ts, sum(q) AS tq, arg_min(x, bin) FILTER (WHERE upto > 0.25e0 * (size - 1)) AS x1, arg_min(x, bin) FILTER (WHERE upto > 0.75e0 * (size - 1)) AS x2 FROM z GROUP BY 1),
+em AS (SELECT marker, 0 AS it, x1 AS m1, x2 AS m2, greatest((tq / tn - (ts / tn) ** 2) / 4, 1e-6) AS v1, greatest((tq / tn - (ts / tn) ** 2) / 4, 1e-6) AS v2, -1e300 AS reached, FALSE AS done FROM tot
+UNION ALL SELECT marker, it + 1, (ts - us) / greatest(tn - un, 1e-12), us / greatest(un, 1e-12), greatest((tq - uq) / greatest(tn - un, 1e-12) - ((ts - us) / greatest(tn - un, 1e-12)) ** 2, 1e-6), greatest(uq / greatest(un, 1e-12) - (us / greatest(un, 1e-12)) ** 2, 1e-6), ll, ll - reached < 1e-8 * abs(ll)
+FROM (SELECT marker, it, reached, tn, ts, tq, sum(c * n) AS un, sum(c * s) AS us, sum(c * q) AS uq, sum(n * (f + greatest(lead, 0) + ln(1 + exp(-abs(lead))))) - tn * ln(2 * pi()) / 2 AS ll
+FROM (SELECT *, 1 / (1 + exp(least(-lead, 700e0))) AS c FROM (SELECT *, -((x - m2) ** 2) / (2 * v2) - ln(v2) / 2 - f AS lead FROM (SELECT marker, it, m1, m2, v1, v2, reached, tn, ts, tq, n, s, q, x, -((x - m1) ** 2) / (2 * v1) - ln(v1) / 2 AS f FROM em JOIN z USING (marker) JOIN tot USING (marker) WHERE NOT done AND it < 300))) GROUP BY 1, 2, 3, 4, 5, 6)),
+models AS (SELECT marker, least(m1, m2) + centre AS m1, greatest(m1, m2) + centre AS m2, CASE WHEN m1 <= m2 THEN v1 ELSE v2 END AS v1, CASE WHEN m1 <= m2 THEN v2 ELSE v1 END AS v2 FROM (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY it DESC) AS last FROM em) JOIN mid USING (marker) WHERE last = 1)"""
+FITTED = "marker, round(m1, 6) AS m1, round(m2, 6) AS m2, round(v1, 6) AS v1, round(v2, 6) AS v2"
+
+
+@query("c04_mixture_fit", f"{MIXTURE_SQL} SELECT {FITTED} FROM models")
 def c04(spark, d):
-    return M.fit_markers(T.without_some_zeros(values(spark, d)))
+    return rounded(M.fit_markers(T.without_some_zeros(values(spark, d))))
 
 
 CROSS_SQL = """cross0 AS (SELECT *, 0.5e0 / v2 - 0.5e0 / v1 AS a, m1 / v1 - m2 / v2 AS b, 0.5e0 * (m2 * m2 / v2 - m1 * m1 / v1) + 0.5e0 * ln(v2 / v1) AS c, 0.5e0 * (m1 + m2) AS mid FROM models),
@@ -81,10 +97,10 @@ def c05(spark, d):
     return m.select("marker", F.round(T.crossing(F.col("m1"), F.col("m2"), F.col("v1"), F.col("v2")), 6).alias("xc"))
 
 
-@query("c06_marker_models")
+@query("c06_marker_models", f"{MIXTURE_SQL}, {CROSS_SQL} SELECT {FITTED}, round(CASE WHEN lo BETWEEN m1 AND m2 THEN lo WHEN hi BETWEEN m1 AND m2 THEN hi WHEN abs(lo - mid) <= abs(hi - mid) THEN lo ELSE hi END, 6) AS xc FROM cross2")
 def c06(spark, d):
     fit = M.fit_markers(T.without_some_zeros(values(spark, d)))
-    return fit.withColumn("xc", T.crossing(F.col("m1"), F.col("m2"), F.col("v1"), F.col("v2")))
+    return rounded(fit.withColumn("xc", T.crossing(F.col("m1"), F.col("m2"), F.col("v1"), F.col("v2"))))
 
 
 @query("c07_ep_reference", f"{EP_SQL} SELECT cell_id, marker, ep FROM ep")
@@ -139,6 +155,87 @@ def c17(spark, d):
     return T.decay(c, c.filter("class < 3 AND cell_id % 4 = 0"), 0.4, 5.0).withColumn("beta", F.round("beta", 6))
 
 
+def refused(make) -> bool:
+    try:
+        make()
+    except ValueError:
+        return True
+    return False
+
+
+def _checks(spark, cases):
+    return spark.createDataFrame([(name, refused(make)) for name, make in cases.items()], "case string, refused boolean")
+
+
+@query("c11_signature_checks", "SELECT * FROM (VALUES ('sound', FALSE), ('class twice', TRUE), ('no marker', TRUE), ('level of two', TRUE), ('parent unknown', TRUE), ('parent of the same round', TRUE), ('two parents in a round', TRUE)) v(\"case\", refused)")
+def c11(spark, d):
+    """Which faults of a signature are refused."""
+    a, b = T.Kind("A", {"m0": 1}), T.Kind("B", {"m1": 1})
+    sub = lambda name, parent, at=2: T.Kind(name, {"m2": 1}, at, parent)
+    return _checks(spark, {
+        "sound": lambda: T.Signature((a, b, sub("A1", "A"))), "class twice": lambda: T.Signature((a, a)), "no marker": lambda: T.Signature((a, T.Kind("B", {}))),
+        "level of two": lambda: T.Signature((T.Kind("A", {"m0": 2}),)), "parent unknown": lambda: T.Signature((a, sub("X", "C"))),
+        "parent of the same round": lambda: T.Signature((a, sub("X", "A", 1))), "two parents in a round": lambda: T.Signature((a, b, sub("X", "A"), sub("Y", "B"))),
+    })
+
+
+@query("c12_rounds", "SELECT * FROM (VALUES (1::BIGINT, NULL, 'A,B,C'), (2::BIGINT, 'A', 'A1,A2')) v(round, parent, classes)")
+def c12(spark, d):
+    """The rounds of the signature with the class that each refines."""
+    return spark.createDataFrame([(r, SIGNATURE.parent_of(r), ",".join(k.name for k in SIGNATURE.of_round(r))) for r in SIGNATURE.rounds()], "round long, parent string, classes string")
+
+
+@query("c13_config_checks", "SELECT * FROM (VALUES ('defaults', FALSE), ('no neighbours', TRUE), ('bandwidth of zero', TRUE), ('factor below zero', TRUE), ('no iterations', TRUE), ('change above one', TRUE)) v(\"case\", refused)")
+def c13(spark, d):
+    """Which settings of the typing are refused."""
+    return _checks(spark, {
+        "defaults": M.TypingConfig, "no neighbours": lambda: M.TypingConfig(neighbours=0), "bandwidth of zero": lambda: M.TypingConfig(bandwidth=0.0),
+        "factor below zero": lambda: M.TypingConfig(factor=-1.0), "no iterations": lambda: M.TypingConfig(iterations=0), "change above one": lambda: M.TypingConfig(least_change=1.5),
+    })
+
+
+#: Settled: cells whose best class has f of 0.36 or more; the rest are open.
+SETTLED = f"{SCORE_SQL}, settled AS (SELECT image, cell_id, best.class, f AS chance FROM best JOIN f USING (image, cell_id, class) WHERE f >= 0.36e0)"
+
+
+def settled(scores):
+    best = T.best_class(scores).drop("class_index").join(scores, ["image", "cell_id", "class"])
+    return best.filter("f >= 0.36").select("image", "cell_id", "class", F.col("f").alias("chance"))
+
+
+@query("c18_mean_field", f"""{SETTLED}, {CELLS_SQL}, {knn_sql(5)}, open AS (SELECT f.* FROM f ANTI JOIN settled USING (image, cell_id)),
+heard AS (SELECT k.image, src AS cell_id, s.class, sum(chance) AS heard FROM knn k JOIN settled s ON s.image = k.image AND s.cell_id = dst GROUP BY 1, 2, 3),
+gap AS (SELECT c.image, c.cell_id, s.class, min(sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y))) AS gap FROM cells c JOIN settled s ON s.image = c.image JOIN cells a ON a.cell_id = s.cell_id GROUP BY 1, 2, 3),
+u AS (SELECT open.image, open.cell_id, open.class, open.f + CASE WHEN gap < 1e0 THEN 5 * (1 - gap / 1e0) ELSE 0e0 END * coalesce(heard, 0e0) AS u FROM open LEFT JOIN gap ON gap.cell_id = open.cell_id AND gap.class = open.class LEFT JOIN heard ON heard.cell_id = open.cell_id AND heard.class = open.class),
+e AS (SELECT *, exp(u - max(u) OVER (PARTITION BY cell_id)) AS e FROM u) SELECT image, cell_id, class, round(e / sum(e) OVER (PARTITION BY cell_id), 6) AS p FROM e""")
+def c18(spark, d):
+    """One mean-field step on the open cells, over tables of cells and edges."""
+    scores, c = scored(spark, d), cells(spark, d)
+    done = settled(scores)
+    pull = T.decay(c, done.join(c.select("image", "cell_id", "x", "y"), ["image", "cell_id"]), 1.0, 5.0)
+    return rounded(T.neighbour_update(scores.join(done, ["image", "cell_id"], "left_anti"), graph.knn(c, 5), done, pull))
+
+
+@query("c19_moved_levels", f"{SETTLED} SELECT sig.class, sig.marker, round((coalesce(avg(ep) FILTER (WHERE settled.cell_id IS NOT NULL), any_value(level)) + any_value(level)) / 2, 6) AS level FROM sig LEFT JOIN ep ON ep.marker = sig.marker LEFT JOIN settled ON settled.image = ep.image AND settled.cell_id = ep.cell_id AND settled.class = sig.class GROUP BY 1, 2")
+def c19(spark, d):
+    """The signature halfway to the settled cells' mean probabilities."""
+    return rounded(T.moved_levels(probabilities(spark, d), settled(scored(spark, d)), FIRST.table(spark)).select("class", "marker", "level"))
+
+
+@query("c20_lineage_rounds")
+def c20(spark, d):
+    """By image and round: the cells that were candidates (not artefacts, of the parent class) and those that a class of the round took."""
+    t = c21(spark, d).filter("NOT artefact")
+    parts = []
+    for r in SIGNATURE.rounds():
+        names, parent = [k.name for k in SIGNATURE.of_round(r)], SIGNATURE.parent_of(r)
+        below = {k.name for k in SIGNATURE.kinds if k.parent in names}
+        took = F.col("label").isin(*names, *below)
+        candidate = F.lit(True) if parent is None else took | (F.col("label") == parent)
+        parts.append(t.groupBy("image").agg(F.count_if(candidate).alias("candidates"), F.count_if(took).alias("assigned")).withColumn("round", F.lit(r)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("c21_typing")
 def c21(spark, d):
     """C18 to C20 run inside: mean-field steps, signature updates and lineage rounds."""
