@@ -526,12 +526,13 @@ def f10(spark, d):
     return s.select("c_mktsegment", "x", F.round(tail / 2.0**20, 6).alias("p"))
 
 
-@query("f10_sign_test_whole")
+@query("f10_sign_test_whole", """WITH s AS (SELECT c_mktsegment, count(*) FILTER (WHERE c_acctbal > 4000e0) AS x, count(*) FILTER (WHERE c_acctbal <> 4000e0) AS n FROM customer GROUP BY 1)
+SELECT c_mktsegment, x, n, round(sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) - n * ln(2e0))), 6) AS p FROM s JOIN (SELECT i FROM range(0, (SELECT max(n) + 1 FROM s)) r(i)) ON i >= x AND i <= n GROUP BY 1, 2, 3""")
 def f10_whole(spark, d):
     """F10 over all customers, n from the data without values at the centre; f10_sign_test has a subset and a fixed n."""
     over = F.col("c_acctbal") - 4000.0
     s = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.when(over > 0, 1)).alias("x"), F.count(F.when(over != 0, 1)).alias("n"))
-    return s.withColumn("p", F.udf(sign_tail, "double")("x", "n"))
+    return rounded(s.withColumn("p", F.udf(sign_tail, "double")("x", "n")))
 
 
 LOKO = "t AS (SELECT event_type AS pair, user_id % 3 AS k, avg(value) - 45e0 AS e, count(*) FILTER (WHERE value > 150e0)::DOUBLE / count(*) AS p FROM events GROUP BY 1, 2)"

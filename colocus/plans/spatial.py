@@ -168,9 +168,17 @@ def b14(spark, d):
     return graph.symmetric(_graph(spark, d)[1]).withColumn("dist", F.round("dist", 6))
 
 
-@query("b15_delaunay")
+#: All triangles whose circle holds no other point: cubic in an image's cells, for small tables.
+DELAUNAY = f"""WITH {CELLS_SQL}, tri AS (SELECT a.image, a.cell_id AS i, b.cell_id AS j, c.cell_id AS k, a.x AS x, a.y AS y, b.x - a.x AS ux, b.y - a.y AS uy, c.x - a.x AS vx, c.y - a.y AS vy
+FROM cells a JOIN cells b ON a.image = b.image AND a.cell_id < b.cell_id JOIN cells c ON b.image = c.image AND b.cell_id < c.cell_id),
+circle AS (SELECT image, i, j, k, x + (vy * (ux * ux + uy * uy) - uy * (vx * vx + vy * vy)) / (2 * (ux * vy - uy * vx)) AS ox, y + (ux * (vx * vx + vy * vy) - vx * (ux * ux + uy * uy)) / (2 * (ux * vy - uy * vx)) AS oy, x, y FROM tri WHERE abs(ux * vy - uy * vx) > 1e-14),
+empty AS (SELECT image, i, j, k FROM circle t WHERE NOT EXISTS (SELECT 1 FROM cells p WHERE p.image = t.image AND p.cell_id NOT IN (t.i, t.j, t.k) AND pow(p.x - ox, 2) + pow(p.y - oy, 2) < (pow(t.x - ox, 2) + pow(t.y - oy, 2)) * (1 - 1e-9))),
+side AS (SELECT image, i, j FROM empty UNION SELECT image, j, k FROM empty UNION SELECT image, i, k FROM empty)"""
+
+
+@query("b15_delaunay", f"{DELAUNAY} SELECT side.image, i, j, round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)), 6) AS dist FROM side JOIN cells p ON p.cell_id = i JOIN cells q ON q.cell_id = j WHERE sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 3e0")
 def b15(spark, d):
-    return graph.delaunay(cells(spark, d), 3.0)
+    return rounded(graph.delaunay(cells(spark, d), 3.0))
 
 
 @query("b16_edge_weights", f"{SYM} SELECT image, src, dst, round(1 / greatest(dist, 1e-12), 6) AS inverse, round(exp(-(dist * dist) / (2.0e0 * 0.5e0 * 0.5e0)), 6) AS gaussian FROM sym")
