@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colocus.llm import html_main, jaccard_join, lm_trie, mixing, packing, quality_rules, spot_signatures, suffix_dedup, token_files, warc
+from colocus.llm import html_main, jaccard_join, lm_trie, mixing, packing, quality_rules, simhash, spot_signatures, suffix_dedup, token_files, warc, whitening
 
 QUERIES = {
     "op1_lm_trie": lm_trie.op1_lm_trie,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html_main": html_main.op8_html_main,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 
