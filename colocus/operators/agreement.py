@@ -11,7 +11,12 @@ def agreement(rows: DataFrame, truth: str, label: str, unassigned: str) -> DataF
 
     One pass makes the contingency table; kappa follows from its margins.
     """
-    table = rows.groupBy(F.col(truth).alias("t"), F.col(label).alias("p")).agg(F.count("*").alias("n")).withColumn("on", F.col("p") != unassigned)
+    return agreement_of(rows.groupBy(F.col(truth).alias("t"), F.col(label).alias("p")).agg(F.count("*").alias("n")), unassigned)
+
+
+def agreement_of(table: DataFrame, unassigned: str) -> DataFrame:
+    """As agreement, from a contingency table (t, p, n)."""
+    table = table.withColumn("on", F.col("p") != unassigned)
     own = table.filter("on")
     rows_t = own.groupBy(F.col("t").alias("c")).agg(F.sum("n").alias("nt"))
     rows_p = own.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("np"))

@@ -156,7 +156,7 @@ def clq(cells: DataFrame, ks: list[int], least: int = 5, keep_unknown: bool = Fa
     base = cells if keep_unknown else cells.filter("class IS NOT NULL")
     sizes = base.groupBy("image").agg(F.count("*").alias("n_all"), F.count("class").alias("n_typed")).filter(F.col("n_all") > max(ks))
     base = base.join(sizes.select("image"), "image", "left_semi")
-    edges = graph.knn(base, max(ks)) if edges is None else edges
+    edges = graph.knn_tiled(base, max(ks)) if edges is None else edges
     label = base.filter("class IS NOT NULL").select("image", "cell_id", "class")
     t = edges.join(label.select("image", F.col("cell_id").alias("src"), F.col("class").alias("a")), ["image", "src"]).join(label.select("image", F.col("cell_id").alias("dst"), F.col("class").alias("b")), ["image", "dst"])
     # one pass: the rank counts for every k from it on

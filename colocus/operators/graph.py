@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colocus.sources.files import scratch
+
 EDGE = "image long, src long, dst long, rank long, d2 double"
 
 
@@ -26,19 +29,20 @@ def knn(cells: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(near).cast("long")).filter(F.col("rank") <= k).select("image", "src", "dst", "rank", "d2")
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, rows: int = 2_000_000) -> tuple[np.ndarray, ...]:
-    """src, dst, rank and d2 of one image, in blocks that bound the distance matrix."""
+def nearest(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = None, rows: int = 2_000_000) -> tuple[np.ndarray, ...]:
+    """src, dst, rank and d2 among the given cells, for all of them or those that ``own`` marks; in blocks that bound the distance matrix."""
     order = np.argsort(ids, kind="stable")
     ids, x, y = ids[order], x[order], y[order]
+    asked = np.arange(len(ids)) if own is None else np.flatnonzero(own[order])
     n = len(ids)
     k = min(k, n - 1)
     out = []
     step = max(1, rows // max(n, 1))
-    for low in range(0, n if k > 0 else 0, step):
-        high = min(low + step, n)
-        dx, dy = x[low:high, None] - x[None, :], y[low:high, None] - y[None, :]
+    for low in range(0, len(asked) if k > 0 else 0, step):
+        at = asked[low : low + step]
+        dx, dy = x[at, None] - x[None, :], y[at, None] - y[None, :]
         d2 = dx * dx + dy * dy
-        d2[np.arange(high - low), np.arange(low, high)] = np.inf
+        d2[np.arange(len(at)), at] = np.inf
         if n > 4 * k + 8:  # all within the k-th distance, so that ties are kept until they are ordered
             limit = np.partition(d2, k - 1, axis=1)[:, k - 1]
             r, c = np.nonzero(d2 <= limit[:, None])
@@ -47,10 +51,10 @@ def nearest(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, rows: int = 2
         v = d2[r, c]
         o = np.lexsort((c, v, r))
         r, c, v = r[o], c[o], v[o]
-        first = np.searchsorted(r, np.arange(high - low))
+        first = np.searchsorted(r, np.arange(len(at)))
         rank = np.arange(len(r)) - first[r] + 1
         keep = rank <= k
-        out.append((ids[low + r[keep]], ids[c[keep]], rank[keep].astype(np.int64), v[keep]))
+        out.append((ids[at[r[keep]]], ids[c[keep]], rank[keep].astype(np.int64), v[keep]))
     if not out:
         e = np.zeros(0, np.int64)
         return e, e, e, np.zeros(0)
@@ -102,6 +106,80 @@ def knn_grid(cells: DataFrame, k: int, per_bucket: float = 16.0) -> DataFrame:
     return found
 
 
+def tiles(cells: DataFrame, per_tile: int) -> DataFrame:
+    """cells with _n (cells of their image), _x0, _y0 and _t, so many tiles a side that one holds about ``per_tile`` cells, of width _w."""
+    box = cells.groupBy("image").agg(F.count("*").alias("_n"), F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-12)).alias("_side"))
+    box = box.withColumn("_t", F.greatest(F.floor(F.sqrt(F.col("_n") / per_tile)), F.lit(1)).cast("long"))
+    return cells.join(box.withColumn("_w", F.col("_side") / F.col("_t")).drop("_side"), "image")
+
+
+def with_halo(placed: DataFrame, factor: int, margin: float) -> DataFrame:
+    """Every cell once in its own tile (_own) and once in each tile whose rim is within ``margin`` tile widths; tiles are ``factor`` times as wide."""
+    width = F.col("_w") * factor
+    last = F.ceil(F.col("_t") / factor) - 1
+    u, v = (F.col("x") - F.col("_x0")) / width, (F.col("y") - F.col("_y0")) / width
+    home = lambda c: F.least(F.floor(c), last)
+    span = lambda c: F.sequence(F.greatest(F.floor(c - margin), F.lit(0).cast("long")), F.greatest(F.least(F.floor(c + margin), last), F.lit(0).cast("long")))
+    spread = placed.withColumn("_width", width).withColumn("_hx", home(u)).withColumn("_hy", home(v)).withColumn("_tx", F.explode(span(u))).withColumn("_ty", F.explode(span(v)))
+    return spread.withColumn("_own", (F.col("_tx") == F.col("_hx")) & (F.col("_ty") == F.col("_hy")))
+
+
+def knn_tiled(cells: DataFrame, k: int, per_tile: int = 1024, margin: float = 0.25) -> DataFrame:
+    """As knn for images of any size: a task takes one tile of an image and the cells within a margin around it.
+
+    A cell is done if its k-th neighbour is nearer than the rim of the margin (an
+    edge of the image has none). The others look again in tiles of twice the
+    width, until one tile is the image; those rounds go through the shared
+    folder. Images of up to ``per_tile`` cells take one round and one task each.
+    """
+    spark = cells.sparkSession
+    base = cells.select("image", "cell_id", "x", "y")
+    placed = tiles(base, per_tile)
+    most = placed.agg(F.max("_t")).first()[0] or 1
+    folder = scratch(spark, "knn") if most > 1 else ""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["_own"] & pdf["_open"]).to_numpy()
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        ids = pdf["cell_id"].to_numpy()
+        n, t, x0, y0, w, tx, ty, image = (pdf[c].iloc[0] for c in ("_n", "_last", "_x0", "_y0", "_width", "_tx", "_ty", "image"))
+        src, dst, rank, d2 = nearest(ids, x, y, k, own)
+        low = lambda c, c0, i: c - (c0 + (i - margin) * w) if i > 0 else np.full(len(c), np.inf)
+        high = lambda c, c0, i: c0 + (i + 1 + margin) * w - c if i < t else np.full(len(c), np.inf)
+        safe = np.minimum.reduce([low(x, x0, tx), high(x, x0, tx), low(y, y0, ty), high(y, y0, ty)]) * (1 - 1e-9)
+        order = np.argsort(ids, kind="stable")
+        at = order[np.searchsorted(ids[order], src)]
+        want = min(k, n - 1)
+        done = np.isinf(safe[at]) | (d2 < safe[at] ** 2)
+        kept = np.bincount(np.searchsorted(ids[order], src), weights=done, minlength=len(ids))
+        sure = kept[np.searchsorted(ids[order], src)] >= want
+        again = ids[order][own[order] & (kept < want)]
+        empty = np.zeros(len(again), np.int64)
+        return pd.DataFrame({"image": np.full(int(sure.sum()) + len(again), image, np.int64), "src": np.concatenate([src[sure], again]), "dst": np.concatenate([dst[sure], empty]), "rank": np.concatenate([rank[sure], empty]), "d2": np.concatenate([d2[sure], np.zeros(len(again))])})
+
+    if most > 1:
+        placed.write.parquet(f"{folder}/placed")
+        placed = spark.read.parquet(f"{folder}/placed")
+    found, open_, factor = [], placed.withColumn("_open", F.lit(True)), 1
+    while True:
+        # a round's candidates are all cells around the tiles that still have open ones
+        spread = with_halo(open_, factor, margin).withColumn("_last", F.ceil(F.col("_t") / factor) - 1)
+        done = spread.groupBy("image", "_tx", "_ty").applyInPandas(run, EDGE)
+        if most == 1:
+            return done.filter("rank > 0")
+        done.write.parquet(f"{folder}/round-{factor}")
+        done = spark.read.schema(EDGE).parquet(f"{folder}/round-{factor}")
+        found.append(done.filter("rank > 0"))
+        left = done.filter("rank = 0").select("image", F.col("src").alias("cell_id")).distinct()
+        if factor >= most or not left.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        factor *= 2
+        asked = placed.join(left.withColumn("_open", F.lit(True)), ["image", "cell_id"])
+        homes = with_halo(asked, factor, margin).filter("_own").select("image", "_tx", "_ty").distinct()
+        near = with_halo(placed, factor, margin).join(homes, ["image", "_tx", "_ty"], "left_semi").select("image", "cell_id").distinct()
+        open_ = placed.join(near, ["image", "cell_id"], "left_semi").join(left.withColumn("_open", F.lit(True)), ["image", "cell_id"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Each unordered pair of a directed edge table once: image, i < j."""
     return edges.select("image", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()

@@ -116,18 +116,6 @@ def d06(spark, d):
     return rounded(spark.createDataFrame(list(zip(f.columns, map(float, beta), strict=True)), "feature string, beta double"))
 
 
-@query("d05_block_layout", "SELECT * FROM (VALUES ('clinical', 2, 0, 0, FALSE), ('composition', 2, 3, 0, FALSE), ('spatial', 2, 3, 2, FALSE), ('arrangement', 2, 3, 2, FALSE), ('residual without composition', 2, 0, 2, TRUE)) v(model, clinical, composition, spatial, refused)")
-def d05(spark, d):
-    """Columns of each block of the registered models; residuals of the spatial block need a composition block."""
-    rows = [(f.name, len(f.clinical), len(f.composition), len(f.spatial), False) for f in MODELS]
-    try:
-        S.FeatureSet("residual without composition", ("age", "size"), (), ("early", "spread"), True)
-        refused = False
-    except ValueError:
-        refused = True
-    return spark.createDataFrame([*rows, ("residual without composition", 2, 0, 2, refused)], "model string, clinical int, composition int, spatial int, refused boolean")
-
-
 @query("d09_penalty_grid", "SELECT i::BIGINT AS place, round(pow(10, 3 - 5e0 * i / 19), 6) AS alpha FROM range(20) r(i)")
 def d09(spark, d):
     """The penalties of a model without penalised blocks of its own: 10^3 down to 10^-2, evenly in the exponent."""

@@ -42,7 +42,7 @@ lab AS (SELECT image, r, cell_id, dealt.class FROM dealt JOIN place USING (image
 
 def _graph(spark, d):
     c = cells(spark, d)
-    edges = graph.knn(c, K)
+    edges = graph.knn_tiled(c, K)
     return c, edges, graph.undirected(edges)
 
 
@@ -198,7 +198,7 @@ def b17(spark, d):
 @query("b18_nbr_composition", f"{SYM} SELECT c.image, c.cell_id, " + ", ".join(f"round(coalesce(sum(CASE WHEN q.class = {k} THEN 1 / dist ELSE 0e0 END) / sum(CASE WHEN q.class IS NOT NULL THEN 1 / dist END), 0e0), 6) AS share_{k}" for k in (0, 1, 2)) + " FROM cells c LEFT JOIN sym ON sym.image = c.image AND sym.src = c.cell_id LEFT JOIN (SELECT image, cell_id, CASE WHEN class < 3 THEN class END AS class FROM cells) q ON q.cell_id = sym.dst GROUP BY 1, 2")
 def b18(spark, d):
     c = cells(spark, d).withColumn("class", F.when(F.col("class") < 3, F.col("class")))
-    out = graph.neighbourhood_composition(c, graph.weighted(graph.symmetric(graph.knn(c, K)), "inverse"), [0, 1, 2], "weight")
+    out = graph.neighbourhood_composition(c, graph.weighted(graph.symmetric(graph.knn_tiled(c, K)), "inverse"), [0, 1, 2], "weight")
     return out.select("image", "cell_id", *[F.round(f"share_{k}", 6).alias(f"share_{k}") for k in (0, 1, 2)])
 
 

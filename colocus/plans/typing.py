@@ -155,45 +155,6 @@ def c17(spark, d):
     return T.decay(c, c.filter("class < 3 AND cell_id % 4 = 0"), 0.4, 5.0).withColumn("beta", F.round("beta", 6))
 
 
-def refused(make) -> bool:
-    try:
-        make()
-    except ValueError:
-        return True
-    return False
-
-
-def _checks(spark, cases):
-    return spark.createDataFrame([(name, refused(make)) for name, make in cases.items()], "case string, refused boolean")
-
-
-@query("c11_signature_checks", "SELECT * FROM (VALUES ('sound', FALSE), ('class twice', TRUE), ('no marker', TRUE), ('level of two', TRUE), ('parent unknown', TRUE), ('parent of the same round', TRUE), ('two parents in a round', TRUE)) v(\"case\", refused)")
-def c11(spark, d):
-    """Which faults of a signature are refused."""
-    a, b = T.Kind("A", {"m0": 1}), T.Kind("B", {"m1": 1})
-    sub = lambda name, parent, at=2: T.Kind(name, {"m2": 1}, at, parent)
-    return _checks(spark, {
-        "sound": lambda: T.Signature((a, b, sub("A1", "A"))), "class twice": lambda: T.Signature((a, a)), "no marker": lambda: T.Signature((a, T.Kind("B", {}))),
-        "level of two": lambda: T.Signature((T.Kind("A", {"m0": 2}),)), "parent unknown": lambda: T.Signature((a, sub("X", "C"))),
-        "parent of the same round": lambda: T.Signature((a, sub("X", "A", 1))), "two parents in a round": lambda: T.Signature((a, b, sub("X", "A"), sub("Y", "B"))),
-    })
-
-
-@query("c12_rounds", "SELECT * FROM (VALUES (1::BIGINT, NULL, 'A,B,C'), (2::BIGINT, 'A', 'A1,A2')) v(round, parent, classes)")
-def c12(spark, d):
-    """The rounds of the signature with the class that each refines."""
-    return spark.createDataFrame([(r, SIGNATURE.parent_of(r), ",".join(k.name for k in SIGNATURE.of_round(r))) for r in SIGNATURE.rounds()], "round long, parent string, classes string")
-
-
-@query("c13_config_checks", "SELECT * FROM (VALUES ('defaults', FALSE), ('no neighbours', TRUE), ('bandwidth of zero', TRUE), ('factor below zero', TRUE), ('no iterations', TRUE), ('change above one', TRUE)) v(\"case\", refused)")
-def c13(spark, d):
-    """Which settings of the typing are refused."""
-    return _checks(spark, {
-        "defaults": M.TypingConfig, "no neighbours": lambda: M.TypingConfig(neighbours=0), "bandwidth of zero": lambda: M.TypingConfig(bandwidth=0.0),
-        "factor below zero": lambda: M.TypingConfig(factor=-1.0), "no iterations": lambda: M.TypingConfig(iterations=0), "change above one": lambda: M.TypingConfig(least_change=1.5),
-    })
-
-
 #: Settled: cells whose best class has f of 0.36 or more; the rest are open.
 SETTLED = f"{SCORE_SQL}, settled AS (SELECT image, cell_id, best.class, f AS chance FROM best JOIN f USING (image, cell_id, class) WHERE f >= 0.36e0)"
 
@@ -213,7 +174,7 @@ def c18(spark, d):
     scores, c = scored(spark, d), cells(spark, d)
     done = settled(scores)
     pull = T.decay(c, done.join(c.select("image", "cell_id", "x", "y"), ["image", "cell_id"]), 1.0, 5.0)
-    return rounded(T.neighbour_update(scores.join(done, ["image", "cell_id"], "left_anti"), graph.knn(c, 5), done, pull))
+    return rounded(T.neighbour_update(scores.join(done, ["image", "cell_id"], "left_anti"), graph.knn_tiled(c, 5), done, pull))
 
 
 @query("c19_moved_levels", f"{SETTLED} SELECT sig.class, sig.marker, round((coalesce(avg(ep) FILTER (WHERE settled.cell_id IS NOT NULL), any_value(level)) + any_value(level)) / 2, 6) AS level FROM sig LEFT JOIN ep ON ep.marker = sig.marker LEFT JOIN settled ON settled.image = ep.image AND settled.cell_id = ep.cell_id AND settled.class = sig.class GROUP BY 1, 2")

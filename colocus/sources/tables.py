@@ -32,7 +32,11 @@ def micros(ts: Column) -> Column:
 
 def cells_big(spark: SparkSession, folder: str) -> DataFrame:
     """Points of as many images as there are users: value against time of day, class by event type."""
-    e = table(spark, folder, "events")
+    return points(table(spark, folder, "events"))
+
+
+def points(e: DataFrame) -> DataFrame:
+    """The points of an ``events`` table."""
     y = (micros(F.col("ts")) % 86_400_000_000) / F.lit(86_400_000_000.0) * 100
     return e.select(F.col("user_id").alias("image"), F.col("event_id").alias("cell_id"), F.col("value").alias("x"), y.alias("y"), F.col("event_type").alias("class"))
 
@@ -42,7 +46,12 @@ CELLS_BIG_SQL = "cells AS (SELECT user_id AS image, event_id AS cell_id, value A
 
 def survival(spark: SparkSession, folder: str) -> DataFrame:
     """One subject per user: event (a purchase over 150), time in days to the first one or the last event, risk, group."""
-    e = table(spark, folder, "events").withColumn("us", micros(F.col("ts")))
+    return outcomes(table(spark, folder, "events"))
+
+
+def outcomes(e: DataFrame) -> DataFrame:
+    """The subjects of an ``events`` table."""
+    e = e.withColumn("us", micros(F.col("ts")))
     hit = (F.col("event_type") == "purchase") & (F.col("value") > 150)
     by = e.groupBy("user_id").agg(F.min("us").alias("t0"), F.min(F.when(hit, F.col("us"))).alias("t1"), F.max("us").alias("t2"), F.avg("value").alias("risk"))
     days = (F.coalesce("t1", "t2") - F.col("t0")) / F.lit(86_400_000_000.0)

@@ -14,6 +14,15 @@ def arriving_cells(spark: SparkSession, folder: str, files_each: int = 16) -> Da
     return spark.readStream.schema(CELLS).option("maxFilesPerTrigger", files_each).parquet(folder)
 
 
+def arrivals(spark: SparkSession, path: str, files_each: int = 16) -> DataFrame:
+    """A stream of the Parquet files under a path, which may also be a single file; the schema is that of the files that are there."""
+    there = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files_each)
+    alone = [f.rpartition("/")[2] for f in there.inputFiles()] == [name]
+    return stream.option("pathGlobFilter", name).parquet(folder) if alone else stream.parquet(path)
+
+
 def class_counts(cells: DataFrame, classes: list[int]) -> DataFrame:
     """Counts of each class per image over all cells so far; the state is one row per image."""
     return cells.groupBy("image").agg(*[F.count(F.when(F.col("class") == c, 1)).alias(f"class_{c}") for c in classes], F.count("*").alias("n"))

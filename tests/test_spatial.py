@@ -42,9 +42,24 @@ def test_all_neighbour_forms_agree(spark):
     assert len(want) == 2800
     assert key(graph.knn_grouped(cells, 7)) == want
     assert key(graph.knn_grid(cells, 7)) == want
+    for per_tile in (1000, 40, 3):
+        assert key(graph.knn_tiled(cells, 7, per_tile)) == want
     assert len(graph.knn(points(spark, [(0, 0), (1, 1)], [0, 1]), 5).collect()) == 2
 
 
+def test_tiles_of_odd_images(spark):
+    """Lone cells, pairs, coincident cells, a lattice full of ties and a clump far from the rest, in images of their own."""
+    rng = np.random.default_rng(8)
+    clump = np.r_[rng.normal(size=(150, 2)) * 0.01, rng.random((9, 2)) * 90]
+    images = [[(0, 0)], [(0, 0), (5, 5)], [(1, 1)] * 40, [(i % 12, i // 12) for i in range(144)], clump]
+    rows = [(image, i, float(x), float(y)) for image, xy in enumerate(images) for i, (x, y) in enumerate(xy)]
+    cells = spark.createDataFrame(rows, "image long, cell_id long, x double, y double")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for k, per_tile in ((1, 10), (8, 10), (20, 50)):
+        assert key(graph.knn_tiled(cells, k, per_tile)) == key(graph.knn(cells, k))
+    assert graph.knn_tiled(cells.limit(0), 3).count() == 0
+
+
 def test_halves_and_checkerboard(spark):
     xy = [(x, y) for x in range(20) for y in range(20)]
     for name, classes in {"halves": [int(x >= 10) for x, _ in xy], "board": [(x + y) % 2 for x, y in xy]}.items():
