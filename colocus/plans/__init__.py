@@ -1,4 +1,4 @@
 """The registered queries, one module for each family."""
 
-from colocus.plans import etl, models, spatial, typing  # noqa: F401
+from colocus.plans import etl, models, sources, spatial, typing  # noqa: F401
 from colocus.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colocus.operators import agreement as A
 from colocus.operators import celltype as T
 from colocus.operators import graph
+from colocus.operators import lineage as L
 from colocus.operators import mixture as M
 from colocus.plans.registry import query, rounded
 from colocus.plans.spatial import knn_sql
@@ -183,24 +184,19 @@ def c19(spark, d):
     return rounded(T.moved_levels(probabilities(spark, d), settled(scored(spark, d)), FIRST.table(spark)).select("class", "marker", "level"))
 
 
+CONFIG = M.TypingConfig(bandwidth=1.0, anchor=(0.5, 0.4), index=(0.3, 0.7), artefact=(0.95, 0.02))
+
+
 @query("c20_lineage_rounds")
 def c20(spark, d):
-    """By image and round: the cells that were candidates (not artefacts, of the parent class) and those that a class of the round took."""
-    t = c21(spark, d).filter("NOT artefact")
-    parts = []
-    for r in SIGNATURE.rounds():
-        names, parent = [k.name for k in SIGNATURE.of_round(r)], SIGNATURE.parent_of(r)
-        below = {k.name for k in SIGNATURE.kinds if k.parent in names}
-        took = F.col("label").isin(*names, *below)
-        candidate = F.lit(True) if parent is None else took | (F.col("label") == parent)
-        parts.append(t.groupBy("image").agg(F.count_if(candidate).alias("candidates"), F.count_if(took).alias("assigned")).withColumn("round", F.lit(r)))
-    return parts[0].unionByName(parts[1])
+    """By image and round: candidates (not artefacts, of the parent class), anchors, steps, and cells that a class of the round took; over tables."""
+    return L.type_tables(cells(spark, d), probabilities(spark, d), SIGNATURE, CONFIG)[1]
 
 
 @query("c21_typing")
 def c21(spark, d):
     """C18 to C20 run inside: mean-field steps, signature updates and lineage rounds."""
-    return M.type_cells(cells(spark, d), probabilities(spark, d), SIGNATURE, M.TypingConfig(bandwidth=1.0, anchor=(0.5, 0.4), index=(0.3, 0.7), artefact=(0.95, 0.02)))
+    return L.type_cells(cells(spark, d), probabilities(spark, d), SIGNATURE, CONFIG)
 
 
 @query("c22_typing_by_image")
