@@ -315,7 +315,7 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(b for b in blocks if b)
 
 
-# Elements and words of names in which the labelled pages have what is not the article, and words beside them in names.
+# Elements and words of names in which the labelled pages have what is not the article, and words of layout that they have on both sides.
 FURNITURE_TAGS = "nav aside form menu dialog footer button fieldset label select datalist option object canvas svg audio video iframe noscript template math".split()
 FURNITURE_WORDS = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
@@ -354,9 +354,23 @@ def labelled_pages() -> list[tuple[str, str]]:
     return pages
 
 
+def layout_pages() -> list[tuple[str, str]]:
+    """Pages with their main text in which every name of place stands around a part of the article and beside it."""
+    pages = []
+    for i, place in enumerate(PLACE_WORDS):
+        first, rest = f"word{i} crosses the field at noon", [f"row{i}{k} of the story goes on from there" for k in range(4)]
+        paragraphs = "".join(f"<p>{x}</p>" for x in rest)
+        part = f"<div class='{place}'><p>{first}</p></div>"
+        links = "".join(f"<li><a href='/{k}'>way{i}x{k}</a></li>" for k in range(5))
+        main = "\n".join([f"Head {i}", *rest, first])
+        pages.append((f"<html><body><nav class='{place}'><ul>{links}</ul></nav><article><h1>Head {i}</h1>{paragraphs}{part}</article></body></html>", main))
+        pages.append((f"<html><body><div><ul>{links}</ul></div><div><h1>Head {i}</h1>{paragraphs}{part}</div></body></html>", main))
+    return pages
+
+
 @cache
 def _fitted() -> tuple[tuple[str, float], ...]:
-    return tuple(sorted(fit_weights(labelled_pages()).items()))
+    return tuple(sorted(fit_weights(labelled_pages() + layout_pages()).items()))
 
 
 def default_weights() -> dict[str, float]:
