@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
 
 def beta_share(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function by its continued fraction."""
@@ -33,6 +37,12 @@ def sign_tail(x: int, n: int) -> float:
     return beta_share(x, n - x + 1.0, 0.5)
 
 
+@F.pandas_udf(DoubleType())
+def sign_tails(x: pd.Series, n: pd.Series) -> pd.Series:
+    """sign_tail of whole columns."""
+    return pd.Series([sign_tail(int(a), int(b)) for a, b in zip(x, n, strict=True)], dtype=float)
+
+
 def f_tail(f: float, df1: float, df2: float) -> float:
     """P(F > f)."""
     if not f > 0 or df1 <= 0 or df2 <= 0:

@@ -161,7 +161,7 @@ def calibration(found: DataFrame, keys: list[str]) -> DataFrame:
     from colocus.operators.evaluate import benjamini_hochberg
 
     null = found.filter("permutation >= 0")
-    q = benjamini_hochberg(null.withColumn("_key", F.concat_ws("/", *keys)), "p", ["permutation"], "_key")
+    q = benjamini_hochberg(null, "p", ["permutation"])
     per = q.groupBy("permutation").agg(F.max((F.col("q") < 0.05).cast("int")).alias("any"), F.sum("p").alias("s"), F.count("*").alias("n"))
     t = per.agg(F.avg("any").alias("share_any"), (F.sum("s") / F.sum("n")).alias("mean_p"))
     return t.withColumn("calibrated", (F.col("share_any") <= 0.10) & (F.abs(F.col("mean_p") - 0.5) <= 0.02))

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colocus.operators.ordered import exact_quantiles
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -82,7 +84,7 @@ def scaled(rows: DataFrame, how: str) -> DataFrame:
         stats = rows.groupBy("marker").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
         value = (F.col("value") - F.col("_m")) / F.col("_s")
     elif how == "p99":
-        stats = rows.groupBy("marker").agg(F.percentile("value", F.lit(0.99)).alias("_p"))
+        stats = exact_quantiles(rows, ["marker"], "value", [0.99]).select("marker", F.get("q", 0).alias("_p"))
         value = F.col("value") / (F.col("_p") / 10.0)
     else:
         raise ValueError(f"unknown scaling {how}")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colocus.operators.ordered import exact_quantiles
+
 
 def last_value_wide(rows: DataFrame, key: str, name: str, value: str, order: str, names: list[str]) -> DataFrame:
     """(key, name, value) rows to one row per key with a column per name; of repeated names the last by ``order`` stays."""
@@ -87,9 +89,9 @@ def shuffled_jointly(rows: DataFrame, key: str, columns: list[str], seed: int) -
 def cohort_summary(rows: DataFrame, key: str, numbers: list[str]) -> DataFrame:
     """One row: rows, distinct keys, and the median and missing count of each number."""
     aggs = [F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys")]
-    for c in numbers:
-        aggs += [F.round(F.percentile(c, F.lit(0.5)), 6).alias(f"median_{c}"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"missing_{c}")]
-    return rows.agg(*aggs)
+    aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"missing_{c}") for c in numbers]
+    medians = [exact_quantiles(rows, [], c, [0.5]).select(F.round(F.get("q", 0), 6).alias(f"median_{c}")) for c in numbers]
+    return reduce(DataFrame.crossJoin, medians, rows.agg(*aggs)).select("n_rows", "n_keys", *[x for c in numbers for x in (f"median_{c}", f"missing_{c}")])
 
 
 def screen(rows: DataFrame, columns: list[str], least: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colocus.functions.columns import md5_uniform
+from colocus.operators.ordered import exact_quantiles, numbered_by, running, with_ranks
 
 
 #: Risks this close count as tied.
@@ -44,8 +45,7 @@ def weighted_auc(cases: DataFrame, controls: DataFrame) -> DataFrame:
     """
     sides = cases.select("risk", "w", F.lit(0).alias("n")).unionByName(controls.select("risk", F.lit(0.0).alias("w"), F.lit(1).alias("n")))
     at = sides.groupBy("risk").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("risk"))
-    t = at.withColumn("under", upto - F.col("n") / 2.0)
+    t = running(at, [], "risk", {"upto": F.col("n")}).withColumn("under", F.col("upto") - F.col("n") / 2.0)
     return t.agg(F.try_divide(F.sum(F.col("w") * F.col("under")), F.sum("w") * F.sum("n")).alias("auc"))
 
 
@@ -64,20 +64,19 @@ def bootstrap_cindex(rows: DataFrame, by: list[str], id_: str, weights: DataFram
 
 
 def interval(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return rows.groupBy(*by).agg(q.alias("_q"), F.avg((F.col(value) > 0).cast("double")).alias("share_above")).select(*by, F.get("_q", 0).alias("low"), F.get("_q", 1).alias("high"), "share_above")
+    """low, high (2.5 and 97.5 %) and share_above (0) by group."""
+    share = rows.groupBy(*by).agg(F.avg((F.col(value) > 0).cast("double")).alias("share_above"))
+    ends = exact_quantiles(rows, by, value, [0.025, 0.975])
+    return (share.join(ends, by) if by else share.crossJoin(ends)).select(*by, F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "share_above")
 
 
 def kaplan_meier(rows: DataFrame, by: list[str]) -> DataFrame:
     """Survival after each time: time, at_risk, deaths, s. Times that end with everybody dead give 0."""
     n = rows.groupBy(*by, "time").agg(F.count("*").alias("_n"), F.count(F.when(F.col("event"), 1)).alias("deaths"))
-    back = Window.partitionBy(*by).orderBy(F.col("time").desc())
-    ahead = Window.partitionBy(*by).orderBy("time")
-    t = n.withColumn("at_risk", F.sum("_n").over(back))
+    t = running(n, by, "time", {"at_risk": F.col("_n")}, back=True)
     left = 1 - F.col("deaths") / F.col("at_risk")
-    dead = F.max((left <= 0).cast("int")).over(ahead)
-    s = F.when(dead == 1, 0.0).otherwise(F.exp(F.sum(F.ln(F.when(left > 0, left))).over(ahead)))
-    return t.select(*by, "time", "at_risk", "deaths", s.alias("s"))
+    t = running(t, by, "time", {"_dead": (left <= 0).cast("int"), "_log": F.ln(F.when(left > 0, left))})
+    return t.select(*by, "time", "at_risk", "deaths", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log")).alias("s"))
 
 
 def log_rank(rows: DataFrame, group: Column) -> DataFrame:
@@ -85,8 +84,7 @@ def log_rank(rows: DataFrame, group: Column) -> DataFrame:
     n = rows.withColumn("_g", group.cast("int")).groupBy("time").agg(
         F.count("*").alias("n"), F.sum("_g").alias("n1"), F.sum(F.col("event").cast("int")).alias("d"), F.sum(F.col("event").cast("int") * F.col("_g")).alias("d1")
     )
-    back = Window.orderBy(F.col("time").desc())  # one row per distinct time of a cohort
-    t = n.withColumn("r", F.sum("n").over(back)).withColumn("r1", F.sum("n1").over(back)).filter("d > 0")
+    t = running(n, [], "time", {"r": F.col("n"), "r1": F.col("n1")}, back=True).filter("d > 0")
     share = F.col("r1") / F.col("r")
     var = F.when(F.col("r") > 1, F.col("d") * share * (1 - share) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     sums = t.agg(F.sum("d1").alias("observed"), F.sum(F.col("d") * share).alias("expected"), F.sum(var).alias("variance"))
@@ -94,39 +92,34 @@ def log_rank(rows: DataFrame, group: Column) -> DataFrame:
     return sums.withColumn("chi2", gap * gap / F.col("variance"))
 
 
-def average_rank(value: Column, by: list[str]) -> Column:
-    """Rank from 1, ties share the mean of their places."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation over the rows that have both values."""
     t = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    t = t.withColumns({"_x": average_rank(F.col(x), by), "_y": average_rank(F.col(y), by)})
+    t = with_ranks(with_ranks(t, by, x, "_x"), by, y, "_y")
     return t.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
-def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], id_: str) -> DataFrame:
-    """Adds q: the smallest p * m / rank from the row's rank on, at most 1."""
-    up = Window.partitionBy(*by).orderBy(p, id_)
-    m = F.count("*").over(Window.partitionBy(*by))
-    t = rows.withColumn("_r", F.row_number().over(up)).withColumn("_v", F.col(p) * m / F.col("_r"))
-    down = Window.partitionBy(*by).orderBy(F.col("_r").desc())
-    return t.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(down))).drop("_r", "_v")
+def benjamini_hochberg(rows: DataFrame, p: str, by: list[str]) -> DataFrame:
+    """Adds q: the smallest p * m / rank from the row's rank on, at most 1. Equal p share the last of their ranks, at which the quotient is smallest; without p there is no q."""
+    at = rows.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    m = at.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    at = running(at, by, p, {"_r": F.col("_n")})
+    at = (at.join(m, by) if by else at.crossJoin(m)).withColumn("_v", F.col(p) * F.col("_m") / F.col("_r"))
+    at = running(at, by, p, {"_q": F.col("_v")}, back=True, smallest=True).select(*by, p, F.least(F.lit(1.0), "_q").alias("q"))
+    return rows.join(at, [*by, p], "left")
 
 
 def breslow_loglik(rows: DataFrame, by: list[str]) -> DataFrame:
     """Partial log-likelihood of a given linear predictor ``risk``."""
     sums = rows.groupBy(*by, "time").agg(F.sum(F.exp("risk")).alias("_w"))
-    later = Window.partitionBy(*by).orderBy(F.col("time").desc())
-    at = sums.withColumn("_s", F.sum("_w").over(later)).select(*by, "time", "_s")
+    at = running(sums, by, "time", {"_s": F.col("_w")}, back=True).select(*by, "time", "_s")
     return rows.filter("event").join(at, [*by, "time"]).groupBy(*by).agg(F.sum(F.col("risk") - F.ln("_s")).alias("loglik"))
 
 
 def folds(rows: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
     """Adds fold: events and non-events are dealt round in the order of the md5 of seed and id."""
-    order = Window.partitionBy("event").orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_).cast("string"))), id_)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(n)).cast("long"))
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_).cast("string"))))
+    return numbered_by(hashed, ["event"], "_h", id_).select(*rows.columns, F.pmod(F.col("_number") - 1, F.lit(n)).cast("long").alias("fold"))
 
 
 def verdict(low: Column, high: Column, p: Column, mean: Column) -> Column:

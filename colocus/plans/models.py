@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colocus.functions.special import sign_tail
+from colocus.functions.special import sign_tails
 from colocus.operators import assoc
 from colocus.operators import evaluate as E
 from colocus.operators import survival as S
 from colocus.operators import validation as V
+from colocus.operators.ordered import exact_quantiles, with_ranks
 from colocus.plans import linear_sql as L
 from colocus.plans.registry import query, rounded
 from colocus.sources.tables import SURVIVAL_SQL, survival, table
@@ -34,19 +35,28 @@ def _folded(spark, d):
     return e
 
 
-@query("d01_median_imputation", f"WITH e AS (SELECT event_id, {TRAIN} AS x, user_id % 5 AS fold FROM events), m AS (SELECT coalesce(quantile_cont(x, 0.5), 0e0) AS m FROM e WHERE fold <> 0) SELECT event_id, round(coalesce(x, m), 6) AS x FROM e, m WHERE fold = 0")
+TRAINED = "e JOIN (SELECT k::BIGINT AS k FROM range(5) f(k)) f ON fold <> k"
+
+
+@query("d01_median_imputation", f"WITH e AS (SELECT event_id, {TRAIN} AS x, user_id % 5 AS fold FROM events), m AS (SELECT k, coalesce(quantile_cont(x, 0.5), 0e0) AS m FROM {TRAINED} GROUP BY k) SELECT event_id, fold, round(coalesce(x, m), 6) AS x FROM e JOIN m ON k = fold")
 def d01(spark, d):
+    """Each fold filled in with the median of the four others."""
     e = _folded(spark, d)
-    m = e.filter("fold <> 0").agg(F.coalesce(F.percentile("x", F.lit(0.5)), F.lit(0.0)).alias("m"))
-    return e.filter("fold = 0").crossJoin(F.broadcast(m)).select("event_id", F.round(F.coalesce("x", "m"), 6).alias("x"))
+    m = exact_quantiles(_trained(e), ["k"], "x", [0.5]).select("k", F.coalesce(F.get("q", 0), F.lit(0.0)).alias("m"))
+    return e.join(F.broadcast(m), e.fold == m.k).select("event_id", "fold", F.round(F.coalesce("x", "m"), 6).alias("x"))  # five rows
+
 
+def _trained(e):
+    """Every row once for each fold k of which it is a training row."""
+    return e.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)]))).filter("k <> fold")
 
-@query("d02_standardise", "WITH e AS (SELECT event_id, value AS x, user_id % 5 AS fold FROM events), m AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM e WHERE fold <> 0) SELECT event_id, round((x - m) / CASE WHEN s > 1e-12 THEN s ELSE 1e0 END, 4) AS x FROM e, m WHERE fold = 0")
+
+@query("d02_standardise", f"WITH e AS (SELECT event_id, value AS x, user_id % 5 AS fold FROM events), m AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM {TRAINED} GROUP BY k) SELECT event_id, fold, round((x - m) / CASE WHEN s > 1e-12 THEN s ELSE 1e0 END, 4) AS x FROM e JOIN m ON k = fold")
 def d02(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id") % 5).alias("fold"))
-    m = e.filter("fold <> 0").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    m = _trained(e).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     scale = F.when(F.col("s") > 1e-12, F.col("s")).otherwise(1.0)
-    return e.filter("fold = 0").crossJoin(F.broadcast(m)).select("event_id", F.round((F.col("x") - F.col("m")) / scale, 4).alias("x"))
+    return e.join(F.broadcast(m), e.fold == m.k).select("event_id", "fold", F.round((F.col("x") - F.col("m")) / scale, 4).alias("x"))
 
 
 @query("d03_clr_block", "WITH c AS (SELECT user_id, t AS event_type, count(event_id) FILTER (WHERE event_type = t) AS n FROM events CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS t) GROUP BY 1, 2) SELECT user_id, event_type, round(ln(n + 0.5e0) - avg(ln(n + 0.5e0)) OVER (PARTITION BY user_id), 6) + 0e0 AS clr FROM c")
@@ -352,7 +362,7 @@ GROUPED = f"{SUB}, med AS (SELECT quantile_cont(risk, 0.5) AS m FROM subjects),
 
 def grouped(spark, d):
     s = subjects(spark, d)
-    return s.crossJoin(F.broadcast(s.agg(F.percentile("risk", F.lit(0.5)).alias("m")))).withColumn("high", F.col("risk") > F.col("m"))
+    return s.crossJoin(F.broadcast(exact_quantiles(s, [], "risk", [0.5]).select(F.get("q", 0).alias("m")))).withColumn("high", F.col("risk") > F.col("m"))
 
 
 @query("e11_km", f"""{GROUPED}, n AS (SELECT high, time, count(*) AS n, count(*) FILTER (WHERE event) AS d FROM grouped GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY high ORDER BY time DESC) AS at_risk FROM n)
@@ -371,7 +381,7 @@ def e12(spark, d):
 
 @query("e13_mean_ranks", f"{SUB}, {MANY}, r AS (SELECT user_id, rank() OVER (PARTITION BY seed ORDER BY risk) + (count(*) OVER (PARTITION BY seed, risk) - 1) / 2e0 AS r FROM many WHERE model = 1) SELECT user_id, round(avg(r), 6) AS rank FROM r GROUP BY 1")
 def e13(spark, d):
-    r = many(spark, d).filter("model = 1").withColumn("r", E.average_rank(F.col("risk"), ["seed"]))
+    r = with_ranks(many(spark, d).filter("model = 1"), ["seed"], "risk", "r")
     return r.groupBy("user_id").agg(F.round(F.avg("r"), 6).alias("rank"))
 
 
@@ -383,15 +393,17 @@ def e14(spark, d):
 @query("e15_example_pick", "WITH u AS (SELECT user_id, count(*) AS n, avg(value) AS v FROM events GROUP BY 1), b AS (SELECT quantile_cont(n, 0.4) AS lo, quantile_cont(n, 0.6) AS hi, quantile_cont(v, 0.9) AS q FROM u) SELECT user_id FROM u, b WHERE n BETWEEN lo AND hi ORDER BY abs(v - q), user_id LIMIT 1")
 def e15(spark, d):
     u = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
-    b = u.agg(F.percentile("n", F.lit(0.4)).alias("lo"), F.percentile("n", F.lit(0.6)).alias("hi"), F.percentile("v", F.lit(0.9)).alias("q"))
+    size = exact_quantiles(u, [], "n", [0.4, 0.6]).select(F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
+    b = size.crossJoin(exact_quantiles(u, [], "v", [0.9]).select(F.get("q", 0).alias("q")))
     t = u.crossJoin(F.broadcast(b)).filter(F.col("n").between(F.col("lo"), F.col("hi")))
     return t.agg(F.min_by("user_id", F.struct(F.abs(F.col("v") - F.col("q")).alias("g"), "user_id")).alias("user_id"))
 
 
 @query("e16_verdict", "WITH t AS (SELECT event_type, quantile_cont(value - 40e0, 0.025) AS low, quantile_cont(value - 40e0, 0.975) AS high, avg(value - 40e0) AS mean, count(*) FILTER (WHERE value > 200e0)::DOUBLE / count(*) AS p FROM events GROUP BY 1) SELECT event_type, CASE WHEN low > 0 AND p < 0.05e0 AND mean > 0 THEN 'supported' WHEN high <= 0 THEN 'refuted' ELSE 'inconclusive' END AS verdict FROM t")
 def e16(spark, d):
-    x = F.col("value") - 40.0
-    t = table(spark, d, "events").groupBy("event_type").agg(F.percentile(x, F.lit(0.025)).alias("low"), F.percentile(x, F.lit(0.975)).alias("high"), F.avg(x).alias("mean"), F.avg((F.col("value") > 200).cast("double")).alias("p"))
+    e = table(spark, d, "events").withColumn("x", F.col("value") - 40.0)
+    t = e.groupBy("event_type").agg(F.avg("x").alias("mean"), F.avg((F.col("value") > 200).cast("double")).alias("p"))
+    t = t.join(exact_quantiles(e, ["event_type"], "x", [0.025, 0.975]), "event_type").withColumns({"low": F.get("q", 0), "high": F.get("q", 1)})
     return t.select("event_type", E.verdict(F.col("low"), F.col("high"), F.col("p"), F.col("mean")).alias("verdict"))
 
 
@@ -404,8 +416,9 @@ def e17(spark, d):
 
 @query("e18_sparsity", "SELECT o_orderpriority AS model, quantile_cont(o_custkey % 13, 0.5) AS median, min(o_custkey % 13)::BIGINT AS low, max(o_custkey % 13)::BIGINT AS high FROM orders GROUP BY 1")
 def e18(spark, d):
-    n = F.col("o_custkey") % 13
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(F.percentile(n, F.lit(0.5)).alias("median"), F.min(n).alias("low"), F.max(n).alias("high"))
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 13).alias("n"))
+    ends = o.groupBy("model").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return ends.join(exact_quantiles(o, ["model"], "n", [0.5]), "model").select("model", F.get("q", 0).alias("median"), "low", "high")
 
 
 # F: association
@@ -459,19 +472,12 @@ def f04_one_way(spark, d):
     return assoc.one_way(analysis(spark, d), ["pair"], "y", "segment").withColumn("f", F.round("f", 4))
 
 
-@query("f06_bh", "WITH p AS (SELECT event_id, event_type, (value - floor(value)) * (value - floor(value)) AS p FROM events WHERE user_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM p) SELECT event_id, round(least(1e0, min(p * m / r) OVER (PARTITION BY event_type ORDER BY r DESC)), 6) AS q FROM r")
-def f06(spark, d):
-    part = F.col("value") - F.floor("value")
-    p = table(spark, d, "events").filter("user_id < 20").select("event_id", "event_type", (part * part).alias("p"))
-    return E.benjamini_hochberg(p, "p", ["event_type"], "event_id").select("event_id", F.round("q", 6).alias("q"))
-
-
 @query("f06_bh_whole", "WITH p AS (SELECT event_id, event_type, (value - floor(value)) * (value - floor(value)) AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM p) SELECT event_id, round(least(1e0, min(p * m / r) OVER (PARTITION BY event_type ORDER BY r DESC)), 6) AS q FROM r")
 def f06_whole(spark, d):
-    """F06 over all events; f06_bh has a subset of the users."""
+    """F06 over all events, by type."""
     part = F.col("value") - F.floor("value")
     p = table(spark, d, "events").select("event_id", "event_type", (part * part).alias("p"))
-    return E.benjamini_hochberg(p, "p", ["event_type"], "event_id").select("event_id", F.round("q", 6).alias("q"))
+    return E.benjamini_hochberg(p, "p", ["event_type"]).select("event_id", F.round("q", 6).alias("q"))
 
 
 BINARY = f"WITH {L.ANALYSIS}, b AS (SELECT * REPLACE (CASE WHEN id % 9 = 0 THEN 'other' ELSE segment END AS segment), (id % 2)::DOUBLE AS grp FROM a), {L.coefficients('m', 'b', SEGMENTS[0], 'grp', 'age')}, g AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS r, count(*) OVER () AS k FROM m WHERE term = 'grp')"
@@ -482,7 +488,7 @@ def f07(spark, d):
     """A 0/1 group beside the segment (unknown: other), one family for all pairs, q by Benjamini and Hochberg."""
     a = analysis(spark, d).withColumn("segment", F.when(F.col("id") % 9 == 0, "other").otherwise(F.col("segment"))).withColumn("grp", (F.col("id") % 2).cast("double"))
     t = assoc.model_by_group(a, ["pair"], "y", "segment", [*SEGMENTS, "other"], ["grp", "age"]).filter("term = 'grp'")
-    return rounded(E.benjamini_hochberg(t, "p", [], "pair"))
+    return rounded(E.benjamini_hochberg(t, "p", []))
 
 
 NULL = f"""WITH {L.ANALYSIS}, {L.permuted(20261020, 50)}, {L.f_test('t', 'perm', 'pair, permutation')}, r AS (SELECT *, row_number() OVER (PARTITION BY permutation ORDER BY p, pair) AS r, count(*) OVER (PARTITION BY permutation) AS k FROM t),
@@ -506,21 +512,13 @@ def f09(spark, d):
     return rounded(one.join(two, ["pair", "term"]).select("pair", "term", "estimate", "estimate_2", "p", "p_2", (F.signum("estimate") == F.signum("estimate_2")).alias("same_sign")))
 
 
-@query("f10_sign_test", "WITH s AS (SELECT c_mktsegment, least(count(*) FILTER (WHERE c_acctbal > 4000e0), 12) AS x FROM customer WHERE c_custkey <= 60 GROUP BY 1) SELECT c_mktsegment, x::BIGINT AS x, round(sum(factorial(20)::DOUBLE / (factorial(i)::DOUBLE * factorial(20 - i)::DOUBLE)) / pow(2, 20), 6) AS p FROM s, (SELECT i::INTEGER AS i FROM range(21) q(i)) r WHERE i >= x GROUP BY 1, 2")
-def f10(spark, d):
-    s = table(spark, d, "customer").filter("c_custkey <= 60").groupBy("c_mktsegment").agg(F.least(F.count(F.when(F.col("c_acctbal") > 4000, 1)), F.lit(12)).alias("x"))
-    choose = lambda i: F.factorial(F.lit(20)) / (F.factorial(i) * F.factorial(F.lit(20) - i))
-    tail = F.aggregate(F.sequence(F.col("x").cast("int"), F.lit(20)), F.lit(0.0), lambda a, i: a + choose(i))
-    return s.select("c_mktsegment", "x", F.round(tail / 2.0**20, 6).alias("p"))
-
-
 @query("f10_sign_test_whole", """WITH s AS (SELECT c_mktsegment, count(*) FILTER (WHERE c_acctbal > 4000e0) AS x, count(*) FILTER (WHERE c_acctbal <> 4000e0) AS n FROM customer GROUP BY 1)
 SELECT c_mktsegment, x, n, round(sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) - n * ln(2e0))), 6) AS p FROM s JOIN (SELECT i FROM range(0, (SELECT max(n) + 1 FROM s)) r(i)) ON i >= x AND i <= n GROUP BY 1, 2, 3""")
 def f10_whole(spark, d):
-    """F10 over all customers, n from the data without values at the centre; f10_sign_test has a subset and a fixed n."""
+    """F10 over all customers, n from the data without values at the centre."""
     over = F.col("c_acctbal") - 4000.0
     s = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.when(over > 0, 1)).alias("x"), F.count(F.when(over != 0, 1)).alias("n"))
-    return rounded(s.withColumn("p", F.udf(sign_tail, "double")("x", "n")))
+    return rounded(s.withColumn("p", sign_tails("x", "n")))
 
 
 LOKO = "t AS (SELECT event_type AS pair, user_id % 3 AS k, avg(value) - 45e0 AS e, count(*) FILTER (WHERE value > 150e0)::DOUBLE / count(*) AS p FROM events GROUP BY 1, 2)"
@@ -544,12 +542,14 @@ def f12(spark, d):
 @query("f13_fraction_stats", "WITH f AS (SELECT user_id, user_id % 4 AS grp, count(*) FILTER (WHERE event_type IN ('click', 'view'))::DOUBLE / count(*) AS f FROM events GROUP BY 1) SELECT grp, count(*)::BIGINT AS n, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.5), 6) AS median FROM f GROUP BY 1")
 def f13(spark, d):
     f = table(spark, d, "events").groupBy("user_id", (F.col("user_id") % 4).alias("grp")).agg(F.avg(F.col("event_type").isin("click", "view").cast("double")).alias("f"))
-    return f.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("mean"), F.round(F.percentile("f", F.lit(0.5)), 6).alias("median"))
+    mid = exact_quantiles(f, ["grp"], "f", [0.5]).select("grp", F.round(F.get("q", 0), 6).alias("median"))
+    return f.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("mean")).join(mid, "grp")
 
 
 @query("f14_descriptive", "SELECT event_type, user_id % 3 AS grp, count(*)::BIGINT AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1, 2")
 def f14(spark, d):
-    g = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("grp")).agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("grp"), "value")
+    g = e.groupBy("event_type", "grp").agg(F.count("*").alias("n")).join(exact_quantiles(e, ["event_type", "grp"], "value", [0.25, 0.5, 0.75]), ["event_type", "grp"])
     r = lambda c, n: F.round(c, 6).alias(n)
     return g.select("event_type", "grp", "n", r(F.get("q", 1), "median"), r(F.get("q", 0), "q1"), r(F.get("q", 2), "q3"), r(F.get("q", 2) - F.get("q", 0), "iqr"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colocus.operators import coloc, graph
+from colocus.operators.ordered import exact_quantiles
 from colocus.plans.registry import query, rounded
 from colocus.sources.tables import CELLS_BIG_SQL, CELLS_SQL, cells, cells_big, table
 
@@ -276,5 +277,5 @@ def b25(spark, d):
 @query("b26_null_acceptance", "WITH v AS (SELECT value / 50e0 AS r FROM events) SELECT round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high, round(avg(CASE WHEN r > 1e0 THEN 1e0 ELSE 0e0 END), 6) AS flagged, abs(quantile_cont(r, 0.5) - 1) <= 0.05e0 AS accepted FROM v")
 def b26(spark, d):
     r = table(spark, d, "events").select((F.col("value") / 50.0).alias("r"))
-    q = r.agg(F.percentile("r", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("r") > 1).cast("double")).alias("f"))
+    q = exact_quantiles(r, [], "r", [0.5, 0.025, 0.975]).crossJoin(r.agg(F.avg((F.col("r") > 1).cast("double")).alias("f")))
     return q.select(*[F.round(F.get("q", i), 6).alias(n) for i, n in enumerate(("median", "low", "high"))], F.round("f", 6).alias("flagged"), (F.abs(F.get("q", 0) - 1) <= 0.05).alias("accepted"))

@@ -10,6 +10,7 @@ from colocus.operators import celltype as T
 from colocus.operators import graph
 from colocus.operators import lineage as L
 from colocus.operators import mixture as M
+from colocus.operators.ordered import exact_quantiles
 from colocus.plans.registry import query, rounded
 from colocus.plans.spatial import knn_sql
 from colocus.sources.tables import CELLS_SQL, EXPRESSION_SQL, cells, expression, table
@@ -33,8 +34,9 @@ def values(spark, d):
 
 
 def models(v):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return v.groupBy("marker").agg(q(0.25).alias("m1"), q(0.75).alias("m2"), F.round(F.var_samp("value") / 4, 6).alias("v1"), F.round(F.var_samp("value") / 2, 6).alias("v2"), q(0.5).alias("xc"))
+    q = lambda i, name: F.round(F.get("q", i), 6).alias(name)
+    spread = v.groupBy("marker").agg(F.round(F.var_samp("value") / 4, 6).alias("v1"), F.round(F.var_samp("value") / 2, 6).alias("v2"))
+    return exact_quantiles(v, ["marker"], "value", [0.25, 0.75, 0.5]).join(spread, "marker").select("marker", q(0, "m1"), q(1, "m2"), "v1", "v2", q(2, "xc"))
 
 
 def probabilities(spark, d):
@@ -311,7 +313,7 @@ def c36(spark, d):
 @query("c37_nearest_to_median", "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n::BIGINT AS n FROM n ORDER BY abs(n - (SELECT quantile_cont(n, 0.5) FROM n)), user_id LIMIT 1")
 def c37(spark, d):
     n = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    gap = n.crossJoin(n.agg(F.percentile("n", F.lit(0.5)).alias("m")))
+    gap = n.crossJoin(exact_quantiles(n, [], "n", [0.5]).select(F.get("q", 0).alias("m")))
     best = F.min_by(F.struct("user_id", "n"), F.struct(F.abs(F.col("n") - F.col("m")).alias("g"), "user_id"))
     return gap.agg(best.alias("b")).select("b.*")
 
@@ -320,7 +322,7 @@ def c37(spark, d):
 SELECT grp, user_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gap, user_id) AS r FROM g) WHERE r = 1""")
 def c38(spark, d):
     n = table(spark, d, "events").groupBy("user_id", (F.col("user_id") % 3).alias("grp"), "event_type").agg(F.count("*").cast("double").alias("n"))
-    m = n.groupBy("grp", "event_type").agg(F.percentile("n", F.lit(0.5)).alias("m"))
+    m = exact_quantiles(n, ["grp", "event_type"], "n", [0.5]).select("grp", "event_type", F.get("q", 0).alias("m"))
     gap = n.join(m, ["grp", "event_type"]).groupBy("grp", "user_id").agg(F.round(F.sum((F.col("n") - F.col("m")) * (F.col("n") - F.col("m"))), 6).alias("gap"))
     best = F.min_by(F.struct("user_id", "gap"), F.struct("gap", "user_id"))
     return gap.groupBy("grp").agg(best.alias("b")).select("grp", "b.*")

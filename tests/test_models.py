@@ -210,7 +210,7 @@ def test_survival_curve_and_ranks(spark):
     rows = spark.createDataFrame([(1.0, True), (2.0, False), (3.0, True), (3.0, True)], "time double, event boolean")
     assert [(r.time, r.at_risk, r.deaths, round(r.s, 6)) for r in E.kaplan_meier(rows, []).orderBy("time").collect()] == [(1.0, 4, 1, 0.75), (2.0, 3, 0, 0.75), (3.0, 2, 2, 0.0)]
     p = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.5)], "i long, p double")
-    assert [round(r.q, 6) for r in E.benjamini_hochberg(p, "p", [], "i").orderBy("i").collect()] == [0.04, 0.053333, 0.053333, 0.5]
+    assert [round(r.q, 6) for r in E.benjamini_hochberg(p, "p", []).orderBy("i").collect()] == [0.04, 0.053333, 0.053333, 0.5]
 
 
 def test_sign_tail_is_exact():
