@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,97 +10,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colocus.functions import special
+from colocus.operators.ordered import numbered_by, running
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Least squares: coefficients (NaN for columns that repeat earlier ones), their unscaled variances, residual sum of squares, rank."""
+def _types(rows: DataFrame, keys: list[str]) -> str:
+    kinds = dict(rows.dtypes)
+    return ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+
+def centred(rows: DataFrame, keys: list[str], y: str, factor: str | None, levels: list[str], covariates: list[str]) -> DataFrame:
+    """The complete rows with z_0, z_1, ... (covariates, then y) less their group's means m_0, m_1, ..., and level, the factor's place among ``levels`` (0 for any other value)."""
+    values = [*covariates, y]
+    t = rows.dropna(subset=[*values, *([factor] if factor else [])])
+    means = t.groupBy(*keys).agg(*[F.avg(v).alias(f"m_{i}") for i, v in enumerate(values)])
+    level = F.lit(0)
+    for k, name in enumerate(levels[1:] if factor else [], 1):
+        level = F.when(F.col(factor) == name, k).otherwise(level)
+    return t.join(means, keys).withColumns({f"z_{i}": F.col(v) - F.col(f"m_{i}") for i, v in enumerate(values)} | {"level": level})
+
+
+def products(rows: DataFrame, by: list[str], count: int, levels: int, squares: bool = True) -> DataFrame:
+    """One row per group: sums by level (n_k, s_k_i), and the means and sums of products (q_i_j) of all its rows. Nothing else of the rows moves."""
+    hit = lambda k: F.col("level") == k
+    sums = [x for k in range(levels) for x in (F.count(F.when(hit(k), 1)).alias(f"n_{k}"), *[F.coalesce(F.sum(F.when(hit(k), F.col(f"z_{i}"))), F.lit(0.0)).alias(f"s_{k}_{i}") for i in range(count)])]
+    whole = [F.first(f"m_{i}").alias(f"m_{i}") for i in range(count)] + [F.sum(F.col(f"z_{i}") * F.col(f"z_{j}")).alias(f"q_{i}_{j}") for i in range(count) for j in range(i, count)]
+    return rows.groupBy(*by).agg(*sums, *(whole if squares else []))
+
+
+def normal_equations(row: dict, levels: int, count: int) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
+    """X'X, X'y, y'y, n and the means, of intercept, levels but the first, covariates; covariates and y less their means."""
+    n = np.array([row[f"n_{k}"] for k in range(levels)], float)
+    s = np.array([[row[f"s_{k}_{i}"] for i in range(count)] for k in range(levels)], float)
+    q = np.array([[row[f"q_{min(i, j)}_{max(i, j)}"] for j in range(count)] for i in range(count)], float)
+    d, c = levels, count - 1
+    g, b = np.zeros((d + c, d + c)), np.zeros(d + c)
+    g[0, 0], b[0] = n.sum(), s[:, c].sum()
+    for k in range(1, levels):
+        g[k, k] = g[0, k] = g[k, 0] = n[k]
+        b[k] = s[k, c]
+    g[0, d:] = g[d:, 0] = s[:, :c].sum(axis=0)
+    g[1:d, d:], g[d:, 1:d] = s[1:, :c], s[1:, :c].T
+    g[d:, d:], b[d:] = q[:c, :c], q[:c, c]
+    return g, b, float(q[c, c]), int(n.sum()), np.array([row[f"m_{i}"] for i in range(count)], float)
+
+
+def solved(g: np.ndarray, b: np.ndarray, yy: float, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], float]:
+    """Coefficients (NaN for columns that repeat earlier ones), the inverse over the others, those others, residual sum of squares.
+
+    ``size`` are the columns' own squares: one of which less than 1e-12 is left beside the columns before it repeats them.
+    """
     used: list[int] = []
-    basis = np.zeros((len(y), 0))
-    for j in range(x.shape[1]):
-        rest = x[:, j] - basis @ (basis.T @ x[:, j])
-        rest = rest - basis @ (basis.T @ rest)
-        size = float(np.linalg.norm(rest))
-        if size > 1e-7 * max(float(np.linalg.norm(x[:, j])), 1e-300):
+    for j in range(len(b)):
+        left = g[j, j] - (g[j, used] @ np.linalg.solve(g[np.ix_(used, used)], g[used, j]) if used else 0.0)
+        if left > 1e-12 * size[j]:
             used.append(j)
-            basis = np.c_[basis, rest / size]
-    beta, var = np.full(x.shape[1], np.nan), np.full(x.shape[1], np.nan)
-    own = x[:, used]
-    q, r = np.linalg.qr(own)
-    inverse = np.linalg.inv(r) if used else np.zeros((0, 0))
-    beta[used] = inverse @ (q.T @ y)
-    var[used] = (inverse**2).sum(axis=1)
-    rss = float(((y - own @ beta[used]) ** 2).sum())
-    return beta, var, rss, len(used)
-
-
-def design(pdf: pd.DataFrame, factor: str | None, levels: list[str], covariates: list[str]) -> tuple[np.ndarray, list[str], list[int]]:
-    """Columns: intercept, a 0/1 column for each level but the first, covariates; and which columns are the factor's."""
-    parts, names = [np.ones(len(pdf))], ["intercept"]
-    if factor:
-        for level in levels[1:]:
-            parts.append((pdf[factor] == level).to_numpy(float))
-            names.append(level)
-    block = list(range(1, len(parts)))
-    for c in covariates:
-        parts.append(pdf[c].to_numpy(float))
-        names.append(c)
-    return np.stack(parts, axis=1), names, block
-
-
-def coefficients(pdf: pd.DataFrame, y: str, factor: str | None, levels: list[str], covariates: list[str]) -> pd.DataFrame:
-    """term, estimate, se, low, high, p, n of a group's model."""
-    x, names, _ = design(pdf, factor, levels, covariates)
-    beta, var, rss, rank = fit(x, pdf[y].to_numpy(float))
-    df = len(pdf) - rank
+    beta = np.full(len(b), np.nan)
+    inverse = np.linalg.inv(g[np.ix_(used, used)]) if used else np.zeros((0, 0))
+    beta[used] = inverse @ b[used]
+    return beta, inverse, used, max(0.0, yy - float(beta[used] @ b[used]))
+
+
+def _sizes(g: np.ndarray, n: int, mean: np.ndarray, levels: int) -> np.ndarray:
+    """The squares of the columns before their means were taken off."""
+    return g.diagonal() + np.r_[np.zeros(levels), n * mean[:-1] ** 2]
+
+
+def coefficients(row: dict, levels: list[str], covariates: list[str], least: int) -> pd.DataFrame | None:
+    """term, estimate, se, low, high, p, n of a group's model, from its sums."""
+    d = max(1, len(levels))
+    g, b, yy, n, mean = normal_equations(row, d, len(covariates) + 1)
+    if n < least:
+        return None
+    beta, inverse, used, rss = solved(g, b, yy, _sizes(g, n, mean, d))
+    turn = np.eye(len(b))[:, used]
+    turn[0] -= np.r_[np.zeros(d), mean[:-1]][used]  # the intercept at covariates of 0
+    var = np.full(len(b), np.nan)
+    var[[0, *used[1:]]] = ((turn @ inverse) * turn).sum(axis=1)[[0, *used[1:]]]
+    beta[0] = mean[-1] + turn[0] @ beta[used]
+    df = n - len(used)
     se = np.sqrt(var * rss / df) if df > 0 else np.full(len(beta), np.nan)
     t = special.t_quantile(0.975, df) if df > 0 else np.nan
-    p = [special.t_two_sided(b / s, df) if s > 0 else np.nan for b, s in zip(beta, se, strict=True)]
-    return pd.DataFrame({"term": names, "estimate": beta, "se": se, "low": beta - t * se, "high": beta + t * se, "p": p, "n": len(pdf)})
+    p = [special.t_two_sided(e / s, df) if s > 0 else np.nan for e, s in zip(beta, se, strict=True)]
+    return pd.DataFrame({"term": ["intercept", *levels[1:], *covariates], "estimate": beta, "se": se, "low": beta - t * se, "high": beta + t * se, "p": p, "n": n})
 
 
-def partial_f(pdf: pd.DataFrame, y: str, factor: str, levels: list[str], covariates: list[str]) -> dict:
-    """F-test of the factor's columns against the model without them."""
-    x, _, block = design(pdf, factor, levels, covariates)
-    v = pdf[y].to_numpy(float)
-    _, _, full, rank = fit(x, v)
-    _, _, less, rank0 = fit(np.delete(x, block, axis=1), v)
-    df1, df2 = rank - rank0, len(v) - rank
-    f = ((less - full) / df1) / (full / df2) if df1 > 0 and df2 > 0 and full > 0 else np.nan
-    return {"n": len(v), "f": f, "df1": df1, "df2": df2, "p": special.f_tail(f, df1, df2) if np.isfinite(f) else np.nan}
-
-
-def _types(rows: DataFrame, keys: list[str]) -> str:
-    kinds = dict(rows.dtypes)
-    return ", ".join(f"{k} {kinds[k]}" for k in keys)
+def partial_f(row: dict, levels: int, count: int) -> dict:
+    """F-test of the factor's columns against the model without them, from a group's sums."""
+    g, b, yy, n, mean = normal_equations(row, levels, count)
+    size = _sizes(g, n, mean, levels)
+    _, _, used, full = solved(g, b, yy, size)
+    less = [0, *range(levels, len(b))]
+    _, _, used0, rest = solved(g[np.ix_(less, less)], b[less], yy, size[less])
+    df1, df2 = len(used) - len(used0), n - len(used)
+    f = ((rest - full) / df1) / (full / df2) if df1 > 0 and df2 > 0 and full > 0 else np.nan
+    return {"n": n, "f": f, "df1": df1, "df2": df2, "p": special.f_tail(f, df1, df2) if np.isfinite(f) else np.nan}
 
 
 def model_by_group(rows: DataFrame, keys: list[str], y: str, factor: str | None, levels: list[str], covariates: list[str], least: int = 50) -> DataFrame:
-    """Coefficients of every group with at least ``least`` complete rows."""
-    need = [y, *([factor] if factor else []), *covariates]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=need)
-        if len(own) < least:
-            return pd.DataFrame(columns=[*keys, "term", "estimate", "se", "low", "high", "p", "n"])
-        out = coefficients(own, y, factor, levels, covariates)
-        for i, k in enumerate(keys):
-            out.insert(i, k, own[k].iloc[0])
-        return out
+    """Coefficients of every group with at least ``least`` complete rows; groups are summed up where their rows lie."""
+    names = levels if factor else []
+    sums = products(centred(rows, keys, y, factor, names, covariates), keys, len(covariates) + 1, max(1, len(names)))
+
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in stream:
+            for row in pdf.to_dict("records"):
+                out = coefficients(row, names, covariates, least)
+                if out is not None:
+                    for i, k in enumerate(keys):
+                        out.insert(i, k, row[k])
+                    yield out
 
     schema = f"{_types(rows, keys)}, term string, estimate double, se double, low double, high double, p double, n long"
-    return rows.select(*keys, *need).groupBy(*keys).applyInPandas(run, schema)
+    return sums.mapInPandas(run, schema)
 
 
 def f_test_by_group(rows: DataFrame, keys: list[str], y: str, factor: str, levels: list[str], covariates: list[str], least: int = 50) -> DataFrame:
-    need = [y, factor, *covariates]
+    """n, f, df1, df2, p of every group with at least ``least`` complete rows."""
+    return _tested(products(centred(rows, keys, y, factor, levels, covariates), keys, len(covariates) + 1, len(levels)), keys, _types(rows, keys), len(levels), len(covariates) + 1, least)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=need)
-        if len(own) < least:
-            return pd.DataFrame(columns=[*keys, "n", "f", "df1", "df2", "p"])
-        return pd.DataFrame([{k: own[k].iloc[0] for k in keys} | partial_f(own, y, factor, levels, covariates)])
+def _tested(sums: DataFrame, keys: list[str], types: str, levels: int, count: int, least: int) -> DataFrame:
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in stream:
+            found = [{k: row[k] for k in keys} | partial_f(row, levels, count) for row in pdf.to_dict("records") if sum(row[f"n_{k}"] for k in range(levels)) >= least]
+            if found:
+                yield pd.DataFrame(found)
 
-    return rows.select(*keys, *need).groupBy(*keys).applyInPandas(run, f"{_types(rows, keys)}, n long, f double, df1 long, df2 long, p double")
+    return sums.mapInPandas(run, f"{types}, n long, f double, df1 long, df2 long, p double")
 
 
 def one_way(rows: DataFrame, keys: list[str], y: str, factor: str) -> DataFrame:
@@ -114,46 +150,29 @@ def one_way(rows: DataFrame, keys: list[str], y: str, factor: str) -> DataFrame:
 def label_permutations(rows: DataFrame, keys: list[str], id_: str, y: str, factor: str, levels: list[str], covariates: list[str], permutations: int, seed: int, least: int = 50) -> DataFrame:
     """(keys, permutation, f, p): the factor permuted over subjects, alike in all groups; permutation -1 is the data.
 
-    The model without the factor is solved once per group; a permutation only
-    projects the factor's columns. Labels of a permutation follow the order of
-    the md5 of seed, permutation and id over all subjects of the cohort.
+    ``id_`` is a number. In permutation b the subject at a place of the order of
+    ids gets the factor of the subject at that place of the order of the md5 of
+    seed, b and id; both orders are taken range by range. A permutation needs
+    the sums by level only, all else is summed up once per group.
     """
-    need = [y, factor, *covariates]
-    complete = rows.dropna(subset=need)
-    cohort = [(r[id_], r[factor]) for r in complete.select(id_, factor).distinct().orderBy(id_).collect()]  # one row per subject
-    ids, own = [c[0] for c in cohort], np.array([levels.index(c[1]) for c in cohort])
-    place = {v: i for i, v in enumerate(ids)}
-
-    def labels(b: int) -> np.ndarray:
-        if b < 0:
-            return own
-        order = np.argsort([hashlib.md5(f"{seed}-{b}-{i}".encode()).hexdigest() for i in ids], kind="stable")
-        return own[order]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        if len(pdf) < least:
-            return pd.DataFrame(columns=[*keys, "permutation", "f", "p"])
-        x0, _, _ = design(pdf, None, levels, covariates)
-        v = pdf[y].to_numpy(float)
-        q, _ = np.linalg.qr(x0)
-        _, _, rss0, rank0 = fit(x0, v)
-        clean = v - q @ (q.T @ v)
-        at = np.array([place[i] for i in pdf[id_]])
-        out = []
-        for b in range(-1, permutations):
-            g = labels(b)[at]
-            block = np.stack([(g == k).astype(float) for k in range(1, len(levels))], axis=1)
-            block = block - q @ (q.T @ block)
-            u, s, _ = np.linalg.svd(block, full_matrices=False)
-            u = u[:, s > 1e-9 * max(s.max(initial=0.0), 1e-300)]
-            df1, df2 = u.shape[1], len(v) - rank0 - u.shape[1]
-            gain = float(((u.T @ clean) ** 2).sum())
-            f = (gain / df1) / ((rss0 - gain) / df2) if df1 else np.nan
-            out.append((*(pdf[k].iloc[0] for k in keys), b, f, special.f_tail(f, df1, df2)))
-        return pd.DataFrame(out, columns=[*keys, "permutation", "f", "p"])
-
-    return complete.select(*keys, id_, *need).groupBy(*keys).applyInPandas(run, f"{_types(rows, keys)}, permutation long, f double, p double")
+    complete = rows.dropna(subset=[y, factor, *covariates])
+    subjects = complete.select(id_, factor).distinct()
+    place = running(subjects.select(id_), [], id_, {"_number": F.lit(1)})
+    drawn = subjects.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))) if permutations else subjects.withColumn("permutation", F.lit(0)).limit(0)
+    hashed = drawn.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("permutation").cast("string"), F.lit("-"), F.col(id_).cast("string"))))
+    dealt = numbered_by(hashed, ["permutation"], "_h", id_).select("permutation", "_number", factor).join(place, "_number").select("permutation", id_, factor)
+    labels = subjects.withColumn("permutation", F.lit(-1)).select("permutation", id_, factor).unionByName(dealt)
+    count, types = len(covariates) + 1, _types(rows, keys)
+    base = centred(complete, keys, y, factor, levels, covariates)
+    names = [f"z_{i}" for i in range(count)]
+    whole = products(base, keys, count, 1).select(*keys, *[f"m_{i}" for i in range(count)], *[f"q_{i}_{j}" for i in range(count) for j in range(i, count)])
+    level = F.lit(0)
+    for k, name in enumerate(levels[1:], 1):
+        level = F.when(F.col(factor) == name, k).otherwise(level)
+    moved = base.select(*keys, id_, *names).join(labels.select("permutation", id_, level.alias("level")), id_)
+    by_level = products(moved, [*keys, "permutation"], count, len(levels), squares=False)
+    tested = _tested(by_level.join(whole, keys), [*keys, "permutation"], f"{types}, permutation int", len(levels), count, least)
+    return tested.select(*keys, F.col("permutation").cast("long").alias("permutation"), "f", "p")
 
 
 def calibration(found: DataFrame, keys: list[str]) -> DataFrame:

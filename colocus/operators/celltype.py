@@ -224,5 +224,17 @@ def moved_levels(ep: DataFrame, settled: DataFrame, signature: DataFrame) -> Dat
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """A fixed sample of n rows: the first by the md5 of seed and key, the same however the rows lie."""
-    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key).limit(n)
+    """A fixed sample of n rows: the first by the md5 of seed and key, the same however the rows lie.
+
+    Rows are counted by the first four digits of the md5; all below the digits at
+    which n is reached stay, and only those with them are put in order.
+    """
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))).withColumn("_d", F.substring("_h", 1, 4))
+    counts, left, last = hashed.groupBy("_d").agg(F.count("*").alias("n")).orderBy("_d").collect(), n, None  # 65,536 rows at most
+    for r in counts:
+        last = r["_d"]
+        if r["n"] >= left:
+            break
+        left -= r["n"]
+    below = hashed.filter(F.col("_d") < F.lit(last))
+    return below.unionByName(hashed.filter(F.col("_d") == F.lit(last)).orderBy("_h", key).limit(max(0, left))).select(*rows.columns)

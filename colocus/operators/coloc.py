@@ -68,29 +68,36 @@ def enrichment(cells: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
     return t.select("image", "a", "b", "observed", "mean", "var", z.alias("z"), oe.alias("log_oe"))
 
 
-def permuted_enrichment(cells: DataFrame, pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """Monte Carlo mean and sd (ddof 1) of the counts per image and class pair, labels dealt by ``dealt``."""
-    sides = cells.select("image", F.col("cell_id").alias("c"), "class")
-    both = sides.select("image", F.lit(0).alias("kind"), F.col("c").alias("p"), F.col("c").alias("q"), F.col("class").cast("long").alias("v"))
-    both = both.union(pairs.select("image", F.lit(1), "i", "j", F.lit(None).cast("long")))
+def permuted_counts(cells: DataFrame, edges: DataFrame, permutations: int, seed: int, block: int = 25) -> DataFrame:
+    """image, r, a, b, n: in each permutation the edges (p, q) of an image from class a to class b, zeros included; labels dealt by ``dealt``.
+
+    A task takes one image's classes and edges for ``block`` permutations.
+    """
+    sides = cells.select("image", F.lit(0).alias("kind"), F.col("cell_id").alias("p"), F.col("cell_id").alias("q"), F.col("class").cast("long").alias("v"))
+    both = sides.union(edges.select("image", F.lit(1), "p", "q", F.lit(None).cast("long")))
+    both = both.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-permutations // block) - 1)))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = int(pdf["image"].iloc[0])
-        points = pdf[pdf["kind"] == 0].sort_values("p")
+        image, first = int(pdf["image"].iloc[0]), int(pdf["_block"].iloc[0]) * block
+        points, links = pdf[pdf["kind"] == 0].sort_values("p"), pdf[pdf["kind"] == 1]
         ids, (names, label) = points["p"].to_numpy(), np.unique(points["v"].to_numpy(), return_inverse=True)
-        edges = pdf[pdf["kind"] == 1].sort_values(["p", "q"])
-        i, j = np.searchsorted(ids, edges["p"].to_numpy()), np.searchsorted(ids, edges["q"].to_numpy())
-        t = len(names)
-        found = np.empty((permutations, t * t))
-        for r in range(permutations):
+        i, j, t = np.searchsorted(ids, links["p"].to_numpy()), np.searchsorted(ids, links["q"].to_numpy()), len(names)
+        draws = np.arange(first, min(first + block, permutations))
+        found = np.empty((len(draws), t * t), np.int64)
+        for k, r in enumerate(draws.tolist()):
             x = dealt(label, seed, r, image)
-            low, high = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-            found[r] = np.bincount(low * t + high, minlength=t * t)
-        a, b = np.triu_indices(t)
-        at = a * t + b
-        return pd.DataFrame({"image": image, "a": names[a].astype(np.int64), "b": names[b].astype(np.int64), "perm_mean": found[:, at].mean(0), "perm_sd": found[:, at].std(0, ddof=1) if permutations > 1 else np.nan})
+            found[k] = np.bincount(x[i] * t + x[j], minlength=t * t)
+        names = names.astype(np.int64)
+        return pd.DataFrame({"image": image, "r": np.repeat(draws, t * t), "a": np.tile(np.repeat(names, t), len(draws)), "b": np.tile(names, t * len(draws)), "n": found.reshape(-1)})
 
-    return both.groupBy("image").applyInPandas(run, "image long, a long, b long, perm_mean double, perm_sd double")
+    return both.groupBy("image", "_block").applyInPandas(run, "image long, r long, a long, b long, n long")
+
+
+def permuted_enrichment(cells: DataFrame, pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Monte Carlo mean and sd (ddof 1) of the counts per image and unordered class pair."""
+    n = permuted_counts(cells, pairs.select("image", F.col("i").alias("p"), F.col("j").alias("q")), permutations, seed)
+    n = n.groupBy("image", "r", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").cast("double").alias("n"))
+    return n.groupBy("image", "a", "b").agg(F.avg("n").alias("perm_mean"), F.stddev_samp("n").alias("perm_sd"))
 
 
 #: A prime below 2^31, so that squares of residues fit 64 bits.
@@ -175,33 +182,18 @@ def permuted_clq(cells: DataFrame, k: int, permutations: int, seed: int, least:
     """image, a, b, clq, perm_mean, perm_sd, percentile, significant, p_two_sided for typed cells, labels permuted per image.
 
     percentile is the share of permutations below the observed value, with the
-    first rank among ties; significant at 0.05 in either tail.
+    first rank among ties; significant at 0.05 in either tail. The graph is made
+    once; tasks take one image and some permutations each, and the rest is sums.
     """
-    rows = cells.filter("class IS NOT NULL").select("image", "cell_id", "x", "y", F.col("class").cast("long").alias("class"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell_id")
-        image, ids, n = int(pdf["image"].iloc[0]), pdf["cell_id"].to_numpy(), len(pdf)
-        names, label, size = np.unique(pdf["class"].to_numpy(), return_inverse=True, return_counts=True)
-        out = {"image": [], "a": [], "b": [], "clq": [], "perm_mean": [], "perm_sd": [], "percentile": [], "significant": [], "p_two_sided": []}
-        if n > k:
-            src, dst, _, _ = graph.nearest(ids, pdf["x"].to_numpy(), pdf["y"].to_numpy(), k)
-            i, j, t = np.searchsorted(ids, src), np.searchsorted(ids, dst), len(names)
-            others = size[None, :] - np.eye(t)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                quotient = lambda x: (np.bincount(x[i] * t + x[j], minlength=t * t).reshape(t, t) / size[:, None]) / (others / (n - 1))
-                observed = quotient(label)
-                null = np.stack([quotient(dealt(label, seed, r, image)) for r in range(permutations)])
-            for a in range(t):
-                for b in range(t):
-                    rare = size[a] <= least or size[b] <= least
-                    x, obs = null[:, a, b], observed[a, b]
-                    mean = x.mean()
-                    share = float((x < obs).mean())
-                    p = (1 + int((np.abs(x - mean) >= abs(obs - mean) - 1e-12).sum())) / (1 + permutations)
-                    values = (None,) * 6 if rare else (obs, mean, x.std(ddof=1), share, share <= 0.05 or share >= 0.95, p)
-                    for key, v in zip(out, (image, int(names[a]), int(names[b]), *values), strict=True):
-                        out[key].append(v)
-        return pd.DataFrame(out).astype({"significant": "object"})
-
-    return rows.groupBy("image").applyInPandas(run, "image long, a long, b long, clq double, perm_mean double, perm_sd double, percentile double, significant boolean, p_two_sided double")
+    typed = cells.filter("class IS NOT NULL").withColumn("class", F.col("class").cast("long"))
+    seen = clq(typed, [k], least)
+    edges = graph.knn_tiled(typed, k).select("image", F.col("src").alias("p"), F.col("dst").alias("q"))
+    n = permuted_counts(typed.select("image", "cell_id", "class"), edges, permutations, seed).withColumnRenamed("n", "_n")
+    others = F.col("n_b") - F.when(F.col("a") == F.col("b"), 1).otherwise(0)
+    x = F.try_divide(F.col("_n").cast("double") / F.col("n_a"), others / (F.col("n_typed") - 1))
+    null = n.join(seen.select("image", "a", "b", "n_a", "n_b", "n_typed", "clq"), ["image", "a", "b"]).filter("clq IS NOT NULL").select("image", "a", "b", "clq", x.alias("x"))
+    means = null.groupBy("image", "a", "b").agg(F.avg("x").alias("perm_mean"), F.stddev_samp("x").alias("perm_sd"))
+    far = F.abs(F.col("x") - F.col("perm_mean")) >= F.abs(F.col("clq") - F.col("perm_mean")) - 1e-12
+    tails = null.join(means, ["image", "a", "b"]).groupBy("image", "a", "b").agg(F.avg((F.col("x") < F.col("clq")).cast("double")).alias("percentile"), ((1 + F.count_if(far)) / (1 + F.count("*"))).alias("p_two_sided"))
+    t = seen.select("image", "a", "b", "clq").join(means, ["image", "a", "b"], "left").join(tails, ["image", "a", "b"], "left")
+    return t.select("image", "a", "b", "clq", "perm_mean", "perm_sd", "percentile", ((F.col("percentile") <= 0.05) | (F.col("percentile") >= 0.95)).alias("significant"), "p_two_sided")

@@ -491,13 +491,13 @@ def f07(spark, d):
     return rounded(E.benjamini_hochberg(t, "p", []))
 
 
-NULL = f"""WITH {L.ANALYSIS}, {L.permuted(20261020, 50)}, {L.f_test('t', 'perm', 'pair, permutation')}, r AS (SELECT *, row_number() OVER (PARTITION BY permutation ORDER BY p, pair) AS r, count(*) OVER (PARTITION BY permutation) AS k FROM t),
+NULL = f"""WITH {L.ANALYSIS}, {L.permuted(20261020, 1000)}, {L.f_test('t', 'perm', 'pair, permutation')}, r AS (SELECT *, row_number() OVER (PARTITION BY permutation ORDER BY p, pair) AS r, count(*) OVER (PARTITION BY permutation) AS k FROM t),
 q AS (SELECT permutation, p, min(p * k / r) OVER (PARTITION BY permutation ORDER BY r DESC) AS q FROM r), per AS (SELECT permutation, max(CASE WHEN q < 0.05e0 THEN 1e0 ELSE 0e0 END) AS hit, sum(p) AS s, count(*) AS n FROM q GROUP BY 1)"""
 
 
 @query("f08_label_permutations", f"{NULL} SELECT round(avg(hit), 6) AS share_any, round(sum(s) / sum(n), 6) AS mean_p, avg(hit) <= 0.10e0 AND abs(sum(s) / sum(n) - 0.5e0) <= 0.02e0 AS calibrated FROM per")
 def f08(spark, d):
-    found = assoc.label_permutations(analysis(spark, d), ["pair"], "id", "y", "segment", SEGMENTS, ["age", "grade"], 50, 20261020)
+    found = assoc.label_permutations(analysis(spark, d), ["pair"], "id", "y", "segment", SEGMENTS, ["age", "grade"], 1000, 20261020)
     return rounded(assoc.calibration(found, ["pair"]))
 
 

@@ -238,16 +238,16 @@ def b21_keep(spark, d):
     return coloc.clq(c, [10], keep_unknown=True).select("image", "a", "b", "count", F.round("clq_k", 6).alias("clq_k"))
 
 
-QUOTIENTS = f"""{clq_sql([10])}, {dealt_sql(20261019, 100)}, hits AS (SELECT knn.image, p.r, p.class AS a, q.class AS b, count(*) AS n FROM knn JOIN lab p ON p.image = knn.image AND p.cell_id = src JOIN lab q ON q.image = knn.image AND q.cell_id = dst AND q.r = p.r GROUP BY 1, 2, 3, 4),
-null_q AS (SELECT image, a, b, clq, (coalesce(n, 0)::DOUBLE / n_a) / ((n_b - CASE WHEN a = b THEN 1 ELSE 0 END)::DOUBLE / (n_typed - 1)) AS x FROM (SELECT * FROM clq, range(100) q(r)) LEFT JOIN hits USING (image, a, b, r)),
+QUOTIENTS = f"""{clq_sql([10])}, {dealt_sql(20261019, 500)}, hits AS (SELECT knn.image, p.r, p.class AS a, q.class AS b, count(*) AS n FROM knn JOIN lab p ON p.image = knn.image AND p.cell_id = src JOIN lab q ON q.image = knn.image AND q.cell_id = dst AND q.r = p.r GROUP BY 1, 2, 3, 4),
+null_q AS (SELECT image, a, b, clq, (coalesce(n, 0)::DOUBLE / n_a) / ((n_b - CASE WHEN a = b THEN 1 ELSE 0 END)::DOUBLE / (n_typed - 1)) AS x FROM (SELECT * FROM clq, range(500) q(r)) LEFT JOIN hits USING (image, a, b, r)),
 means AS (SELECT *, avg(x) OVER (PARTITION BY image, a, b) AS m FROM null_q),
-found AS (SELECT image, a, b, any_value(clq) AS clq, any_value(m) AS m, stddev_samp(x) AS sd, count(*) FILTER (WHERE x < clq) / 100e0 AS share, (1 + count(*) FILTER (WHERE abs(x - m) >= abs(clq - m) - 1e-12)) / 101e0 AS p FROM means GROUP BY 1, 2, 3)"""
+found AS (SELECT image, a, b, any_value(clq) AS clq, any_value(m) AS m, stddev_samp(x) AS sd, count(*) FILTER (WHERE x < clq) / 500e0 AS share, (1 + count(*) FILTER (WHERE abs(x - m) >= abs(clq - m) - 1e-12)) / 501e0 AS p FROM means GROUP BY 1, 2, 3)"""
 
 
 @query("b22_clq_permutation", f"""{QUOTIENTS} SELECT image, a::BIGINT AS a, b::BIGINT AS b, round(clq, 6) AS clq, CASE WHEN clq IS NOT NULL THEN round(m, 6) END AS perm_mean, CASE WHEN clq IS NOT NULL THEN round(sd, 6) END AS perm_sd, CASE WHEN clq IS NOT NULL THEN round(share, 6) END AS percentile,
 CASE WHEN clq IS NOT NULL THEN share <= 0.05e0 OR share >= 0.95e0 END AS significant, CASE WHEN clq IS NOT NULL THEN round(p, 6) END AS p_two_sided FROM found""")
 def b22(spark, d):
-    return rounded(coloc.permuted_clq(cells(spark, d), 10, 100, 20261019))
+    return rounded(coloc.permuted_clq(cells(spark, d), 10, 500, 20261019))
 
 
 @query("b23_patient_clq", f"{clq_sql([10])} SELECT image // 2 AS patient, a, b, round(sum(clq * n_typed) / sum(CASE WHEN clq IS NOT NULL THEN n_typed END), 4) AS clq, count(clq)::BIGINT AS n_images FROM clq GROUP BY 1, 2, 3")

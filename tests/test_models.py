@@ -161,15 +161,27 @@ def test_calibration_and_auc():
     assert np.isnan(V.td_auc(time, event, x, 1e9))
 
 
-def test_least_squares_with_a_repeated_column():
+def test_linear_models_from_sums_are_least_squares(spark):
+    """Repeated and constant columns, a far mean, a level without rows, missing values: as numpy solves them from the rows."""
     rng = np.random.default_rng(0)
-    x = np.c_[np.ones(50), rng.normal(size=(50, 2))]
-    x = np.c_[x, x[:, 1] * 2]
-    y = x[:, :3] @ [1, 2, -1] + rng.normal(0, 0.1, 50)
-    beta, var, rss, rank = assoc.fit(x, y)
-    want = np.linalg.lstsq(x[:, :3], y, rcond=None)
-    assert beta[:3] == pytest.approx(want[0]) and np.isnan(beta[3]) and rank == 3 and rss == pytest.approx(want[1][0])
-    assert var[:3] == pytest.approx(np.diag(np.linalg.inv(x[:, :3].T @ x[:, :3])))
+    n = 240
+    rows = pd.DataFrame({"pair": np.repeat(["p", "q"], n // 2), "g": rng.choice(["a", "b", "c"], n), "x": rng.normal(size=n), "far": 1e5 + rng.normal(size=n), "one": 3.0})
+    rows["twice"] = 2 * rows.x
+    rows["y"] = 1 + rows.x - 2 * (rows.g == "b") + 0.01 * rows.far + rng.normal(0, 0.1, n)
+    rows.loc[::17, "y"] = np.nan
+    covariates, levels = ["x", "twice", "far", "one"], ["a", "b", "c", "none"]
+    got = assoc.model_by_group(spark.createDataFrame(rows), ["pair"], "y", "g", levels, covariates).toPandas().set_index(["pair", "term"])
+    tests = {r.pair: r for r in assoc.f_test_by_group(spark.createDataFrame(rows), ["pair"], "y", "g", levels, covariates).collect()}
+    for pair, own in rows.dropna().groupby("pair"):
+        terms = ["intercept", "b", "c", "x", "far"]
+        x = np.c_[np.ones(len(own)), own.g == "b", own.g == "c", own.x, own.far].astype(float)
+        beta, rss, _, _ = np.linalg.lstsq(x, own.y, rcond=None)
+        df = len(own) - 5
+        se = np.sqrt((np.linalg.inv(np.linalg.qr(x)[1]) ** 2).sum(axis=1) * rss[0] / df)
+        assert got.loc[pair].loc[terms].estimate.to_numpy() == pytest.approx(beta, rel=1e-6) and got.loc[pair].loc[terms].se.to_numpy() == pytest.approx(se, rel=1e-6)
+        assert got.loc[pair].loc[["none", "twice", "one"]].estimate.isna().all() and (got.loc[pair].n == len(own)).all()
+        less = np.linalg.lstsq(x[:, [0, 3, 4]], own.y, rcond=None)[1][0]
+        assert (tests[pair].df1, tests[pair].df2) == (2, df) and tests[pair].f == pytest.approx((less - rss[0]) / 2 / (rss[0] / df), rel=1e-6)
 
 
 def test_partial_f_equals_one_way_and_permutations_are_calibrated(spark):
