@@ -29,22 +29,26 @@ def _same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.join(right, on, how).drop(*names.values())
 
 
-def in_ranges(rows: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds _range, which rises with the number in column ``order``: equal values share a range, of some ``range_rows`` rows."""
+def in_ranges(rows: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> DataFrame | None:
+    """Adds _range, which rises with the number in column ``order``: equal values share a range, of some ``range_rows`` rows. None if one range would hold all."""
+    n = rows.count()
+    if n <= range_rows:
+        return None
     number = F.col(order).cast("double") + F.lit(0.0)  # no minus zero, which would sort before zero
-    found = rows.agg(F.count("*").alias("n"), F.percentile_approx(number, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 20_000).alias("q")).first()
-    parts = min(MOST_RANGES, -(-found["n"] // range_rows))
-    cuts = sorted({found["q"][i * MOST_RANGES // parts - 1] for i in range(1, parts)}) if found["q"] and parts > 1 else []
+    parts = min(MOST_RANGES, -(-n // range_rows))
+    cuts = sorted(set(rows.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 20_000)).first()[0] or []))
     if not cuts:
-        return rows.withColumn("_range", F.lit(0))
+        return None
     splits = [float("-inf"), *cuts, float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_number", outputCol="_place", handleInvalid="keep").transform(rows.withColumn("_number", number))
     return placed.withColumn("_range", F.coalesce(F.col("_place"), F.lit(-1.0)).cast("int")).drop("_number", "_place")
 
 
-def by_hash(rows: DataFrame, digest: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds _range from the first digits of a hexadecimal digest, in whose order it rises."""
-    parts = max(1, min(MOST_RANGES, -(-rows.count() // range_rows)))
+def by_hash(rows: DataFrame, digest: str, range_rows: int = RANGE_ROWS) -> DataFrame | None:
+    """Adds _range from the first digits of a hexadecimal digest, in whose order it rises. None if one range would hold all."""
+    parts = min(MOST_RANGES, -(-rows.count() // range_rows))
+    if parts <= 1:
+        return None
     return rows.withColumn("_range", F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") * parts / 65536).cast("int"))
 
 
@@ -62,9 +66,11 @@ def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column],
     ``back`` runs from the largest value down; ``smallest`` takes minima in place of sums. NULL adds nothing.
     """
     ranged = in_ranges(rows, order, range_rows)
-    carried = _carried(ranged, by, {f"_c_{n}": c for n, c in sums.items()}, back, smallest)
-    own = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc() if back else F.col(order).asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy(*by, *([] if ranged is None else ["_range"])).orderBy(F.col(order).desc() if back else F.col(order).asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inner = {n: (F.min if smallest else F.sum)(c).over(own) for n, c in sums.items()}
+    if ranged is None:
+        return rows.select("*", *[(c if smallest else F.coalesce(c, F.lit(0))).alias(n) for n, c in inner.items()])
+    carried = _carried(ranged, by, {f"_c_{n}": c for n, c in sums.items()}, back, smallest)
     t = _same(ranged.withColumns({f"_o_{n}": c for n, c in inner.items()}), carried, [*by, "_range"])
     both = {n: F.least(f"_o_{n}", f"_c_{n}") if smallest else F.coalesce(f"_o_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)) for n in sums}
     return t.select(*rows.columns, *[c.alias(n) for n, c in both.items()])
@@ -73,8 +79,10 @@ def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column],
 def numbered_by(rows: DataFrame, by: list[str], digest: str, *ties: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds _number from 1 within each group, in the order of a hexadecimal digest and ``ties``."""
     ranged = by_hash(rows, digest, range_rows)
+    own = F.row_number().over(Window.partitionBy(*by, *([] if ranged is None else ["_range"])).orderBy(digest, *ties))
+    if ranged is None:
+        return rows.withColumn("_number", own.cast("long"))
     carried = _carried(ranged, by, {"_before": F.lit(1)}, False)
-    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(digest, *ties))
     t = _same(ranged.withColumn("_own", own), carried, [*by, "_range"])
     return t.select(*rows.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long").alias("_number"))
 
