@@ -59,16 +59,19 @@ class Packer:
     def _block(self, block: list[tuple[int, int, int, int]], last: bool):
         demand = np.array([(size, 1, loss) for _, _, size, loss in block], np.float64).reshape(-1, 3)
         open_, left = np.ones(len(block), bool), len(block)
+        size, loss = (np.ascontiguousarray(demand[:, i]) for i in (0, 2))
         while left and (last or left > BLOCK // 2):
             free, parts = self.limits.astype(np.float64), []
-            while left:
-                fits = open_ & (demand <= free).all(axis=1)
-                score = np.where(fits, (demand / self.limits) @ (free / self.limits), -1.0)
+            while left and free[1] >= 1:
+                weight = free / self.limits / self.limits
+                score = size * weight[0]
+                score += loss * weight[2] + weight[1]
+                score[~open_ | (size > free[0]) | (loss > free[2])] = -1.0
                 best = int(score.argmax())
                 if score[best] < 0:
                     break
-                doc, at, size, _ = block[best]
-                parts.append((doc, at, size))
+                doc, at, n, _ = block[best]
+                parts.append((doc, at, n))
                 free -= demand[best]
                 open_[best] = False
                 left -= 1
@@ -76,6 +79,7 @@ class Packer:
                 cut = self._cut(block, demand, open_, free)
                 if cut is not None:
                     parts.append(cut)
+                    size, loss = (np.ascontiguousarray(demand[:, i]) for i in (0, 2))
             yield self._close(parts)
         self.wait = [block[i] for i in np.flatnonzero(open_)] + self.wait
 
