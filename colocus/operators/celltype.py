@@ -199,7 +199,7 @@ def decay(cells: DataFrame, assigned: DataFrame, bandwidth: float = 100.0, facto
     b = square(assigned.filter("class IS NOT NULL")).select("image", "_bx", "_by", "class", F.col("x").alias("bx"), F.col("y").alias("by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     d = a.join(b, ["image", "_bx", "_by"]).groupBy("image", "cell_id", "class").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("d")).filter(F.col("d") < bandwidth)
-    grid = cells.select("image", "cell_id").crossJoin(F.broadcast(assigned.filter("class IS NOT NULL").select("class").distinct()))
+    grid = cells.select("image", "cell_id").crossJoin(assigned.filter("class IS NOT NULL").select("class").distinct())
     return grid.join(d, ["image", "cell_id", "class"], "left").select("image", "cell_id", "class", F.coalesce(factor * (1 - F.col("d") / bandwidth), F.lit(0.0)).alias("beta"))
 
 

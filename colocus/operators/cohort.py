@@ -70,7 +70,7 @@ def mutation_status(samples: DataFrame, genes: DataFrame, hits: DataFrame, panel
     samples (sample, panel), genes (gene; a few), hits (sample, gene), panel
     (panel, gene); a sample without a panel was sequenced in full.
     """
-    grid = samples.crossJoin(F.broadcast(genes))
+    grid = samples.crossJoin(genes)
     hit = hits.select("sample", "gene").distinct().withColumn("_hit", F.lit(1))
     on = panel.select("panel", "gene").distinct().withColumn("_on", F.lit(1))
     found = grid.join(hit, ["sample", "gene"], "left").join(on, ["panel", "gene"], "left")
