@@ -68,17 +68,25 @@ def enrichment(cells: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
     return t.select("image", "a", "b", "observed", "mean", "var", z.alias("z"), oe.alias("log_oe"))
 
 
-def permuted_counts(cells: DataFrame, edges: DataFrame, permutations: int, seed: int, block: int = 25) -> DataFrame:
+#: Edges times permutations that one task counts, so that a larger image has more tasks.
+TASK_EDGES = 20_000_000
+
+
+def permuted_counts(cells: DataFrame, edges: DataFrame, permutations: int, seed: int, task_edges: int = TASK_EDGES) -> DataFrame:
     """image, r, a, b, n: in each permutation the edges (p, q) of an image from class a to class b, zeros included; labels dealt by ``dealt``.
 
-    A task takes one image's classes and edges for ``block`` permutations.
+    A task takes one image's classes and edges for some of the permutations,
+    fewer of them the more edges the image has.
     """
     sides = cells.select("image", F.lit(0).alias("kind"), F.col("cell_id").alias("p"), F.col("cell_id").alias("q"), F.col("class").cast("long").alias("v"))
     both = sides.union(edges.select("image", F.lit(1), "p", "q", F.lit(None).cast("long")))
-    both = both.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-permutations // block) - 1)))))
+    sizes = edges.groupBy("image").agg(F.count("*").alias("_m"))
+    parts = F.greatest(F.least(F.ceil(F.coalesce("_m", F.lit(0)) * F.lit(permutations / task_edges)), F.lit(permutations)), F.lit(1)).cast("int")
+    both = both.join(sizes, "image", "left").withColumn("_parts", parts).drop("_m").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, first = int(pdf["image"].iloc[0]), int(pdf["_block"].iloc[0]) * block
+        image, block = int(pdf["image"].iloc[0]), -(-permutations // int(pdf["_parts"].iloc[0]))
+        first = int(pdf["_block"].iloc[0]) * block
         points, links = pdf[pdf["kind"] == 0].sort_values("p"), pdf[pdf["kind"] == 1]
         ids, (names, label) = points["p"].to_numpy(), np.unique(points["v"].to_numpy(), return_inverse=True)
         i, j, t = np.searchsorted(ids, links["p"].to_numpy()), np.searchsorted(ids, links["q"].to_numpy()), len(names)

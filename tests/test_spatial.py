@@ -162,3 +162,12 @@ def test_log_ratios_sum_to_zero(spark):
     n = spark.createDataFrame(pd.DataFrame({"k": [1, 1, 2], "c": ["a", "b", "a"], "n": [3, 0, 5]}))
     out = coloc.clr(coloc.full_grid(n, "k", "c", ["a", "b"], "n"), "k", "c", "n").toPandas()
     assert out.groupby("k").clr.sum().abs().max() < 1e-12 and len(out) == 4
+
+
+def test_permutations_split_over_tasks_count_alike(spark):
+    rng = np.random.default_rng(6)
+    cells = points(spark, rng.random((60, 2)), rng.integers(0, 3, 60)).union(points(spark, [(0, 0)], [1], image=1))
+    pairs = graph.undirected(graph.knn(cells, 4)).select("image", "i", "j").toDF("image", "p", "q")
+    key = lambda task_edges: sorted(map(tuple, coloc.permuted_counts(cells, pairs, 10, 5, task_edges).collect()))
+    whole = key(10**9)
+    assert len(whole) == 10 * 9 + 10 and key(500) == whole and key(1) == whole
