@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colocus.operators.triangles import FAR, Triangles, certain, line_edges
 from colocus.sources.files import scratch
 
 EDGE = "image long, src long, dst long, rank long, d2 double"
@@ -228,61 +228,89 @@ def neighbourhood_composition(cells: DataFrame, edges: DataFrame, classes: list,
     return cells.select("image", "cell_id").join(seen, ["image", "cell_id"], "left").select("image", "cell_id", *shares)
 
 
-def triangulation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Edges (i < j) of the Delaunay triangulation by incremental insertion; coincident points join the first of them."""
-    n = len(x)
-    if n < 2:
-        return np.zeros((0, 2), np.int64)
-    cx, cy = float(np.mean(x)), float(np.mean(y))
-    size = max(float(np.ptp(x)), float(np.ptp(y)), 1e-9) * 1e4
-    px = [*map(float, x), cx - 3 * size, cx + 3 * size, cx]
-    py = [*map(float, y), cy - size, cy - size, cy + 3 * size]
-    if n == 2:
-        return np.array([[0, 1]])
-
-    def circle(a: int, b: int, c: int) -> tuple[float, float, float]:
-        bx, by, dx, dy = px[b] - px[a], py[b] - py[a], px[c] - px[a], py[c] - py[a]
-        area = 2 * (bx * dy - by * dx)
-        if area == 0:
-            return px[a], py[a], float("inf")
-        b2, d2 = bx * bx + by * by, dx * dx + dy * dy
-        ux, uy = (dy * b2 - by * d2) / area, (bx * d2 - dx * b2) / area
-        return px[a] + ux, py[a] + uy, ux * ux + uy * uy
-
-    triangles = {(n, n + 1, n + 2): circle(n, n + 1, n + 2)}
-    seen: dict[tuple[float, float], int] = {}
-    twins: list[tuple[int, int]] = []
-    for p in range(n):
-        at = (px[p], py[p])
-        if at in seen:
-            twins.append((seen[at], p))
-            continue
-        seen[at] = p
-        bad = [t for t, (ux, uy, r2) in triangles.items() if (px[p] - ux) ** 2 + (py[p] - uy) ** 2 < r2 * (1 + 1e-12)]
-        rim: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
-                e = (a, b) if a < b else (b, a)
-                rim[e] = rim.get(e, 0) + 1
-            del triangles[t]
-        for (a, b), times in rim.items():
-            if times == 1:
-                t = tuple(sorted((a, b, p)))
-                triangles[t] = circle(*t)
-    edges = {tuple(sorted(e)) for t in triangles for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if max(e) < n} | set(twins)
-    return np.array(sorted(edges), np.int64).reshape(-1, 2)
-
-
-def delaunay(cells: DataFrame, max_length: float | None = None) -> DataFrame:
-    """Undirected Delaunay edges per image: image, i, j, dist; edges longer than ``max_length`` are left out."""
-
-    def run(groups: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        pdf = groups.sort_values("cell_id")
-        ids, x, y = (pdf[c].to_numpy() for c in ("cell_id", "x", "y"))
-        e = triangulation(x, y)
-        d = np.hypot(x[e[:, 0]] - x[e[:, 1]], y[e[:, 0]] - y[e[:, 1]]) if len(e) else np.zeros(0)
-        keep = d <= max_length if max_length is not None else np.ones(len(d), bool)
-        e, d = e[keep], d[keep]
-        return pd.DataFrame({"image": np.full(len(e), pdf["image"].iloc[0], np.int64), "i": ids[e[:, 0]] if len(e) else np.zeros(0, np.int64), "j": ids[e[:, 1]] if len(e) else np.zeros(0, np.int64), "dist": d})
-
-    return cells.select("image", "cell_id", "x", "y").groupBy("image").applyInPandas(run, "image long, i long, j long, dist double")
+def triangulation(x: np.ndarray, y: np.ndarray, rim: tuple[float, float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both directions of the Delaunay edges of different points, and which points are done.
+
+    Without a rim the points are all there are. With one (x0, y0, x1, y1), more
+    may lie beyond it: a point is done if the circles of all its triangles stay
+    within, so that its edges are those among all points.
+    """
+    made = Triangles(x, y)
+    done = np.ones(len(x), bool)
+    if made.flat:
+        src, dst = line_edges(x, y)
+        return src, dst, done & (rim is None)
+    a, b, c = made.arrays()
+    if rim is not None:
+        open_ = ~certain(x, y, a, b, c, rim)
+        done[a[open_ & (a != FAR)]] = False
+    real = (a != FAR) & (b != FAR)
+    return a[real], b[real], done
+
+
+SIDES = "image long, src long, dst long, dist double, done boolean"
+
+
+def delaunay(cells: DataFrame, max_length: float | None = None, per_tile: int = 1024, margin: float = 0.25) -> DataFrame:
+    """Undirected Delaunay edges per image: image, i < j, dist; edges longer than ``max_length`` are left out.
+
+    A task takes one tile of an image and a margin around it. A cell is done if
+    all its triangles have their circles within the margin's rim (an edge of the
+    image has none), since no cell beyond can undo them. What is left, mostly on
+    the image's hull, goes on in tiles of twice the width together with the
+    finished cells that are its neighbours: a cell's edges follow from itself
+    and its neighbours alone. Rounds end when one tile is the image, and go
+    through the shared folder. Images of up to ``per_tile`` cells take one.
+
+    Coincident cells join the one with the smallest cell_id, which alone is
+    triangulated; cells on a line join their neighbours there; of the ways to
+    cut cells on one circle, cell_ids choose one, the same for every tile width.
+    Cells without finite coordinates have no edges. A dense clump in one tile,
+    or an image whose cells mostly lie on its hull, stays in one task.
+    """
+    spark = cells.sparkSession
+    base = cells.select("image", "cell_id", "x", "y").filter("abs(x) < double('inf') AND abs(y) < double('inf')")
+    at = base.groupBy("image", "x", "y").agg(F.min("cell_id").alias("cell_id"))
+    twins = base.join(at.withColumnRenamed("cell_id", "i"), ["image", "x", "y"]).filter("cell_id > i").select("image", "i", F.col("cell_id").alias("j"), F.lit(0.0).alias("dist"))
+    placed = tiles(at.select("image", "cell_id", "x", "y"), per_tile)
+    most = placed.agg(F.max("_t")).first()[0] or 1
+    folder = scratch(spark, "delaunay") if most > 1 else ""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell_id")
+        ids, x, y, asked = pdf["cell_id"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy(), (pdf["_own"] & pdf["_open"]).to_numpy()
+        last, x0, y0, w, tx, ty, image = (pdf[c].iloc[0] for c in ("_last", "_x0", "_y0", "_width", "_tx", "_ty", "image"))
+        slack = 1e-9 * w
+        low = lambda c0, i: c0 + (i - margin) * w + slack if i > 0 else -np.inf
+        high = lambda c0, i: c0 + (i + 1 + margin) * w - slack if i < last else np.inf
+        src, dst, done = triangulation(x, y, (low(x0, tx), low(y0, ty), high(x0, tx), high(y0, ty)) if last else None)
+        keep = (asked & done)[src]
+        src, dst = src[keep], dst[keep]
+        again = ids[asked & ~done]
+        fill = np.zeros(len(again))
+        return pd.DataFrame({"image": np.full(len(src) + len(again), image, np.int64), "src": np.concatenate([ids[src], again]), "dst": np.concatenate([ids[dst], fill.astype(np.int64)]),
+                             "dist": np.concatenate([np.hypot(x[src] - x[dst], y[src] - y[dst]), fill]), "done": np.arange(len(src) + len(again)) < len(src)})
+
+    def whole(sides: DataFrame) -> DataFrame:
+        edges = sides.filter("done AND src < dst").select("image", F.col("src").alias("i"), F.col("dst").alias("j"), "dist").unionByName(twins)
+        return edges if max_length is None else edges.filter(F.col("dist") <= max_length)
+
+    if most > 1:
+        placed.write.parquet(f"{folder}/placed")
+        placed = spark.read.parquet(f"{folder}/placed")
+    found, open_, factor = [], placed.withColumn("_open", F.lit(True)), 1
+    while True:
+        spread = with_halo(open_, factor, margin).withColumn("_last", F.ceil(F.col("_t") / factor) - 1)
+        sides = spread.groupBy("image", "_tx", "_ty").applyInPandas(run, SIDES)
+        if most == 1:
+            return whole(sides)
+        sides.write.parquet(f"{folder}/round-{factor}")
+        sides = spark.read.schema(SIDES).parquet(f"{folder}/round-{factor}")
+        found.append(sides)
+        left = sides.filter("NOT done").select("image", F.col("src").alias("cell_id"))
+        if factor >= most or not left.limit(1).count():
+            return whole(reduce(DataFrame.unionByName, found))
+        factor *= 2
+        beside = reduce(DataFrame.unionByName, found).filter("done").join(left.withColumnRenamed("cell_id", "dst"), ["image", "dst"], "left_semi").select("image", F.col("src").alias("cell_id")).distinct()
+        need = left.withColumn("_open", F.lit(True)).unionByName(beside.withColumn("_open", F.lit(False)))
+        open_ = placed.join(need, ["image", "cell_id"])

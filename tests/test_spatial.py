@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,66 @@ def test_all_neighbour_forms_agree(spark):
     assert len(graph.knn(points(spark, [(0, 0), (1, 1)], [0, 1]), 5).collect()) == 2
 
 
+def _empty_circles(xy: np.ndarray) -> set[tuple[int, int]]:
+    """Edges of the triangles whose circle holds no other point, by trying all of them in fractions."""
+    points, out = [(Fraction(x), Fraction(y)) for x, y in xy.tolist()], set()
+
+    def outside(a, b, c, p):
+        m = [(q[0] - p[0], q[1] - p[1]) for q in (a, b, c)]
+        n = [u * u + v * v for u, v in m]
+        return sum(n[i] * (m[(i + 1) % 3][0] * m[(i + 2) % 3][1] - m[(i + 1) % 3][1] * m[(i + 2) % 3][0]) for i in range(3)) <= 0
+
+    for i, j, k in combinations(range(len(points)), 3):
+        a, b, c = points[i], points[j], points[k]
+        area = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        if area < 0:
+            b, c = c, b
+        if area and all(outside(a, b, c, p) for m, p in enumerate(points) if m not in (i, j, k)):
+            out |= {(i, j), (j, k), (i, k)}
+    return out
+
+
+def test_delaunay_tiles_against_all_triangles(spark):
+    rng = np.random.default_rng(6)
+    images = [rng.random((45, 2)), rng.random((45, 2)) ** 4 * 1e6, np.c_[rng.random(40), rng.random(40) * 1e-3]]
+    rows = [(image, i, float(x), float(y)) for image, xy in enumerate(images) for i, (x, y) in enumerate(xy)]
+    cells = spark.createDataFrame(rows, "image long, cell_id long, x double, y double")
+    want = sorted((image, i, j) for image, xy in enumerate(images) for i, j in _empty_circles(xy))
+    for per_tile in (1000, 12, 2):
+        assert sorted((r.image, r.i, r.j) for r in graph.delaunay(cells, None, per_tile).collect()) == want
+    short = graph.delaunay(cells, 0.2, 12).collect()
+    assert 0 < len(short) < len(want) and max(r.dist for r in short) <= 0.2
+
+
+def test_delaunay_of_odd_images(spark):
+    """Lines, a lattice and a circle (ties everywhere), coincident cells across tiles, a clump, cells without coordinates: the tiles' width changes nothing."""
+    rng = np.random.default_rng(9)
+    turn = np.arange(60) * 2 * np.pi / 60
+    lattice = [(i % 15 * 0.1, i // 15 * 0.1) for i in range(225)]
+    images = [[(0, 0)], [(0, 0), (5, 5)], [(1, 1)] * 9, [(i * 0.5, i * 1.5) for i in range(50)], [(3, i) for i in range(50)], lattice + lattice[::7],
+              np.c_[np.cos(turn), np.sin(turn)], np.r_[rng.normal(size=(200, 2)) * 0.01, rng.random((9, 2)) * 90], [(0, 0), (1, 0), (0, float("nan")), (float("inf"), 1), (None, 2)]]
+    rows = [(image, i, None if x is None else float(x), float(y)) for image, xy in enumerate(images) for i, (x, y) in enumerate(xy)]
+    cells = spark.createDataFrame(rows, "image long, cell_id long, x double, y double")
+    got = [sorted(map(tuple, graph.delaunay(cells, None, per_tile).collect())) for per_tile in (10_000, 20, 4)]
+    assert got[0] == got[1] == got[2]
+    count = Counter(r[0] for r in got[0])
+    assert [count[i] for i in range(5)] == [0, 1, 8, 49, 49] and count[8] == 1
+    assert count[5] == 3 * 225 - 3 - 4 * 14 + len(lattice[::7])  # a full triangulation: no two sides cross, none is missing
+    assert count[6] == 2 * 60 - 3
+    assert {r[1:3] for r in got[0] if r[0] == 2} == {(0, i) for i in range(1, 9)}
+    assert graph.delaunay(cells.limit(0)).count() == 0
+
+
+def test_later_rounds_take_few_cells(spark):
+    """After the first round all but the cells near the hull are done, so that the last tile stays small."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((2, 20_000))
+    inside = (x > 0.4) & (x < 0.6) & (y > 0.4) & (y < 0.6)
+    _, _, done = graph.triangulation(x[inside], y[inside], (0.4, 0.4, 0.6, 0.6))
+    core = (x[inside] > 0.45) & (x[inside] < 0.55) & (y[inside] > 0.45) & (y[inside] < 0.55)
+    assert done[core].all() and not done.all()
+
+
 def test_tiles_of_odd_images(spark):
     """Lone cells, pairs, coincident cells, a lattice full of ties and a clump far from the rest, in images of their own."""
     rng = np.random.default_rng(8)
