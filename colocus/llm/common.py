@@ -199,3 +199,13 @@ def range_index(column: Column, bounds: list[int]) -> Column:
         return F.when(column < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
     return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(bounds))).cast("int")
+
+
+def range_search(column: Column, bounds: list[int]) -> Column:
+    """As range_index by halving steps through one array, for thousands of cut points: the expression's size stays the same."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # one literal, once it is folded
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    further = lambda at, step: F.when(F.get(cuts, at + step - 1) <= column, at + step).otherwise(at)
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), further)).cast("int")

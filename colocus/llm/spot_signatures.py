@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colocus.llm.common import SPACE_CLASS, range_bounds, range_index, text_of
+from colocus.llm.common import SPACE_CLASS, range_bounds, range_search, text_of
 from colocus.llm.quality_rules import EDGE, STOP_WORDS, bound_to
 
 CHAIN = 3
@@ -81,30 +81,28 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     return found.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the row that follows in descending order of ``key``; the first row follows the last.
+def with_next(rows: DataFrame, key: str, columns: list[str], made: dict[str, Column]) -> DataFrame:
+    """Adds the columns ``made`` and next_<column> of all of them, from the row that follows in descending order of ``key``; the first row follows the last.
 
     Ranges of the key are dealt out and each is ordered by itself; the first row
-    of each range also goes, as a guest, to the end of the range before it. The
-    driver knows only the cut points and the ranges' largest keys. Nulls are
-    last; rows with equal keys follow by their first column.
+    of each range also goes, as a guest, to the end of the range before it, by a
+    table with a row for each range. The driver knows only the cut points. Nulls are
+    last; rows with equal keys follow by their first column. Columns are made once
+    for each row and guest, after the guests are found.
     """
     n = rows.count()
     bounds = range_bounds(rows, key, max(1, min(MOST_BUCKETS, -(-n // ROWS_EACH))))
-    bucket = range_index(F.col(key), bounds)
-    heads = rows.groupBy(bucket.alias("b")).agg(F.max(key).alias("k")).orderBy(F.col("b").desc()).collect()
+    bucket = range_search(F.col(key), bounds)
     placed = rows.withColumn("_bucket", bucket).withColumn("_guest", F.lit(0))
-    if not heads:
-        return placed.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     order = [F.col(key).desc_nulls_last(), F.col(columns[0]).asc()]
-    first = {h["b"]: h["k"] for h in heads}
-    before = {heads[i]["b"]: heads[i - 1]["b"] for i in range(len(heads))}  # heads[-1]: the last range gets the first
-    goes = F.create_map(*[F.lit(x) for b, k in before.items() for x in (b, k)])
-    head = F.create_map(*[F.lit(x) for b, k in first.items() for x in (b, k if k is not None else -(2**63))])
-    is_head = F.coalesce(F.col(key), F.lit(-(2**63))) == F.element_at(head, F.col("_bucket"))
-    guests = placed.filter(is_head).withColumn("_guest", F.lit(1)).withColumn("_bucket", F.element_at(goes, F.col("_bucket")))
+    heads = rows.groupBy(bucket.alias("_home")).agg(F.max(key).alias("_head"))  # a row for each range, MOST_BUCKETS at most
+    goes = F.coalesce(F.lead("_home").over(Window.orderBy("_home")), F.min("_home").over(Window.partitionBy()))  # the first of all follows the last
+    heads = F.broadcast(heads.withColumn("_goes", goes))
+    guests = placed.join(heads, (F.col("_bucket") == F.col("_home")) & F.col(key).eqNullSafe(F.col("_head")))
+    guests = guests.select(*rows.columns, F.col("_goes").alias("_bucket"), F.lit(1).alias("_guest"))
     window = Window.partitionBy("_bucket").orderBy(F.col("_guest"), *order)
-    following = placed.unionByName(guests).select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
+    both = placed.unionByName(guests).withColumns(made)
+    following = both.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in [*columns, *made]])
     return following.filter("_guest = 0")
 
 
@@ -116,8 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own next. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
-    pairs = with_next(rows, "doc_id", ["text", "sigs"])
+    pairs = with_next(rows, "doc_id", ["text"], {"sigs": signatures(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), n - cut), F.left(F.col("next_text"), cut))

@@ -219,6 +219,18 @@ def test_fingerprints(spark, docs, odd, monkeypatch):
     assert all(len(v) == 1 for v in prints.values())
 
 
+def test_range_search_is_the_tree_of_comparisons(spark):
+    from pyspark.sql import functions as F
+
+    from colocus.llm.common import range_index, range_search
+
+    values = [None, -(2**63), -5, 0, 1, 2, 3, 7, 8, 2**62]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for bounds in ([], [1], [-5, 2], [0, 1, 2, 3], list(range(-40, 41, 3)), [-(2**63), 2**62]):
+        for r in df.select("v", range_search(F.col("v"), bounds).alias("a"), range_index(F.col("v"), bounds).alias("b")).collect():
+            assert r.a == r.b == (0 if r.v is None else sum(c <= r.v for c in bounds))
+
+
 def test_similar_fingerprints_are_all_found(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(200)] + list(quality_rules.STOP_WORDS[:20])
