@@ -228,7 +228,7 @@ def neighbourhood_composition(cells: DataFrame, edges: DataFrame, classes: list,
     return cells.select("image", "cell_id").join(seen, ["image", "cell_id"], "left").select("image", "cell_id", *shares)
 
 
-def triangulation(x: np.ndarray, y: np.ndarray, rim: tuple[float, float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile_sides(x: np.ndarray, y: np.ndarray, rim: tuple[float, float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both directions of the Delaunay edges of different points, and which points are done.
 
     Without a rim the points are all there are. With one (x0, y0, x1, y1), more
@@ -248,6 +248,17 @@ def triangulation(x: np.ndarray, y: np.ndarray, rim: tuple[float, float, float,
     return a[real], b[real], done
 
 
+def triangulation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Edges (i < j) of the Delaunay triangulation; coincident points join the first of them."""
+    _, first, of = np.unique(np.c_[x, y], axis=0, return_index=True, return_inverse=True)
+    own = np.sort(first)
+    src, dst, _ = tile_sides(x[own], y[own])
+    home = first[of.reshape(-1)]
+    twins = np.flatnonzero(home != np.arange(len(x)))
+    edges = np.concatenate([np.c_[own[src], own[dst]][src < dst], np.c_[home[twins], twins]]).astype(np.int64)
+    return edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+
+
 SIDES = "image long, src long, dst long, dist double, done boolean"
 
 
@@ -283,7 +294,7 @@ def delaunay(cells: DataFrame, max_length: float | None = None, per_tile: int =
         slack = 1e-9 * w
         low = lambda c0, i: c0 + (i - margin) * w + slack if i > 0 else -np.inf
         high = lambda c0, i: c0 + (i + 1 + margin) * w - slack if i < last else np.inf
-        src, dst, done = triangulation(x, y, (low(x0, tx), low(y0, ty), high(x0, tx), high(y0, ty)) if last else None)
+        src, dst, done = tile_sides(x, y, (low(x0, tx), low(y0, ty), high(x0, tx), high(y0, ty)) if last else None)
         keep = (asked & done)[src]
         src, dst = src[keep], dst[keep]
         again = ids[asked & ~done]

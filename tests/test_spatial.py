@@ -105,7 +105,7 @@ def test_later_rounds_take_few_cells(spark):
     rng = np.random.default_rng(3)
     x, y = rng.random((2, 20_000))
     inside = (x > 0.4) & (x < 0.6) & (y > 0.4) & (y < 0.6)
-    _, _, done = graph.triangulation(x[inside], y[inside], (0.4, 0.4, 0.6, 0.6))
+    _, _, done = graph.tile_sides(x[inside], y[inside], (0.4, 0.4, 0.6, 0.6))
     core = (x[inside] > 0.45) & (x[inside] < 0.55) & (y[inside] > 0.45) & (y[inside] < 0.55)
     assert done[core].all() and not done.all()
 
