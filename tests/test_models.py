@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -14,7 +15,9 @@ from colocus.functions import special
 from colocus.operators import assoc, evaluate as E
 from colocus.operators import survival as S
 from colocus.operators import validation as V
+from colocus.operators.digests import Digests
 from colocus.plans import QUERIES
+from colocus.sources.files import scratch
 
 
 def cohort(n=120, seed=0):
@@ -272,3 +275,24 @@ def test_weighted_concordance_auc_and_places_against_pairs(spark):
     assert cohort.numbered(wide.limit(0), "k").count() == 0
     moved = cohort.shuffled_jointly(df, "id", ["risk", "w"], 5).collect()
     assert len(moved) == 90 and sorted((r["risk"], r["w"]) for r in moved) == sorted((r[4], r[5]) for r in rows)
+
+
+@pytest.mark.parametrize("draws", [1, 400, 10**9])
+def test_permutations_of_several_ranges(spark, draws):
+    """Sums by level of every permutation, for ranges of few draws and for one of all; subjects may miss in a group."""
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame([(p, int(i), int(i) % 3 if i > 30 else 1, float(rng.normal())) for i in rng.choice(10**7, 150, False) - 50 for p in ("a", "b") if p == "a" or i % 2], columns=["pair", "id", "level", "z_0"])
+    found = assoc.permuted_sums(spark.createDataFrame(rows), ["pair"], "id", 1, 3, 70, 5, scratch(spark, "sums"), draws).toPandas().set_index(["pair", "permutation"])
+    subjects = rows[["id", "level"]].drop_duplicates().sort_values("id").reset_index(drop=True)
+    assert len(found) == 140
+    for b in range(70):
+        order = sorted(subjects.index, key=lambda i: hashlib.md5(f"5-{b}-{subjects.id[i]}".encode()).hexdigest())
+        dealt = dict(zip(subjects.id, subjects.level[order], strict=True))
+        for (pair, k), own in rows.groupby(["pair", rows.id.map(dealt)]):
+            assert (found.loc[(pair, b), f"n_{k}"], found.loc[(pair, b), f"s_{k}_0"]) == (len(own), pytest.approx(own.z_0.sum()))
+
+
+def test_digests_of_many_texts():
+    texts = ["0", "-7", "9223372036854775807", *map(str, range(95, 9000))]
+    for prefix in ("", "5-0-", "20261020-999-"):
+        assert Digests(texts).after(prefix).tolist() == [int(hashlib.md5((prefix + t).encode()).hexdigest()[:16], 16) for t in texts]
