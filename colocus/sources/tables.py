@@ -49,13 +49,24 @@ def survival(spark: SparkSession, folder: str) -> DataFrame:
     return outcomes(table(spark, folder, "events"))
 
 
+def exact_mean(value: str, digits: int) -> Column:
+    """The mean to so many digits, halves up, whatever the order of the rows: a sum of doubles depends on it, and so does the way that a half is rounded.
+
+    Sums are of decimals with ten digits behind the point; means of values that are none (NaN, infinite, from 1e18 on) are those of doubles.
+    """
+    exact = F.col(value).try_cast("decimal(28,10)")
+    mean = F.round(F.try_divide(F.sum(exact), F.count(value).cast("decimal(18,0)")), digits).cast("double")
+    return F.when(F.count(exact) == F.count(value), mean).otherwise(F.round(F.avg(value), digits))
+
+
 def outcomes(e: DataFrame) -> DataFrame:
     """The subjects of an ``events`` table."""
     e = e.withColumn("us", micros(F.col("ts")))
+    mean = exact_mean("value", 6)
     hit = (F.col("event_type") == "purchase") & (F.col("value") > 150)
-    by = e.groupBy("user_id").agg(F.min("us").alias("t0"), F.min(F.when(hit, F.col("us"))).alias("t1"), F.max("us").alias("t2"), F.avg("value").alias("risk"))
+    by = e.groupBy("user_id").agg(F.min("us").alias("t0"), F.min(F.when(hit, F.col("us"))).alias("t1"), F.max("us").alias("t2"), mean.alias("risk"))
     days = (F.coalesce("t1", "t2") - F.col("t0")) / F.lit(86_400_000_000.0)
-    return by.select("user_id", F.col("t1").isNotNull().alias("event"), F.round(days, 6).alias("time"), F.round("risk", 6).alias("risk"))
+    return by.select("user_id", F.col("t1").isNotNull().alias("event"), F.round(days, 6).alias("time"), "risk")
 
 
 SURVIVAL_SQL = """subjects0 AS (SELECT user_id, min(epoch_us(ts)) AS t0, min(CASE WHEN event_type = 'purchase' AND value > 150 THEN epoch_us(ts) END) AS t1, max(epoch_us(ts)) AS t2, avg(value) AS risk FROM events GROUP BY user_id),
