@@ -49,7 +49,7 @@ def _graph(spark, d):
 
 @query("b01_knn_edges", f"WITH {CELLS_SQL}, {knn_sql(K)} SELECT image, src, dst, rank, round(d2, 6) AS d2 FROM knn")
 def b01(spark, d):
-    return graph.knn(cells(spark, d), K).withColumn("d2", F.round("d2", 6))
+    return graph.knn_tiled(cells(spark, d), K).withColumn("d2", F.round("d2", 6))
 
 
 @query("b01_knn_grouped", f"WITH {CELLS_BIG_SQL}, {knn_sql(K)} SELECT image, src, dst, rank, round(d2, 6) AS d2 FROM knn")

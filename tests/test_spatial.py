@@ -13,6 +13,7 @@ import pytest
 
 from colocus.operators import coloc, graph
 from colocus.operators.cohort import crosstab
+from colocus.plans import QUERIES
 
 
 def points(spark, xy, classes, image=0):
@@ -244,3 +245,8 @@ def test_grid_deals_pairs_out_and_bounds_copies(spark):
     want = sorted(map(tuple, graph.knn(df, 4).collect()))
     for pairs in (500, 10**9):
         assert sorted(map(tuple, graph.knn_grid(df, 4, task_pairs=pairs).collect())) == want
+
+
+def test_edges_query_meets_tiles_not_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "knn", lambda *_: pytest.fail("all pairs"))
+    assert QUERIES["b01_knn_edges"](spark, "/root/testdata/sf0.001").count() > 0
