@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
 
 #: Rows of a range, and the most ranges; beyond that ranges grow and their windows spill.
 RANGE_ROWS, MOST_RANGES = 100_000, 4096
@@ -95,6 +98,15 @@ def with_ranks(rows: DataFrame, by: list[str], value: str, name: str, range_rows
     return _same(rows, ranks, [*by, value])
 
 
+def driver_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table of the JVM: no Python process reads them on executors."""
+    kinds = StructType.fromDDL(schema)
+    if any(isinstance(f.dataType, (TimestampType, TimestampNTZType)) for f in kinds):
+        return spark.createDataFrame(rows, kinds)
+    columns = to_arrow_schema(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(columns)], schema=columns), kinds)
+
+
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float], buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """by and q, an array with the interpolated quantile of ``value`` for each share of ``at``; NULL values do not count, a group without any has NULL.
 
@@ -122,7 +134,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float],
         wanted = [w for w in wanted if w[-3] < w[-2]]
         if not wanted:
             break
-        open_ = F.broadcast(spark.createDataFrame(wanted, schema))  # a row for each rank of a large group
+        open_ = F.broadcast(driver_rows(spark, wanted, schema))  # a row for each rank of a large group
         bin_ = F.least(F.floor((F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * BINS), F.lit(BINS - 1)).cast("int")
         near = _same(t, open_, by).filter(F.col("_v").between(F.col("_low"), F.col("_high"))).withColumn("_bin", bin_)
         bins = near.groupBy(*by, "_rank", "_before", "_bin").agg(F.count("*").alias("_m"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
@@ -142,7 +154,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float],
             a, b = of[(*k, low)], of[(*k, min(low + 1, r["_n"] - 1))]
             q.append(a if a == b else a + (place - low) * (b - a))
         done.append((*k, q))
-    big = spark.createDataFrame(done, f"{key + ', ' if by else ''}q array<double>")
+    big = driver_rows(spark, done, f"{key + ', ' if by else ''}q array<double>")
     if not by:
         return big
     names = {c: f"_b_{c}" for c in by}

@@ -74,3 +74,11 @@ def test_quantiles_of_many_close_values(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     q = O.exact_quantiles(df, [], "x", [0.1, 0.3, 0.5, 0.8], 10).first().q
     assert q == np.quantile(x, [0.1, 0.3, 0.5, 0.8]).tolist()
+
+
+def test_quantiles_of_large_groups_without_python(spark):
+    """The ranks that are left go to executors as a table of the JVM, not through Python processes."""
+    rows = spark.range(3000).select(F.col("id").cast("double").alias("x"), F.lit("a").alias("g"))
+    found = O.exact_quantiles(rows, ["g"], "x", [0.5], 1000)
+    assert found.collect()[0].q == [1499.5]
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
