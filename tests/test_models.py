@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -296,3 +297,24 @@ def test_digests_of_many_texts():
     texts = ["0", "-7", "9223372036854775807", *map(str, range(95, 9000))]
     for prefix in ("", "5-0-", "20261020-999-"):
         assert Digests(texts).after(prefix).tolist() == [int(hashlib.md5((prefix + t).encode()).hexdigest()[:16], 16) for t in texts]
+
+
+def test_auc_of_many_subjects_has_no_table_of_pairs():
+    rng = np.random.default_rng(6)
+
+    def by_pairs(time, event, risk, at):
+        g = lambda u: np.prod([1 - (~event & (time == v)).sum() / (time >= v).sum() for v in np.unique(time[time <= u])])
+        case = np.flatnonzero(event & (time <= at))
+        w = np.array([1 / g(time[i]) for i in case])
+        better = np.array([((risk[i] > risk[time > at]) + 0.5 * (risk[i] == risk[time > at])).mean() for i in case])
+        return (w * better).sum() / w.sum()
+
+    time, event, risk = rng.integers(1, 40, 200) / 2, rng.random(200) < 0.4, rng.integers(0, 12, 200) / 4
+    assert V.td_auc(time, event, risk, 9.0) == pytest.approx(by_pairs(time, event, risk, 9.0))
+    assert np.isnan(V.td_auc(time, event, risk, 0.1))
+    n = 20_000
+    tracemalloc.start()
+    V.td_auc(rng.exponential(10, n), rng.random(n) < 0.5, rng.normal(size=n), 7.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
