@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,10 @@ from colocus.llm.common import ragged
 MOST_PIECES = 400_000
 #: Marks that may close a word: a run of them after letters is a pre-token of its own.
 TAIL = ".,;:!?$&%#*|"
-#: Letters below U+0250 alone, whose merges need no more than the model.
-LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
+#: Letters below U+0250, words of which need no more than the model's merges.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_ID = attrgetter("id")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -30,7 +33,9 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Piece to slot; a new piece gets the next slot and waits to be encoded. Slot 0: not safe to encode alone."""
+    """Piece to slot; a new piece gets the next slot and waits to be encoded. Slot 0: not safe to encode alone.
+
+    A str stands for itself after a space, a tuple for its one text at the start of a text."""
 
     def __init__(self):
         super().__init__()
@@ -38,14 +43,53 @@ class _Pieces(dict):
         self.slots = 1
 
     def __missing__(self, piece):
-        text = piece[0] if type(piece) is tuple else piece
-        if type(piece) is str and (not text or text[0].isspace() or text[-1].isspace()):
-            self[piece] = 0
-            return 0
-        self[piece] = slot = self.slots
-        self.slots += 1
-        self.waiting.append(piece)
-        return slot
+        self.slots_of([piece])
+        return self[piece]
+
+    def slots_of(self, pieces: list) -> np.ndarray:
+        """The slots of distinct pieces, all of one type."""
+        found = np.fromiter(map(self.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            names = [pieces[i] for i in new.tolist()]
+            if type(names[0]) is str:
+                safe = np.fromiter((p != "" and p.strip() == p for p in names), bool, len(names))
+                if not safe.all():
+                    found[new[~safe]] = 0
+                    new, names = new[safe], [p for p, x in zip(names, safe.tolist(), strict=True) if x]
+                    self.update((pieces[i], 0) for i in np.flatnonzero(found == 0).tolist())
+            found[new] = np.arange(self.slots, self.slots + len(new))
+            self.update(zip(names, range(self.slots, self.slots + len(new)), strict=True))
+            self.slots += len(new)
+            self.waiting += names
+        return found
+
+
+def _taken_apart(words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, pa.Array, pa.Array]:
+    """What of distinct words can be encoded apart.
+
+    Which words are letters and marks after them, or two such joined by one line
+    feed, and the letters and marks (the line feed included) that these begin
+    with; which are the joined ones, and their second letters and marks.
+    """
+    size = lambda x: pc.binary_length(x).to_numpy()
+    rest = pc.utf8_ltrim(words, characters=LETTERS)
+    after = pc.utf8_ltrim(rest, characters=TAIL)
+    begun = size(rest) < size(words)
+    mask = begun & (size(after) == 0) & (size(rest) > 0)
+    double = np.flatnonzero(begun & pc.starts_with(after, "\n").to_numpy(zero_copy_only=False))
+    seconds = pc.utf8_slice_codeunits(after.take(pa.array(double)), 1)
+    ends = pc.utf8_ltrim(seconds, characters=LETTERS)
+    good = (size(ends) < size(seconds)) & (size(pc.utf8_ltrim(ends, characters=TAIL)) == 0)
+    double, seconds, ends = double[good], seconds.filter(pa.array(good)), ends.filter(pa.array(good))
+    mask[double] = True
+    tailed = np.flatnonzero(mask)
+    joined = np.isin(tailed, double)
+    own, tails = words.take(pa.array(tailed)), rest.take(pa.array(tailed))
+    heads = pc.utf8_rtrim(own.filter(pa.array(joined)), characters=TAIL + LETTERS)
+    own = pc.replace_with_mask(own, pa.array(joined), heads)
+    tails = pc.replace_with_mask(tails, pa.array(joined), pc.utf8_ltrim(heads, characters=LETTERS))
+    return tailed, pc.utf8_rtrim(own, characters=TAIL + "\n"), tails, double, pc.utf8_rtrim(seconds, characters=TAIL), ends
 
 
 class Encoder:
@@ -115,46 +159,46 @@ class Encoder:
 
     def _encode_waiting(self) -> None:
         waiting, self.pieces.waiting = self.pieces.waiting, []
-        slot = self.pieces.__getitem__
-        single = [p for p in waiting if type(p) is str and " " not in p]
-        whole = pa.array(single, pa.large_string())
-        stems = pc.utf8_rtrim(whole, characters=TAIL)
-        lettered = pc.match_substring_regex(stems, LETTERS)
-        plain = whole.filter(pc.invert(lettered)).to_pylist()
-        if len(plain) < len(single):
-            self._encode_lettered(whole.filter(lettered).to_pylist(), stems.filter(lettered))
+        slots = np.arange(self.pieces.slots - len(waiting), self.pieces.slots)  # in order of first sight
+        first = np.fromiter((type(p) is tuple for p in waiting), bool, len(waiting))
+        whole = pa.array([p[0] if type(p) is tuple else p for p in waiting] if first.any() else waiting, pa.large_string())
+        lettered = (pc.binary_length(pc.utf8_ltrim(whole, characters=LETTERS)).to_numpy() == 0) & (pc.binary_length(whole).to_numpy() > 0)
+        odd = (first | pc.match_substring(whole, " ").to_numpy(zero_copy_only=False)) & ~lettered
+        for at, before in ((lettered & ~first, "Ġ"), (lettered & first, "")):
+            if at.any():
+                self._encode_lettered(whole.filter(pa.array(at)).to_pylist(), slots[at], before)
+        plain, own = whole.filter(pa.array(~lettered & ~odd)).to_pylist(), slots[~lettered & ~odd]
         for at in range(0, len(plain), 2048):
             part = plain[at : at + 2048]
             flat = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint32)
-            first = np.flatnonzero(self.starts_word[flat])
-            self._store(np.fromiter(map(slot, part), np.int64, len(part)), flat, np.diff(first, append=len(flat)))
-        odd = [p for p in waiting if type(p) is tuple or " " in p]
-        if odd:
-            found = self.tokenizer.encode_batch([p[0] if type(p) is tuple else " " + p for p in odd], add_special_tokens=False)
-            ids = [e.ids for e in found]
+            starts = np.flatnonzero(self.starts_word[flat])
+            self._store(own[at : at + 2048], flat, np.diff(starts, append=len(flat)))
+        if odd.any():
+            texts = [p if x else " " + p for p, x in zip(whole.filter(pa.array(odd)).to_pylist(), first[odd].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             flat = np.fromiter((i for x in ids for i in x), np.uint32)
-            self._store(np.fromiter(map(slot, odd), np.int64, len(odd)), flat, np.fromiter(map(len, ids), np.int64, len(ids)))
+            self._store(slots[odd], flat, np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def _encode_lettered(self, words: list[str], stems: pa.Array) -> None:
-        """Words that are letters and a tail of marks: each distinct stem is merged once, each tail looked up."""
-        coded = stems.dictionary_encode()
+    def _encode_lettered(self, stems: list[str], slots: np.ndarray, before: str) -> None:
+        """Words that are letters alone: the model merges each by itself."""
         merge, ids, many = self.model.tokenize, [], []
-        for stem in coded.dictionary.to_pylist():
-            found = [x.id for x in merge("Ġ" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.as_bytes)))]
-            ids += found
+        for stem in stems:
+            found = merge(before + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.as_bytes)))
+            ids += map(_ID, found)
             many.append(len(found))
-        tails = [w[k:] for w, k in zip(words, pc.utf8_length(stems).to_pylist(), strict=True)]
-        place = {t: i for i, t in enumerate(dict.fromkeys(tails))}
-        for t in place:
+        self._store(slots, np.array(ids, np.uint32), np.array(many, np.int64))
+
+    def _tails(self, tails: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run of marks its place in ids, its length; the ids."""
+        coded = tails.dictionary_encode()
+        found = []
+        for t in coded.dictionary.to_pylist():
             if t not in self.tails:
                 self.tails[t] = self.tokenizer.encode(t, add_special_tokens=False).ids
-            ids += self.tails[t]
-            many.append(len(self.tails[t]))
-        many = np.array(many, np.int64)
-        start = np.cumsum(many) - many
-        both = np.stack([coded.indices.to_numpy(), len(coded.dictionary) + np.fromiter(map(place.__getitem__, tails), np.int64, len(tails))], axis=1)
-        flat = np.array(ids, np.uint32)[ragged(start[both].ravel(), many[both].ravel())]
-        self._store(np.fromiter(map(self.pieces.__getitem__, words), np.int64, len(words)), flat, many[both].sum(axis=1))
+            found.append(self.tails[t])
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        at = coded.indices.to_numpy()
+        return (np.cumsum(many) - many)[at], many[at], np.array([i for x in found for i in x], np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
@@ -183,27 +227,52 @@ class Encoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         n, parts = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
         begin = np.cumsum(n) - n
-        coded = parts.dictionary_encode()  # each distinct piece of the batch is looked up once
-        words = coded.dictionary.to_pylist()
-        slots = np.fromiter(map(slot, words), np.int64, len(words))[coded.indices.to_numpy()]
-        unsafe = slots == 0
+        coded = parts.dictionary_encode()  # each distinct word of the batch is looked up once
+        words, place = coded.dictionary, coded.indices.to_numpy()
+        tailed, stems, tails, double, seconds, ends = _taken_apart(words)
+        mask = np.zeros(len(words), bool)
+        mask[tailed] = True
+        keys = pc.replace_with_mask(words, pa.array(mask), stems).dictionary_encode()
+        own = self.pieces.slots_of(keys.dictionary.to_pylist())[keys.indices.to_numpy()]
+        keys = seconds.dictionary_encode()
+        second = self.pieces.slots_of([(p,) for p in keys.dictionary.to_pylist()])[keys.indices.to_numpy()]
+        w = len(words)
+        slots = place.astype(np.int64)  # below w: a word of the batch; from there on w and the slot of a piece
+        unsafe = (own == 0)[place]
         firsts = parts.take(pa.array(begin)).to_pylist()
-        slots[begin] = [slot((p,)) for p in firsts]
+        slots[begin] = [w + slot((p,)) for p in firsts]
         unsafe[begin] = [p[-1:].isspace() or not p and k > 1 for p, k in zip(firsts, n.tolist(), strict=True)]
         if unsafe.any():
-            keys, done = [], 0
+            pieces, done = [], 0
             for i in np.unique(np.searchsorted(begin, np.flatnonzero(unsafe), side="right") - 1).tolist():
                 cut = _INNER_SPACE.split(texts[i])
-                own = [slot((cut[0],)), *(slot(p) or self._odd(p) for p in cut[1:])]
-                keys += [slots[done : begin[i]], np.array(own, np.int64)]
+                found = [slot((cut[0],)), *(slot(p) or self._odd(p) for p in cut[1:])]
+                pieces += [slots[done : begin[i]], w + np.array(found, np.int64)]
                 done = begin[i] + n[i]
-                n[i] = len(own)
-            slots = np.concatenate([*keys, slots[done:]])
+                n[i] = len(found)
+            slots = np.concatenate([*pieces, slots[done:]])
         self._encode_waiting()
-        used = np.bincount(slots, minlength=self.pieces.slots)
+        beyond = np.flatnonzero(slots >= w)
+        others, back = np.unique(slots[beyond] - w, return_inverse=True)
+        slots[beyond] = w + back
+        own = np.concatenate([own, others])
+        many = np.bincount(slots, minlength=len(own))
+        used = np.bincount(np.concatenate([own, second]), weights=np.concatenate([many, many[double]]), minlength=self.pieces.slots).astype(np.int64)
         self.uses[: len(used)] += used
-        lengths = self.length[slots]
-        flat = self.table[ragged(self.start[slots], lengths)]
+        # the ids of each word of the batch, then of each other piece: stem and marks, for double words once more
+        parts_ = np.zeros((len(own), 4), np.int64)
+        parts_[:, 0] = self.length[own]
+        at, parts_[tailed, 1], tail_ids = self._tails(tails)
+        parts_[double, 2] = self.length[second]
+        end_at, parts_[double, 3], end_ids = self._tails(ends)
+        whole = parts_.sum(axis=1)
+        start = np.cumsum(whole) - whole
+        begins = start[:, None] + np.cumsum(parts_, axis=1) - parts_
+        table = np.empty(int(whole.sum()), np.uint32)
+        for k, rows, ids, source in ((0, np.arange(len(own)), self.table, self.start[own]), (1, tailed, tail_ids, at), (2, double, self.table, self.start[second]), (3, double, end_ids, end_at)):
+            table[ragged(begins[rows, k], parts_[rows, k])] = ids[ragged(source, parts_[rows, k])]
+        lengths = whole[slots]
+        flat = table[ragged(start[slots], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         edges = np.concatenate([[0], np.cumsum(n)])
         return flat, np.diff(ends[edges])

@@ -105,6 +105,21 @@ def test_shedding_pieces_changes_no_ids(docs, monkeypatch):
         assert flat.tolist() == [i for x in want[low : low + 20] for i in x] and n.tolist() == [len(x) for x in want[low : low + 20]]
 
 
+def test_words_with_marks_are_kept_by_their_letters():
+    """Marks behind a word, or a line feed between two words, make no new piece of it; the ids are the library's."""
+    e = encoder(token_files.default_tokenizer())
+    e.forget()
+    stems = ["alpha", "Bézier", "gamma", "Ñandú", "x"]
+    ends = ["", ".", ",", "?!", "$$", ".\n", "\n", "\n\n", ".\r\n", "\n.", "-\n"]
+    texts = [f"{a}{m} {b}{k}{a}{m} {a}{m}{b}{k}{a}" for a in stems for b in stems for m in ends for k in ends]
+    want = [x.ids for x in Tokenizer.from_file(token_files.default_tokenizer()).encode_batch(texts, add_special_tokens=False)]
+    flat, n = e.encode(texts)
+    assert flat.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    e.forget()
+    e.encode([f"{a} {a}{m} {a}{k}{b}{m}" for a in stems for b in stems for m in ends[:5] for k in ends[5:7]])
+    assert e.pieces.slots <= 1 + 3 * len(stems)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=200), st.integers(0, 4))
 def test_codes_round_trip(values, shift):
