@@ -86,31 +86,31 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k, side="right") - 1
         return np.where(h > 0, (word << 6) + _in_word(~self.high[word], k - self.zeros[word]) + 1, 0)
 
-    def _walk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first value >= x, and whether it equals x: one jump to the bucket, then along its few values."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value >= x, and whether it equals x: one jump to the bucket, then by halves of it, since buckets of clustered values are long."""
         top = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1])) - 1
         h = np.minimum(x >> self.low_bits, top)
-        place = self._bucket(h)
-        at, equal = place - h, np.zeros(len(x), bool)
+        at, stop = self._bucket(h) - h, self._bucket(h + 1) - h - 1
         want = x.astype(U) & U((1 << self.low_bits) - 1)
-        live = np.flatnonzero(x >> self.low_bits <= top)
+        inside = x >> self.low_bits <= top
+        high, live = stop.copy(), np.flatnonzero(inside & (at < stop))
         while len(live):
-            spot = place[live]
-            live = live[(self.high[spot >> 6] >> (spot & 63).astype(U)) & U(1) == 1]
-            low = self._low_at(at[live])
-            equal[live[low == want[live]]] = True
-            live = live[low < want[live]]
-            place[live] += 1
-            at[live] += 1
-        return np.where(x >> self.low_bits > top, self.n, at), equal
+            mid = at[live] + high[live] >> 1
+            less = self._low_at(mid) < want[live]
+            at[live[less]] = mid[less] + 1
+            high[live[~less]] = mid[~less]
+            live = live[at[live] < high[live]]
+        equal, left = np.zeros(len(x), bool), np.flatnonzero(inside & (at < stop))
+        equal[left] = self._low_at(at[left]) == want[left]
+        return np.where(inside, at, self.n), equal
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value >= x (n if none) for x of at least 0."""
-        return self._walk(x)[0] if self.n else np.zeros(len(x), np.int64)
+        return self._search(x)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is absent."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
-        at, equal = self._walk(x)
+        at, equal = self._search(x)
         return np.where(equal, at, -1)

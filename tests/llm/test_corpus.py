@@ -105,6 +105,19 @@ def test_shedding_pieces_changes_no_ids(docs, monkeypatch):
         assert flat.tolist() == [i for x in want[low : low + 20] for i in x] and n.tolist() == [len(x) for x in want[low : low + 20]]
 
 
+def test_long_buckets_are_searched_by_halves(monkeypatch):
+    """One context with very many children beside far ones: a search reads a few values, not all of the bucket."""
+    values = np.unique(np.concatenate([np.arange(0, 200_000, 7), np.arange(50) * 10**12]))
+    coded = elias_fano.EliasFano.from_buffer(elias_fano.EliasFano.build(values).to_bytes())[0]
+    ask = np.concatenate([values, values + 1, np.array([10**14, 2**62])])
+    read, low_at = [], elias_fano.EliasFano._low_at
+    monkeypatch.setattr(elias_fano.EliasFano, "_low_at", lambda self, i: read.append(len(i)) or low_at(self, i))
+    at = np.searchsorted(values, ask)
+    assert (coded.successor(ask) == at).all()
+    assert (coded.find(ask) == np.where(np.isin(ask, values), at, -1)).all()
+    assert sum(read) < 40 * len(ask)
+
+
 def test_words_with_marks_are_kept_by_their_letters():
     """Marks behind a word, or a line feed between two words, make no new piece of it; the ids are the library's."""
     e = encoder(token_files.default_tokenizer())
