@@ -44,8 +44,10 @@ BATCHES = 3
 KEY_RANGES = 8
 #: Largest group whose pairs are all looked at by their sketches; beyond it leaders stand for their groups.
 ALL_PAIRS = 2_000
-#: Shards of keys whose repeated keys are met in one task, and sketch words that are compared at a time there.
-SHARDS_A_HOME, CHUNK = 2, 1 << 21
+#: Rows times (100 - percent) for a shard of keys (4 MB of them and more), for a shard of the second round, and for a home, where the repeated keys of shards are met in one task.
+KEYS_EACH, ROUND_EACH, HOME_EACH = 80_000, 240_000, 480_000
+#: Sketch words that are compared at a time.
+CHUNK = 1 << 21
 #: Tasks that share the members of one leader.
 SALTS = 64
 #: Counters of shingles for the second round's order, and how many of the largest come last; any numbers give the same result.
@@ -306,14 +308,15 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
 
 
 def _twins(index: DataFrame, shards: int, homes: int) -> DataFrame:
-    """Keys that two or more sets have: a row (home, blob) for each shard and range, and the sets in them, (home, node)."""
+    """Keys that two or more sets have: a row (home, blob) for each shard and range, and the sets in them, (home, node). Each shard has a task of its own."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in stream:
             for s, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(s, []).append(blob)
-        for s in held:  # shards that share a task are still handled one at a time, and each by ranges of its keys
+            del batch
+        for s in held:  # by ranges of its keys
             there, blobs = np.zeros(0, np.int64), []
             for part in range(KEY_RANGES):
                 keys, nodes, sizes = (np.concatenate(x) for x in zip(*(_read_index(b, part, KEY_RANGES) for b in held[s]), strict=True))
@@ -336,7 +339,7 @@ def _twins(index: DataFrame, shards: int, homes: int) -> DataFrame:
             n, m = len(blobs), len(there)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, s % homes, np.int32)), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(there)]), pa.array([*blobs, *[None] * m], pa.binary())], names=["home", "node", "blob"])
 
-    return index.repartition(2 * shards, "shard").mapInArrow(lean(run), "home int, node long, blob binary")
+    return index.repartitionById(shards, "shard").mapInArrow(lean(run), "home int, node long, blob binary")
 
 
 def _pairs_of(keys: np.ndarray, at: np.ndarray, sets: Sketches, names: np.ndarray, percent: int, all_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -628,8 +631,8 @@ def classes(docs: DataFrame, folder: str, width: int = 5, percent: int = 80, all
     """
     spark = docs.sparkSession
     bands, rows = Bands(percent), docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    shards = max(8, -(-docs.count() * (100 - percent) // 240_000))  # a set has keys in proportion to 100 - percent
-    homes = max(8, shards // SHARDS_A_HOME)
+    keys = docs.count() * (100 - percent)  # a set has keys in proportion to 100 - percent
+    shards, slots, homes = (max(8, -(-keys // each)) for each in (KEYS_EACH, ROUND_EACH, HOME_EACH))
     index = saved(_indexed(rows, width, bands, shards), f"{folder}/index")
     ids = saved(index.filter("shard IS NULL").select("doc_id", "n_shingles", "node"), f"{folder}/ids")
     marks = saved(index.filter("node IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), f"{folder}/marks")
@@ -657,7 +660,7 @@ def classes(docs: DataFrame, folder: str, width: int = 5, percent: int = 80, all
         if not again.limit(1).count():
             break
         own = f"{folder}/round-{step}"
-        more = _second_round(again, labels, width, percent, shards, forest).join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
+        more = _second_round(again, labels, width, percent, slots, forest).join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
         likely = saved(_likely(saved(more, f"{own}/pairs"), marks, percent), f"{own}/likely")
         later = saved(_verified(likely, again, width, percent), f"{own}/checked")
         done.append(f"{own}/checked")
