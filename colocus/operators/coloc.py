@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from colocus.operators import graph
 
 
+def with_classes(edges: DataFrame, cells: DataFrame, ends: dict[str, str]) -> DataFrame:
+    """edges with the classes of its ends as columns (end: name); edges that have these columns need no join."""
+    for end, name in ends.items():
+        if name not in edges.columns:
+            edges = edges.join(cells.select("image", F.col("cell_id").alias(end), F.col("class").alias(name)), ["image", end])
+    return edges
+
+
 def class_counts(cells: DataFrame) -> DataFrame:
     return cells.filter("class IS NOT NULL").groupBy("image", "class").agg(F.count("*").alias("n_class"))
 
@@ -25,10 +33,7 @@ def class_pairs(cells: DataFrame) -> DataFrame:
 
 def pair_counts(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges between classes, unordered: image, a <= b, observed (0 where a pair has none)."""
-    label = cells.select("image", "cell_id", "class")
-    left = label.select("image", F.col("cell_id").alias("i"), F.col("class").alias("ci"))
-    right = label.select("image", F.col("cell_id").alias("j"), F.col("class").alias("cj"))
-    seen = pairs.join(left, ["image", "i"]).join(right, ["image", "j"]).groupBy("image", F.least("ci", "cj").alias("a"), F.greatest("ci", "cj").alias("b")).agg(F.count("*").alias("observed"))
+    seen = with_classes(pairs, cells, {"i": "ci", "j": "cj"}).groupBy("image", F.least("ci", "cj").alias("a"), F.greatest("ci", "cj").alias("b")).agg(F.count("*").alias("observed"))
     return class_pairs(cells).join(seen, ["image", "a", "b"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
 
 
@@ -126,16 +131,13 @@ def dealt(label: np.ndarray, seed: int, permutation: int, image: int) -> np.ndar
 
 def neighbour_fraction(cells: DataFrame, edges: DataFrame, source: list, target: list) -> DataFrame:
     """image, fraction: of the directed neighbour slots of source cells, those that hold a target cell."""
-    label = cells.select("image", "cell_id", "class")
-    a = edges.join(label.select("image", F.col("cell_id").alias("src"), F.col("class").alias("ca")), ["image", "src"]).filter(F.col("ca").isin(source))
-    both = a.join(label.select("image", F.col("cell_id").alias("dst"), F.col("class").alias("cb")), ["image", "dst"])
-    return both.groupBy("image").agg(F.avg(F.coalesce(F.col("cb").isin(target), F.lit(False)).cast("double")).alias("fraction"))
+    own = with_classes(edges, cells, {"src": "a"}).filter(F.col("a").isin(source))
+    return with_classes(own, cells, {"dst": "b"}).groupBy("image").agg(F.avg(F.coalesce(F.col("b").isin(target), F.lit(False)).cast("double")).alias("fraction"))
 
 
 def mixing(cells: DataFrame, pairs: DataFrame, source: list, target: list) -> DataFrame:
     """image, mixing: source-target edges over source-target plus target-target edges; NULL without any."""
-    label = cells.select("image", "cell_id", "class")
-    t = pairs.join(label.select("image", F.col("cell_id").alias("i"), F.col("class").alias("ci")), ["image", "i"]).join(label.select("image", F.col("cell_id").alias("j"), F.col("class").alias("cj")), ["image", "j"])
+    t = with_classes(pairs, cells, {"i": "ci", "j": "cj"})
     i_in, j_in = F.col("ci").isin(target), F.col("cj").isin(target)
     across = (F.col("ci").isin(source) & j_in) | (F.col("cj").isin(source) & i_in)
     n = t.groupBy("image").agg(F.count(F.when(across, 1)).alias("ti"), F.count(F.when(i_in & j_in, 1)).alias("ii"))
@@ -172,8 +174,7 @@ def clq(cells: DataFrame, ks: list[int], least: int = 5, keep_unknown: bool = Fa
     sizes = base.groupBy("image").agg(F.count("*").alias("n_all"), F.count("class").alias("n_typed")).filter(F.col("n_all") > max(ks))
     base = base.join(sizes.select("image"), "image", "left_semi")
     edges = graph.knn_tiled(base, max(ks)) if edges is None else edges
-    label = base.filter("class IS NOT NULL").select("image", "cell_id", "class")
-    t = edges.join(label.select("image", F.col("cell_id").alias("src"), F.col("class").alias("a")), ["image", "src"]).join(label.select("image", F.col("cell_id").alias("dst"), F.col("class").alias("b")), ["image", "dst"])
+    t = with_classes(edges, base.filter("class IS NOT NULL"), {"src": "a", "dst": "b"}).filter("a IS NOT NULL AND b IS NOT NULL")
     # one pass: the rank counts for every k from it on
     t = t.groupBy("image", "a", "b").agg(*[F.count(F.when(F.col("rank") <= k, 1)).alias(f"c{k}") for k in ks])
     n = class_counts(base)

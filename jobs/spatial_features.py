@@ -6,7 +6,8 @@ Reads the ``events`` table (a cell each; its user is the image), keeps images wi
 enough cells and a cell of the required class, builds their neighbour graph once
 and writes
 
-* ``target/edges``: the directed neighbours, partitioned by ``part`` of the images;
+* ``target/cells``: the cells of these images, made anew by each run;
+* ``target/edges``: the directed neighbours with the classes of both ends, partitioned by ``part`` of the images;
 * ``target/features``: image, feature, value, partitioned by ``block``.
 
 Each block is written by itself and replaces its own partition only, so a run
@@ -60,8 +61,7 @@ def composition(events: DataFrame, cells: DataFrame, edges: DataFrame, config: d
 
 def enrichment(events: DataFrame, cells: DataFrame, edges: DataFrame, config: dict) -> DataFrame:
     """z of each unordered class pair against labels permuted over the graph (exact moments)."""
-    pairs = graph.undirected(edges.filter(F.col("rank") <= config["neighbours"]))
-    z = coloc.enrichment(cells, pairs)
+    z = coloc.enrichment(cells, graph.once(edges, config["neighbours"]))
     return z.select("image", F.concat_ws("_", F.lit("z"), "a", "b").alias("feature"), F.col("z").alias("value")).filter("value IS NOT NULL")
 
 
@@ -73,9 +73,9 @@ def quotient(events: DataFrame, cells: DataFrame, edges: DataFrame, config: dict
 
 def mixing(events: DataFrame, cells: DataFrame, edges: DataFrame, config: dict) -> DataFrame:
     """How much of the source cells' surroundings is target, by directed slots and by undirected edges."""
-    own = edges.filter(F.col("rank") <= config["neighbours"])
-    share = long(coloc.neighbour_fraction(cells, own, config["source"], config["target"]), {"fraction": F.col("fraction")})
-    return share.unionByName(long(coloc.mixing(cells, graph.undirected(own), config["source"], config["target"]), {"mixing": F.col("mixing")}))
+    near = F.col("rank") <= config["neighbours"]
+    share = long(coloc.neighbour_fraction(cells, edges.filter(near), config["source"], config["target"]), {"fraction": F.col("fraction")})
+    return share.unionByName(long(coloc.mixing(cells, graph.once(edges, config["neighbours"]), config["source"], config["target"]), {"mixing": F.col("mixing")}))
 
 
 BLOCKS = {"outcome": outcome, "composition": composition, "enrichment": enrichment, "quotient": quotient, "mixing": mixing}
@@ -87,12 +87,14 @@ def run(spark: SparkSession, events: str, target: str, config: dict) -> Run:
     table = spark.read.parquet(events).select("event_id", "ts", "user_id", "event_type", "value")
     k = max(config["neighbours"], config["quotient_neighbours"])
     cells = eligible(points(table).filter("image IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), config)
-    edges = graph.knn_tiled(cells, k).withColumn("part", F.pmod("image", F.lit(PARTS)))
+    cells.write.mode("overwrite").parquet(f"{target}/cells")
+    cells = spark.read.schema(cells.schema).parquet(f"{target}/cells")
+    edges = graph.knn_tiled(cells, k, label="class").withColumn("part", F.pmod("image", F.lit(PARTS)))
 
     def put(name: str, by: str):
         return lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{target}/{name}")
 
-    done.write(edges, "edges", f"{target}/edges", lambda df: df.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/edges"), digest=False)
+    done.write(edges, "edges", f"{target}/edges", lambda df: df.write.mode("overwrite").partitionBy("part").parquet(f"{target}/edges"), digest=False)
     edges = spark.read.schema(edges.schema).parquet(f"{target}/edges")
     for block in config["blocks"]:
         counted = done.read(table, f"events for {block}", events, digest=False) if block == "outcome" else table
