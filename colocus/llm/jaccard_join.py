@@ -14,7 +14,7 @@ one shingle and has one left, and there the neighbourhoods meet.
 Where sets meet under a common key they are held together with parity sketches,
 which differ in no more bits than the sets do in shingles, so that most chance
 meetings end there. Within a group of at most ALL_PAIRS sets every pair is
-looked at, and a shard passes on a forest of least differences over the pairs
+looked at, and a home passes on a forest of least differences over the pairs
 that its sketches leave; each edge is verified on the sets. Larger groups compare their
 sets with a leader each. Trees with an edge that fails, and all sets of leaders of
 which one comparison fails, go on to a second round, an exact prefix join of sets
@@ -46,8 +46,10 @@ KEY_RANGES = 8
 ALL_PAIRS = 2_000
 #: Rows times (100 - percent) for a shard of keys (4 MB of them and more), for a shard of the second round, and for a home, where the repeated keys of shards are met in one task.
 KEYS_EACH, ROUND_EACH, HOME_EACH = 80_000, 240_000, 480_000
-#: Sketch words that are compared at a time.
+#: Sketch words that are compared, and keys that are held, at a time.
 CHUNK = 1 << 21
+#: Sets of a group for each further home that may compare it.
+SPREAD = 64
 #: Tasks that share the members of one leader.
 SALTS = 64
 #: Counters of shingles for the second round's order, and how many of the largest come last; any numbers give the same result.
@@ -307,8 +309,32 @@ def leaders(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int
     return np.concatenate(a), np.concatenate(b), np.concatenate(f)
 
 
+def _groups(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that two or more sets have, ascending; of keys that the same sets have the least one."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes, sizes = keys[once], nodes[once], sizes[once]
+    if not len(keys):
+        return keys, nodes, sizes
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    length = np.diff(start, append=len(keys))
+    many = np.flatnonzero(length > 1)
+    _, first = np.unique(np.add.reduceat(mix(nodes.view(U)), start)[many], return_index=True)
+    keep = np.zeros(len(start), bool)
+    keep[many[first]] = True
+    keep = np.repeat(keep, length)
+    return keys[keep], nodes[keep], sizes[keep]
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> bytes:
+    names, at, owner = np.unique(nodes, return_index=True, return_inverse=True)
+    return _write_index(keys << U(16), owner, names, sizes[at])
+
+
 def _twins(index: DataFrame, shards: int, homes: int) -> DataFrame:
-    """Keys that two or more sets have: a row (home, blob) for each shard and range, and the sets in them, (home, node). Each shard has a task of its own."""
+    """Keys that two or more sets have, a row (home, blob) for each shard and range. Each shard has a task of its own."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -317,29 +343,60 @@ def _twins(index: DataFrame, shards: int, homes: int) -> DataFrame:
                 held.setdefault(s, []).append(blob)
             del batch
         for s in held:  # by ranges of its keys
-            there, blobs = np.zeros(0, np.int64), []
+            blobs = []
             for part in range(KEY_RANGES):
-                keys, nodes, sizes = (np.concatenate(x) for x in zip(*(_read_index(b, part, KEY_RANGES) for b in held[s]), strict=True))
-                order = np.lexsort((nodes, keys))
-                keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-                new = np.ones(len(keys) + 1, bool)
-                new[1:-1] = keys[1:] != keys[:-1]
-                once = np.ones(len(keys), bool)
-                once[1:] = new[1:-1] | (nodes[1:] != nodes[:-1])
-                group = np.cumsum(new[:-1]) - 1
-                shared = once & (np.bincount(group, weights=once, minlength=1)[group] > 1 if len(keys) else once)
-                keys, nodes, sizes = keys[shared], nodes[shared], sizes[shared]
-                if len(keys):
-                    names, owner = np.unique(nodes, return_inverse=True)
-                    of = np.zeros(len(names), np.int64)
-                    of[owner] = sizes
-                    blobs.append(_write_index(keys << U(16), owner, names, of))
-                    there = np.union1d(there, names)
-                del keys, nodes, sizes, order, new, once, group, shared
-            n, m = len(blobs), len(there)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, s % homes, np.int32)), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(there)]), pa.array([*blobs, *[None] * m], pa.binary())], names=["home", "node", "blob"])
-
-    return index.repartitionById(shards, "shard").mapInArrow(lean(run), "home int, node long, blob binary")
+                found = _groups(*(np.concatenate(x) for x in zip(*(_read_index(b, part, KEY_RANGES) for b in held[s]), strict=True)))
+                if len(found[0]):
+                    blobs.append(_packed(*found))
+                del found
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), s % homes, np.int32)), pa.array(blobs, pa.binary())], names=["home", "blob"])
+
+    return index.repartitionById(shards, "shard").mapInArrow(lean(run), "home int, blob binary")
+
+
+def _led(twins: DataFrame, homes: int) -> DataFrame:
+    """The groups of sets with a common key, at the home of their first set: rows (home, blob), and the sets that are met there, (home, node).
+
+    Near copies have a key in common in most shards; with its first set a group
+    that recurs has one home, so a set goes to few homes, however many shards
+    and homes there are. A group of m sets has the choice of 1 + m / SPREAD
+    homes, by its key, so the comparisons of a large one are shared out.
+    """
+
+    def held(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Each home's groups, as much as one blob takes at a time."""
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in stream:
+            for home, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.setdefault(home, []).append(_read_index(blob))
+                if sum(len(x[0]) for x in parts[home]) > CHUNK:
+                    parts[home] = [_groups(*(np.concatenate(x) for x in zip(*parts[home], strict=True)))]
+                    if len(parts[home][0][0]) > CHUNK // 2:
+                        yield home, parts.pop(home)[0]
+        for home in parts:
+            yield home, _groups(*(np.concatenate(x) for x in zip(*parts[home], strict=True)))
+
+    def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (keys, nodes, sizes) in held(stream):
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            if not len(start):
+                continue
+            length = np.diff(start, append=len(keys))
+            place = mix(keys[start]) % (1 + length // SPREAD).astype(U)
+            to = ((np.minimum.reduceat(mix(nodes.view(U)), start) % U(homes) + place) % U(homes)).astype(np.int64)
+            out = [(home, _packed(keys[at], nodes[at], sizes[at])) for home, at in _dealt(np.repeat(to, length), homes)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["home", "blob"])
+
+    def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there: dict[int, np.ndarray] = {}
+        for home, (keys, nodes, sizes) in held(stream):
+            there[home] = np.union1d(there.get(home, np.zeros(0, np.int64)), nodes)
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.nulls(1, pa.int64()), pa.array([_packed(keys, nodes, sizes)], pa.binary())], names=["home", "node", "blob"])
+        for home, nodes in there.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), home, np.int32)), pa.array(nodes), pa.nulls(len(nodes), pa.binary())], names=["home", "node", "blob"])
+
+    met = twins.repartitionById(homes, "home").mapInArrow(lean(deal), "home int, blob binary")
+    return met.repartitionById(homes, "home").mapInArrow(lean(gather), "home int, node long, blob binary")
 
 
 def _pairs_of(keys: np.ndarray, at: np.ndarray, sets: Sketches, names: np.ndarray, percent: int, all_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,15 +437,15 @@ def _pairs_of(keys: np.ndarray, at: np.ndarray, sets: Sketches, names: np.ndarra
     return np.concatenate([names[a], head]), np.concatenate([names[b], node]), np.concatenate([np.zeros(len(a), np.int32), flag.astype(np.int32)])
 
 
-def _candidates(twins: DataFrame, marks: DataFrame, homes: int, percent: int, all_pairs: int) -> DataFrame:
+def _candidates(led: DataFrame, marks: DataFrame, homes: int, percent: int, all_pairs: int) -> DataFrame:
     """Distinct pairs (leader, node, flag) of all keys. marks: node, n_shingles and sketch of all sets.
 
-    flag 0: an edge of the forest of a shard's small groups; 1: a leader and a
+    flag 0: an edge of the forest of the small groups of a blob; 1: a leader and a
     member of a larger group; 3: such a pair that its sketches rule out; 2: two
     leaders of one group, parted by size.
     """
-    routes = twins.filter("node IS NOT NULL").select("home", "node").distinct().join(marks, "node").select("home", F.lit(None).cast("binary").alias("blob"), "node", "n_shingles", "sketch")
-    blobs = twins.filter("blob IS NOT NULL").select("home", "blob", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("n_shingles", "long"), ("sketch", "binary"))])
+    routes = led.filter("node IS NOT NULL").select("home", "node").join(marks, "node").select("home", F.lit(None).cast("binary").alias("blob"), "node", "n_shingles", "sketch")
+    blobs = led.filter("blob IS NOT NULL").select("home", "blob", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("n_shingles", "long"), ("sketch", "binary"))])
 
     def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
@@ -638,8 +695,10 @@ def classes(docs: DataFrame, folder: str, width: int = 5, percent: int = 80, all
     marks = saved(index.filter("node IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), f"{folder}/marks")
     twins = saved(_twins(index.filter("shard IS NOT NULL").select("shard", "blob"), shards, homes), f"{folder}/twins")
     drop(spark, f"{folder}/index")
-    pairs = saved(_candidates(twins, marks, homes, percent, all_pairs), f"{folder}/pairs")
+    led = saved(_led(twins, homes), f"{folder}/led")
     drop(spark, f"{folder}/twins")
+    pairs = saved(_candidates(led, marks, homes, percent, all_pairs), f"{folder}/pairs")
+    drop(spark, f"{folder}/led")
     nodes = ids.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node").select("node", "first")
     texts = saved(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text"), f"{folder}/texts")
