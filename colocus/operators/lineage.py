@@ -3,7 +3,7 @@
 The same rules as ``mixture.type_image``, whose unit is one image in one task.
 Here every step works on the open cells of all images at once: cells that
 settled in the step before speak to their listeners through the edge table and
-shrink distances tile by tile; per image only a row of sums is kept. A step's
+shrink distances square by square; per image only a row of sums is kept. A step's
 cells are written to the shared folder, which cuts the lineage of the plan.
 """
 
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from colocus.operators import mixture
 from colocus.operators.celltype import Kind, Signature
-from colocus.operators.graph import knn_tiled
+from colocus.operators.graph import knn_tiled, tiles
 from colocus.operators.mixture import UNKNOWN, TypingConfig
 from colocus.sources.files import scratch
 
+#: Cells of a square; distances that are held at a time.
+SQUARE, BLOCK = 256, 500_000
 RECORDS = "image long, round int, parent string, candidates long, anchors long, iterations long, assigned long"
 
 
@@ -55,33 +57,74 @@ def permitted(kinds: list[Kind], markers: tuple[str, ...], limits: list[tuple[fl
     return allowed
 
 
+def in_squares(cells: DataFrame) -> DataFrame:
+    """cells with sx and sy, the square of their image that they lie in; squares are so wide that one holds about SQUARE cells."""
+    at = lambda c: F.least(F.floor((F.col(c) - F.col(f"_{c}0")) / F.col("_w")), F.col("_t") - 1)
+    return tiles(cells, SQUARE).select(*cells.columns, at("x").alias("sx"), at("y").alias("sy"))
+
+
+def reached(cells: DataFrame, settled: DataFrame, bandwidth: float) -> DataFrame:
+    """image, kind, sx, sy, tx, ty: squares whose settled cells of a class may hold the nearest one of an open cell in square (tx, ty).
+
+    That is, within the bandwidth and no farther, from box to box, than all of
+    another square's cells are. A task sees the boxes of an image, a row for
+    some SQUARE cells.
+    """
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    asked = cells.groupBy("image", F.lit(-1).alias("kind"), "sx", "sy").agg(*box)
+    told = settled.groupBy("image", F.col("kind").cast("int").alias("kind"), "sx", "sy").agg(*box)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, place = pdf["kind"].to_numpy(), pdf[["sx", "sy"]].to_numpy()
+        x0, x1, y0, y1 = (pdf[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
+        rest, to, by = np.flatnonzero(kind < 0), [], []
+        for k in np.unique(kind[kind >= 0]):
+            at = np.flatnonzero(kind == k)
+            step = max(1, BLOCK // len(at))
+            for low in range(0, len(rest), step):
+                own = rest[low : low + step, None]
+                least = np.maximum(np.maximum(x0[at] - x1[own], x0[own] - x1[at]), 0) ** 2 + np.maximum(np.maximum(y0[at] - y1[own], y0[own] - y1[at]), 0) ** 2
+                most = np.maximum(x1[at] - x0[own], x1[own] - x0[at]) ** 2 + np.maximum(y1[at] - y0[own], y1[own] - y0[at]) ** 2
+                i, j = np.nonzero((least <= most.min(axis=1)[:, None]) & (np.sqrt(least) < bandwidth))
+                to.append(rest[low + i])
+                by.append(at[j])
+        to, by = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (to, by))
+        return pd.DataFrame({"image": np.full(len(to), pdf["image"].iloc[0], np.int64), "kind": kind[by], "sx": place[by, 0], "sy": place[by, 1], "tx": place[to, 0], "ty": place[to, 1]})
+
+    return asked.unionByName(told).groupBy("image").applyInPandas(run, "image long, kind int, sx long, sy long, tx long, ty long")
+
+
+def met(cells: DataFrame, settled: DataFrame, bandwidth: float) -> DataFrame:
+    """image, cell_id, x, y, kind (-1: open), tx, ty: each square's open cells and the settled ones that may be their nearest."""
+    own = cells.select("image", "cell_id", "x", "y", F.lit(-1).alias("kind"), F.col("sx").alias("tx"), F.col("sy").alias("ty"))
+    spoken = settled.withColumn("kind", F.col("kind").cast("int")).join(reached(cells, settled, bandwidth), ["image", "kind", "sx", "sy"])
+    return own.unionByName(spoken.select(*own.columns))
+
+
 def distances(cells: DataFrame, settled: DataFrame, bandwidth: float, classes: int) -> DataFrame:
     """image, cell_id, near_<k>: distance to the nearest settled cell of class k within the bandwidth, for cells that have any.
 
-    Squares of twice the bandwidth are dealt out; a settled cell goes to every
-    square that its bandwidth reaches, an open one to its own.
+    Both tables have the squares of ``in_squares``; a task takes a square's open
+    cells and the settled ones of few squares, however wide the bandwidth is.
     """
-    wide = 2.0 * bandwidth
-    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - bandwidth) / wide), F.floor((F.col(c) + bandwidth) / wide)))
-    own = cells.select("image", "cell_id", "x", "y", F.lit(-1).alias("kind"), F.floor(F.col("x") / wide).alias("_tx"), F.floor(F.col("y") / wide).alias("_ty"))
-    spoken = settled.select("image", "cell_id", "x", "y", F.col("kind").cast("int").alias("kind"), reach("x").alias("_tx")).withColumn("_ty", reach("y"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, place = pdf["kind"].to_numpy(), pdf[["x", "y"]].to_numpy()
+        kind, x, y = (pdf[c].to_numpy() for c in ("kind", "x", "y"))
         rest = np.flatnonzero(kind < 0)
         gap = np.full((len(rest), classes), np.inf)
         for k in np.unique(kind[kind >= 0]):
-            at = place[kind == k]
-            step = max(1, 2_000_000 // len(at))
+            at = np.flatnonzero(kind == k)
+            step = max(1, BLOCK // len(at))
             for low in range(0, len(rest), step):
-                d = place[rest[low : low + step], None] - at
-                gap[low : low + step, k] = np.sqrt((d * d).sum(axis=2).min(axis=1))
+                own = rest[low : low + step, None]
+                dx, dy = x[own] - x[at], y[own] - y[at]
+                gap[low : low + step, k] = np.sqrt((dx * dx + dy * dy).min(axis=1))
         heard = (gap < bandwidth).any(axis=1)
         out = pdf.iloc[rest[heard]][["image", "cell_id"]]
         return out.assign(**{f"near_{k}": np.where(gap[heard, k] < bandwidth, gap[heard, k], np.nan) for k in range(classes)})
 
     schema = "image long, cell_id long, " + ", ".join(f"near_{k} double" for k in range(classes))
-    found = own.unionByName(spoken).groupBy("image", "_tx", "_ty").applyInPandas(run, schema)
+    found = met(cells, settled, bandwidth).groupBy("image", "tx", "ty").applyInPandas(run, schema)
     return found.select("image", "cell_id", *[F.nanvl(f"near_{k}", F.lit(None).cast("double")).alias(f"near_{k}") for k in range(classes)])
 
 
@@ -106,7 +149,7 @@ def type_tables(cells: DataFrame, ep: DataFrame, signature: Signature, config: T
     low, high = (F.least(*eps), F.greatest(*eps)) if len(eps) > 1 else (eps[0], eps[0])
     artefact = F.lit(False) if config.artefact is None else (low > config.artefact[0]) | (high < config.artefact[1])
     base = cells.select("image", "cell_id", "x", "y").join(wide, ["image", "cell_id"]).withColumn("artefact", artefact)
-    base = saved(base, "cells")
+    base = saved(in_squares(base), "cells")
     edges = saved(knn_tiled(base, config.neighbours).select("image", F.col("src").alias("cell_id"), F.col("dst").alias("speaker")), "edges")
     label = base.select("image", "cell_id", F.lit(UNKNOWN).alias("label"), F.lit(False).alias("anchor"), F.lit(UNKNOWN).alias("marker_only"))
     records = []
@@ -117,13 +160,13 @@ def type_tables(cells: DataFrame, ep: DataFrame, signature: Signature, config: T
         members = base.filter("NOT artefact").join(label.filter(F.lit(True) if parent is None else F.col("label") == parent).select("image", "cell_id"), ["image", "cell_id"])
         told = lambda k, i: F.lit(float(kinds[k].levels[markers[i]]))  # noqa: B023, E731
         own = [f"f_{k}" for k in range(t)]
-        scored = members.select("image", "cell_id", "x", "y", *eps, *[c.alias(f) for c, f in zip(shares(kinds, markers, told), own, strict=True)])
+        scored = members.select("image", "cell_id", "x", "y", "sx", "sy", *eps, *[c.alias(f) for c, f in zip(shares(kinds, markers, told), own, strict=True)])
         scored = scored.withColumn("alone", first_largest([F.col(f) for f in own]))
         ready = permitted(kinds, markers, [x[:2] for x in limits], F.col("alone"))
         scored = scored.withColumn("kind", F.when(ready, F.col("alone"))).withColumn("strength", F.when(ready, F.greatest(*own) if t > 1 else F.col(own[0])))
         scored = saved(scored, f"round-{r}/step-0")
         new = scored.filter("kind IS NOT NULL")
-        rest = scored.filter("kind IS NULL").select("image", "cell_id", "x", "y", *eps, *own, *[F.lit(0.0).alias(f"heard_{k}") for k in range(t)], *[F.lit(None).cast("double").alias(f"gap_{k}") for k in range(t)])
+        rest = scored.filter("kind IS NULL").select("image", "cell_id", "x", "y", "sx", "sy", *eps, *own, *[F.lit(0.0).alias(f"heard_{k}") for k in range(t)], *[F.lit(None).cast("double").alias(f"gap_{k}") for k in range(t)])
         images = saved(scored.groupBy("image").agg(F.count("*").alias("members"), F.count("kind").alias("anchors")), f"round-{r}/images-0")
         active = images.filter("anchors > 0 AND anchors < members").select("image")
         sums = [F.sum(F.when(F.col("kind") == k, F.col(f"ep_{i}"))).alias(f"s_{k}_{i}") for k in range(t) for i in range(len(markers))]
@@ -149,7 +192,7 @@ def type_tables(cells: DataFrame, ep: DataFrame, signature: Signature, config: T
             chance = 1.0 / _total([F.exp(x - top) for x in u])
             now = now.withColumn("best", first_largest(u))
             ready = permitted(kinds, markers, [x[2:] for x in limits], F.col("best"))
-            now = saved(now.select("image", "cell_id", "x", "y", *eps, *own, *[f"heard_{k}" for k in range(t)], *[f"gap_{k}" for k in range(t)], F.when(ready, F.col("best")).alias("kind"), chance.alias("strength")), f"round-{r}/step-{step}")
+            now = saved(now.select("image", "cell_id", "x", "y", "sx", "sy", *eps, *own, *[f"heard_{k}" for k in range(t)], *[f"gap_{k}" for k in range(t)], F.when(ready, F.col("best")).alias("kind"), chance.alias("strength")), f"round-{r}/step-{step}")
             new, rest = now.filter("kind IS NOT NULL"), now.filter("kind IS NULL").drop("kind", "strength")
             settled.append(new.select("image", "cell_id", "kind", F.lit(step).alias("step")))
             took.append(active.withColumn("iterations", F.lit(step)))

@@ -75,3 +75,33 @@ def test_no_cells(spark):
     cells, ep = tables(spark, list(images(1))[2:3], TREE.markers)
     typed, records = L.type_tables(cells.limit(0), ep, TREE)
     assert typed.count() == 0 and records.count() == 0
+
+
+@pytest.mark.parametrize("bandwidth", [0.01, 0.3, 50.0])
+def test_distances_within_any_bandwidth(spark, monkeypatch, bandwidth):
+    """A bandwidth as wide as an image brought all of its settled cells, four times over, to tasks that held them whole."""
+    monkeypatch.setattr(L, "SQUARE", 32)
+    rng = np.random.default_rng(5)
+    n = 20_000
+    made = pd.DataFrame({"image": rng.integers(0, 2, n), "cell_id": np.arange(n), "x": rng.random(n), "y": rng.random(n), "kind": rng.integers(0, 4, n)})
+    made.loc[made.kind == 2, "kind"] = 3
+    made.loc[(made.x > 0.8) & (made.kind == 1), "kind"] = 2  # one class in a corner, far from most
+    cells = L.in_squares(spark.createDataFrame(made)).localCheckpoint()
+    open_, settled = cells.filter("kind = 3"), cells.filter("kind < 3")
+    most = L.met(open_, settled, bandwidth).groupBy("image", "tx", "ty").count().agg({"count": "max"}).first()[0]
+    assert most < (made.image == 0).sum() * 0.2
+    got = L.distances(open_, settled, bandwidth, 3).toPandas().set_index("cell_id")
+    heard = 0
+    for image in (0, 1):
+        own = made[made.image == image]
+        rest = own[own.kind == 3]
+        gap = np.full((len(rest), 3), np.nan)
+        for k in range(3):
+            at = own[own.kind == k]
+            dx, dy = rest.x.to_numpy()[:, None] - at.x.to_numpy(), rest.y.to_numpy()[:, None] - at.y.to_numpy()
+            d = np.sqrt((dx * dx + dy * dy).min(axis=1))
+            gap[:, k] = np.where(d < bandwidth, d, np.nan)
+        want = pd.DataFrame(gap, index=rest.cell_id)[~np.isnan(gap).all(axis=1)]
+        heard += len(want)
+        assert np.array_equal(got.loc[want.index].filter(like="near_").to_numpy(float), want.to_numpy(), equal_nan=True)
+    assert len(got) == heard
