@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colocus.functions import special
@@ -151,30 +151,59 @@ def one_way(rows: DataFrame, keys: list[str], y: str, factor: str) -> DataFrame:
     return t.select(*keys, "n", (F.try_divide(between, (F.col("_k") - 1).cast("double")) / (within / (F.col("n") - F.col("_k")))).alias("f"))
 
 
-#: Draws (subjects times permutations) to a range of digests, which one task sorts, and permutations and subjects that are packed together.
-RANGE_DRAWS, BLOCK_PERMUTATIONS, CHUNK_SUBJECTS = 4_000_000, 64, 50_000
+#: Draws (subjects times permutations) to a range of digests in one round, which one task sorts, and to a round; places to a range at most.
+RANGE_DRAWS, ROUND_DRAWS, RANGE_PLACES = 4_000_000, 512_000_000, 65_536
+#: Permutations and subjects that are packed together.
+BLOCK_PERMUTATIONS, CHUNK_SUBJECTS = 64, 50_000
+#: Set, a query removes its shuffle files when it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _drawn(batches: Iterator[pa.RecordBatch], seed: int, permutations: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each chunk and permutation the first 64 bits of the md5 of seed, permutation and id, the last ``bits`` of them replaced by the subject's level."""
+@contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], seed: int, permutations: range, bits: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each chunk and block of permutations the first of these, and for each of them the first 64 bits of the md5 of seed, permutation and id, the last ``bits`` replaced by the subject's level."""
     whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
     for low in range(0, whole.num_rows if whole else 0, CHUNK_SUBJECTS):
         chunk = whole.slice(low, CHUNK_SUBJECTS)
         level = chunk.column("level").to_numpy().astype(np.uint64)
         digests = Digests(chunk.column("id").to_pylist())
-        for b in range(permutations):
-            yield b, digests.after(f"{seed}-{b}-") >> np.uint64(bits) << np.uint64(bits) | level
+        for first in range(permutations.start, permutations.stop, BLOCK_PERMUTATIONS):
+            yield first, [digests.after(f"{seed}-{b}-") >> np.uint64(bits) << np.uint64(bits) | level for b in range(first, min(first + BLOCK_PERMUTATIONS, permutations.stop))]
+
+
+def bits_of(level: np.ndarray, bits: int) -> bytes:
+    """Levels as bytes, ``bits`` bits each."""
+    return np.packbits((level.astype(np.uint16)[:, None] >> np.arange(bits, dtype=np.uint16)).astype(np.uint8) & 1).tobytes()
 
 
-def permuted_sums(base: DataFrame, keys: list[str], id_: str, count: int, levels: int, permutations: int, seed: int, folder: str, range_draws: int = RANGE_DRAWS) -> DataFrame:
+def levels_of(raw: bytes, bits: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n * bits).reshape(n, bits) @ (1 << np.arange(bits, dtype=np.uint16))
+
+
+def permuted_sums(base: DataFrame, keys: list[str], id_: str, count: int, levels: int, permutations: int, seed: int, folder: str, range_draws: int = RANGE_DRAWS, round_draws: int = ROUND_DRAWS) -> DataFrame:
     """(keys, permutation, n_k, s_k_i) of rows with ``level`` and z_i, the levels dealt anew to the subjects in each permutation.
 
-    Digests are dealt out by range. A range of them takes nearly the same places
-    of every permutation's order, so a task sorts one range for all permutations
-    and meets the rows of these places only. Just eight bytes for each subject
-    and permutation move, packed by the range. Digests of one permutation that
-    agree in the first 64 bits less the few of the level (below 1 in 300 runs
-    of 1,000 permutations of four million subjects) stand in the order of levels.
+    Digests are dealt out by range, eight packed bytes for each subject and
+    permutation, in rounds of permutations with some ``round_draws`` of them: a
+    round's files go when it ends, so that the disk in use does not grow with
+    the permutations. A task sorts one range for all permutations of the round
+    and keeps the levels in this order, a few bits each. A range takes nearly
+    the same places of every permutation's order, so at the end a task meets the
+    rows of these places only. Digests of one permutation that agree in the
+    first 64 bits less the few of the level (below 1 in 300 runs of 1,000
+    permutations of four million subjects) stand in the order of levels.
     """
     spark = base.sparkSession
     bits = max(1, (levels - 1).bit_length())
@@ -182,43 +211,58 @@ def permuted_sums(base: DataFrame, keys: list[str], id_: str, count: int, levels
     subjects.select(id_, "_place", "level").write.parquet(f"{folder}/places")
     places = spark.read.parquet(f"{folder}/places")
     n = places.count()
-    q = min(16, max(0, (n * permutations // range_draws).bit_length()))
+    at_once = max(1, min(permutations, round_draws // max(n, 1)))
+    q = min(16, max(0, (n * at_once // range_draws).bit_length(), (n // RANGE_PLACES).bit_length()))
     parts = 1 << q
     shift = np.uint64(63 - q)
     range_of = lambda k: (k >> np.uint64(1) >> shift).astype(np.uint16)
     chunks = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-n // CHUNK_SUBJECTS)))
     ids = places.select(F.col(id_).cast("string").alias("id"), "level").repartition(chunks)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((permutations, parts), np.int64)
-        for b, draws in _drawn(batches, seed, permutations, bits):
-            n[b] += np.bincount(range_of(draws), minlength=parts)
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(permutations, dtype=np.int32)), pa.array([r.tobytes() for r in n])], names=["permutation", "n"])
-
-    def before(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.sum([np.frombuffer(r, np.int64) for r in pdf["n"]], axis=0)
-        return pd.DataFrame({"range": np.arange(parts), "permutation": pdf["permutation"].iloc[0], "before": np.cumsum(n) - n})
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = _drawn(batches, seed, permutations, bits)
-        while block := list(islice(draws, BLOCK_PERMUTATIONS)):
-            keys = np.concatenate([k for _, k in block])
-            which = range_of(keys)
-            keys = keys[np.argsort(which, kind="stable")]
-            sizes = np.bincount(which.astype(np.int64) * len(block) + np.repeat(np.arange(len(block)), len(block[0][1])), minlength=parts * len(block)).reshape(parts, len(block))
-            ends = np.cumsum(sizes.sum(axis=1))
-            first = np.full(parts, block[0][0], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(first), pa.array([r.astype(np.int32).tobytes() for r in sizes]), pa.array([k.tobytes() for k in np.split(keys, ends[:-1])])], names=["range", "first", "sizes", "draws"])
-
-    counts = ids.mapInArrow(counted, "permutation int, n binary").groupBy("permutation").applyInPandas(before, "range int, permutation int, before long")
-    counts.write.parquet(f"{folder}/before")
-    counts = spark.read.parquet(f"{folder}/before")
-    width = F.lit(n / parts)
-    drift = counts.agg(F.max(F.abs(F.col("before") - F.col("range") * width))).first()[0] or 0.0  # how far a range's places stray between permutations
-    starts = F.transform(F.array_sort(F.collect_list(F.struct("permutation", "before"))), lambda s: s["before"])
-    draws = ids.mapInArrow(packed, "range int, first int, sizes binary, draws binary").unionByName(counts.groupBy("range").agg(starts.alias("before")), allowMissingColumns=True)
-    at = lambda c: F.least(F.greatest(F.floor(c / width), F.lit(0)), F.lit(parts - 1)).cast("int")
+    kinds = "range int, first int, sizes binary, levels binary"
+
+    def ordered(these: range) -> DataFrame:
+        """range, first permutation, the number of digests of each of these permutations in the range and the levels in their order."""
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first, own in _drawn(batches, seed, these, bits):
+                digests, size = np.concatenate(own), len(own)
+                which = range_of(digests)
+                digests = digests[np.argsort(which, kind="stable")]
+                sizes = np.bincount(which.astype(np.int64) * size + np.repeat(np.arange(size), len(own[0])), minlength=parts * size).reshape(parts, size)
+                ends = np.cumsum(sizes.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, first, np.int32)), pa.array([r.astype(np.int32).tobytes() for r in sizes]), pa.array([k.tobytes() for k in np.split(digests, ends[:-1])])], names=["range", "first", "sizes", "draws"])
+
+        def sorted_(own: pd.DataFrame) -> pd.DataFrame:
+            of: list[list[np.ndarray]] = [[] for _ in these]
+            for first, sizes, raw in own[["first", "sizes", "draws"]].itertuples(index=False):
+                for b, k in enumerate(np.split(np.frombuffer(raw, np.uint64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1]), int(first) - these.start):
+                    of[b].append(k)
+            level = [np.sort(np.concatenate(k)) & np.uint64((1 << bits) - 1) if k else np.zeros(0, np.uint64) for k in of]
+            sizes = np.array([len(k) for k in level], np.int32)
+            return pd.DataFrame({"range": own["range"].iloc[:1].to_numpy(), "first": np.array([these.start], np.int32), "sizes": [sizes.tobytes()], "levels": [bits_of(np.concatenate(level), bits)]})
+
+        return ids.mapInArrow(packed, "range int, first int, sizes binary, draws binary").groupBy("range").applyInPandas(sorted_, kinds)
+
+    rounds = [range(first, min(first + at_once, permutations)) for first in range(0, permutations, at_once)]
+    with _without_leftovers(spark):
+        for these in rounds:
+            ordered(these).write.parquet(f"{folder}/levels-{these.start}")
+    drawn = spark.read.schema(kinds).parquet(*[f"{folder}/levels-{these.start}" for these in rounds])
+    width = n / parts
+
+    def before(own: pd.DataFrame) -> pd.DataFrame:
+        """What lies before each range in each permutation's order, and how far that strays from the range's share of the places."""
+        own = own.sort_values("range")
+        sizes = np.array([np.frombuffer(r, np.int32) for r in own["sizes"]], np.int64)
+        start = np.cumsum(sizes, axis=0) - sizes
+        drift = np.abs(start - own["range"].to_numpy()[:, None] * width).max(axis=1)
+        return pd.DataFrame({"range": own["range"], "first": own["first"], "before": [r.tobytes() for r in start], "drift": drift})
+
+    drawn.select("range", "first", "sizes").groupBy("first").applyInPandas(before, "range int, first int, before binary, drift double").write.parquet(f"{folder}/before")
+    starts = spark.read.parquet(f"{folder}/before")
+    drift = starts.agg(F.max("drift")).first()[0] or 0.0  # how far a range's places stray between permutations
+    both = drawn.unionByName(starts.drop("drift"), allowMissingColumns=True)
+    at = lambda c: F.least(F.greatest(F.floor(c / F.lit(width)), F.lit(0)), F.lit(parts - 1)).cast("int")
     names = [f"z_{i}" for i in range(count)]
     place = F.col("_place") - 1
     near = base.select(id_, *keys, *names).join(places.select(id_, place.alias("place")), id_).select(F.explode(F.sequence(at(F.col("place") - drift - 1), at(F.col("place") + drift + 1))).alias("range"), "place", *keys, *names)
@@ -226,13 +270,9 @@ def permuted_sums(base: DataFrame, keys: list[str], id_: str, count: int, levels
     wide = count + 1
 
     def summed(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        own, start = own[own["before"].isna()], np.array(own["before"].dropna().iloc[0])
-        of: list[list[np.ndarray]] = [[] for _ in range(permutations)]
-        for first, sizes, raw in own[["first", "sizes", "draws"]].itertuples(index=False):
-            for b, k in enumerate(np.split(np.frombuffer(raw, np.uint64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1]), int(first)):
-                of[b].append(k)
         if rows.empty:
             return pd.DataFrame(columns=[*keys, "permutation", *sums])
+        start = {int(first): np.frombuffer(raw, np.int64) for first, raw in own.loc[own["before"].notna(), ["first", "before"]].itertuples(index=False)}
         low = int(rows["place"].min())
         groups = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(rows), int)
         heads = rows[keys].iloc[np.unique(groups, return_index=True)[1]].reset_index(drop=True)
@@ -241,10 +281,12 @@ def permuted_sums(base: DataFrame, keys: list[str], id_: str, count: int, levels
         np.add.at(values, (rows["place"].to_numpy() - low, groups), np.c_[np.ones(len(rows)), rows[names].to_numpy(float)])
         values = values.reshape(len(values), g * wide)
         out = np.zeros((permutations, levels, g * wide))
-        kinds = np.arange(levels, dtype=np.uint64)[:, None]
-        for b, parts_ in enumerate(of):
-            level = np.sort(np.concatenate(parts_)) & np.uint64((1 << bits) - 1) if parts_ else np.zeros(0, np.uint64)
-            out[b] = (level == kinds).astype(float) @ values[start[b] - low : start[b] - low + len(level)]
+        kinds = np.arange(levels)[:, None]
+        for first, sizes, raw in own.loc[own["before"].isna(), ["first", "sizes", "levels"]].itertuples(index=False):
+            sizes = np.frombuffer(sizes, np.int32)
+            level = np.split(levels_of(raw, bits, int(sizes.sum())), np.cumsum(sizes)[:-1])
+            for b, (k, begin) in enumerate(zip(level, start[int(first)] - low, strict=True), int(first)):
+                out[b] = (k == kinds).astype(float) @ values[begin : begin + len(k)]
         out = out.reshape(permutations, levels, g, wide).transpose(2, 0, 1, 3).reshape(g * permutations, levels * wide)
         found = pd.DataFrame(out, columns=sums).astype({f"n_{k}": np.int64 for k in range(levels)})
         for i, k in enumerate(keys):
@@ -253,11 +295,11 @@ def permuted_sums(base: DataFrame, keys: list[str], id_: str, count: int, levels
         return found
 
     schema = f"{_types(base, keys)}, permutation int, " + ", ".join(f"{c} {'long' if c[0] == 'n' else 'double'}" for c in sums)
-    found = draws.groupBy("range").cogroup(near.groupBy("range")).applyInPandas(summed, schema.removeprefix(", "))
+    found = both.groupBy("range").cogroup(near.groupBy("range")).applyInPandas(summed, schema.removeprefix(", "))
     return found.groupBy(*keys, "permutation").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def label_permutations(rows: DataFrame, keys: list[str], id_: str, y: str, factor: str, levels: list[str], covariates: list[str], permutations: int, seed: int, least: int = 50, range_draws: int = RANGE_DRAWS) -> DataFrame:
+def label_permutations(rows: DataFrame, keys: list[str], id_: str, y: str, factor: str, levels: list[str], covariates: list[str], permutations: int, seed: int, least: int = 50, range_draws: int = RANGE_DRAWS, round_draws: int = ROUND_DRAWS) -> DataFrame:
     """(keys, permutation, f, p): the factor permuted over subjects, alike in all groups; permutation -1 is the data.
 
     ``id_`` is a number. In permutation b the subject at a place of the order of
@@ -275,7 +317,7 @@ def label_permutations(rows: DataFrame, keys: list[str], id_: str, y: str, facto
     whole = products(base, keys, count, 1).select(*keys, *means, *[f"q_{i}_{j}" for i in range(count) for j in range(i, count)])
     by_level = products(base.withColumn("permutation", F.lit(-1)), [*keys, "permutation"], count, len(levels), squares=False)
     if permutations:
-        by_level = by_level.unionByName(permuted_sums(base, keys, id_, count, len(levels), permutations, seed, folder, range_draws))
+        by_level = by_level.unionByName(permuted_sums(base, keys, id_, count, len(levels), permutations, seed, folder, range_draws, round_draws))
     tested = _tested(by_level.join(whole, keys), [*keys, "permutation"], f"{types}, permutation int", len(levels), count, least)
     tested.write.parquet(f"{folder}/tested")  # a row per group and permutation, which its readers would draw again
     return spark.read.parquet(f"{folder}/tested").select(*keys, F.col("permutation").cast("long").alias("permutation"), "f", "p")

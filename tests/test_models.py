@@ -294,6 +294,36 @@ def test_permutations_of_several_ranges(spark, draws):
             assert (found.loc[(pair, b), f"n_{k}"], found.loc[(pair, b), f"s_{k}_0"]) == (len(own), pytest.approx(own.z_0.sum()))
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 70])
+def test_permutations_in_rounds(spark, at_once):
+    """Sums by level are those of one round, and the files of a round go when it ends."""
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"id": np.arange(400), "level": rng.integers(0, 5, 400), "z_0": rng.normal(size=400)})
+    before = spark.conf.get(assoc.CLEANUP, None)
+    sums = lambda most: assoc.permuted_sums(spark.createDataFrame(rows), [], "id", 1, 5, 70, 5, scratch(spark, "sums"), 100, most).toPandas().set_index("permutation").sort_index()
+    got, want = sums(400 * at_once), sums(10**9)
+    assert list(got.index) == list(range(70)) and got.to_numpy() == pytest.approx(want.to_numpy())
+    assert spark.conf.get(assoc.CLEANUP, None) == before
+
+
+def test_permutations_of_tasks_with_several_chunks(spark):
+    """Rows are not dealt quite evenly, so tasks may have some more subjects than are packed together."""
+    n = 10 * assoc.CHUNK_SUBJECTS
+    base = spark.range(n, numPartitions=3).select("id", (F.col("id") % 3).cast("int").alias("level"), (F.col("id") % 11).cast("double").alias("z_0"))
+    found = assoc.permuted_sums(base, [], "id", 1, 3, 3, 5, scratch(spark, "sums")).toPandas().set_index("permutation")
+    assert len(found) == 3 and (found[["n_0", "n_1", "n_2"]].sum(axis=1) == n).all()
+    for b in range(3):
+        level = np.array(sorted(range(n), key=lambda i: hashlib.md5(f"5-{b}-{i}".encode()).digest())) % 3  # noqa: B023
+        for k in range(3):
+            assert (found.loc[b, f"n_{k}"], found.loc[b, f"s_{k}_0"]) == ((level == k).sum(), (np.arange(n)[level == k] % 11).sum())
+
+
+def test_levels_as_bits():
+    for bits, n in ((1, 9), (3, 0), (3, 1001), (9, 77)):
+        level = np.random.default_rng(n).integers(0, 1 << bits, n).astype(np.uint64)
+        assert assoc.levels_of(assoc.bits_of(level, bits), bits, n).tolist() == level.tolist()
+
+
 def test_digests_of_many_texts():
     texts = ["0", "-7", "9223372036854775807", *map(str, range(95, 9000))]
     for prefix in ("", "5-0-", "20261020-999-"):
